@@ -13,8 +13,9 @@ STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from", "are", "was")
 CJK = "[\\u4e00-\\u9fff]"
 LATIN = "[A-Za-z]"
 SECRET = (
-    r"(?i)(password|secret|token|api[_ -]?key|credential|dsn|authorization|bearer)"
-    r"|[A-Za-z0-9+/=_-]{32,}"
+    r"(?i)(canary|password|passwd|secret|credential|api[-_ ]?key|authorization|bearer"
+    r"|\btoken\b|deepseek|provider\s*(?:request|response|payload)|raw\s*payload"
+    r"|(?:sk|pk|rk)-[A-Za-z0-9_-]{8,}|[A-Za-z0-9+/=_-]{32,})"
 )
 
 
