@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.chunking import ChunkConfig, text_chunks
 from ..operators.scans import blocked_row_number
+from ..operators.indexing import embed_chunks
+from ..functions.vectors import hash_embed
 from ..schemas import locator
+from ..session import materialize, spread
 from .registry import Tables, piece
 
 ELEMENT_WORDS = 120
@@ -34,8 +37,23 @@ def sql_id(prefix: str, *parts: str) -> str:
     return f"'{prefix}_' || left(sha256(concat_ws('|', {', '.join(parts)})), 32)"
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(t: Tables, name: str, build) -> DataFrame:
+    """A derived table written once per session to the shared folder and read back.
+
+    Retrieval passes over its documents several times; from the written table each pass reads only
+    the columns it needs instead of chunking again.
+    """
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _STAGED:
+        _STAGED[key] = materialize(build(t), name)
+    return _STAGED[key]
+
+
 def document_pages(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return spread(t.documents.select("doc_id", "text", "lang", "source", "n_chars")).select(
         F.concat(F.lit("doc-"), "doc_id").alias("document_id"),
         F.split("text", "\n").alias("pages"),
         F.col("lang").alias("language"),
@@ -49,17 +67,25 @@ def queries(t: Tables) -> DataFrame:
     )
 
 
+def embedded_queries(t: Tables) -> DataFrame:
+    return queries(t).withColumn("embedding", hash_embed(F.col("text")))
+
+
 def chunks(t: Tables, config: ChunkConfig = CHUNKS) -> DataFrame:
     return text_chunks(document_pages(t), config, ELEMENT_WORDS, keep=("source", "n_chars"))
 
 
 def search_docs(t: Tables) -> DataFrame:
+    return staged(t, "search_docs", _search_docs)
+
+
+def _search_docs(t: Tables) -> DataFrame:
     made = chunks(t)
     size = F.when(F.col("n_chars") > 2000, "long").otherwise("short")
     return made.select(
         F.lit(INDEX).alias("index_id"), "chunk_id", "document_id", "start",
         F.col("content").alias("keyword_text"), "language", "hierarchy_context", "citations",
-        "parent_chunk_id", "child_chunk_ids",
+        "parent_chunk_id", "child_chunk_ids", hash_embed(F.col("content")).alias("embedding"),
         F.create_map(F.lit("source"), F.col("source"), F.lit("language"), F.col("language")).alias("metadata"),
         F.create_map(
             F.lit("document_class"),
@@ -150,3 +176,106 @@ def chunk_pieces(tag: str, config: ChunkConfig) -> None:
 
 chunk_pieces("fx", CHUNKS)
 piece("queries_in", f"SELECT 'q-' || item_id AS query_id, text FROM benchmark")
+
+
+# ---------------------------------------------------------------- heading tree
+
+
+def tree_elements(t: Tables) -> DataFrame:
+    """One document per customer: customer and order headings, line items below them."""
+    doc = F.concat(F.lit("cust-"), "o_custkey")
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    none = F.lit(None)
+    heads = t.customer.select(
+        F.concat(F.lit("cust-"), "c_custkey").alias("document_id"), F.lit(-1).cast("long").alias("o_orderkey"),
+        F.lit("heading").alias("kind"), F.lit(1).alias("level"),
+        F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"),
+        F.lit(0).alias("l_linenumber"), F.lit(0).cast("long").alias("l_partkey"),
+        F.lit(0).cast("long").alias("l_suppkey"), F.lit(0.0).alias("l_quantity"),
+    )
+    seconds = orders.select(
+        doc.alias("document_id"), "o_orderkey", F.lit("heading").alias("kind"), F.lit(2).alias("level"),
+        F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"),
+        F.lit(0).alias("l_linenumber"), F.lit(0).cast("long").alias("l_partkey"),
+        F.lit(0).cast("long").alias("l_suppkey"), F.lit(0.0).alias("l_quantity"),
+    )
+    third = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
+    fourth = (F.col("l_returnflag") == "A") & (F.col("l_quantity") >= 49)
+    level = F.when(third, 3).when(fourth, 4)
+    items = t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"
+    ).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(
+        doc.alias("document_id"), F.col("l_orderkey").alias("o_orderkey"),
+        F.when(level.isNotNull(), "heading").otherwise("paragraph").alias("kind"), level.alias("level"),
+        F.concat_ws(
+            " ", F.lit("item"), F.col("l_partkey").cast("string"), "l_returnflag", "l_linestatus",
+            F.lit("quantity"), F.col("l_quantity").cast("int").cast("string"),
+        ).alias("text"),
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+    )
+    rows = heads.unionByName(seconds).unionByName(items)
+    order = [F.col(c) for c in ("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "text")]
+    placed = blocked_row_number(
+        rows, ["document_id"], F.floor(F.col("o_orderkey") / 4096), order, "reading_order", 0
+    )
+    return placed.select(
+        "document_id",
+        element_id("kind", "reading_order").alias("id"),
+        "kind", F.col("reading_order").cast("int").alias("reading_order"),
+        none.cast("string").alias("parent_id"), "level", "text", none.cast("string").alias("language"),
+        locator(
+            kind=F.lit("word_processing"), paragraph_index=F.col("reading_order"),
+            heading_anchor=F.lit("document"),
+        ).alias("locator"),
+    )
+
+
+def element_id(kind: str, order: str):
+    from ..functions.ids import stable_id
+
+    return stable_id("elm", F.col("document_id"), F.col(kind), F.col(order))
+
+
+piece(
+    "tree_rows",
+    "SELECT 'cust-' || c_custkey AS document_id, -1 AS ok, 'heading' AS kind, 1 AS level, "
+    "c_name || ' ' || c_mktsegment AS text, 0 AS ln, 0 AS pk, 0 AS sk, 0.0::DOUBLE AS qty FROM customer UNION ALL "
+    "SELECT 'cust-' || o_custkey, o_orderkey, 'heading', 2, o_orderpriority || ' ' || o_orderstatus, 0, 0, 0, 0.0::DOUBLE "
+    "FROM orders UNION ALL "
+    "SELECT 'cust-' || o_custkey, o_orderkey, CASE WHEN lv IS NULL THEN 'paragraph' ELSE 'heading' END, lv, "
+    "concat_ws(' ', 'item', l_partkey, l_returnflag, l_linestatus, 'quantity', l_quantity::INT), "
+    "l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, CASE WHEN l_returnflag = 'R' AND "
+    "l_linestatus = 'F' THEN 3 WHEN l_returnflag = 'A' AND l_quantity >= 49 THEN 4 END AS lv FROM lineitem) l "
+    "JOIN orders ON o_orderkey = l_orderkey",
+)
+piece(
+    "tree_pos",
+    "SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ok, ln, pk, sk, qty, text) - 1 AS pos "
+    "FROM tree_rows",
+    "tree_rows",
+)
+piece(
+    "tree_in",
+    "SELECT document_id, pos, kind, level, text, " + sql_id("elm", "document_id", "kind", "pos") + " AS id "
+    "FROM tree_pos",
+    "tree_pos",
+)
+_W = "OVER (PARTITION BY document_id ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+piece(
+    "tree_seen",
+    "SELECT *, " + ", ".join(
+        f"max(CASE WHEN kind = 'heading' AND level = {n} THEN pos END) {_W} AS p{n}" for n in range(1, 5)
+    ) + " FROM tree_in",
+    "tree_in",
+)
+piece(
+    "tree_path",
+    "SELECT e.document_id, e.pos, e.kind, e.level, e.text, e.id, "
+    "list_filter([h1.text, CASE WHEN p2 > p1 THEN h2.text END, CASE WHEN p3 > p1 AND p3 > coalesce(p2, -1) "
+    "THEN h3.text END, CASE WHEN p4 > p1 AND p4 > coalesce(p2, -1) AND p4 > coalesce(p3, -1) THEN h4.text END], "
+    "lambda x: x IS NOT NULL) AS path FROM tree_seen e "
+    + " ".join(
+        f"LEFT JOIN tree_in h{n} ON h{n}.document_id = e.document_id AND h{n}.pos = e.p{n}" for n in range(1, 5)
+    ),
+    "tree_seen", "tree_in",
+)

@@ -21,6 +21,7 @@ def get_session(app: str = "sparkevidence", master: str | None = None, **conf: s
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.cteRecursionLevelLimit": "1000",
+        "spark.ui.showConsoleProgress": "false",
         **conf,
     }
     for key, value in settings.items():
@@ -49,3 +50,12 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a scan gives fewer partitions than the cluster has slots.
+
+    Large inputs already have more splits than slots and are left as they are (no shuffle).
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
