@@ -214,7 +214,7 @@ def _ranges(max_tokens: int, overlap: int, max_items: int, block: int | None):
 def _slice_groups(blocks: DataFrame, ranges) -> DataFrame:
     sizes = F.transform("segs", lambda s: s["tokens"].cast("int"))
     return blocks.select(
-        "*", F.explode(ranges(sizes, F.col("entry").cast("int"))).alias("_g")
+        "*", F.posexplode(ranges(sizes, F.col("entry").cast("int"))).alias("_n", "_g")
     ).withColumn(
         "group", F.slice("segs", F.col("_g.start") + 1, F.col("_g.stop") - F.col("_g.start"))
     )
@@ -274,7 +274,9 @@ def pack_in_row(df: DataFrame, segs: str, max_tokens: int, overlap: int = 0) ->
     """The same groups where all segments of a document already sit in one row: no shuffle."""
     ready = df.withColumnRenamed(segs, "segs").withColumn("entry", F.lit(0))
     grouped = _slice_groups(ready, _ranges(max_tokens, overlap, max_tokens, None))
-    return grouped.withColumn("start", F.col("_g.start").cast("long")).drop("_g", "segs", "entry")
+    return grouped.withColumn("start", F.col("_g.start").cast("long")).withColumn(
+        "ordinal", F.col("_n").cast("long")
+    ).drop("_n", "_g", "segs", "entry")
 
 
 # ---------------------------------------------------------------- chunks
@@ -336,12 +338,19 @@ def text_chunks(
     grouped = pack_in_row(rows, "_segs", config.max_tokens, config.overlap_tokens)
     none = F.lit(None).cast("string")
     return grouped.select(
-        "document_id", *keep, "start",
+        "document_id", *keep, "start", "ordinal",
         *make_chunk(config, F.col("group"), none, F.col("language")),
         F.array().cast("array<string>").alias("child_chunk_ids"),
     )
 
 
+def chunk_ordinals(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Add `ordinal`, the place of a chunk in its document's index order (parents come first)."""
+    level = F.col("parent_chunk_id").isNotNull().cast("int")
+    bucket = level * F.lit(1 << 40) + block_of("start", block)
+    return blocked_row_number(chunks, ["document_id"], bucket, [level, F.col("start")], "ordinal", 0)
+
+
 def segments(
     elements: DataFrame,
     config: ChunkConfig,

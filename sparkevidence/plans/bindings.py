@@ -83,7 +83,7 @@ def _search_docs(t: Tables) -> DataFrame:
     made = chunks(t)
     size = F.when(F.col("n_chars") > 2000, "long").otherwise("short")
     return made.select(
-        F.lit(INDEX).alias("index_id"), "chunk_id", "document_id", "start",
+        F.lit(INDEX).alias("index_id"), "chunk_id", "document_id", "start", "ordinal",
         F.col("content").alias("keyword_text"), "language", "hierarchy_context", "citations",
         "parent_chunk_id", "child_chunk_ids", hash_embed(F.col("content")).alias("embedding"),
         F.create_map(F.lit("source"), F.col("source"), F.lit("language"), F.col("language")).alias("metadata"),
