@@ -120,7 +120,9 @@ piece(
 )
 
 
-def pack_pieces(tag: str, segments: str, max_tokens: int, overlap: int = 0, keys: str = "document_id") -> str:
+def pack_pieces(
+    tag: str, segments: str, max_tokens: int, overlap: int = 0, keys: str = "document_id", max_items: int = 10**9
+) -> str:
     """Pieces `{tag}_groups(keys, s, stop)`: greedy groups by following next-start pointers."""
     k = [c.strip() for c in keys.split(",")]
     using = ", ".join(k)
@@ -134,7 +136,7 @@ def pack_pieces(tag: str, segments: str, max_tokens: int, overlap: int = 0, keys
         f"{tag}_stop",
         f"SELECT {', '.join('a.' + c for c in k)}, a.pos AS s, max(b.pos) + 1 AS stop "
         f"FROM {tag}_pre a JOIN {tag}_pre b ON {' AND '.join(f'a.{c} = b.{c}' for c in k)} "
-        f"AND b.pos >= a.pos AND b.p1 - a.p0 <= {max_tokens} GROUP BY ALL",
+        f"AND b.pos >= a.pos AND b.pos < a.pos + {max_items} AND b.p1 - a.p0 <= {max_tokens} GROUP BY ALL",
         f"{tag}_pre",
     )
     piece(
@@ -279,3 +281,81 @@ piece(
     ),
     "tree_seen", "tree_in",
 )
+
+
+# ---------------------------------------------------------------- tables: one sheet of orders per customer
+
+SHEET_HEADER = ("order", "status", "priority")
+
+
+def _sheet_order_rows(t: Tables) -> DataFrame:
+    orders = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    return blocked_row_number(
+        orders, ["o_custkey"], F.floor(F.col("o_orderkey") / 4096), [F.col("o_orderkey")], "row", 1
+    )
+
+
+def sheet_cells(t: Tables) -> DataFrame:
+    texts = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    body = _sheet_order_rows(t).select(
+        "o_custkey", F.col("row").cast("int").alias("row"), F.posexplode(texts).alias("column", "text"),
+        F.lit(False).alias("is_header"),
+    )
+    heads = t.orders.select("o_custkey").distinct().select(
+        "o_custkey", F.lit(0).alias("row"),
+        F.posexplode(F.array(*[F.lit(h) for h in SHEET_HEADER])).alias("column", "text"),
+        F.lit(True).alias("is_header"),
+    )
+    both = heads.unionByName(body)
+    return both.select(
+        F.concat(F.lit("sheet-"), "o_custkey").alias("document_id"),
+        F.concat(F.lit("tbl-"), "o_custkey").alias("table_id"),
+        F.concat_ws("-", F.lit("cel"), "o_custkey", "row", "column").alias("id"),
+        "row", "column", F.lit(1).alias("row_span"), F.lit(1).alias("column_span"), "text", "is_header",
+    )
+
+
+def _sheet_locator(part: str):
+    return locator(kind=F.lit("spreadsheet"), sheet_name=F.lit("orders"), range=F.lit(part))
+
+
+def sheet_tables(t: Tables) -> DataFrame:
+    key = F.col("o_custkey").cast("string")
+    return t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).select(
+        F.concat(F.lit("sheet-"), key).alias("document_id"), F.concat(F.lit("tbl-"), key).alias("id"),
+        F.concat(F.lit("t-"), key).alias("element_id"), (F.col("n") + 1).cast("int").alias("rows"),
+        F.lit(3).alias("columns"), F.concat(F.lit("c-"), key).alias("caption_element_id"),
+        F.array(F.concat(F.lit("n-"), key)).alias("related_element_ids"), _sheet_locator("B2").alias("locator"),
+    )
+
+
+def sheet_elements(t: Tables) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    owners = t.customer.select("c_custkey", "c_name", "c_mktsegment").join(
+        t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_semi"
+    )
+    parts = F.array(
+        F.struct(F.concat(F.lit("c-"), key).alias("id"), F.lit("caption").alias("kind"), F.col("c_name").alias("text"),
+                 F.lit(None).cast("string").alias("table_id"), _sheet_locator("A1").alias("locator")),
+        F.struct(F.concat(F.lit("t-"), key).alias("id"), F.lit("table").alias("kind"), F.lit(None).cast("string").alias("text"),
+                 F.concat(F.lit("tbl-"), key).alias("table_id"), _sheet_locator("B2").alias("locator")),
+        F.struct(F.concat(F.lit("n-"), key).alias("id"), F.lit("paragraph").alias("kind"),
+                 F.concat(F.lit("note "), "c_mktsegment").alias("text"),
+                 F.lit(None).cast("string").alias("table_id"), _sheet_locator("Z9").alias("locator")),
+    )
+    return owners.select(
+        F.concat(F.lit("sheet-"), key).alias("document_id"), F.posexplode(parts).alias("reading_order", "e")
+    ).select(
+        "document_id", "e.id", "e.kind", "reading_order", F.lit(None).cast("string").alias("parent_id"),
+        F.lit(None).cast("int").alias("level"), "e.text", F.lit(None).cast("string").alias("language"),
+        "e.table_id", "e.locator",
+    )
+
+
+piece(
+    "sheet_cells_in",
+    "SELECT o_custkey AS ck, 0 AS r, unnest([0, 1, 2]) AS c, unnest(['order', 'status', 'priority']) AS text, "
+    "TRUE AS is_header FROM (SELECT DISTINCT o_custkey FROM orders) UNION ALL SELECT o_custkey, r, "
+    "unnest([0, 1, 2]), unnest([o_orderkey::VARCHAR, o_orderstatus, o_orderpriority]), FALSE FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)",
+)
