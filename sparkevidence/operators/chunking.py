@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import stable_id
 from ..functions.text import token_count, words
-from .scans import BLOCK, block_of, blocked_row_number, running_last
-from .structure import heading_path
+from .scans import BLOCK, block_of, blocked_row_number, blocked_scan
+from .structure import path_from_marks, path_marks
 
 
 @dataclass(frozen=True)
@@ -163,42 +163,51 @@ def table_rejects(tables: DataFrame, cells: DataFrame, elements: DataFrame, max_
 # ---------------------------------------------------------------- packing
 
 
-def _steps(tokens: np.ndarray, max_tokens: int, overlap: int, max_items: int):
-    """For every possible group start: where the group stops and where the next one starts."""
+def _steps(tokens: np.ndarray, breaks: np.ndarray, max_tokens: int, overlap: int, max_items: int):
+    """For every possible group start: where the group stops and where the next one starts.
+
+    `breaks` marks segments that always open a new group, without overlap.
+    """
     n = len(tokens)
     total = np.concatenate([[0], np.cumsum(tokens)])
     starts = np.arange(n)
     stop = np.searchsorted(total, total[:-1] + max_tokens, side="right") - 1
-    stop = np.minimum(np.minimum(stop, starts + max_items), n)
+    opening = np.where(breaks, starts, n)
+    next_break = np.append(np.minimum.accumulate(opening[::-1])[::-1], n)[1:]
+    stop = np.minimum(np.minimum(stop, starts + max_items), next_break)
     following = np.append(tokens, 0)[stop]
-    room = np.minimum(overlap, max_tokens - following)
-    nxt = np.searchsorted(total, total[stop] - np.maximum(room, 0), side="left")
-    nxt = np.where(stop < n, np.maximum(np.minimum(nxt, stop), starts + 1), n)
-    return stop, nxt
+    room = np.maximum(np.minimum(overlap, max_tokens - following), 0)
+    back = np.searchsorted(total, total[stop] - room, side="left")
+    nxt = np.maximum(np.minimum(back, stop), starts + 1)
+    return stop, np.where(stop == next_break, stop, nxt)
+
 
+def _walk(tokens, breaks, limits: tuple[int, int, int]):
+    return _steps(np.asarray(tokens, dtype=np.int64), np.asarray(breaks, dtype=bool), *limits)
 
-def _exits(max_tokens: int, overlap: int, max_items: int, block: int):
-    reach = min(max_tokens, max_items)
+
+def _exits(limits: tuple[int, int, int], block: int):
+    reach = min(limits[0], limits[2])
 
     @F.pandas_udf("array<int>")
-    def exits(tokens: pd.Series) -> pd.Series:
-        def one(sizes: np.ndarray) -> np.ndarray:
-            _, nxt = _steps(np.asarray(sizes, dtype=np.int64), max_tokens, overlap, max_items)
+    def exits(tokens: pd.Series, breaks: pd.Series) -> pd.Series:
+        def one(sizes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+            _, nxt = _walk(sizes, marks, limits)
             at = np.arange(min(reach, len(sizes)))
             while (inside := at < block).any():
                 at[inside] = nxt[at[inside]]
             return (at - block).astype(np.int32)
 
-        return pd.Series([one(t) for t in tokens])
+        return pd.Series([one(t, b) for t, b in zip(tokens, breaks)])
 
     return exits
 
 
-def _ranges(max_tokens: int, overlap: int, max_items: int, block: int | None):
+def _ranges(limits: tuple[int, int, int], block: int | None):
     @F.pandas_udf("array<struct<start:int,stop:int>>")
-    def ranges(tokens: pd.Series, entry: pd.Series) -> pd.Series:
-        def one(sizes: np.ndarray, at: int) -> list[dict]:
-            stop, nxt = _steps(np.asarray(sizes, dtype=np.int64), max_tokens, overlap, max_items)
+    def ranges(tokens: pd.Series, breaks: pd.Series, entry: pd.Series) -> pd.Series:
+        def one(sizes: np.ndarray, marks: np.ndarray, at: int) -> list[dict]:
+            stop, nxt = _walk(sizes, marks, limits)
             limit = len(sizes) if block is None else min(block, len(sizes))
             groups = []
             while at < limit:
@@ -206,74 +215,84 @@ def _ranges(max_tokens: int, overlap: int, max_items: int, block: int | None):
                 at = nxt[at]
             return groups
 
-        return pd.Series([one(t, int(e)) for t, e in zip(tokens, entry)])
+        return pd.Series([one(t, b, int(e)) for t, b, e in zip(tokens, breaks, entry)])
 
     return ranges
 
 
-def _slice_groups(blocks: DataFrame, ranges) -> DataFrame:
-    sizes = F.transform("segs", lambda s: s["tokens"].cast("int"))
+def _sizes() -> Column:
+    return F.transform("segs", lambda s: s["tokens"].cast("int"))
+
+
+def _slice_groups(blocks: DataFrame, ranges, breaks: Column) -> DataFrame:
     return blocks.select(
-        "*", F.posexplode(ranges(sizes, F.col("entry").cast("int"))).alias("_n", "_g")
+        "*", F.posexplode(ranges(_sizes(), breaks, F.col("entry").cast("int"))).alias("_n", "_g")
     ).withColumn(
         "group", F.slice("segs", F.col("_g.start") + 1, F.col("_g.stop") - F.col("_g.start"))
     )
 
 
+def _breaks(strategy: str) -> Column:
+    """Where a block's segments must open a group: at a new heading path, or around tables."""
+    segs = F.col("segs")
+    if strategy == "hierarchy":
+        return F.transform(segs, lambda s, i: (i > 0) & (s["context"] != F.get(segs, i - 1)["context"]))
+    if strategy == "table":
+        return F.transform(segs, lambda s, i: (i > 0) & (s["is_table"] | F.get(segs, i - 1)["is_table"]))
+    return F.transform(segs, lambda s: F.lit(False))
+
+
 def pack(
     segments: DataFrame,
-    keys: Sequence[str],
     position: str,
     max_tokens: int,
     overlap: int = 0,
     max_items: int | None = None,
+    strategy: str = "fixed",
     block: int = BLOCK,
 ) -> DataFrame:
-    """Greedy groups of consecutive segments: rows (keys, start, group array<struct>).
+    """Greedy groups of consecutive segments: rows (document_id, start, group array<struct>).
 
-    `position` counts from 0 without gaps within `keys`; every segment has 1..max_tokens tokens.
+    `position` counts from 0 without gaps per document; every segment has 1..max_tokens tokens.
     The chained tables hold one row per block, so their size per document is its length / block;
     intake bounds a document at 16 MiB, hence at most about two thousand blocks.
     """
-    items = max_items or max_tokens
-    halo = min(max_tokens, items)
+    limits = (max_tokens, overlap, max_items or max_tokens)
+    halo = min(limits[0], limits[2])
     width = max(block, halo)
     own = block_of(position, width)
     copies = F.when(
         (F.col(position) % width < halo) & (own > 0), F.array(own, own - 1)
     ).otherwise(F.array(own))
-    payload = [c for c in segments.columns if c not in keys and c != position]
+    keys = ["document_id", "_blk"]
+    payload = [c for c in segments.columns if c not in (*keys, position)]
     blocks = (
         segments.withColumn("_blk", F.explode(copies))
-        .groupBy(*keys, "_blk")
+        .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("_pos"), *payload))).alias("segs"))
     )
-    sizes = F.transform("segs", lambda s: s["tokens"].cast("int"))
     chain = F.aggregate(
         F.array_sort(F.collect_list(F.struct("_blk", "_x"))),
         F.array(F.lit(0)),
         lambda acc, x: F.concat(acc, F.array(F.element_at(x["_x"], F.element_at(acc, -1) + 1))),
     )
+    breaks = _breaks(strategy)
     entries = (
         blocks.filter(F.size("segs") > width)
-        .select(*keys, "_blk", _exits(max_tokens, overlap, items, width)(sizes).alias("_x"))
-        .groupBy(*keys).agg(chain.alias("_entries"))
-        .select(*keys, F.posexplode("_entries").alias("_blk", "entry"))
+        .select(*keys, _exits(limits, width)(_sizes(), breaks).alias("_x"))
+        .groupBy("document_id").agg(chain.alias("_entries"))
+        .select("document_id", F.posexplode("_entries").alias("_blk", "entry"))
         .withColumn("_blk", F.col("_blk").cast("long"))
     )
-    entered = blocks.join(entries, [*keys, "_blk"], "left").withColumn(
-        "entry", F.coalesce("entry", F.lit(0))
-    )
-    grouped = _slice_groups(entered, _ranges(max_tokens, overlap, items, width))
-    return grouped.select(
-        *keys, F.col("group")[0]["_pos"].cast("long").alias("start"), "group"
-    )
+    entered = blocks.join(entries, keys, "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
+    grouped = _slice_groups(entered, _ranges(limits, width), breaks)
+    return grouped.select("document_id", F.col("group")[0]["_pos"].cast("long").alias("start"), "group")
 
 
 def pack_in_row(df: DataFrame, segs: str, max_tokens: int, overlap: int = 0) -> DataFrame:
     """The same groups where all segments of a document already sit in one row: no shuffle."""
     ready = df.withColumnRenamed(segs, "segs").withColumn("entry", F.lit(0))
-    grouped = _slice_groups(ready, _ranges(max_tokens, overlap, max_tokens, None))
+    grouped = _slice_groups(ready, _ranges((max_tokens, overlap, max_tokens), None), _breaks("fixed"))
     return grouped.withColumn("start", F.col("_g.start").cast("long")).withColumn(
         "ordinal", F.col("_n").cast("long")
     ).drop("_n", "_g", "segs", "entry")
@@ -356,41 +375,63 @@ def segments(
     config: ChunkConfig,
     tables: DataFrame | None = None,
     cells: DataFrame | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Renderable segments in reading order, numbered from 0 per document."""
-    pathed = heading_path(elements)
-    language = F.col("language") if "language" in elements.columns else F.lit(None).cast("string")
-    prose = render_elements(pathed.filter("kind <> 'table'")).select(
-        "document_id", "reading_order", F.lit(0).alias("part"), "content",
-        F.array(F.struct(F.col("id").alias("element_id"), "locator")).alias("citations"),
-        F.col("hierarchy_context").alias("context"), language.alias("language"),
-        F.lit(False).alias("is_table"),
+    """Renderable segments numbered from 0 per document, with the document's largest segment.
+
+    Heading paths, numbering and the maximum come from one scan over the elements.
+    """
+    items = F.col("items") if "items" in elements.columns else F.lit(None).cast(
+        "array<struct<text:string,level:int>>"
     )
-    if tables is not None:
-        rendered = render_tables(tables, cells, elements, config.max_tokens)
-        cited = table_citations(tables, elements)
-        owner = pathed.filter("kind = 'table'").select(
-            "document_id", F.col("id").alias("element_id"), "reading_order",
-            F.col("hierarchy_context").alias("context"), language.alias("language"),
+    language = F.col("language") if "language" in elements.columns else F.lit(None).cast("string")
+    own_text = render_text(F.col("kind"), F.col("text"), items)
+    own = F.array(F.struct(F.col("id").alias("element_id"), "locator"))
+    rows = elements.withColumn("language", language)
+    if tables is None:
+        rows = rows.withColumn("_parts", F.array(own_text)).withColumn("citations", own)
+    else:
+        rendered = (
+            render_tables(tables, cells, elements, config.max_tokens)
+            .groupBy("document_id", F.col("element_id").alias("id"))
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda p: p["content"])
+                 .alias("_rendered"))
+            .join(table_citations(tables, elements), ["document_id", "id"])
         )
-        prose = prose.unionByName(
-            rendered.join(cited, ["document_id", "table_id"])
-            .join(owner, ["document_id", "element_id"])
-            .select(
-                "document_id", "reading_order", "part", "content", "citations", "context", "language",
-                F.lit(True).alias("is_table"),
-            )
+        table = F.col("kind") == "table"
+        rows = (
+            rows.join(rendered, ["document_id", "id"], "left")
+            .withColumn("_parts", F.when(table, F.col("_rendered")).otherwise(F.array(own_text)))
+            .withColumn("citations", F.when(table, F.col("_cited")).otherwise(own))
         )
-    ready = prose.withColumn("tokens", token_count(F.col("content")))
-    return blocked_row_number(
-        ready, ["document_id"], block_of("reading_order"), [F.col("reading_order"), F.col("part")], "pos", 0
+    parts = F.filter(
+        F.transform(
+            F.coalesce("_parts", F.array().cast("array<string>")),
+            lambda p: F.struct(p.alias("content"), token_count(p).alias("tokens")),
+        ),
+        lambda p: p["tokens"] > 0,
+    )
+    rows = rows.select(
+        "document_id", "reading_order", "kind", "level", "text", "language", "citations", parts.alias("_parts")
+    )
+    largest = F.array_max(F.transform("_parts", lambda p: p["tokens"]))
+    scanned = blocked_scan(
+        rows, ["document_id"], "reading_order", path_marks(),
+        sums={"_first": F.size("_parts")}, maxima={"largest": largest}, width=block,
+    )
+    return scanned.withColumn("context", path_from_marks()).select(
+        "document_id", "largest", "_first", "context", "citations", "language",
+        (F.col("kind") == "table").alias("is_table"), F.posexplode("_parts").alias("_i", "_p"),
+    ).select(
+        "document_id", (F.col("_first") + F.col("_i")).alias("pos"), F.col("_p.content").alias("content"),
+        F.col("_p.tokens").alias("tokens"), "context", "citations", "language", "is_table", "largest",
     )
 
 
 def table_citations(tables: DataFrame, elements: DataFrame) -> DataFrame:
     """Elements cited by a table's chunks: itself, caption and related, in reading order."""
     wanted = tables.select(
-        "document_id", F.col("id").alias("table_id"),
+        "document_id", F.col("element_id").alias("_owner"),
         F.explode(
             F.array_distinct(
                 F.concat(
@@ -408,25 +449,14 @@ def table_citations(tables: DataFrame, elements: DataFrame) -> DataFrame:
     )
     return (
         wanted.join(located, ["document_id", "element_id"])
-        .groupBy("document_id", "table_id")
-        .agg(F.transform(ordered, lambda c: F.struct(c["element_id"], c["locator"])).alias("citations"))
-    )
-
-
-def _sections(segs: DataFrame, strategy: str, block: int) -> DataFrame:
-    """Section start of every segment: where the heading path changes, or around tables."""
-    if strategy == "hierarchy":
-        mark = F.struct(F.col("context").alias("path"))
-        seen = running_last(segs, ["document_id"], "pos", {"_prev": mark}, False, block)
-        change = F.col("_prev").isNull() | (F.col("_prev.path") != F.col("context"))
-    else:
-        mark = F.struct(F.col("is_table").alias("t"))
-        seen = running_last(segs, ["document_id"], "pos", {"_prev": mark}, False, block)
-        change = F.col("_prev").isNull() | F.col("is_table") | F.col("_prev.t")
-    started = running_last(
-        seen, ["document_id"], "pos", {"section": F.when(change, F.col("pos"))}, True, block
+        .groupBy("document_id", F.col("_owner").alias("id"))
+        .agg(
+            F.transform(
+                ordered,
+                lambda c: F.struct(c["element_id"].alias("element_id"), c["locator"].alias("locator")),
+            ).alias("_cited")
+        )
     )
-    return started.drop("_prev")
 
 
 def chunk(
@@ -438,67 +468,68 @@ def chunk(
     block: int = BLOCK,
 ) -> DataFrame:
     """Chunks of every document under one strategy; rejected documents give none."""
-    segs = segments(elements, config, tables, cells)
-    refused = segs.filter(F.col("tokens") > config.max_tokens).select("document_id")
+    segs = segments(elements, config, tables, cells, block).filter(F.col("largest") <= config.max_tokens)
     if tables is not None:
-        refused = refused.unionByName(
-            table_rejects(tables, cells, elements, config.max_tokens).select(F.col("id").alias("document_id"))
-        )
-    segs = segs.join(refused.distinct(), "document_id", "left_anti")
-    if config.strategy in ("hierarchy", "table"):
-        segs = _sections(segs, config.strategy, block)
-    else:
-        segs = segs.withColumn("section", F.lit(0).cast("long"))
-    segs = segs.withColumn("pos", F.col("pos") - F.col("section"))
+        refused = table_rejects(tables, cells, elements, config.max_tokens)
+        segs = segs.join(refused.select(F.col("id").alias("document_id")), "document_id", "left_anti")
     groups = pack(
-        segs, ["document_id", "section"], "pos", config.max_tokens, config.overlap_tokens, block=block
-    ).withColumn("start", F.col("start") + F.col("section"))
+        segs.drop("largest"), "pos", config.max_tokens, config.overlap_tokens,
+        strategy=config.strategy, block=block,
+    )
     if languages is not None:
         groups = groups.join(languages, "document_id", "left")
     else:
         groups = groups.withColumn("document_language", F.lit(None).cast("string"))
     none = F.lit(None).cast("string")
-    default = F.col("document_language")
-    if config.strategy != "parent_child":
-        return groups.select(
-            "document_id", "start", *make_chunk(config, F.col("group"), none, default),
-            F.array().cast("array<string>").alias("child_chunk_ids"),
-        )
-    return _parents_and_children(groups, config, none, default, block)
+    if config.strategy == "parent_child":
+        return _parents_and_children(groups, config, block)
+    return groups.select(
+        "document_id", "start", *make_chunk(config, F.col("group"), none, F.col("document_language")),
+        F.array().cast("array<string>").alias("child_chunk_ids"),
+    )
 
 
-def _parents_and_children(groups, config, none, default, block) -> DataFrame:
+def _parents_and_children(groups: DataFrame, config: ChunkConfig, block: int) -> DataFrame:
+    """Pack the packed children again; parents, children and their links come out of one row."""
     tokens = F.aggregate("group", F.lit(0), lambda a, s: a + s["tokens"].cast("int"))
     kids = blocked_row_number(
         groups.select("document_id", "document_language", "start", "group", tokens.alias("tokens")),
         ["document_id"], block_of("start", block), [F.col("start")], "child", 0,
     )
-    families = pack(
-        kids, ["document_id"], "child", config.max_tokens, 0, config.max_children, block
-    ).withColumnRenamed("group", "kids")
+    families = pack(kids, "child", config.max_tokens, 0, config.max_children, block=block).withColumnRenamed(
+        "group", "kids"
+    )
+    none = F.lit(None).cast("string")
+    no_ids = F.array().cast("array<string>")
+    language = F.col("kids")[0]["document_language"]
     flat = F.flatten(F.transform("kids", lambda k: k["group"]))
-    parent_cols = make_chunk(config, flat, none, F.col("kids")[0]["document_language"])
-    parents = families.select("document_id", F.col("kids")[0]["start"].alias("start"), "kids", *parent_cols)
-    children = parents.select(
-        "document_id", F.col("chunk_id").alias("_parent"), F.posexplode("kids").alias("_n", "k")
-    ).select("document_id", "_parent", "_n", F.col("k.start").alias("start"),
-             F.col("k.group").alias("group"), F.col("k.document_language").alias("document_language"))
-    kid_chunks = children.select(
-        "document_id", "start", "_n", *make_chunk(config, F.col("group"), F.col("_parent"), default)
+    parents = families.select(
+        "document_id", "kids", F.col("kids")[0]["start"].alias("start"),
+        F.struct(*make_chunk(config, flat, none, language)).alias("_p"),
+    )
+    made = parents.withColumn(
+        "_c",
+        F.transform(
+            "kids",
+            lambda k: F.struct(
+                k["start"].alias("start"),
+                F.struct(*make_chunk(config, k["group"], F.col("_p.chunk_id"), k["document_language"])).alias("c"),
+            ),
+        ),
     )
-    links = kid_chunks.groupBy("document_id", F.col("parent_chunk_id").alias("chunk_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", "chunk_id"))), lambda x: x["chunk_id"])
-        .alias("child_chunk_ids")
+    links = F.transform("_c", lambda k: k["c"]["chunk_id"])
+    rows = F.concat(
+        F.array(F.struct("start", F.col("_p").alias("c"), links.alias("kids"))),
+        F.transform("_c", lambda k: F.struct(k["start"].alias("start"), k["c"].alias("c"), no_ids.alias("kids"))),
     )
-    full = parents.drop("kids").join(links, ["document_id", "chunk_id"])
-    return full.unionByName(
-        kid_chunks.drop("_n").withColumn("child_chunk_ids", F.array().cast("array<string>"))
+    return made.select("document_id", F.explode(rows).alias("r")).select(
+        "document_id", "r.start", "r.c.*", F.col("r.kids").alias("child_chunk_ids")
     )
 
 
 def chunk_rejects(elements: DataFrame, config: ChunkConfig, tables=None, cells=None) -> DataFrame:
     segs = segments(elements, config, tables, cells)
-    return segs.filter(F.col("tokens") > config.max_tokens).select("document_id").distinct().select(
+    return segs.filter(F.col("largest") > config.max_tokens).select("document_id").distinct().select(
         F.lit("document").alias("entity"), F.col("document_id").alias("id"),
         F.lit("segment_tokens").alias("rule"), F.lit("CANONICAL_FIELD_UNBOUNDED").alias("code"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import CJK, LATIN
-from .scans import BLOCK, blocked_row_number, running_last
+from .scans import BLOCK, blocked_row_number, blocked_scan
 
 LEVELS = range(1, 10)
 
@@ -18,27 +18,33 @@ def _heading_marks(prefix: str, value: Column) -> dict[str, Column]:
     }
 
 
-def heading_path(elements: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Add `hierarchy_context`: texts of the open headings, a heading's own text included.
+def path_marks() -> dict[str, Column]:
+    return _heading_marks("_h", F.coalesce("text", F.lit("")))
 
-    The last heading of a level is open when no heading of a lower level number came after it.
-    """
-    marks = _heading_marks("_h", F.coalesce("text", F.lit("")))
-    seen = running_last(elements, ["document_id"], "reading_order", marks, True, block)
+
+def path_from_marks() -> Column:
+    """Texts of the open headings: the last heading of a level is open when no heading of a lower
+    level number came after it."""
     entries, later = [], F.lit(-1)
     for n in LEVELS:
         at = F.col(f"_h{n}")["at"]
         entries.append(F.when(at > later, F.col(f"_h{n}")["value"]))
         later = F.greatest(later, at)
-    return seen.withColumn("hierarchy_context", F.array_compact(F.array(*entries))).drop(
-        *[f"_h{n}" for n in LEVELS]
-    )
+    return F.array_compact(F.array(*entries))
+
+
+def heading_path(elements: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Add `hierarchy_context`: texts of the open headings, a heading's own text included."""
+    seen = blocked_scan(elements, ["document_id"], "reading_order", path_marks(), width=block)
+    return seen.withColumn("hierarchy_context", path_from_marks()).drop(*[f"_h{n}" for n in LEVELS])
 
 
 def _with_parent(elements: DataFrame, block: int) -> DataFrame:
     """Add `_top`: the heading under which each row sits, NULL when none is open."""
     marks = _heading_marks("_h", F.col("id"))
-    seen = running_last(elements, ["document_id"], "reading_order", marks, False, block)
+    seen = blocked_scan(
+        elements, ["document_id"], "reading_order", marks, include_current=False, width=block
+    )
     own = F.when(F.col("kind") == "heading", F.coalesce(F.col("level"), F.lit(1))).otherwise(F.lit(10))
     # The latest heading of a lower level number is always still open.
     top = F.greatest(*[F.when(own > n, F.col(f"_h{n}")) for n in LEVELS])

@@ -184,6 +184,10 @@ piece("queries_in", f"SELECT 'q-' || item_id AS query_id, text FROM benchmark")
 
 
 def tree_elements(t: Tables) -> DataFrame:
+    return staged(t, "tree_elements", _tree_elements)
+
+
+def _tree_elements(t: Tables) -> DataFrame:
     """One document per customer: customer and order headings, line items below them."""
     doc = F.concat(F.lit("cust-"), "o_custkey")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
@@ -296,6 +300,10 @@ def _sheet_order_rows(t: Tables) -> DataFrame:
 
 
 def sheet_cells(t: Tables) -> DataFrame:
+    return staged(t, "sheet_cells", _sheet_cells)
+
+
+def _sheet_cells(t: Tables) -> DataFrame:
     texts = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
     body = _sheet_order_rows(t).select(
         "o_custkey", F.col("row").cast("int").alias("row"), F.posexplode(texts).alias("column", "text"),
@@ -320,6 +328,10 @@ def _sheet_locator(part: str):
 
 
 def sheet_tables(t: Tables) -> DataFrame:
+    return staged(t, "sheet_tables", _sheet_tables)
+
+
+def _sheet_tables(t: Tables) -> DataFrame:
     key = F.col("o_custkey").cast("string")
     return t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).select(
         F.concat(F.lit("sheet-"), key).alias("document_id"), F.concat(F.lit("tbl-"), key).alias("id"),
@@ -330,6 +342,10 @@ def sheet_tables(t: Tables) -> DataFrame:
 
 
 def sheet_elements(t: Tables) -> DataFrame:
+    return staged(t, "sheet_elements", _sheet_elements)
+
+
+def _sheet_elements(t: Tables) -> DataFrame:
     key = F.col("c_custkey").cast("string")
     owners = t.customer.select("c_custkey", "c_name", "c_mktsegment").join(
         t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_semi"
