@@ -1,6 +1,6 @@
 """Imports every module of registered queries."""
 
-from . import q_chunks, q_evidence, q_retrieval, q_search, q_structure  # noqa: F401
+from . import q_chunks, q_evidence, q_metrics, q_quality, q_retrieval, q_search, q_structure  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]
