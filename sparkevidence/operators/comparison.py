@@ -106,21 +106,26 @@ def fixed_input_rejects(manifests: DataFrame, pairs: DataFrame, fields: Sequence
 
 
 def comparable_reports(reports: DataFrame, baseline: DataFrame, fields: Sequence[str] = FIXED_INPUTS) -> DataFrame:
-    """Each report beside its baseline: BASELINE, COMPATIBLE or INCOMPATIBLE with the first reason.
+    """Each report beside its group's baseline: BASELINE, COMPATIBLE or INCOMPATIBLE.
 
     Reports: (report_id, group_id, fields...); baseline: (group_id, baseline_id).
     """
     pinned = baseline.join(
-        reports.select("group_id", F.col("report_id").alias("baseline_id"), *[F.col(f).alias(f"_{f}") for f in fields]),
-        ["group_id", "baseline_id"],
+        reports.select("group_id", F.col("report_id").alias("baseline_id"), F.lit(True).alias("_found"),
+                       *[F.col(f).alias(f"_{f}") for f in fields]),
+        ["group_id", "baseline_id"], "left",
     )
-    joined = reports.join(pinned, "group_id")
-    first = F.coalesce(*[F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in fields], F.lit(""))
+    joined = reports.join(pinned, "group_id", "left")
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
     own = F.col("report_id") == F.col("baseline_id")
+    lost = F.col("_found").isNull()
     return joined.select(
         "group_id", "report_id",
-        F.when(own, "BASELINE").when(first == "", "COMPATIBLE").otherwise("INCOMPATIBLE").alias("state"),
-        F.when(own, "").otherwise(first).alias("reason"),
+        F.when(lost, "INCOMPATIBLE").when(own, "BASELINE").when(same, "COMPATIBLE").otherwise("INCOMPATIBLE").alias("state"),
+        F.when(lost, "BASELINE_UNAVAILABLE").when(own | same, F.lit(None)).otherwise("PINNED_INPUTS_NOT_EQUIVALENT")
+        .alias("reason"),
     )
 
 
