@@ -238,8 +238,8 @@ def run_kind(engine: Column, plan_kind: Column) -> Column:
 
 
 def duration_ms(started: Column, ended: Column) -> Column:
-    micros = F.unix_micros(ended) - F.unix_micros(started)
-    return F.greatest(F.lit(0), F.floor(micros / 1000)).cast("long")
+    micros = F.unix_micros(ended.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))
+    return F.when(micros.isNotNull(), F.greatest(F.lit(0), F.floor(micros / 1000))).cast("long")
 
 
 def run_history(

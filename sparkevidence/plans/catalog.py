@@ -1,6 +1,17 @@
 """Imports every module of registered queries."""
 
-from . import q_chunks, q_evidence, q_metrics, q_quality, q_retrieval, q_search, q_structure  # noqa: F401
+from . import (  # noqa: F401
+    q_chunks,
+    q_evidence,
+    q_lineage,
+    q_metrics,
+    q_quality,
+    q_retrieval,
+    q_rules,
+    q_search,
+    q_sources,
+    q_structure,
+)
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import ChunkConfig, text_chunks
@@ -58,8 +58,8 @@ def newest_heartbeats(heartbeats: DataFrame) -> DataFrame:
 
 def stale_workers(heartbeats: DataFrame, now, seconds: int = FRESHNESS_SECONDS) -> DataFrame:
     """Workers with the age of their newest heartbeat in microseconds and whether it is too old."""
-    at = now if not isinstance(now, str) else F.lit(now).cast("timestamp")
-    age = F.unix_micros(at) - F.unix_micros("last_seen")
+    at = now if isinstance(now, Column) else F.lit(now)
+    age = F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp"))
     return newest_heartbeats(heartbeats).select(
         "worker_id", "last_seen", age.alias("age_micros"), (age > seconds * 1_000_000).alias("stale")
     )
