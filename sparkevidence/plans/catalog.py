@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     q_lineage,
     q_metrics,
     q_quality,
+    q_related,
     q_retrieval,
     q_rules,
     q_search,

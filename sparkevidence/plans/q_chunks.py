@@ -129,9 +129,9 @@ piece("tree_flat", "SELECT *, abs AS pos FROM tree_seg", "tree_seg")
 B.pack_pieces("kid", "tree_flat", FAMILIES.max_tokens)
 piece(
     "kid_in",
-    "SELECT document_id, s, stop, content, ids, tokens, row_number() OVER (PARTITION BY document_id ORDER BY s) - 1 AS pos "
+    "SELECT document_id, s, stop, content, ids, tokens, path, row_number() OVER (PARTITION BY document_id ORDER BY s) - 1 AS pos "
     "FROM (SELECT g.document_id, g.s, g.stop, string_agg(e.text, chr(10) ORDER BY e.pos) AS content, "
-    "string_agg(e.id, ',' ORDER BY e.pos) AS ids, sum(e.tokens) AS tokens FROM kid_groups g JOIN tree_flat e ON "
+    "string_agg(e.id, ',' ORDER BY e.pos) AS ids, sum(e.tokens) AS tokens, arg_min(e.path, e.pos) AS path FROM kid_groups g JOIN tree_flat e ON "
     "e.document_id = g.document_id AND e.pos >= g.s AND e.pos < g.stop GROUP BY ALL)",
     "kid_groups", "tree_flat",
 )
@@ -144,13 +144,13 @@ def family_pieces(tag: str, config: C.ChunkConfig) -> None:
         "SELECT *, " + B.sql_id("chk", "document_id", f"'{config.identity}'", "ids", "''", "content")
         + " AS chunk_id FROM (SELECT g.document_id, g.s AS k0, g.stop AS k1, min(k.s) AS start, "
         "string_agg(k.content, chr(10) ORDER BY k.pos) AS content, string_agg(k.ids, ',' ORDER BY k.pos) AS ids, "
-        f"sum(k.tokens) AS token_count FROM {tag}p_groups g JOIN kid_in k ON k.document_id = g.document_id AND "
+        f"sum(k.tokens) AS token_count, arg_min(k.path, k.pos) AS path FROM {tag}p_groups g JOIN kid_in k ON k.document_id = g.document_id AND "
         "k.pos >= g.s AND k.pos < g.stop GROUP BY ALL)",
         f"{tag}p_groups", "kid_in",
     )
     piece(
         f"{tag}_kids",
-        "SELECT k.document_id, k.s AS start, k.content, k.tokens AS token_count, p.chunk_id AS parent_chunk_id, k.pos, "
+        "SELECT k.document_id, k.s AS start, k.content, k.tokens AS token_count, p.chunk_id AS parent_chunk_id, k.pos, k.path, "
         + B.sql_id("chk", "k.document_id", f"'{config.identity}'", "k.ids", "p.chunk_id", "k.content")
         + f" AS chunk_id FROM kid_in k JOIN {tag}_parents p ON p.document_id = k.document_id AND k.pos >= p.k0 AND "
         "k.pos < p.k1",
@@ -158,9 +158,9 @@ def family_pieces(tag: str, config: C.ChunkConfig) -> None:
     )
     piece(
         f"{tag}_chunks",
-        f"SELECT p.document_id, p.start, p.chunk_id, p.content, p.token_count, '' AS parent_chunk_id, "
+        f"SELECT p.document_id, p.start, p.chunk_id, p.content, p.token_count, p.path, '' AS parent_chunk_id, "
         f"string_agg(k.chunk_id, ',' ORDER BY k.pos) AS children FROM {tag}_parents p JOIN {tag}_kids k ON "
-        "k.parent_chunk_id = p.chunk_id GROUP BY ALL UNION ALL SELECT document_id, start, chunk_id, content, token_count, "
+        "k.parent_chunk_id = p.chunk_id GROUP BY ALL UNION ALL SELECT document_id, start, chunk_id, content, token_count, path, "
         f"parent_chunk_id, '' FROM {tag}_kids",
         f"{tag}_parents", f"{tag}_kids",
     )
