@@ -1,13 +1,11 @@
-"""Hashed text embeddings and block-wise scoring of dense vectors."""
+"""Hashed text embeddings and vector arithmetic."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from .text import terms
 
@@ -60,52 +58,3 @@ def dot(left: Column, right: Column) -> Column:
 
 def norm(vector: Column) -> Column:
     return F.sqrt(dot(vector, vector))
-
-
-def vector_blocks(df: DataFrame, id_col: str, vector_col: str, rows: int) -> DataFrame:
-    """Pack vectors into matrices of at most `rows` rows, within their partition (no shuffle)."""
-
-    def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for index_id, part in batch.groupby("index_id", sort=False):
-                for at in range(0, len(part), rows):
-                    piece = part.iloc[at:at + rows]
-                    matrix = np.stack(piece["v"].to_numpy()).astype(np.float64)
-                    yield pd.DataFrame(
-                        {
-                            "index_id": [index_id],
-                            "ids": [piece["id"].tolist()],
-                            "width": [matrix.shape[1]],
-                            "matrix": [matrix.tobytes()],
-                        }
-                    )
-
-    return df.select("index_id", F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(
-        to_blocks, "index_id string, ids array<string>, width int, matrix binary"
-    )
-
-
-def best_per_block(pairs: DataFrame, limit: int, digits: int, clamp: bool) -> DataFrame:
-    """Score (query matrix, document matrix) pairs; keep the `limit` best of each pair per query.
-
-    The rest of a block can never enter the overall top `limit`, so the result stays exact.
-    """
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                ids = np.asarray(row.ids, dtype=object)
-                queries = np.frombuffer(row.q_matrix).reshape(-1, row.q_width)
-                docs = np.frombuffer(row.matrix).reshape(-1, row.width)
-                raw = np.round(queries @ docs.T, digits) + 0.0
-                if clamp:
-                    raw = np.maximum(raw, 0.0)
-                by_id = np.argsort(ids, kind="stable")
-                keep = min(limit, len(ids))
-                for query_id, scores in zip(row.q_ids, raw):
-                    ordered = by_id[np.argsort(-scores[by_id], kind="stable")[:keep]]
-                    yield pd.DataFrame(
-                        {"query_id": query_id, "chunk_id": ids[ordered], "raw": scores[ordered]}
-                    )
-
-    return pairs.mapInPandas(score, "query_id string, chunk_id string, raw double")

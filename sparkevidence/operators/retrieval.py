@@ -3,8 +3,9 @@
 Queries: (query_id string, index_id string, text string[, embedding array<double>]).
 Search documents: (index_id, chunk_id, document_id, keyword_text, language, metadata map,
 enrichments map, hierarchy_context, citations, parent_chunk_id, child_chunk_ids[, embedding]).
-No join is forced to broadcast: Catalyst broadcasts the query side while its size is below the
-session threshold, and beyond that shuffles on (index_id, term) with AQE splitting hot terms.
+Scoring pairs blocks of documents with blocks of queries (see functions.blocks). No join is forced
+to broadcast: Catalyst does so while the query side is below the session threshold, and otherwise
+shuffles both sides.
 """
 
 from __future__ import annotations
@@ -15,16 +16,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import stable_id
+from ..functions.blocks import B, K1, best_of_pairs, doc_blocks, query_blocks
 from ..functions.text import terms
-from ..functions.vectors import best_per_block, vector_blocks
 
-# BM25 constants; scores are rounded before ranking so that float order cannot decide.
-K1 = 1.2
-B = 0.75
+# Scores are rounded before ranking, so that the order of float additions cannot decide.
 DIGITS = 9
-DOC_BLOCK_ROWS = 1024
-QUERY_BLOCK_ROWS = 256
-VECTOR_SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -82,15 +78,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def term_matches(search_docs: DataFrame, words: DataFrame, text: Column) -> DataFrame:
-    """(index_id, chunk_id, dl, term, tf) for the terms some query asks for."""
+def term_frequencies(search_docs: DataFrame, words: DataFrame, text: Column) -> DataFrame:
+    """(index_id, term, df) of the terms some query asks for; counts combine map-side."""
     wanted = words.select("index_id", "term").distinct()
-    tokens = search_docs.select("index_id", "chunk_id", terms(text).alias("_t")).select(
-        "index_id", "chunk_id", F.greatest(F.lit(1), F.size("_t")).alias("dl"), F.explode("_t").alias("term")
-    )
-    return tokens.join(wanted, ["index_id", "term"]).groupBy("index_id", "chunk_id", "dl", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    held = search_docs.select("index_id", F.explode(F.array_distinct(terms(text))).alias("term"))
+    return held.join(wanted, ["index_id", "term"]).groupBy("index_id", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def collection_stats(search_docs: DataFrame, text: Column) -> DataFrame:
@@ -103,39 +95,29 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
-def lexical_parts(
-    matches: DataFrame, words: DataFrame, docs: DataFrame, text: Column, df: DataFrame | None = None
-) -> DataFrame:
-    """(query_id, chunk_id, part): each matching term's share of the BM25 score."""
-    if df is None:
-        df = matches.groupBy("index_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    weights = (
-        words.join(df, ["index_id", "term"])
-        .join(collection_stats(docs, text), "index_id")
-        .select("query_id", "index_id", "term", "avgdl",
-                (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
+def query_weights(queries: DataFrame, words: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Every query with its term weights (query count times idf); a query without hits has none."""
+    weighted = words.join(df, ["index_id", "term"]).join(stats, "index_id").select(
+        "query_id", "index_id", "avgdl", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w")
     )
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return matches.join(weights, ["index_id", "term"]).select("query_id", "chunk_id", part.alias("part"))
-
-
-def eligible_heads(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """The `limit` smallest chunk ids of each query's index: unmatched chunks rank in id order, so
-    no other unmatched chunk can reach the result."""
-    order = Window.partitionBy("index_id").orderBy("chunk_id")
-    heads = docs.select("index_id", "chunk_id").withColumn("_n", F.row_number().over(order)).filter(
-        F.col("_n") <= limit
+    lists = weighted.groupBy("query_id", "index_id").agg(
+        F.sort_array(F.collect_list(F.struct("term", "w"))).alias("_l"), F.max("avgdl").alias("avgdl")
+    )
+    found = queries.select("query_id", "index_id").join(lists, ["query_id", "index_id"], "left")
+    return found.select(
+        "index_id", F.col("query_id").alias("id"),
+        F.coalesce(F.transform("_l", lambda x: x["term"]), F.array().cast("array<string>")).alias("terms"),
+        F.coalesce(F.transform("_l", lambda x: x["w"]), F.array().cast("array<double>")).alias("weights"),
+        F.coalesce("avgdl", F.lit(1.0)).alias("avgdl"),
     )
-    return queries.select("query_id", "index_id").join(heads.drop("_n"), "index_id").drop("index_id")
 
 
-def rank_scores(parts: DataFrame, limit: int) -> DataFrame:
-    """Sum parts, rank by (score desc, chunk_id), keep `limit`, scale by the best score."""
-    totals = parts.groupBy("query_id", "chunk_id").agg(
-        F.round(F.greatest(F.sum("part"), F.lit(0.0)), DIGITS).alias("raw")
+def term_rows(docs: DataFrame, text: Column, *more: Column) -> DataFrame:
+    held = terms(text)
+    return docs.select(
+        "index_id", F.col("chunk_id").alias("id"), held.alias("terms"),
+        F.greatest(F.lit(1), F.size(held)).alias("dl"), *more,
     )
-    return _top(totals, limit)
 
 
 def _top(totals: DataFrame, limit: int) -> DataFrame:
@@ -147,35 +129,69 @@ def _top(totals: DataFrame, limit: int) -> DataFrame:
     return kept.select("query_id", "chunk_id", "rank", F.round(scaled, DIGITS).alias("safe_score"))
 
 
-def _lexical(docs: DataFrame, queries: DataFrame, limit: int, text: Column) -> DataFrame:
+def _best(scored: DataFrame, limit: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("raw"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def lexical_best(
+    docs: DataFrame, queries: DataFrame, limit: int, text: Column, df_docs: DataFrame | None = None
+) -> DataFrame:
+    """The `limit` best BM25 scores per query: (query_id, chunk_id, raw, rank).
+
+    Document frequencies come from `df_docs` where given, N and the mean length from `docs`.
+    """
     words = query_terms(queries)
-    parts = lexical_parts(term_matches(docs, words, text), words, docs, text)
-    zeros = eligible_heads(docs, queries, limit).withColumn("part", F.lit(0.0))
-    return rank_scores(parts.unionByName(zeros), limit)
+    df = term_frequencies(docs if df_docs is None else df_docs, words, text)
+    weights = query_weights(queries, words, df, collection_stats(docs, text))
+    pairs = best_of_pairs(doc_blocks(term_rows(docs, text)), query_blocks(weights), limit, DIGITS, "lexical")
+    return _best(pairs.drop("lex", "vec"), limit)
+
+
+def _lexical(docs: DataFrame, queries: DataFrame, limit: int, text: Column) -> DataFrame:
+    return _top(lexical_best(docs, queries, limit, text).drop("rank"), limit)
+
+
+def eligible_heads(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """The `limit` smallest chunk ids of each queried index: chunks without a score rank in id
+    order, so no other chunk without one can reach the result."""
+    order = Window.partitionBy("index_id").orderBy("chunk_id")
+    asked = queries.select("index_id").distinct()
+    heads = docs.select("index_id", "chunk_id").join(asked, "index_id", "left_semi")
+    return heads.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
 
 
 def retrieve_from_postings(
     postings: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int = 10
 ) -> DataFrame:
-    """BM25 over persisted postings and lengths: only the asked terms are read."""
+    """BM25 over persisted postings and lengths: only the asked terms are read.
+
+    Matching postings are shuffled once by chunk, whatever the number of queries.
+    """
     words = query_terms(queries)
     wanted = words.select("index_id", "term").distinct()
-    matches = (
-        postings.join(wanted, ["index_id", "term"])
-        .join(lengths.withColumn("dl", F.greatest(F.lit(1), "dl")), ["index_id", "chunk_id"])
-    )
+    matches = postings.join(wanted, ["index_id", "term"])
+    df = matches.groupBy("index_id", "term").agg(F.count(F.lit(1)).alias("df"))
     stats = lengths.groupBy("index_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.lit(1), "dl")).alias("avgdl")
     )
-    df = matches.groupBy("index_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    weights = words.join(df, ["index_id", "term"]).join(stats, "index_id").select(
-        "query_id", "index_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w")
+    held = matches.groupBy("index_id", "chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("_l"))
+    heads = eligible_heads(lengths, queries, limit).withColumn("_l", F.lit(None).cast(held.schema["_l"].dataType))
+    # A chunk has few distinct terms; heads that matched anyway keep their list.
+    rows = held.unionByName(heads).groupBy("index_id", "chunk_id").agg(F.max("_l").alias("_l")).join(
+        lengths, ["index_id", "chunk_id"]
+    )
+    docs = rows.select(
+        "index_id", F.col("chunk_id").alias("id"),
+        F.coalesce(
+            F.flatten(F.transform("_l", lambda x: F.array_repeat(x["term"], x["tf"].cast("int")))),
+            F.array().cast("array<string>"),
+        ).alias("terms"),
+        F.greatest(F.lit(1), F.col("dl")).cast("int").alias("dl"),
     )
-    tf = F.col("tf")
-    part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    parts = matches.join(weights, ["index_id", "term"]).select("query_id", "chunk_id", part.alias("part"))
-    zeros = eligible_heads(lengths, queries, limit).withColumn("part", F.lit(0.0))
-    return rank_scores(parts.unionByName(zeros), limit)
+    weights = query_weights(queries, words, df, stats)
+    pairs = best_of_pairs(doc_blocks(docs), query_blocks(weights), limit, DIGITS, "lexical")
+    return _top(_best(pairs.drop("lex", "vec"), limit).drop("rank"), limit)
 
 
 # ---------------------------------------------------------------- retrievers
@@ -265,27 +281,17 @@ def retrieve_hierarchy(
     return _finish(ranked, docs, contributor, "hierarchy_bm25", relation=relation)
 
 
-def nearest(
-    docs: DataFrame, queries: DataFrame, limit: int, clamp: bool = True, digits: int = DIGITS
-) -> DataFrame:
-    """The `limit` largest dot products per query: (query_id, chunk_id, raw, rank).
+def vector_rows(df: DataFrame, key: str) -> DataFrame:
+    return df.select("index_id", F.col(key).alias("id"), F.col("embedding").alias("vector"))
 
-    Both sides travel as matrices and meet by an equi-join on (index_id, salt): document blocks get
-    one of `VECTOR_SALTS` values, the far smaller query blocks are repeated for each. A pair of
-    blocks yields `limit` rows per query, never all pairs.
-    """
-    doc_blocks = vector_blocks(docs, "chunk_id", "embedding", DOC_BLOCK_ROWS).withColumn(
-        "salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(VECTOR_SALTS))
-    )
-    query_blocks = (
-        vector_blocks(queries, "query_id", "embedding", QUERY_BLOCK_ROWS)
-        .withColumnsRenamed({"ids": "q_ids", "width": "q_width", "matrix": "q_matrix"})
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(VECTOR_SALTS - 1).cast("long"))))
+
+def nearest(docs: DataFrame, queries: DataFrame, limit: int, clamp: bool = True) -> DataFrame:
+    """The `limit` largest dot products per query: (query_id, chunk_id, raw, rank)."""
+    pairs = best_of_pairs(
+        doc_blocks(vector_rows(docs, "chunk_id")), query_blocks(vector_rows(queries, "query_id")), limit, DIGITS,
+        "dense", clamp,
     )
-    pairs = doc_blocks.join(query_blocks, ["index_id", "salt"])
-    scored = best_per_block(pairs, limit, digits, clamp)
-    order = Window.partitionBy("query_id").orderBy(F.desc("raw"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return _best(pairs.drop("lex", "vec"), limit)
 
 
 def retrieve_vector(
