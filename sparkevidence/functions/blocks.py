@@ -1,10 +1,11 @@
 """Scoring of document blocks against query blocks inside tasks.
 
 Documents are packed into blocks of a thousand or so rows within their partition (no shuffle),
-queries into blocks of a few hundred. The two meet by an equi-join on (index_id, salt): a document
-block gets one salt value, the far smaller query blocks are repeated for each value. A pair of blocks
-yields at most `limit` rows per query; whatever falls behind those can never enter the overall top
-`limit`, so results stay exact and no (query, document) pair list is ever shuffled.
+queries into blocks of a few hundred, and the two meet by an equi-join on index_id. Up to
+BROADCAST_QUERIES counted queries are broadcast. Beyond that both sides are shuffled on (index_id,
+salt): a document block gets one salt value, the far smaller query blocks are repeated for each. A
+pair of blocks yields at most `limit` rows per query; whatever falls behind those can never enter the
+overall top `limit`, so results stay exact and no (query, document) pair list is ever shuffled.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ B = 0.75
 DOC_ROWS = 1024
 QUERY_ROWS = 256
 SALTS = 16
-PAIRS_PER_BATCH = 4
 TERM_SLICE = 4096
+BROADCAST_QUERIES = 5000
 DOC_BLOCK = (
     "index_id string, ids array<string>, offsets array<int>, terms array<string>, dl array<int>, "
     "width int, matrix binary"
@@ -84,8 +85,7 @@ def doc_blocks(docs: DataFrame, rows: int = DOC_ROWS) -> DataFrame:
                 }
             )
 
-    packed = docs.mapInArrow(pack, DOC_BLOCK)
-    return packed.withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(SALTS)))
+    return docs.mapInArrow(pack, DOC_BLOCK)
 
 
 def query_blocks(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
@@ -114,8 +114,20 @@ def query_blocks(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
                 }
             )
 
-    packed = queries.mapInArrow(pack, QUERY_BLOCK)
-    return packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return queries.mapInArrow(pack, QUERY_BLOCK)
+
+
+def few(queries: DataFrame) -> bool:
+    """Whether the queries are counted and few enough to be broadcast; looks at no more than that."""
+    return queries.select("index_id").limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+
+
+def _meet(doc_side: DataFrame, query_side: DataFrame, broadcast: bool) -> DataFrame:
+    if broadcast:
+        return doc_side.join(F.broadcast(query_side), "index_id")
+    salt = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(SALTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return doc_side.withColumn("salt", salt).join(query_side.withColumn("salt", every), ["index_id", "salt"]).drop("salt")
 
 
 def _lexical(row: dict, docs: int, queries: int) -> np.ndarray:
@@ -156,8 +168,8 @@ def _dense(row: dict, docs: int, queries: int) -> np.ndarray:
 
 
 def best_of_pairs(
-    doc_side: DataFrame, query_side: DataFrame, limit: int, digits: int, mode: str, clamp: bool = True,
-    weights: tuple[float, float] = (0.5, 0.5),
+    doc_side: DataFrame, query_side: DataFrame, limit: int, digits: int, mode: str, broadcast: bool,
+    clamp: bool = True, weights: tuple[float, float] = (0.5, 0.5),
 ) -> DataFrame:
     """The best `limit` documents of each block pair per query, by (score desc, id asc).
 
@@ -195,7 +207,7 @@ def best_of_pairs(
                     }
                 )
 
-    return doc_side.join(query_side, ["index_id", "salt"]).mapInArrow(score, SCORED)
+    return _meet(doc_side, query_side, broadcast).mapInArrow(score, SCORED)
 
 
 def _scaled(scores: np.ndarray, peaks: pa.ListScalar) -> np.ndarray:

@@ -38,7 +38,9 @@ def closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFram
     shared folder, which keeps the plan short and survives executor loss. Runs jobs until a level
     is empty.
     """
-    step = edges.select(F.col("source").alias("node"), F.col("target").alias("_next")).distinct()
+    step = materialize(
+        edges.select(F.col("source").alias("node"), F.col("target").alias("_next")).distinct(), "closure-edges"
+    )
     level = materialize(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)), "closure")
     seen = level
     for depth in range(1, max_depth + 1):

@@ -3,9 +3,8 @@
 Queries: (query_id string, index_id string, text string[, embedding array<double>]).
 Search documents: (index_id, chunk_id, document_id, keyword_text, language, metadata map,
 enrichments map, hierarchy_context, citations, parent_chunk_id, child_chunk_ids[, embedding]).
-Scoring pairs blocks of documents with blocks of queries (see functions.blocks). No join is forced
-to broadcast: Catalyst does so while the query side is below the session threshold, and otherwise
-shuffles both sides.
+Scoring pairs blocks of documents with blocks of queries (see functions.blocks); only counted, few
+queries are broadcast. Every other join is left to Catalyst and AQE.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import stable_id
-from ..functions.blocks import B, K1, best_of_pairs, doc_blocks, query_blocks
+from ..functions.blocks import best_of_pairs, doc_blocks, few, query_blocks
 from ..functions.text import terms
 
 # Scores are rounded before ranking, so that the order of float additions cannot decide.
@@ -144,7 +143,7 @@ def lexical_best(
     words = query_terms(queries)
     df = term_frequencies(docs if df_docs is None else df_docs, words, text)
     weights = query_weights(queries, words, df, collection_stats(docs, text))
-    pairs = best_of_pairs(doc_blocks(term_rows(docs, text)), query_blocks(weights), limit, DIGITS, "lexical")
+    pairs = best_of_pairs(doc_blocks(term_rows(docs, text)), query_blocks(weights), limit, DIGITS, "lexical", few(queries))
     return _best(pairs.drop("lex", "vec"), limit)
 
 
@@ -190,7 +189,7 @@ def retrieve_from_postings(
         F.greatest(F.lit(1), F.col("dl")).cast("int").alias("dl"),
     )
     weights = query_weights(queries, words, df, stats)
-    pairs = best_of_pairs(doc_blocks(docs), query_blocks(weights), limit, DIGITS, "lexical")
+    pairs = best_of_pairs(doc_blocks(docs), query_blocks(weights), limit, DIGITS, "lexical", few(queries))
     return _top(_best(pairs.drop("lex", "vec"), limit).drop("rank"), limit)
 
 
@@ -289,7 +288,7 @@ def nearest(docs: DataFrame, queries: DataFrame, limit: int, clamp: bool = True)
     """The `limit` largest dot products per query: (query_id, chunk_id, raw, rank)."""
     pairs = best_of_pairs(
         doc_blocks(vector_rows(docs, "chunk_id")), query_blocks(vector_rows(queries, "query_id")), limit, DIGITS,
-        "dense", clamp,
+        "dense", few(queries), clamp,
     )
     return _best(pairs.drop("lex", "vec"), limit)
 

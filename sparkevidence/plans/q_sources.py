@@ -12,6 +12,7 @@ from ..sources import datasets as D
 from ..sources import elements as L
 from ..sources import intake as N
 from ..sources import parsers as P
+from ..session import spread
 from ..streaming import intake as T
 from . import bindings as B
 from .registry import piece, query, with_pieces
@@ -317,7 +318,7 @@ def locator_keys(t):
 
 @query("elements_from_html")
 def elements_from_html(t):
-    pages = t.pages.select(F.concat(F.lit("page-"), "page_id").alias("document_id"), "html")
+    pages = spread(t.pages.select(F.concat(F.lit("page-"), "page_id").alias("document_id"), "html"))
     return P.elements_from_html(pages).select(
         "document_id", "reading_order", "kind", "level", "text", F.col("locator.path").alias("path")
     )
