@@ -117,11 +117,6 @@ def query_blocks(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
     return queries.mapInArrow(pack, QUERY_BLOCK)
 
 
-def few(queries: DataFrame) -> bool:
-    """Whether the queries are counted and few enough to be broadcast; looks at no more than that."""
-    return queries.select("index_id").limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-
-
 def _meet(doc_side: DataFrame, query_side: DataFrame, broadcast: bool) -> DataFrame:
     if broadcast:
         return doc_side.join(F.broadcast(query_side), "index_id")

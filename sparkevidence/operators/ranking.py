@@ -1,8 +1,9 @@
 """Ranked-retrieval metrics per query case.
 
-Cases: (case_id, relevant_ids array<string>, ...). Inventory: (case_id, source_id, rank, decision),
-one row per contributor; `decision` is NULL or 'included' for ranked evidence, anything else is a
-diagnostic that never scores.
+Cases: (case_id, ...), with `relevant_ids array<string>` unless the relevant ids come as a long table
+(case_id, source_id), which suits cases with very many of them. Inventory: (case_id, source_id, rank,
+decision), one row per contributor; `decision` is NULL or 'included' for ranked evidence, anything else
+is a diagnostic that never scores.
 """
 
 from __future__ import annotations
@@ -16,8 +17,16 @@ FAMILIES = ("recall", "mrr", "ndcg", "hit")
 STAGES = {"retrieval": "retrieval", "fusion": "fusion", "rerank": "rerank"}
 
 
-def _relevant(cases: DataFrame) -> DataFrame:
-    return cases.select("case_id", F.explode(F.array_distinct("relevant_ids")).alias("source_id"))
+def _relevant(cases: DataFrame, relevant: DataFrame | None) -> DataFrame:
+    if relevant is None:
+        return cases.select("case_id", F.explode(F.array_distinct("relevant_ids")).alias("source_id"))
+    return relevant.select("case_id", "source_id").distinct()
+
+
+def _labelled(cases: DataFrame, relevant: DataFrame) -> DataFrame:
+    """Cases with `_n`, the number of their relevant ids."""
+    counts = relevant.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
+    return cases.join(counts, "case_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)).cast("int"))
 
 
 def _selected() -> Column:
@@ -28,24 +37,26 @@ def _log2_gain(rank: Column) -> Column:
     return 1.0 / F.log2(rank + 1.0)
 
 
-def ranked_metrics(cases: DataFrame, inventory: DataFrame, stage: str, k: int = 10) -> DataFrame:
+def ranked_metrics(
+    cases: DataFrame, inventory: DataFrame, stage: str, k: int = 10, relevant: DataFrame | None = None
+) -> DataFrame:
     """Recall@k, MRR, nDCG@k and hit rate: one row per (case, family).
 
     One pass: hits are counted once per relevant id at its best rank, then every family follows.
     """
     if stage not in STAGES:
         raise ValueError(f"unknown stage {stage}")
+    gold = _relevant(cases, relevant)
     best = (
         inventory.filter(_selected() & (F.col("rank") <= k))
-        .join(_relevant(cases), ["case_id", "source_id"])
+        .join(gold, ["case_id", "source_id"])
         .groupBy("case_id", "source_id").agg(F.min("rank").alias("rank"))
         .groupBy("case_id").agg(
             F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"),
             F.sum(_log2_gain(F.col("rank"))).alias("dcg"),
         )
     )
-    wanted = F.size(F.array_distinct("relevant_ids"))
-    joined = cases.withColumn("_n", wanted).join(best, "case_id", "left")
+    joined = _labelled(cases, gold).join(best, "case_id", "left")
     hits = F.coalesce("hits", F.lit(0))
     ideal = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("_n")))),
@@ -79,18 +90,17 @@ def ranked_metrics(cases: DataFrame, inventory: DataFrame, stage: str, k: int =
     )
 
 
-def context_metrics(cases: DataFrame, inventory: DataFrame) -> DataFrame:
+def context_metrics(cases: DataFrame, inventory: DataFrame, relevant: DataFrame | None = None) -> DataFrame:
     """Precision and recall of the selected evidence; ranks play no part."""
+    gold = _relevant(cases, relevant)
     chosen = inventory.filter(_selected())
     counts = chosen.groupBy("case_id").agg(F.count(F.lit(1)).alias("_sel"))
     hits = (
-        chosen.join(_relevant(cases), ["case_id", "source_id"])
+        chosen.join(gold, ["case_id", "source_id"])
         .groupBy("case_id", "source_id").agg(F.count(F.lit(1)).alias("_c"))
         .groupBy("case_id").agg(F.count(F.lit(1)).alias("_hits"))
     )
-    joined = cases.withColumn("_n", F.size(F.array_distinct("relevant_ids"))).join(counts, "case_id", "left").join(
-        hits, "case_id", "left"
-    ).fillna(0, ["_sel", "_hits"])
+    joined = _labelled(cases, gold).join(counts, "case_id", "left").join(hits, "case_id", "left").fillna(0, ["_sel", "_hits"])
     few = F.col("_n") == 0
     rows = F.explode(
         F.array(
@@ -117,10 +127,10 @@ def context_metrics(cases: DataFrame, inventory: DataFrame) -> DataFrame:
     )
 
 
-def metric_matches(cases: DataFrame, inventory: DataFrame) -> DataFrame:
+def metric_matches(cases: DataFrame, inventory: DataFrame, relevant: DataFrame | None = None) -> DataFrame:
     """The diagnostic inventory: every row with its relevance, one long table."""
-    relevant = _relevant(cases).withColumn("_r", F.lit(True))
-    return inventory.join(relevant, ["case_id", "source_id"], "left").withColumn(
+    gold = _relevant(cases, relevant).withColumn("_r", F.lit(True))
+    return inventory.join(gold, ["case_id", "source_id"], "left").withColumn(
         "relevant", F.coalesce("_r", F.lit(False))
     ).drop("_r")
 

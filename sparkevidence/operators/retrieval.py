@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import stable_id
-from ..functions.blocks import best_of_pairs, doc_blocks, few, query_blocks
+from ..functions.blocks import BROADCAST_QUERIES, best_of_pairs, doc_blocks, query_blocks
 from ..functions.text import terms
+from ..session import at_most
 
 # Scores are rounded before ranking, so that the order of float additions cannot decide.
 DIGITS = 9
@@ -77,11 +78,23 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(search_docs: DataFrame, words: DataFrame, text: Column) -> DataFrame:
-    """(index_id, term, df) of the terms some query asks for; counts combine map-side."""
+def few(queries: DataFrame) -> bool:
+    """Whether the queries are few enough for their terms and blocks to be broadcast."""
+    return at_most(queries.select("index_id"), BROADCAST_QUERIES)
+
+
+def term_frequencies(search_docs: DataFrame, words: DataFrame, text: Column, broadcast: bool) -> DataFrame:
+    """(index_id, term, df) of the terms some query asks for.
+
+    Few queries filter the tokens in place. For many, all terms are counted first (map-side, so a
+    term found in most chunks is no hot key) and then joined.
+    """
     wanted = words.select("index_id", "term").distinct()
     held = search_docs.select("index_id", F.explode(F.array_distinct(terms(text))).alias("term"))
-    return held.join(wanted, ["index_id", "term"]).groupBy("index_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    keys = ["index_id", "term"]
+    if broadcast:
+        return held.join(F.broadcast(wanted), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
+    return held.groupBy(*keys).agg(F.count(F.lit(1)).alias("df")).join(wanted, keys)
 
 
 def collection_stats(search_docs: DataFrame, text: Column) -> DataFrame:
@@ -140,10 +153,10 @@ def lexical_best(
 
     Document frequencies come from `df_docs` where given, N and the mean length from `docs`.
     """
-    words = query_terms(queries)
-    df = term_frequencies(docs if df_docs is None else df_docs, words, text)
+    words, small = query_terms(queries), few(queries)
+    df = term_frequencies(docs if df_docs is None else df_docs, words, text, small)
     weights = query_weights(queries, words, df, collection_stats(docs, text))
-    pairs = best_of_pairs(doc_blocks(term_rows(docs, text)), query_blocks(weights), limit, DIGITS, "lexical", few(queries))
+    pairs = best_of_pairs(doc_blocks(term_rows(docs, text)), query_blocks(weights), limit, DIGITS, "lexical", small)
     return _best(pairs.drop("lex", "vec"), limit)
 
 
@@ -167,9 +180,9 @@ def retrieve_from_postings(
 
     Matching postings are shuffled once by chunk, whatever the number of queries.
     """
-    words = query_terms(queries)
+    words, small = query_terms(queries), few(queries)
     wanted = words.select("index_id", "term").distinct()
-    matches = postings.join(wanted, ["index_id", "term"])
+    matches = postings.join(F.broadcast(wanted) if small else wanted, ["index_id", "term"])
     df = matches.groupBy("index_id", "term").agg(F.count(F.lit(1)).alias("df"))
     stats = lengths.groupBy("index_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.lit(1), "dl")).alias("avgdl")
@@ -189,7 +202,7 @@ def retrieve_from_postings(
         F.greatest(F.lit(1), F.col("dl")).cast("int").alias("dl"),
     )
     weights = query_weights(queries, words, df, stats)
-    pairs = best_of_pairs(doc_blocks(docs), query_blocks(weights), limit, DIGITS, "lexical", few(queries))
+    pairs = best_of_pairs(doc_blocks(docs), query_blocks(weights), limit, DIGITS, "lexical", small)
     return _top(_best(pairs.drop("lex", "vec"), limit).drop("rank"), limit)
 
 

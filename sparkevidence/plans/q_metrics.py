@@ -32,17 +32,20 @@ def relevant_chunks(t):
 
     chunks = parts(B.search_docs(t), "chunk_id", "keyword_text")
     asked = parts(B.queries(t), "query_id", "text")
-    return asked.join(chunks, "s").select("query_id", "chunk_id").distinct()
+    pairs = asked.join(chunks, "s").select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("source_id"))
+    return pairs.distinct()
+
+
+def gold(t):
+    return B.staged(t, "gold", relevant_chunks)
 
 
 def cases(t):
-    gold = relevant_chunks(t).groupBy("query_id").agg(F.collect_set("chunk_id").alias("relevant_ids"))
     number = F.regexp_extract("query_id", r"-(\d+)", 1).cast("int")
     size = F.when(F.length("text") > 200, "long").otherwise("short")
     risk = F.when(number % 2 == 0, "high").otherwise("low")
-    return B.queries(t).join(gold, "query_id", "left").select(
-        F.col("query_id").alias("case_id"), F.coalesce("relevant_ids", F.array().cast("array<string>")).alias("relevant_ids"),
-        slices_of(F.lit("en"), size, risk).alias("slices"),
+    return B.queries(t).select(
+        F.col("query_id").alias("case_id"), slices_of(F.lit("en"), size, risk).alias("slices"),
     )
 
 
@@ -106,7 +109,7 @@ def _shown(df, *more):
 
 def retrieval_reports(t):
     inventory = K.ranked_inventory(X.keyword_set(t), F.col("chunk_id"), "retrieval")
-    return K.ranked_metrics(cases(t), inventory, "retrieval", 5)
+    return K.ranked_metrics(cases(t), inventory, "retrieval", 5, gold(t))
 
 
 @query("metrics_from_retrieval", with_pieces("kw_ranked", "retrieval_reports") + _SHOWN_SQL.format("retrieval_reports"))
@@ -117,13 +120,13 @@ def metrics_from_retrieval(t):
 @query("metrics_from_fusion", with_pieces("rrf_ranked", "fusion_reports") + _SHOWN_SQL.format("fusion_reports"))
 def metrics_from_fusion(t):
     inventory = K.ranked_inventory(X.fused_set(t), F.col("chunk_id"), "fusion")
-    return _shown(K.ranked_metrics(cases(t), inventory, "fusion", 5))
+    return _shown(K.ranked_metrics(cases(t), inventory, "fusion", 5, gold(t)))
 
 
 @query("metrics_from_rerank", with_pieces("rerank_out", "rerank_reports") + _SHOWN_SQL.format("rerank_reports"))
 def metrics_from_rerank(t):
     inventory = K.ranked_inventory(U.reranked(X.rerank_decisions(t)), F.col("chunk_id"), "rerank")
-    return _shown(K.ranked_metrics(cases(t), inventory, "rerank", 5))
+    return _shown(K.ranked_metrics(cases(t), inventory, "rerank", 5, gold(t)))
 
 
 def context_inventory(t):
@@ -159,7 +162,7 @@ piece(
     "n = 0 THEN 'INSUFFICIENT_LABELS' ELSE 'VALUE' END, CASE WHEN n > 0 THEN hits / n::DOUBLE END, n FROM ctx_counts)",
 )
 def metrics_from_context(t):
-    return _shown(K.context_metrics(cases(t), context_inventory(t)))
+    return _shown(K.context_metrics(cases(t), context_inventory(t), gold(t)))
 
 
 @query(
@@ -169,7 +172,7 @@ def metrics_from_context(t):
     "i.source_id) AS relevant FROM ctx_in i",
 )
 def metric_matches(t):
-    return K.metric_matches(cases(t), context_inventory(t)).select("case_id", "source_id", "rank", "decision", "relevant")
+    return K.metric_matches(cases(t), context_inventory(t), gold(t)).select("case_id", "source_id", "rank", "decision", "relevant")
 
 
 # ---------------------------------------------------------------- answers: facts are word pairs of the turn before
@@ -476,7 +479,7 @@ def gate_state_counts(t):
     + "SELECT 'decision' AS layer, count(*) AS reports FROM dec_reports UNION ALL SELECT 'retrieval', 2 * count(*) FROM ctx_counts",
 )
 def layer_reports(t):
-    context = report_ids(K.context_metrics(cases(t), context_inventory(t))).select("owner", "report_id")
+    context = report_ids(K.context_metrics(cases(t), context_inventory(t), gold(t))).select("owner", "report_id")
     both = report_ids(decision_reports(t)).select("owner", "report_id").unionByName(context)
     return A.layer_reports(both).groupBy("layer").agg(F.count_distinct("report_id").alias("reports"))
 
@@ -578,7 +581,7 @@ def subject_reports(t):
     """Baseline: keyword ranking; candidate: fused ranking, under the same metric names."""
     base = retrieval_reports(t)
     inventory = K.ranked_inventory(X.fused_set(t), F.col("chunk_id"), "retrieval")
-    return base, K.ranked_metrics(cases(t), inventory, "retrieval", 5)
+    return base, K.ranked_metrics(cases(t), inventory, "retrieval", 5, gold(t))
 
 
 @query(

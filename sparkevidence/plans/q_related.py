@@ -197,7 +197,7 @@ def user_metric(t):
     registry = U.MetricRegistry()
 
     def hit(labels, observed):
-        rows = K.ranked_metrics(labels, observed, "retrieval", 5).filter(F.col("metric_id").startswith("metric.retrieval.hit"))
+        rows = K.ranked_metrics(labels, observed, "retrieval", 5, M.gold(t)).filter(F.col("metric_id").startswith("metric.retrieval.hit"))
         return rows.withColumn("metric_id", F.lit("metric.user.hit@1"))
 
     registry.register("metric.user.hit@1", hit)

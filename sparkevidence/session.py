@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_session(app: str = "sparkevidence", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,3 +59,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether a frame is counted to hold no more than `rows`; reads at most one row beyond."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_few(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Broadcast a frame only after counting it; otherwise leave the join to Catalyst and AQE."""
+    return F.broadcast(df) if at_most(df, rows) else df

@@ -67,7 +67,7 @@ def bm25(query, limit=10):
 @pytest.mark.parametrize("limit", [3, 10])
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_keyword_equals_brute_force(spark, docs, queries, limit, broadcast, monkeypatch):
-    monkeypatch.setattr(blocks, "BROADCAST_QUERIES", 5000 if broadcast else 0)
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", 5000 if broadcast else 0)
     monkeypatch.setattr(blocks, "DOC_ROWS", 2)
     found = R.retrieve_keyword(docs, queries, limit).orderBy("query_id", "rank").collect()
     for q in queries.collect():
