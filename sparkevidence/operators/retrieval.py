@@ -107,8 +107,13 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
-def query_weights(queries: DataFrame, words: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Every query with its term weights (query count times idf); a query without hits has none."""
+def query_weights(
+    queries: DataFrame, words: DataFrame, df: DataFrame, stats: DataFrame, small: bool
+) -> DataFrame:
+    """Every query with its term weights (query count times idf); a query without hits has none.
+
+    Few queries come out of one task, so that they form as few blocks as possible.
+    """
     weighted = words.join(df, ["index_id", "term"]).join(stats, "index_id").select(
         "query_id", "index_id", "avgdl", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w")
     )
@@ -116,6 +121,8 @@ def query_weights(queries: DataFrame, words: DataFrame, df: DataFrame, stats: Da
         F.sort_array(F.collect_list(F.struct("term", "w"))).alias("_l"), F.max("avgdl").alias("avgdl")
     )
     found = queries.select("query_id", "index_id").join(lists, ["query_id", "index_id"], "left")
+    if small:
+        found = found.coalesce(1)
     return found.select(
         "index_id", F.col("query_id").alias("id"),
         F.coalesce(F.transform("_l", lambda x: x["term"]), F.array().cast("array<string>")).alias("terms"),
@@ -155,7 +162,7 @@ def lexical_best(
     """
     words, small = query_terms(queries), few(queries)
     df = term_frequencies(docs if df_docs is None else df_docs, words, text, small)
-    weights = query_weights(queries, words, df, collection_stats(docs, text))
+    weights = query_weights(queries, words, df, collection_stats(docs, text), small)
     pairs = best_of_pairs(doc_blocks(term_rows(docs, text)), query_blocks(weights), limit, DIGITS, "lexical", small)
     return _best(pairs.drop("lex", "vec"), limit)
 
@@ -201,7 +208,7 @@ def retrieve_from_postings(
         ).alias("terms"),
         F.greatest(F.lit(1), F.col("dl")).cast("int").alias("dl"),
     )
-    weights = query_weights(queries, words, df, stats)
+    weights = query_weights(queries, words, df, stats, small)
     pairs = best_of_pairs(doc_blocks(docs), query_blocks(weights), limit, DIGITS, "lexical", small)
     return _top(_best(pairs.drop("lex", "vec"), limit).drop("rank"), limit)
 
