@@ -169,7 +169,7 @@ lines AS (
          sum(width)::BIGINT AS line_chars, coalesce(sum(width) FILTER (nth > 1), 0)::BIGINT AS dup_line_chars
   FROM ls WHERE width > 0 GROUP BY r),
 stats AS (
-  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, w -> length(w))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in (*COLUMNS[3:], ))}
   FROM d LEFT JOIN dup USING (r) LEFT JOIN lines USING (r)),
