@@ -22,10 +22,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where that is unset (tests) a temporary one is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='llm-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 

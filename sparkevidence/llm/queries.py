@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +31,15 @@ def _query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     return quality_rules.score_rules(_table(spark, folder, "documents"))
+
+
+@_query("op2_best_fit_packing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op8_simhash_near_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
