@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, simhash
+from . import licenses, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,3 +43,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query("op9_license_scans", licenses.scan_sql())
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan(_table(spark, folder, "documents"))
