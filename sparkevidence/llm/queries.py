@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality_rules, simhash
+from . import decontam, licenses, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and notices of every document."""
     return licenses.scan(_table(spark, folder, "documents"))
+
+
+@_query("op5_decontamination")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return decontam.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
