@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, packing, quality_rules, simhash
+from . import classifier, decontam, licenses, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Every benchmark item found in a document."""
     return decontam.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query("op3_quality_classifier")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    return classifier.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
