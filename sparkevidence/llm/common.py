@@ -75,7 +75,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]
     """
     source = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
     kept = [source.schema[c] for c in keep]
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept)}, {fields}"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), fields])
     names = [part.split()[0].strip("`") for part in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
