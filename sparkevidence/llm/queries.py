@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontam, licenses, packing, quality_rules, simhash
+from . import classifier, decontam, licenses, lm, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document."""
     return classifier.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query("op10_lm_scoring")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """log10 probability of every document."""
+    return lm.score(_table(spark, folder, "documents"))
