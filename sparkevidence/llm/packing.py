@@ -20,7 +20,10 @@ very long texts are cut and every piece but the last is full. Other columns are
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,10 @@ from .common import stage, steps, texts_of
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-_REMEMBERED = 400_000
+_REMEMBERED = 300_000
 _LONGEST_REMEMBERED = 64
+#: Words encoded in one call; an encoding holds far more than its ids.
+_ENCODED = 2048
 
 
 class WordTokenizer:
@@ -45,26 +50,31 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str) -> None:
+        # One Spark task, one thread: the library's own pool would spin beside the other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch
+        self._encode = Tokenizer.from_file(path).encode_batch_fast
         self._known: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self._encode([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
-
-    def ids(self, text: str) -> bytes:
-        words = text.encode().split()
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(words), _ENCODED):
+            some = words[at : at + _ENCODED]
+            found = self._encode([w.decode() for w in some], add_special_tokens=False)
+            out |= {w: array("I", e.ids).tobytes() for w, e in zip(some, found)}
+        return out
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers; new words of all texts are encoded together."""
+        split = [t.encode().split() for t in texts]
+        if len(self._known) > _REMEMBERED:
+            self._known.clear()
         known = self._known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > _REMEMBERED:
-                known.clear()
-            new = self._learn([w for w in set(words) if w not in known])
-            known.update((w, b) for w, b in new.items() if len(w) <= _LONGEST_REMEMBERED)
-            return b"".join([known[w] if w in known else new[w] for w in words])
+        new = self._learn([w for w in set().union(*split) if w not in known])
+        every = ChainMap(new, known) if any(len(w) > _LONGEST_REMEMBERED for w in new) else known
+        known.update((w, b) for w, b in new.items() if len(w) <= _LONGEST_REMEMBERED)
+        return [b"".join(map(every.__getitem__, words)) for words in split]
 
 
 def tokenize(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -81,8 +91,8 @@ def tokenize(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
         for batch in batches:
             for part in steps(batch, text):
                 rows: list[tuple[int, int, int, int, int]] = []
-                for i, t in enumerate(texts_of(part, text)):
-                    ids = memoryview(tokenizer.ids(t) + end)
+                for i, own in enumerate(tokenizer.ids(texts_of(part, text))):
+                    ids = memoryview(own + end)
                     count = len(ids) // 4
                     for piece, start in enumerate(range(0, count, capacity)):
                         length = min(capacity, count - start)
