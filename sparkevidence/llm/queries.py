@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontam, licenses, lm, packing, quality_rules, simhash
+from . import classifier, decontam, html, licenses, lm, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """log10 probability of every document."""
     return lm.score(_table(spark, folder, "documents"))
+
+
+@_query("op6_html_extraction")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(_table(spark, folder, "pages"))
