@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontam, html, licenses, lm, packing, quality_rules, simhash
+from . import chat, classifier, decontam, html, licenses, lm, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(_table(spark, folder, "pages"))
+
+
+@_query("op4_chat_formatting", chat.RENDER_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.render(_table(spark, folder, "conversations"))
