@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, decontam, html, licenses, lm, packing, quality_rules, simhash
+from . import chat, classifier, decontam, html, langid, licenses, lm, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Maximal conversations, rendered."""
     return chat.render(_table(spark, folder, "conversations"))
+
+
+@_query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document and every page."""
+    return langid.identify(_table(spark, folder, "documents"), _table(spark, folder, "pages"))
