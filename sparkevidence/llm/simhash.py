@@ -39,6 +39,11 @@ SEGMENTS = 5
 #: Buckets up to this size are compared pair by pair; larger ones through values within one bit.
 PAIRED = 32
 SEED = 42
+#: The wider search of keep_one(): five-word shingles, similarity, bins of a signature and bands of bins.
+SIMILAR_SHINGLE = 5
+#: 0.8 less about one and a half standard errors of the estimate, so that pairs of 0.8 are found.
+SIMILARITY = 0.75
+BINS, BANDS = 128, 25
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -164,13 +169,59 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return assign(staged, key).select(F.col(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def signature(text: str, shingle: int = SIMILAR_SHINGLE, bins: int = BINS) -> bytes:
+    """Smallest hash of the text's shingles in each of `bins` parts of the hash space; empty bins take over
+    the next filled one. The share of equal bins estimates the Jaccard similarity of two texts."""
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return b""
+    n = max(1, len(words) - shingle + 1)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, n)
+    order = np.sort(hashes)
+    place = (order >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
+    filled, first = np.unique(place, return_index=True)
+    take = np.searchsorted(filled, np.arange(bins)) % len(filled)
+    # The bin's distance to the one taken over is mixed in, so that borrowed values agree only where both texts borrow alike.
+    away = (filled[take] - np.arange(bins)) % bins
+    return ((order[first[take]] & np.uint64(0xFFFFFFFF)).astype(np.uint32) + away.astype(np.uint32) * np.uint32(0x9E3779B1)).astype("<u4").tobytes()
+
+
+def similar_links(signed: DataFrame, least: float = SIMILARITY, bands: int = BANDS, bins: int = BINS) -> DataFrame:
+    """Links (a > b) between rows of (id, sig) whose signatures agree in `least` of their bins.
+
+    Rows that agree in all bins of a band meet in a bucket; each is held against the bucket's smallest id,
+    so a bucket of thousands gives a star. A pair that a star misses has other bands to meet in.
+    """
+    width = bins // bands
+    cut = [F.struct(F.lit(k).alias("band"), F.xxhash64(F.expr(f"substring(sig, {4 * width * k + 1}, {4 * width})")).alias("value")) for k in range(bands)]
+    keyed = signed.filter(F.octet_length("sig") > 0).select("id", F.explode(F.array(*cut)).alias("k")).select("id", "k.band", "k.value")
+    centers = keyed.groupBy("band", "value").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    pairs = keyed.join(centers, ["band", "value"]).filter("id > b").select(F.col("id").alias("a"), "b").distinct()
+    sides = pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("one")), "a").join(
+        signed.select(F.col("id").alias("b"), F.col("sig").alias("two")), "b")
+    same = F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), F.lit(0), lambda n, k: n + F.when(
+        F.substring("one", 4 * k + 1, F.lit(4)) == F.substring("two", 4 * k + 1, F.lit(4)), 1).otherwise(0))
+    return sides.filter(same >= least * bins).select("a", "b")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of docs, one for each component: the one with the smallest key (null last), then the first read."""
+    """Rows of docs, one for each group of near copies: the one with the smallest key (null last), then the first read.
+
+    A group joins texts whose fingerprints are linked and texts whose five-word shingles are similar. Two
+    fingerprint bits are much narrower than that similarity (see README), so the second search has its own
+    signatures; it runs over one row of each linked component.
+    """
     columns = docs.columns
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    staged, _ = stage(fingerprints(numbered, [*columns, "__row"], text).withColumnRenamed("fp", "__fp"), "docs")
-    slim = staged.select("__row", F.col("__fp").alias("fp"))
-    groups = assign(slim, "__row").select(F.col("__row"), F.col("component_id").alias("__group"))
+    both = map_texts(numbered, [*columns, "__row"], text, lambda texts: {
+        "__fp": np.array([fingerprint(t) for t in texts], np.int64), "__sig": [signature(t) for t in texts]}, "__fp long, __sig binary")
+    staged, _ = stage(both, "docs")
+    linked, _ = stage(assign(staged.select("__row", F.col("__fp").alias("fp")), "__row").select("__row", F.col("component_id").alias("__group")), "groups")
+    # Equal texts share a component; its other texts are held by links, so its first row may stand for it.
+    heads = linked.filter("__row = __group").join(staged.select("__row", "__sig"), "__row").select(F.col("__row").alias("id"), F.col("__sig").alias("sig"))
+    wider = components(similar_links(heads))
+    groups = linked.join(wider, F.col("__group") == F.col("node"), "left").select("__row", F.coalesce("root", "__group").alias("__group"))
     ids = staged.select("__row", F.col(f"`{key}`").alias("__key"))
     order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__row").alias("row"))
     keepers = groups.join(ids, "__row").groupBy("__group").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row"))
