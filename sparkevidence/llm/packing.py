@@ -21,10 +21,11 @@ very long texts are cut and every piece but the last is full. Other columns are
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from collections import ChainMap
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,20 @@ _REMEMBERED = 300_000
 _LONGEST_REMEMBERED = 64
 #: Words encoded in one call; an encoding holds far more than its ids.
 _ENCODED = 2048
+#: Latin letters (UTF-8; those that stay one letter when lower-cased), then any marks.
+_letters_and_marks = re.compile(
+    rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])++)"
+    rb"([.,!?;:%$#&*|]*+)").fullmatch
 
 
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it, so the ids of a text are
-    those of its words in order; each different word is encoded once and kept as little-endian bytes.
+    those of its words in order; each different word is looked up once and kept as little-endian bytes.
+    A word of Latin letters followed by marks is two pre-tokens, so its letters (A-Z lowered, as the
+    vocabulary does) and its marks are learnt apart. Letters are encoded many at a time as one text: each
+    is one pre-token and ends with the only end-of-word id that it has.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,19 +62,49 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self._encode = tokenizer.encode_batch_fast
+        self._ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        self._ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._known: dict[bytes, bytes] = {}
+        self._letters: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _each(self, words: list[bytes]) -> dict[bytes, bytes]:
         out: dict[bytes, bytes] = {}
         for at in range(0, len(words), _ENCODED):
             some = words[at : at + _ENCODED]
             found = self._encode([w.decode() for w in some], add_special_tokens=False)
-            out |= {w: array("I", e.ids).tobytes() for w, e in zip(some, found)}
+            out |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(some, found)}
+        return out
+
+    def _joined(self, letters: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(letters), _ENCODED):
+            some = letters[at : at + _ENCODED]
+            ids = np.array(self._encode([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            out |= {w: raw[a:b] for w, a, b in zip(some, [0, *ends], ends)} if len(ends) == len(some) else self._each(some)
+        return out
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        apart, rest = [], set()
+        for w in words:
+            if found := _letters_and_marks(w):
+                apart.append((w, found[1].lower(), found[2]))
+            else:
+                rest.add(w)
+        if len(self._letters) > _REMEMBERED:
+            self._letters.clear()
+        letters = self._letters
+        letters.update(self._joined([c for c in {c for _, c, _ in apart} if c not in letters]))
+        out = self._each(list(rest | {m for _, _, m in apart if m}))
+        for w, c, m in apart:
+            out[w] = letters[c] + out[m] if m else letters[c]
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers; new words of all texts are encoded together."""
+        """Ids of each text as little-endian unsigned 32-bit numbers; new words of all texts are learnt together."""
         split = [t.encode().split() for t in texts]
         if len(self._known) > _REMEMBERED:
             self._known.clear()
@@ -77,6 +115,12 @@ class WordTokenizer:
         return [b"".join(map(every.__getitem__, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The worker's tokenizer: what one task has learnt serves the next one in the same process."""
+    return WordTokenizer(path)
+
+
 def tokenize(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces: key, piece, start, length, ids_crc32, and (block, nth): its number among the pieces of
     this length in one task. Writes nothing; the numbers hold for one evaluation, so stage the result."""
@@ -86,7 +130,7 @@ def tokenize(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     kind = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(vocabulary)
+        tokenizer = word_tokenizer(vocabulary)
         used = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in steps(batch, text):
