@@ -1,11 +1,12 @@
 """Scoring of document blocks against query blocks inside tasks.
 
-Documents are packed into blocks of a thousand or so rows within their partition (no shuffle),
-queries into blocks of a few hundred, and the two meet by an equi-join on index_id. Up to
-BROADCAST_QUERIES counted queries are broadcast. Beyond that both sides are shuffled on (index_id,
-salt): a document block gets one salt value, the far smaller query blocks are repeated for each. A
-pair of blocks yields at most `limit` rows per query; whatever falls behind those can never enter the
-overall top `limit`, so results stay exact and no (query, document) pair list is ever shuffled.
+Documents are packed into blocks of a thousand or so rows within their partition (no shuffle), queries
+into blocks of a few hundred, and the two meet by an equi-join on (index_id, salt): a document block gets
+one salt value, the far smaller query blocks are repeated for each. There are as many salts as shuffle
+partitions, so one index is scored by all of them, and Spark may turn the join into a broadcast by the
+measured size of the query side. A pair of blocks yields at most `limit` rows per query; whatever falls
+behind those can never enter the overall top `limit`, so results stay exact and no (query, document) pair
+list is ever shuffled.
 """
 
 from __future__ import annotations
@@ -22,9 +23,7 @@ K1 = 1.2
 B = 0.75
 DOC_ROWS = 1024
 QUERY_ROWS = 256
-SALTS = 16
 TERM_SLICE = 4096
-BROADCAST_QUERIES = 5000
 DOC_BLOCK = (
     "index_id string, ids array<string>, offsets array<int>, terms array<string>, dl array<int>, "
     "width int, matrix binary"
@@ -33,7 +32,7 @@ QUERY_BLOCK = (
     "index_id string, q_ids array<string>, q_offsets array<int>, q_terms array<string>, q_weights array<double>, "
     "avgdl double, q_width int, q_matrix binary, q_lex_max array<double>, q_vec_max array<double>"
 )
-SCORED = "query_id string, chunk_id string, raw double, lex double, vec double"
+SCORED = "index_id string, query_id string, chunk_id string, raw double, lex double, vec double"
 
 
 def _ragged(column: pa.ChunkedArray | pa.Array) -> tuple[list[int], pa.Array]:
@@ -117,11 +116,10 @@ def query_blocks(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
     return queries.mapInArrow(pack, QUERY_BLOCK)
 
 
-def _meet(doc_side: DataFrame, query_side: DataFrame, broadcast: bool) -> DataFrame:
-    if broadcast:
-        return doc_side.join(F.broadcast(query_side), "index_id")
-    salt = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(SALTS)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+def _meet(doc_side: DataFrame, query_side: DataFrame) -> DataFrame:
+    salts = int(doc_side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(salts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return doc_side.withColumn("salt", salt).join(query_side.withColumn("salt", every), ["index_id", "salt"]).drop("salt")
 
 
@@ -163,7 +161,7 @@ def _dense(row: dict, docs: int, queries: int) -> np.ndarray:
 
 
 def best_of_pairs(
-    doc_side: DataFrame, query_side: DataFrame, limit: int, digits: int, mode: str, broadcast: bool,
+    doc_side: DataFrame, query_side: DataFrame, limit: int, digits: int, mode: str,
     clamp: bool = True, weights: tuple[float, float] = (0.5, 0.5),
 ) -> DataFrame:
     """The best `limit` documents of each block pair per query, by (score desc, id asc).
@@ -196,13 +194,14 @@ def best_of_pairs(
                 take = lambda values: np.take_along_axis(values, order, axis=1).ravel()
                 yield pa.RecordBatch.from_pydict(
                     {
+                        "index_id": pa.array([row["index_id"]] * (queries * keep)),
                         "query_id": q_ids.take(pa.array(np.repeat(np.arange(queries), keep))),
                         "chunk_id": ids.take(pa.array(order.ravel())),
                         "raw": pa.array(take(raw)), "lex": pa.array(take(lex)), "vec": pa.array(take(vec)),
                     }
                 )
 
-    return _meet(doc_side, query_side, broadcast).mapInArrow(score, SCORED)
+    return _meet(doc_side, query_side).mapInArrow(score, SCORED)
 
 
 def _scaled(scores: np.ndarray, peaks: pa.ListScalar) -> np.ndarray:

@@ -30,49 +30,55 @@ def comparable_words(col: Column) -> Column:
     return words(nfkc(F.coalesce(col, F.lit(""))))
 
 
-def _folded(value: str) -> tuple[str, list[int]]:
-    """Case-folded NFKC text with single spaces, and the source position of each character."""
-    out: list[str] = []
-    origin: list[int] = []
-    gap = False
-    for at, char in enumerate(value):
-        for piece in unicodedata.normalize("NFKC", char).casefold():
-            if piece.isspace():
-                gap = bool(out)
-                continue
-            if gap:
-                out.append(" ")
-                origin.append(at)
-                gap = False
-            out.append(piece)
-            origin.append(at)
-    return "".join(out), origin
+class _Fold(dict):
+    """Compatibility form of a character, case-folded; worked out once for each character met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = unicodedata.normalize("NFKC", chr(code)).casefold()
+        return self[code]
+
+
+_FOLD = _Fold()
+
+
+def fold_words(text: str) -> list[str]:
+    """Words of a text after folding each character; two facts are equal if their words are."""
+    return text.translate(_FOLD).split()
 
 
 @F.pandas_udf(T.StringType())
 def fold_fact(text: pd.Series) -> pd.Series:
-    return text.map(lambda v: None if v is None else _folded(v)[0])
+    return text.map(lambda v: None if v is None else " ".join(fold_words(v)))
+
+
+class FoldedText:
+    """An answer in folded form: its words by single spaces, and where each character came from."""
+
+    def __init__(self, text: str) -> None:
+        widths = np.fromiter((len(_FOLD[ord(c)]) for c in text), np.int64, len(text))
+        source = np.repeat(np.arange(len(text)), widths)
+        whole = text.translate(_FOLD)
+        found = [m.span() for m in re.finditer(r"\S+", whole)]
+        self.text = " ".join(whole[a:b] for a, b in found)
+        # A space belongs to the word behind it; no fact starts or ends with one.
+        pieces = [source[a - (k > 0) : b] for k, (a, b) in enumerate(found)]
+        self.source = np.concatenate(pieces) if pieces else source[:0]
+
+    def spans(self, fact: str) -> list[dict[str, int]]:
+        """Places of a folded fact, left to right without overlap, as positions in the original answer."""
+        out, at = [], self.text.find(fact) if fact else -1
+        while at >= 0:
+            stop = at + len(fact)
+            out.append({"span_start": int(self.source[at]), "span_end": int(self.source[stop - 1]) + 1})
+            at = self.text.find(fact, stop)
+        return out
 
 
 @F.pandas_udf(SPANS)
 def fact_spans(answer: pd.Series, fact: pd.Series) -> pd.Series:
-    """Where a folded fact occurs in an answer, as positions in the original answer."""
-    last: tuple[str, tuple[str, list[int]]] = ("", ("", []))
-    rows = []
-    for text, wanted in zip(answer, fact):
-        if not wanted or text is None:
-            rows.append([])
-            continue
-        if last[0] != text:
-            last = (text, _folded(text))
-        folded, origin = last[1]
-        rows.append(
-            [
-                {"span_start": origin[m.start()], "span_end": origin[m.end() - 1] + 1}
-                for m in re.finditer(re.escape(wanted), folded)
-            ]
-        )
-    return pd.Series(rows)
+    """Where folded facts occur in answers; an answer with several facts is folded once in a batch."""
+    folded = {text: FoldedText(text) for text in answer.dropna().unique()}
+    return pd.Series([[] if text is None or not wanted else folded[text].spans(wanted) for text, wanted in zip(answer, fact)])
 
 
 @F.pandas_udf(T.LongType())
@@ -88,14 +94,24 @@ def ordered_pairs(values: pd.Series) -> pd.Series:
     return pd.Series([count(np.asarray(v)) for v in values])
 
 
-def word_distance(left: Column, right: Column) -> Column:
-    """Levenshtein distance over words: each distinct word becomes one character."""
-    known = F.array_distinct(F.concat(left, right))
+def edit_distance(left: list[str], right: list[str]) -> int:
+    """Levenshtein distance over words, one row of the table at a time."""
+    codes: dict[str, int] = {}
+    a, b = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (left, right))
+    if len(a) < len(b):
+        a, b = b, a
+    steps = np.arange(len(b) + 1)
+    row = steps
+    for n, code in enumerate(a, 1):
+        best = np.empty_like(row)
+        best[0] = n
+        np.minimum(row[1:] + 1, row[:-1] + (b != code), out=best[1:])
+        # An insertion costs one for each step to the right.
+        row = np.minimum.accumulate(best - steps) + steps
+    return int(row[-1])
 
-    def coded(column: Column) -> Column:
-        hexes = F.transform(
-            column, lambda w: F.lpad(F.hex(F.array_position(known, w) + 255), 4, "0")
-        )
-        return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-16BE")
 
-    return F.levenshtein(coded(left), coded(right))
+@F.pandas_udf(T.LongType())
+def word_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Edits between two word lists of any size."""
+    return pd.Series([edit_distance(list(a), list(b)) for a, b in zip(left, right)])

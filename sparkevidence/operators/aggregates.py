@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import stable_id
 from ..schemas import SLICES
-from ..session import broadcast_if_few
 from .quality import INSUFFICIENT_LABELS, NOT_APPLICABLE, VALUE
 
 # Which match decisions count as a failure of which kind.
@@ -251,7 +250,7 @@ def gate_selection(reports: DataFrame, gates: DataFrame) -> DataFrame:
         F.map_entries("selector"), lambda e: F.coalesce(F.col("_s")[e["key"]] == e["value"], F.lit(False))
     )
     tagged = reports.withColumn("_s", slices)
-    return tagged.join(broadcast_if_few(gates), ["metric_id", "owner"]).filter(fits).drop("_s")
+    return tagged.join(gates, ["metric_id", "owner"]).filter(fits).drop("_s")
 
 
 def evaluate_gates(reports: DataFrame, gates: DataFrame, matches: DataFrame | None = None) -> DataFrame:

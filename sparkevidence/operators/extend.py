@@ -1,4 +1,7 @@
-"""User-supplied parts: each is a callable whose output passes the same checks as the built-in."""
+"""User-supplied parts: each is a callable whose output passes the same checks as the built-in.
+
+The output is staged first, so user code runs once and the rows returned are those that were checked.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 from .rules import check_candidates, check_embeddings
 
 MetricFn = Callable[[DataFrame, DataFrame], DataFrame]
@@ -32,20 +36,21 @@ def embed(df: DataFrame, fn: Callable[[str], Sequence[float]], dimension: int, t
 
     out = df.select(F.col(key).alias("chunk_id"), run(F.col(text)).alias("embedding"))
     if check:
+        out = materialize(out, "user-embeddings")
         _require_none(check_embeddings(out, dimension), "embedding")
     return out if key == "chunk_id" else out.withColumnRenamed("chunk_id", key)
 
 
 def retrieve(fn: Callable[[DataFrame, DataFrame], DataFrame], docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Candidates from a user retriever or hybrid search."""
-    out = fn(docs, queries)
+    out = materialize(fn(docs, queries), "user-candidates")
     _require_none(check_candidates(out, docs), "retriever")
     return out
 
 
 def fuse(fn: Callable[..., DataFrame], *candidate_sets: DataFrame) -> DataFrame:
     """Fused rows must rank 1..n per query and name only chunks of their inputs."""
-    out = fn(*candidate_sets)
+    out = materialize(fn(*candidate_sets), "user-fused")
     inputs = candidate_sets[0].select("query_id", "chunk_id")
     for one in candidate_sets[1:]:
         inputs = inputs.unionByName(one.select("query_id", "chunk_id"))
@@ -58,7 +63,7 @@ def fuse(fn: Callable[..., DataFrame], *candidate_sets: DataFrame) -> DataFrame:
 def rerank(fn: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], fused: DataFrame, queries: DataFrame,
            docs: DataFrame) -> DataFrame:
     """Decisions must cover every fused row once."""
-    out = fn(fused, queries, docs)
+    out = materialize(fn(fused, queries, docs), "user-decisions")
     keys = ["query_id", "chunk_id"]
     counted = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     gaps = fused.select(*keys).join(counted, keys, "full").filter("n IS NULL OR n <> 1").select(
@@ -71,7 +76,7 @@ def rerank(fn: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], fused: Da
 
 def assemble(fn: Callable[[DataFrame, DataFrame], DataFrame], candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """Selected evidence must be unique per query and quote its chunk."""
-    out = fn(candidates, docs)
+    out = materialize(fn(candidates, docs), "user-evidence")
     chosen = out.filter("selected")
     twice = chosen.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         F.col("chunk_id").alias("id"), F.lit("unique_evidence").alias("rule")

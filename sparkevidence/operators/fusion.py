@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import terms
 
-MAX_SETS = 8
 RANK_DIGITS = 12
 
 
 def rrf(*candidate_sets: DataFrame, rank_constant: int = 60, limit: int = 10) -> DataFrame:
-    """Fuse 1..8 candidate sets by the sum of 1 / (rank_constant + rank), scaled by the best sum.
+    """Fuse candidate sets by the sum of 1 / (rank_constant + rank), scaled by the best sum.
 
     Each fused row keeps its contributions in the order of the sets; a group holds at most one row
     per set, so it is never large.
     """
-    if not 1 <= len(candidate_sets) <= MAX_SETS:
-        raise ValueError(f"between 1 and {MAX_SETS} candidate sets are needed")
+    if not candidate_sets:
+        raise ValueError("a candidate set is needed")
     numbered = [s.withColumn("_set", F.lit(i)) for i, s in enumerate(candidate_sets)]
     rows = numbered[0]
     for other in numbered[1:]:
@@ -80,7 +79,9 @@ def rerank_overlap(fused: DataFrame, queries: DataFrame, docs: DataFrame, limit:
     texts = docs.select("index_id", "chunk_id", "keyword_text")
     shared = F.size(F.array_intersect("_q", terms(F.col("keyword_text"))))
     raw = F.when(F.size("_q") > 0, shared / F.size("_q")).otherwise(0.0)
-    scored = fused.join(asked, "query_id").join(texts, ["index_id", "chunk_id"]).withColumn("_raw", raw)
+    # Every fused row gets a decision: without its question or text it shares no term.
+    held = fused.join(asked, "query_id", "left").join(texts, ["index_id", "chunk_id"], "left")
+    scored = held.withColumn("_raw", F.coalesce(raw, F.lit(0.0)))
     per_query = Window.partitionBy("query_id")
     best = F.max("_raw").over(per_query)
     scored = scored.withColumn("rerank_score", F.when(best > 0, F.col("_raw") / best).otherwise(0.0))

@@ -19,7 +19,6 @@ from .scans import blocked_row_number, blocked_scan
 OPEN_STATES = ("PENDING", "RUNNING")
 TERMINAL_STATES = ("SUCCEEDED", "FAILED")
 FIRST_STAGE = "query.input"
-UNKNOWN_POSITION = 10_000
 
 
 def _newest(value: Column, time: str, ident: str) -> Column:
@@ -30,7 +29,7 @@ def _newest(value: Column, time: str, ident: str) -> Column:
 # ---------------------------------------------------------------- closures
 
 
-def closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """All (root, node, depth) reachable from the seeds (root, node); depth is the shortest.
 
     Edges: (source, target). Level by level: each round joins the newest level with the edges and
@@ -43,14 +42,15 @@ def closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFram
     )
     level = materialize(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)), "closure")
     seen = level
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:  # a cycle ends as well: its pairs have been seen
+        depth += 1
         reached = level.join(step, "node").select("root", F.col("_next").alias("node")).distinct()
         fresh = reached.join(seen.select("root", "node"), ["root", "node"], "left_anti")
         level = materialize(fresh.withColumn("depth", F.lit(depth)), "closure")
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)
-    raise ValueError(f"lineage is deeper than {max_depth}")
 
 
 def _succeeded(artifacts: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def _succeeded(artifacts: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def descendants(
-    sources: DataFrame, artifacts: DataFrame, attempts: DataFrame, lineage: DataFrame, max_depth: int = 64
+    sources: DataFrame, artifacts: DataFrame, attempts: DataFrame, lineage: DataFrame
 ) -> DataFrame:
     """Succeeded descendants of each source (itself included) within the source's run.
 
@@ -77,7 +77,7 @@ def descendants(
         .select(F.col("_p").alias("source"), F.col("_c").alias("target"))
     )
     reached = closure(
-        seeds.select(F.col("source_id").alias("root"), F.col("source_id").alias("node")), edges, max_depth
+        seeds.select(F.col("source_id").alias("root"), F.col("source_id").alias("node")), edges
     )
     runs = seeds.select("source_id", "run_id").distinct()
     return reached.select(
@@ -85,9 +85,7 @@ def descendants(
     ).join(runs, "source_id")
 
 
-def eligible_artifacts(
-    artifacts: DataFrame, attempts: DataFrame, lineage: DataFrame, max_depth: int = 64
-) -> DataFrame:
+def eligible_artifacts(artifacts: DataFrame, attempts: DataFrame, lineage: DataFrame) -> DataFrame:
     """Every artifact with `eligible`: it and all its ancestors come from succeeded attempts.
 
     Failure is pushed down the graph instead of listing each artifact's ancestors.
@@ -96,7 +94,7 @@ def eligible_artifacts(
     failed = artifacts.select("artifact_id").join(good, "artifact_id", "left_anti")
     edges = lineage.select(F.col("parent_id").alias("source"), F.col("artifact_id").alias("target"))
     tainted = closure(
-        failed.select(F.lit(0).alias("root"), F.col("artifact_id").alias("node")), edges, max_depth
+        failed.select(F.lit(0).alias("root"), F.col("artifact_id").alias("node")), edges
     ).select(F.col("node").alias("artifact_id"), F.lit(False).alias("_ok"))
     return artifacts.select("artifact_id").join(tainted, "artifact_id", "left").select(
         "artifact_id", F.coalesce("_ok", F.lit(True)).alias("eligible")
@@ -104,7 +102,7 @@ def eligible_artifacts(
 
 
 def source_of_evidence(
-    wanted: DataFrame, lineage: DataFrame, contents: DataFrame, max_depth: int = 64
+    wanted: DataFrame, lineage: DataFrame, contents: DataFrame
 ) -> DataFrame:
     """The nearest ancestor that contains one of the wanted locators.
 
@@ -112,7 +110,7 @@ def source_of_evidence(
     """
     seeds = wanted.select(F.col("index_id").alias("root"), F.col("index_id").alias("node"))
     edges = lineage.select(F.col("artifact_id").alias("source"), F.col("parent_id").alias("target"))
-    reached = closure(seeds, edges, max_depth).withColumnsRenamed({"root": "index_id", "node": "artifact_id"})
+    reached = closure(seeds, edges).withColumnsRenamed({"root": "index_id", "node": "artifact_id"})
     needed = contents.join(wanted.select("locator_key").distinct(), "locator_key", "left_semi")
     hits = (
         reached.join(needed, "artifact_id")
@@ -288,7 +286,7 @@ def latest_revisions(revisions: DataFrame, search: str = "", limit: int | None =
 
 
 def stage_order(attempts: DataFrame, plan_stages: DataFrame) -> DataFrame:
-    """Plan position of each attempt: that of the longest stage id its key starts with.
+    """Plan position of each attempt: that of the longest stage id its key starts with, null if none does.
 
     Plan stages: (plan_id, stage_id, position). Each key is expanded to its dotted prefixes, which
     turns the prefix match into an equi-join.
@@ -301,7 +299,7 @@ def stage_order(attempts: DataFrame, plan_stages: DataFrame) -> DataFrame:
     found = keys.join(plan_stages, ["plan_id", "stage_id"]).groupBy("plan_id", "stage_key").agg(
         F.max_by("position", F.length("stage_id")).alias("_pos")
     )
-    position = F.when(F.col("stage_key") == FIRST_STAGE, -1).otherwise(F.coalesce("_pos", F.lit(UNKNOWN_POSITION)))
+    position = F.when(F.col("stage_key") == FIRST_STAGE, -1).otherwise(F.col("_pos"))
     return attempts.join(found, ["plan_id", "stage_key"], "left").withColumn("position", position).drop("_pos")
 
 
@@ -362,28 +360,35 @@ def late_attempt_rejects(runs: DataFrame, attempts: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- document views
 
-# What a view shows of a text, and the cells on one page.
+# What a view shows of a text unless asked otherwise, and the cells on one page.
 ELEMENT_CHARS = 2048
 CHUNK_CHARS = 4096
 PAGE_CELLS = 512
 
 
-def element_view(elements: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+def _part(text: Column, chars: int | None, start: int) -> tuple[Column, Column]:
+    """`chars` characters of a text from `start` (all of it for None), and whether more follow."""
+    rest = F.substring(text, start + 1, 2**31 - 1 - start) if start else text
+    if chars is None:
+        return rest, F.lit(False)
+    return F.substring(rest, 1, chars), F.length(rest) > chars
+
+
+def element_view(
+    elements: DataFrame, limit: int = 50, offset: int = 0, chars: int | None = ELEMENT_CHARS, start: int = 0
+) -> DataFrame:
     """One page of each document's elements; positions are the reading order."""
     rows = elements.filter(F.col("reading_order").between(offset, offset + limit - 1))
-    text = F.coalesce("text", F.lit(""))
-    return rows.select(
-        "document_id", "reading_order", "id", "kind", F.substring(text, 1, ELEMENT_CHARS).alias("text"),
-        (F.length(text) > ELEMENT_CHARS).alias("truncated"),
-    )
+    text, more = _part(F.coalesce("text", F.lit("")), chars, start)
+    return rows.select("document_id", "reading_order", "id", "kind", text.alias("text"), more.alias("truncated"))
 
 
-def chunk_view(chunks: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
+def chunk_view(
+    chunks: DataFrame, limit: int = 25, offset: int = 0, chars: int | None = CHUNK_CHARS, start: int = 0
+) -> DataFrame:
     rows = chunks.filter(F.col("ordinal").between(offset, offset + limit - 1))
-    return rows.select(
-        "document_id", "ordinal", "chunk_id", F.substring("content", 1, CHUNK_CHARS).alias("content"),
-        (F.length("content") > CHUNK_CHARS).alias("truncated"),
-    )
+    content, more = _part(F.col("content"), chars, start)
+    return rows.select("document_id", "ordinal", "chunk_id", content.alias("content"), more.alias("truncated"))
 
 
 def table_view(

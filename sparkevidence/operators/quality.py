@@ -77,7 +77,8 @@ def _targets(labels: DataFrame, expected: DataFrame) -> DataFrame:
     known = expected.select(
         "document_id", F.col("id").alias("element_id"), locator_key("locator").alias("key"), "kind", "reading_order"
     )
-    return labels.select("document_id", "element_id").join(known, ["document_id", "element_id"])
+    # A label whose element is unknown has no locator; it is never found but counts.
+    return labels.select("document_id", "element_id").join(known, ["document_id", "element_id"], "left")
 
 
 def element_f1(labels: DataFrame, expected: DataFrame, observed: DataFrame) -> DataFrame:
@@ -128,17 +129,24 @@ def _geometry(tables: DataFrame, cells: DataFrame) -> DataFrame:
     )
     return tables.select(
         "document_id", F.col("id").alias("table_id"), locator_key("locator").alias("key"), "rows", "columns"
-    ).join(shapes, ["document_id", "table_id"])
+    ).join(shapes, ["document_id", "table_id"], "left").withColumn("shape", F.coalesce("shape", F.lit("")))
 
 
 def table_structure(
     labels: DataFrame, expected_tables, expected_cells, observed_tables, observed_cells
 ) -> DataFrame:
-    """Labelled tables with equal rows, columns and cell geometry at the same locator."""
-    wanted = labels.join(_geometry(expected_tables, expected_cells), ["document_id", "table_id"])
-    found = _geometry(observed_tables, observed_cells).select("document_id", "key", "rows", "columns", "shape")
-    hits = wanted.join(
-        found.withColumn("hit", F.lit(1)), ["document_id", "key", "rows", "columns", "shape"], "left"
+    """Labelled tables with equal rows, columns and cell geometry at the same locator.
+
+    Every label counts, also one of an unknown table or of a table without cells. Of several observed
+    tables at a locator the one with the smallest id is compared.
+    """
+    wanted = labels.join(_geometry(expected_tables, expected_cells), ["document_id", "table_id"], "left")
+    shape = ["rows", "columns", "shape"]
+    found = _geometry(observed_tables, observed_cells).groupBy("document_id", "key").agg(
+        F.min_by(F.struct(*shape), "table_id").alias("_seen")
+    )
+    hits = wanted.join(found, ["document_id", "key"], "left").withColumn(
+        "hit", F.when(F.struct(*shape) == F.col("_seen"), 1)
     )
     sums = hits.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("m"))
     return _report(sums, TABLE_STRUCTURE, F.col("m") / F.col("n"), F.col("n"), F.col("m"))
@@ -150,11 +158,11 @@ def table_cell(labels: DataFrame, expected_tables, expected_cells, observed_tabl
 
     def keyed(tables: DataFrame, cells: DataFrame) -> DataFrame:
         keys = tables.select("document_id", F.col("id").alias("table_id"), locator_key("locator").alias("key"))
-        return cells.withColumn("_text", comparable(F.col("text"))).join(keys, ["document_id", "table_id"])
+        return cells.withColumn("_text", comparable(F.col("text"))).join(keys, ["document_id", "table_id"], "left")
 
     wanted = labels.join(
         keyed(expected_tables, expected_cells).withColumnRenamed("id", "cell_id"),
-        ["document_id", "table_id", "cell_id"],
+        ["document_id", "table_id", "cell_id"], "left",
     )
     found = keyed(observed_tables, observed_cells).select("document_id", "key", *same).distinct()
     hits = wanted.join(found.withColumn("hit", F.lit(1)), ["document_id", "key", *same], "left")

@@ -15,9 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import stable_id
-from ..functions.blocks import BROADCAST_QUERIES, best_of_pairs, doc_blocks, query_blocks
+from ..functions.blocks import best_of_pairs, doc_blocks, query_blocks
 from ..functions.text import terms
-from ..session import at_most
 
 # Scores are rounded before ranking, so that the order of float additions cannot decide.
 DIGITS = 9
@@ -78,22 +77,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def few(queries: DataFrame) -> bool:
-    """Whether the queries are few enough for their terms and blocks to be broadcast."""
-    return at_most(queries.select("index_id"), BROADCAST_QUERIES)
-
-
-def term_frequencies(search_docs: DataFrame, words: DataFrame, text: Column, broadcast: bool) -> DataFrame:
+def term_frequencies(search_docs: DataFrame, words: DataFrame, text: Column) -> DataFrame:
     """(index_id, term, df) of the terms some query asks for.
 
-    Few queries filter the tokens in place. For many, all terms are counted first (map-side, so a
-    term found in most chunks is no hot key) and then joined.
+    Terms are counted before they are joined (map-side, so a term found in most chunks is no hot key).
     """
     wanted = words.select("index_id", "term").distinct()
     held = search_docs.select("index_id", F.explode(F.array_distinct(terms(text))).alias("term"))
     keys = ["index_id", "term"]
-    if broadcast:
-        return held.join(F.broadcast(wanted), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
     return held.groupBy(*keys).agg(F.count(F.lit(1)).alias("df")).join(wanted, keys)
 
 
@@ -107,13 +98,8 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
-def query_weights(
-    queries: DataFrame, words: DataFrame, df: DataFrame, stats: DataFrame, small: bool
-) -> DataFrame:
-    """Every query with its term weights (query count times idf); a query without hits has none.
-
-    Few queries come out of one task, so that they form as few blocks as possible.
-    """
+def query_weights(queries: DataFrame, words: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Every query with its term weights (query count times idf); a query without hits has none."""
     weighted = words.join(df, ["index_id", "term"]).join(stats, "index_id").select(
         "query_id", "index_id", "avgdl", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w")
     )
@@ -121,8 +107,6 @@ def query_weights(
         F.sort_array(F.collect_list(F.struct("term", "w"))).alias("_l"), F.max("avgdl").alias("avgdl")
     )
     found = queries.select("query_id", "index_id").join(lists, ["query_id", "index_id"], "left")
-    if small:
-        found = found.coalesce(1)
     return found.select(
         "index_id", F.col("query_id").alias("id"),
         F.coalesce(F.transform("_l", lambda x: x["term"]), F.array().cast("array<string>")).alias("terms"),
@@ -140,30 +124,30 @@ def term_rows(docs: DataFrame, text: Column, *more: Column) -> DataFrame:
 
 
 def _top(totals: DataFrame, limit: int) -> DataFrame:
-    per_query = Window.partitionBy("query_id")
+    per_query = Window.partitionBy("query_id", "index_id")
     order = per_query.orderBy(F.desc("raw"), "chunk_id")
     kept = totals.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     best = F.max("raw").over(per_query)
     scaled = F.when(best > 0, F.col("raw") / best).otherwise(F.lit(0.0))
-    return kept.select("query_id", "chunk_id", "rank", F.round(scaled, DIGITS).alias("safe_score"))
+    return kept.select("query_id", "index_id", "chunk_id", "rank", F.round(scaled, DIGITS).alias("safe_score"))
 
 
 def _best(scored: DataFrame, limit: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("raw"), "chunk_id")
+    order = Window.partitionBy("query_id", "index_id").orderBy(F.desc("raw"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
 def lexical_best(
     docs: DataFrame, queries: DataFrame, limit: int, text: Column, df_docs: DataFrame | None = None
 ) -> DataFrame:
-    """The `limit` best BM25 scores per query: (query_id, chunk_id, raw, rank).
+    """The `limit` best BM25 scores per query and index: (query_id, index_id, chunk_id, raw, rank).
 
     Document frequencies come from `df_docs` where given, N and the mean length from `docs`.
     """
-    words, small = query_terms(queries), few(queries)
-    df = term_frequencies(docs if df_docs is None else df_docs, words, text, small)
-    weights = query_weights(queries, words, df, collection_stats(docs, text), small)
-    pairs = best_of_pairs(doc_blocks(term_rows(docs, text)), query_blocks(weights), limit, DIGITS, "lexical", small)
+    words = query_terms(queries)
+    df = term_frequencies(docs if df_docs is None else df_docs, words, text)
+    weights = query_weights(queries, words, df, collection_stats(docs, text))
+    pairs = best_of_pairs(doc_blocks(term_rows(docs, text)), query_blocks(weights), limit, DIGITS, "lexical")
     return _best(pairs.drop("lex", "vec"), limit)
 
 
@@ -187,9 +171,9 @@ def retrieve_from_postings(
 
     Matching postings are shuffled once by chunk, whatever the number of queries.
     """
-    words, small = query_terms(queries), few(queries)
+    words = query_terms(queries)
     wanted = words.select("index_id", "term").distinct()
-    matches = postings.join(F.broadcast(wanted) if small else wanted, ["index_id", "term"])
+    matches = postings.join(wanted, ["index_id", "term"])
     df = matches.groupBy("index_id", "term").agg(F.count(F.lit(1)).alias("df"))
     stats = lengths.groupBy("index_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.lit(1), "dl")).alias("avgdl")
@@ -208,8 +192,8 @@ def retrieve_from_postings(
         ).alias("terms"),
         F.greatest(F.lit(1), F.col("dl")).cast("int").alias("dl"),
     )
-    weights = query_weights(queries, words, df, stats, small)
-    pairs = best_of_pairs(doc_blocks(docs), query_blocks(weights), limit, DIGITS, "lexical", small)
+    weights = query_weights(queries, words, df, stats)
+    pairs = best_of_pairs(doc_blocks(docs), query_blocks(weights), limit, DIGITS, "lexical")
     return _top(_best(pairs.drop("lex", "vec"), limit).drop("rank"), limit)
 
 
@@ -218,8 +202,8 @@ def retrieve_from_postings(
 
 def _finish(ranked: DataFrame, docs: DataFrame, contributor: str, kind: str, **extra: Column) -> DataFrame:
     """Join the few ranked rows back to their chunks and project candidates."""
-    shown = [c for c in ("document_id", "index_id", "hierarchy_context", "citations") if c in docs.columns]
-    joined = ranked.join(docs.select("chunk_id", *shown), "chunk_id")
+    shown = [c for c in ("document_id", "hierarchy_context", "citations") if c in docs.columns]
+    joined = ranked.join(docs.select("index_id", "chunk_id", *shown), ["index_id", "chunk_id"])
     return joined.select(*candidate(contributor, kind, docs.columns, **extra))
 
 
@@ -305,10 +289,10 @@ def vector_rows(df: DataFrame, key: str) -> DataFrame:
 
 
 def nearest(docs: DataFrame, queries: DataFrame, limit: int, clamp: bool = True) -> DataFrame:
-    """The `limit` largest dot products per query: (query_id, chunk_id, raw, rank)."""
+    """The `limit` largest dot products per query and index: (query_id, index_id, chunk_id, raw, rank)."""
     pairs = best_of_pairs(
         doc_blocks(vector_rows(docs, "chunk_id")), query_blocks(vector_rows(queries, "query_id")), limit, DIGITS,
-        "dense", few(queries), clamp,
+        "dense", clamp,
     )
     return _best(pairs.drop("lex", "vec"), limit)
 

@@ -130,7 +130,7 @@ def latest_revisions(t):
 @query(
     "stage_order",
     "SELECT 'at-' || event_id AS attempt_id, CASE WHEN event_type = 'signup' THEN -1 WHEN event_type = 'click' AND event_id % 2 = 1 THEN 4 WHEN "
-    "event_type = 'click' THEN 1 WHEN event_type = 'view' THEN 2 ELSE 10000 END AS position FROM events",
+    "event_type = 'click' THEN 1 WHEN event_type = 'view' THEN 2 END AS position FROM events",
 )
 def stage_order(t):
     key = F.when(F.col("event_type") == "signup", "query.input").otherwise(

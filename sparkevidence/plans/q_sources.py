@@ -11,7 +11,6 @@ from ..functions.text import excerpt as excerpt_of
 from ..sources import datasets as D
 from ..sources import elements as L
 from ..sources import intake as N
-from ..sources import parsers as P
 from ..session import spread
 from ..streaming import intake as T
 from . import bindings as B
@@ -39,7 +38,7 @@ piece(
     with_pieces("files_in")
     + "SELECT document_id, sha256(content) AS content_digest, strlen(content) AS byte_size, extension, CASE extension WHEN 'pdf' THEN "
     "'application/pdf' WHEN 'html' THEN 'text/html' ELSE 'application/octet-stream' END AS media_type, starts_with(content, '%PDF-') AS "
-    "has_embedded_text FROM files_in WHERE strlen(content) BETWEEN 1 AND 16777216",
+    "has_embedded_text FROM files_in WHERE strlen(content) > 0",
 )
 def intake(t):
     return N.intake(files(t))
@@ -316,14 +315,6 @@ def locator_keys(t):
     return made.select("document_id", "reading_order", locator_key("locator").alias("locator_key"))
 
 
-@query("elements_from_html")
-def elements_from_html(t):
-    pages = spread(t.pages.select(F.concat(F.lit("page-"), "page_id").alias("document_id"), "html"))
-    return P.elements_from_html(pages).select(
-        "document_id", "reading_order", "kind", "level", "text", F.col("locator.path").alias("path")
-    )
-
-
 @query(
     "stale_workers",
     "SELECT user_id AS worker_id, epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(ts)) AS age_micros, epoch_us(TIMESTAMP '2024-02-01') - "

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "sparkevidence", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,14 +31,13 @@ def get_session(app: str = "sparkevidence", master: str | None = None, **conf: s
 
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; only a local session falls back to a temp folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    fallback = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -59,13 +58,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether a frame is counted to hold no more than `rows`; reads at most one row beyond."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_few(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Broadcast a frame only after counting it; otherwise leave the join to Catalyst and AQE."""
-    return F.broadcast(df) if at_most(df, rows) else df

@@ -98,13 +98,17 @@ def _exchange_valid(x: Column) -> Column:
 def elements_from_exchange(parsed: DataFrame) -> DataFrame:
     """Valid OCR exchanges to elements with a per-item confidence signal."""
     valid = parsed.filter(_exchange_valid(F.col("x")))
-    pages = valid.select("document_id", F.explode("x.pages").alias("p"), F.col("x.pages").alias("_all"))
+    # Pages in order, each with the number of items before it: one running sum over the page sizes.
+    ordered = F.array_sort(F.col("x.pages"), lambda a, b: a["page_number"] - b["page_number"])
+    sizes = F.transform(ordered, lambda q: F.size(q["items"]))
     before = F.aggregate(
-        F.filter("_all", lambda q: q["page_number"] < F.col("p.page_number")),
-        F.lit(0), lambda acc, q: acc + F.size(q["items"]),
-    )
-    items = pages.withColumn("_before", before).select(
-        "document_id", "p.page_number", "_before", F.posexplode("p.items").alias("_pos", "t")
+        sizes, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.array_append(acc["starts"], acc["sum"]).alias("starts")),
+    )["starts"]
+    pages = valid.select("document_id", F.explode(F.arrays_zip(ordered.alias("p"), before.alias("_before"))).alias("z"))
+    items = pages.select(
+        "document_id", F.col("z.p.page_number").alias("page_number"), F.col("z._before").alias("_before"),
+        F.posexplode("z.p.items").alias("_pos", "t")
     )
     heading = F.col("t.layout") == "heading"
     order = (F.col("_before") + F.col("_pos")).cast("int")

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# Fixed value: the largest accepted source, which also bounds every later per-document group.
-MAX_SOURCE_BYTES = 16 * 1024 * 1024
-
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files as (document_id, name, content) rows."""
@@ -31,14 +28,14 @@ MEDIA_TYPES = {
 
 
 def intake(df: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
-    """Describe each non-empty source of at most 16 MiB; the digest is its address."""
+    """Describe each non-empty source, whatever its size; the digest is its address."""
     body = F.col(content).cast("binary")
     extension = _extension(F.col(name))
     media = F.lit("application/octet-stream")
     for ext, media_type in MEDIA_TYPES.items():
         media = F.when(extension == ext, F.lit(media_type)).otherwise(media)
     size = F.octet_length(body)
-    return df.filter((size > 0) & (size <= MAX_SOURCE_BYTES)).select(
+    return df.filter(size > 0).select(
         "document_id",
         F.sha2(body, 256).alias("content_digest"),
         size.cast("long").alias("byte_size"),
@@ -50,7 +47,7 @@ def intake(df: DataFrame, name: str = "name", content: str = "content") -> DataF
 
 def intake_rejects(df: DataFrame, content: str = "content") -> DataFrame:
     size = F.octet_length(F.col(content).cast("binary"))
-    return df.filter(size.isNull() | (size == 0) | (size > MAX_SOURCE_BYTES)).select(
+    return df.filter(size.isNull() | (size == 0)).select(
         F.lit("source").alias("entity"),
         F.col("document_id").cast("string").alias("id"),
         F.lit("content_size").alias("rule"),

@@ -8,38 +8,43 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import ChunkConfig, text_chunks
-from ..sources.intake import intake
+from ..sources.intake import intake_rejects
 
 # Fixed value: seconds after which a silent worker is stale.
 FRESHNESS_SECONDS = 10
 
 
-def intake_stream(stream: DataFrame, event_time: str = "arrived_at", lateness: str = "1 hour") -> DataFrame:
-    """Rows (document_id, name, content, arrived_at) described and deduplicated by content.
-
-    State holds one digest per content within the watermark, not the content itself.
-    """
-    body = F.col("content").cast("binary")
-    described = stream.withColumn("content_digest", F.sha2(body, 256)).filter(
-        (F.octet_length(body) > 0)
-    )
-    return described.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["content_digest"])
+def intake_stream(stream: DataFrame) -> DataFrame:
+    """Rows (document_id, name, content, arrived_at) with their content digest; late rows stay."""
+    return stream.withColumn("content_digest", F.sha2(F.col("content").cast("binary"), 256))
 
 
 def chunk_batches(path: str, config: ChunkConfig = ChunkConfig(), element_words: int = 120) -> Callable:
-    """A foreachBatch function: chunk each micro-batch with the batch operator and append it.
+    """A foreachBatch function: chunk the contents of each micro-batch that are new and append them.
 
-    Each batch goes to its own folder, so a repeated batch overwrites itself.
+    A content is new if no earlier batch has written its digest, however long ago that was. Each batch
+    writes its chunks, rejects and digests into folders of its own, digests last, so a repeated batch
+    overwrites itself and looks only at the digests of the batches before it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = intake(batch).select("document_id", "content_digest")
-        docs = batch.join(known, ["document_id", "content_digest"]).select(
-            "document_id", F.split(F.col("content").cast("string"), "\n").alias("pages"),
+        spark = batch.sparkSession
+        size = F.octet_length(F.col("content").cast("binary"))
+        intake_rejects(batch).write.mode("overwrite").parquet(f"{path}/rejects/batch={batch_id}")
+        docs = batch.filter(size > 0).groupBy("content_digest").agg(
+            F.min_by(F.struct("document_id", "content"), "document_id").alias("first")
+        ).select(
+            "first.document_id", F.split(F.col("first.content").cast("string"), "\n").alias("pages"),
             F.lit(None).cast("string").alias("language"), "content_digest",
         )
+        digests = spark.read.schema("content_digest string, batch long").option("recursiveFileLookup", "false")
+        home = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/digests")
+        if home.getFileSystem(spark._jsc.hadoopConfiguration()).exists(home):
+            earlier = digests.parquet(f"{path}/digests").filter(F.col("batch") < batch_id)
+            docs = docs.join(earlier, "content_digest", "left_anti")
         chunks = text_chunks(docs, config, element_words, keep=("content_digest",))
-        chunks.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
+        docs.select("content_digest").write.mode("overwrite").parquet(f"{path}/digests/batch={batch_id}")
 
     return write
 

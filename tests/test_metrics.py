@@ -2,6 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from sparkevidence.functions import normal
 from sparkevidence.operators import aggregates as A
 from sparkevidence.operators import answer_metrics as M
 from sparkevidence.operators import comparison as E
@@ -158,3 +159,27 @@ def test_word_distance_is_levenshtein_over_words(spark):
     want = sum(values[i] < values[j] for i in range(300) for j in range(i + 1, 300))
     made = spark.createDataFrame([(values,)], "v array<long>").select(ordered_pairs("v").alias("n"))
     assert made.first().n == want
+
+
+def test_fact_spans_point_into_the_original_answer(spark):
+    rows = [("Revenue\u3000increased. Revenue  INCREASED again.", "revenue increased"), ("stra\u00dfe \ufb01n", "strasse"), ("a \ufb01n", "fin"), (" x", "x"), ("", "x"), (None, "x"), ("aaa", "aa")]
+    df = spark.createDataFrame(rows, "answer string, fact string").coalesce(1)
+    got = [[(s.span_start, s.span_end) for s in r.s] for r in df.select(normal.fact_spans("answer", "fact").alias("s")).collect()]
+    assert got == [[(0, 17), (19, 37)], [(0, 6)], [(2, 4)], [(1, 2)], [], [], [(0, 2)]]
+
+
+def test_word_distance_with_seventy_thousand_words(spark):
+    many = [f"w{i}" for i in range(70_000)]
+    assert normal.edit_distance(many, ["w0", "x", "w69999"]) == 69_998
+    assert normal.edit_distance("a b c d".split(), "a c x d".split()) == 2 and normal.edit_distance([], ["a"]) == 1
+
+
+def test_table_labels_without_cells_or_table_count(spark):
+    tables = spark.createDataFrame([("d", "t1", 2), ("d", "t2", 1)], "document_id string, id string, rows int").withColumn("columns", F.lit(1)).withColumn(
+        "locator", F.struct(F.lit("spreadsheet").alias("kind"), F.col("id").alias("range")))
+    cells = spark.createDataFrame([("d", "t1", 0), ("d", "t1", 1)], "document_id string, table_id string, row int").select(
+        "*", F.lit(0).alias("column"), F.lit(1).alias("row_span"), F.lit(1).alias("column_span"), F.lit(False).alias("is_header"))
+    labels = spark.createDataFrame([("d", "t1"), ("d", "t2"), ("d", "ghost")], "document_id string, table_id string")
+    twice = tables.unionByName(tables.withColumn("id", F.concat("id", F.lit("-copy"))))
+    row = Q.table_structure(labels, tables, cells, twice, cells).first()
+    assert (row.labelled_count, row.matched_count) == (3, 2) and abs(row.value - 2 / 3) < 1e-9

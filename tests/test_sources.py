@@ -1,6 +1,4 @@
-import io
 import json
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,45 +9,9 @@ from sparkevidence.operators import rules
 from sparkevidence.sources import datasets as D
 from sparkevidence.sources import elements as L
 from sparkevidence.sources import intake as N
-from sparkevidence.sources import parsers as P
 from sparkevidence.streaming import intake as S
 
 
-def docx(paragraphs, main=P.MAIN_TYPE):
-    word = P.WORD[1:-1]
-    body = "".join(
-        f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{style}\"/></w:pPr>" if style else ""}<w:r><w:t>{text}</w:t></w:r></w:p>' for style, text in paragraphs
-    )
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{P.CONTENT_TYPES[1:-1]}"><Override PartName="/word/document.xml" ContentType="{main}"/></Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{P.RELATIONSHIPS[1:-1]}"><Relationship Type="{P.OFFICE_DOCUMENT}" Target="word/document.xml"/></Relationships>')
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{word}"><w:body>{body}</w:body></w:document>')
-    return buffer.getvalue()
-
-
-def test_docx_headings_anchors_and_rejects(spark, tmp_path):
-    (tmp_path / "a.docx").write_bytes(docx([(None, "Intro"), ("Heading2", "Part"), (None, " "), (None, "Body")]))
-    (tmp_path / "b.docx").write_bytes(b"no archive")
-    (tmp_path / "c.docx").write_bytes(docx([(None, "x")], "text/plain"))
-    parsed = P.parse_docx(N.read_files(spark, str(tmp_path), "*.docx")).cache()
-    rows = P.elements_from_docx(parsed).orderBy("reading_order").collect()
-    assert [(r.kind, r.level, r.text, r.locator.heading_anchor, r.locator.paragraph_index) for r in rows] == [
-        ("paragraph", None, "Intro", "document", 1), ("heading", 2, "Part", "heading-2", 2), ("paragraph", None, "Body", "heading-2", 4)
-    ]
-    assert P.parse_rejects(parsed).count() == 2
-
-
-def test_html_blocks(spark):
-    page = "<head><title>no</title></head><h1 id='t'>Head &amp; more</h1><p>one<br>two<p>three<script>x()</script><ul><li>item</ul>"
-    rows = P.elements_from_html(spark.createDataFrame([("p", page)], "document_id string, html string")).orderBy("reading_order").collect()
-    assert [(r.kind, r.level, r.text, r.locator.path) for r in rows] == [
-        ("heading", 1, "Head & more", "/h1[1]"), ("paragraph", None, "one two", "/p[1]"), ("paragraph", None, "three", "/p[2]"),
-        ("paragraph", None, "item", "/li[1]"),
-    ]
-    assert rows[0].locator.anchor == "t"
-
-
 def test_words_equal_python_split_on_every_text(spark, small):
     odd = ["", " ", "a b　c", "\x1ca\x1db ", "x y\tz\n", "one"]
     texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()] + odd
@@ -134,19 +96,35 @@ def test_condition_types(spark):
     assert check(None) and check({"all": []}) and not check({"any": []})
 
 
-def test_streaming_intake_drops_copies_and_chunks_each_batch(spark, tmp_path):
+def test_streaming_intake_knows_every_content_it_has_seen(spark, tmp_path):
+    """A copy that arrives in a later batch, hours later or late, is not chunked again; empty contents are rejected."""
     source, out = tmp_path / "in", tmp_path / "out"
     schema = "document_id string, name string, content string, arrived_at timestamp"
-    rows = spark.sql(
-        "select * from values ('a', 'a.txt', 'one two\\nthree', timestamp'2024-01-01'), ('b', 'b.txt', 'one two\\nthree', timestamp'2024-01-01'), "
-        "('c', 'c.txt', 'other', timestamp'2024-01-01'), ('d', 'd.txt', '', timestamp'2024-01-01') t(document_id, name, content, arrived_at)"
+    batches = (
+        "('a', 'a.txt', 'one two\\nthree', timestamp'2024-01-01'), ('b', 'b.txt', 'one two\\nthree', timestamp'2024-01-01'), "
+        "('c', 'c.txt', 'other', timestamp'2024-01-01'), ('d', 'd.txt', '', timestamp'2024-01-01')",
+        "('e', 'e.txt', 'other', timestamp'2024-01-01 05:00:00'), ('f', 'f.txt', 'late', timestamp'2020-01-01')",
     )
-    rows.coalesce(1).write.parquet(str(source))
-    query = S.start_intake(spark.readStream.schema(schema).parquet(str(source)), str(out), str(tmp_path / "ckpt"))
-    query.awaitTermination(120)
-    assert query.exception() is None
-    made = spark.read.parquet(str(out)).collect()
-    assert sorted(r.content for r in made) == ["one two\nthree", "other"]
+    for rows in batches:
+        spark.sql(f"select * from values {rows} t(document_id, name, content, arrived_at)").coalesce(1).write.mode("append").parquet(str(source))
+        query = S.start_intake(spark.readStream.schema(schema).parquet(str(source)), str(out), str(tmp_path / "ckpt"))
+        query.awaitTermination(120)
+        assert query.exception() is None
+    made = spark.read.parquet(str(out / "chunks")).collect()
+    assert sorted(r.content for r in made) == ["late", "one two\nthree", "other"]
+    assert [r.id for r in spark.read.parquet(str(out / "rejects")).collect()] == ["d"]
+
+
+def test_no_size_limit_of_sources(spark):
+    big = spark.range(1).select(F.lit("x").alias("document_id"), F.lit("x.txt").alias("name"), F.expr("repeat('a', 17 * 1024 * 1024)").alias("content"))
+    assert N.intake(big).first().byte_size == 17 * 1024 * 1024 and N.intake_rejects(big).isEmpty()
+
+
+def test_lineage_seventy_levels_deep(spark):
+    edges = spark.range(70).select(F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target"))
+    loop = edges.union(spark.createDataFrame([("70", "0")], "source string, target string"))
+    seeds = spark.createDataFrame([("0", "0")], "root string, node string")
+    assert X.closure(seeds, loop).agg(F.max("depth")).first()[0] == 70
 
 
 def test_streaming_heartbeats_match_the_batch_form(spark, tmp_path):
