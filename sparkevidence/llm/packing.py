@@ -23,7 +23,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +36,9 @@ from .common import stage, steps, texts_of
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-_REMEMBERED = 300_000
+_REMEMBERED = 600_000
+#: Sequences of letters whose ids a task remembers.
+_REMEMBERED_LETTERS = 1_200_000
 _LONGEST_REMEMBERED = 64
 #: Words encoded in one call; an encoding holds far more than its ids.
 _ENCODED = 2048
@@ -68,6 +69,7 @@ class WordTokenizer:
         self._ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._known: dict[bytes, bytes] = {}
         self._letters: dict[bytes, bytes] = {}
+        self._marks: dict[bytes, bytes] = {b"": b""}
 
     def _each(self, words: list[bytes]) -> dict[bytes, bytes]:
         out: dict[bytes, bytes] = {}
@@ -88,31 +90,42 @@ class WordTokenizer:
         return out
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        apart, rest = [], set()
+        letters, marks = self._letters, self._marks
+        if len(letters) > _REMEMBERED_LETTERS:
+            letters.clear()
+        out: dict[bytes, bytes] = {}
+        pending, rest = [], []
         for w in words:
-            if found := _letters_and_marks(w):
-                apart.append((w, found[1].lower(), found[2]))
+            if not (found := _letters_and_marks(w)):
+                rest.append(w)
+                continue
+            own, mark = found[1].lower(), found[2]
+            if (ids := letters.get(own)) is None or (tail := marks.get(mark)) is None:
+                pending.append((w, own, mark))
             else:
-                rest.add(w)
-        if len(self._letters) > _REMEMBERED:
-            self._letters.clear()
-        letters = self._letters
-        letters.update(self._joined([c for c in {c for _, c, _ in apart} if c not in letters]))
-        out = self._each(list(rest | {m for _, _, m in apart if m}))
-        for w, c, m in apart:
-            out[w] = letters[c] + out[m] if m else letters[c]
+                out[w] = ids + tail
+        letters |= self._joined([c for c in {c for _, c, _ in pending} if c not in letters])
+        out |= self._each(rest)
+        if len(marks) > _ENCODED:
+            marks.clear()
+            marks[b""] = b""
+        marks |= self._each([m for m in {m for *_, m in pending} if m not in marks])
+        for w, own, mark in pending:
+            out[w] = letters[own] + marks[mark]
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; new words of all texts are learnt together."""
         split = [t.encode().split() for t in texts]
-        if len(self._known) > _REMEMBERED:
-            self._known.clear()
         known = self._known
-        new = self._learn([w for w in set().union(*split) if w not in known])
-        every = ChainMap(new, known) if any(len(w) > _LONGEST_REMEMBERED for w in new) else known
-        known.update((w, b) for w, b in new.items() if len(w) <= _LONGEST_REMEMBERED)
-        return [b"".join(map(every.__getitem__, words)) for words in split]
+        if len(known) > _REMEMBERED:
+            known.clear()
+        new = [w for w in set().union(*split) if w not in known]
+        known |= self._learn(new)
+        found = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in [w for w in new if len(w) > _LONGEST_REMEMBERED]:
+            del known[w]
+        return found
 
 
 @lru_cache(maxsize=1)
