@@ -8,6 +8,7 @@ from ..functions.ids import stable_id
 from ..functions.text import collapse, words
 from ..operators import aggregates as A
 from ..operators import answer_metrics as M
+from ..operators import answers as G
 from ..operators import comparison as E
 from ..operators import fusion as U
 from ..operators import ranking as K
@@ -179,9 +180,10 @@ def metric_matches(t):
 
 
 def fact_cases(t):
-    """Expected facts: first two words and third to fifth word of the opening turn; forbidden: the
-    last two words of it."""
-    first = t.conversations.filter("turn = 0").select("conv_id", words(F.col("text")).alias("w"))
+    """A case for every conversation, from the words of all its turns in order. Expected facts: the
+    first word (twice, in two cases), the third and fourth; forbidden: the sixth."""
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
+    first = t.conversations.groupBy("conv_id").agg(said.alias("text")).select("conv_id", words(F.col("text")).alias("w"))
     n = F.size("w")
     pair = lambda at, size: F.array_join(F.slice("w", at, size), "  ")  # noqa: E731 - double space on purpose
     return first.select(
@@ -198,20 +200,23 @@ def fact_cases(t):
     )
 
 
-def first_answers(t):
-    return X.conv_answers(t).filter("attempt = 1").withColumnRenamed("query_id", "case_id").withColumn(
+def selected_answers(t):
+    """The answers of the attempts that were selected."""
+    chosen = G.select_attempt(X.verified(t), 2).select("query_id", "attempt")
+    return X.conv_answers(t).join(chosen, ["query_id", "attempt"], "left_semi").withColumnRenamed("query_id", "case_id").withColumn(
         "citation_keys",
         F.concat("citation_keys", F.slice("citation_keys", 1, 1), F.array(F.lit("not-a-key"))),
     )
 
 
-def first_verifications(t):
-    return X.verified(t).filter("attempt = 1").withColumnRenamed("query_id", "case_id")
+def selected_verifications(t):
+    return G.select_attempt(X.verified(t), 2).withColumnRenamed("query_id", "case_id")
 
 
 piece(
     "fact_w",
-    f"SELECT conv_id, w, len(w) AS n FROM (SELECT conv_id, {B.sql_words('text')} AS w FROM conversations WHERE turn = 0)",
+    f"SELECT conv_id, w, len(w) AS n FROM (SELECT conv_id, {B.sql_words('text')} AS w FROM "
+    "(SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id))",
 )
 piece(
     "fact_cases_in",
@@ -222,18 +227,18 @@ piece(
     "fact_w",
 )
 piece(
-    "first_ans",
+    "picked_ans",
     f"SELECT query_id AS case_id, array_to_string({B.sql_words('lower(answer)')}, ' ') AS folded, list_concat(citation_keys, "
-    "[citation_keys[1], 'not-a-key']) AS keys FROM cv_ans WHERE attempt = 1",
-    "cv_ans",
+    "[citation_keys[1], 'not-a-key']) AS keys FROM cv_pick",
+    "cv_pick",
 )
 
 
 def _fact_sql(metric: str, facts: str, none: str, gate: str) -> str:
     return (
-        with_pieces("fact_cases_in", "first_ans")
+        with_pieces("fact_cases_in", "picked_ans")
         + f", c AS (SELECT case_id, answerability, len({facts}) AS n, len(list_filter({facts}, lambda f: contains(folded, f))) AS m "
-        f"FROM fact_cases_in JOIN first_ans USING (case_id)), s AS (SELECT *, CASE WHEN {gate} THEN 'NOT_APPLICABLE' WHEN n = 0 THEN "
+        f"FROM fact_cases_in JOIN picked_ans USING (case_id)), s AS (SELECT *, CASE WHEN {gate} THEN 'NOT_APPLICABLE' WHEN n = 0 THEN "
         f"'{none}' ELSE 'VALUE' END AS status FROM c) SELECT case_id, '{metric}' AS metric_id, status, CASE WHEN status = 'VALUE' THEN "
         "round(m / n::DOUBLE, 6) ELSE -1 END AS value, CASE WHEN status = 'VALUE' THEN n ELSE 0 END AS labelled_count, CASE WHEN "
         "status = 'VALUE' THEN m ELSE 0 END AS matched_count FROM s"
@@ -242,19 +247,19 @@ def _fact_sql(metric: str, facts: str, none: str, gate: str) -> str:
 
 @query("metric_fact_coverage", _fact_sql(M.FACT_COVERAGE, "expected", "INSUFFICIENT_LABELS", "answerability <> 'answerable'"))
 def metric_fact_coverage(t):
-    return _shown(M.fact_metric(fact_cases(t), first_answers(t), True))
+    return _shown(M.fact_metric(fact_cases(t), selected_answers(t), True))
 
 
 @query("metric_fact_violation", _fact_sql(M.FACT_VIOLATION, "forbidden", "NOT_APPLICABLE", "FALSE"))
 def metric_fact_violation(t):
-    return _shown(M.fact_metric(fact_cases(t), first_answers(t), False))
+    return _shown(M.fact_metric(fact_cases(t), selected_answers(t), False))
 
 
 piece(
     "cit_rows",
     "SELECT case_id, k, regexp_full_match(k, 'cit_[a-f0-9]{32}') AS formed, EXISTS (SELECT 1 FROM cv_ev e WHERE e.query_id = "
-    "case_id AND e.citation_key = k) AS held FROM (SELECT case_id, unnest(keys) AS k FROM first_ans)",
-    "first_ans", "cv_ev",
+    "case_id AND e.citation_key = k) AS held FROM (SELECT case_id, unnest(keys) AS k FROM picked_ans)",
+    "picked_ans", "cv_ev",
 )
 
 
@@ -265,36 +270,36 @@ piece(
     "ELSE 'unsupported' END AS decision_id FROM cit_rows",
 )
 def citation_matches(t):
-    return M.citation_matches(first_answers(t), X.conv_evidence(t), first_verifications(t)).drop("position")
+    return M.citation_matches(selected_answers(t), X.conv_evidence(t), selected_verifications(t)).drop("position")
 
 
 @query(
     "metric_citation_precision",
-    with_pieces("cit_rows", "fact_cases_in", "first_ans")
+    with_pieces("cit_rows", "fact_cases_in", "picked_ans")
     + "SELECT case_id, 'metric.citation.precision@1' AS metric_id, CASE WHEN len(required) = 0 THEN 'INSUFFICIENT_LABELS' ELSE 'VALUE' "
     "END AS status, CASE WHEN len(required) = 0 THEN -1 ELSE round(m / n::DOUBLE, 6) END AS value, CASE WHEN len(required) = 0 THEN 0 "
     "ELSE n END AS labelled_count, CASE WHEN len(required) = 0 THEN 0 ELSE m END AS matched_count FROM (SELECT case_id, count(*) AS n, "
     "count(*) FILTER (formed AND held) AS m FROM cit_rows GROUP BY 1) JOIN fact_cases_in USING (case_id)",
 )
 def metric_citation_precision(t):
-    matches = M.citation_matches(first_answers(t), X.conv_evidence(t), first_verifications(t))
-    return _shown(M.citation_precision(fact_cases(t), first_answers(t), matches))
+    matches = M.citation_matches(selected_answers(t), X.conv_evidence(t), selected_verifications(t))
+    return _shown(M.citation_precision(fact_cases(t), selected_answers(t), matches))
 
 
 @query(
     "metric_citation_recall",
-    with_pieces("cit_rows", "fact_cases_in", "first_ans")
+    with_pieces("cit_rows", "fact_cases_in", "picked_ans")
     + ", v AS (SELECT case_id, required, len(required) AS n, len(list_filter(required, lambda r: list_contains(coalesce(good, []), r))) "
     "AS m, list_sort(list_filter(required, lambda r: NOT list_contains(coalesce(good, []), r))) AS miss FROM fact_cases_in JOIN "
-    "first_ans USING (case_id) LEFT JOIN (SELECT case_id, list(DISTINCT k) AS good FROM cit_rows WHERE formed AND held GROUP BY 1) "
+    "picked_ans USING (case_id) LEFT JOIN (SELECT case_id, list(DISTINCT k) AS good FROM cit_rows WHERE formed AND held GROUP BY 1) "
     "USING (case_id)) SELECT case_id, 'metric.citation.recall@1' AS metric_id, CASE WHEN n = 0 THEN 'INSUFFICIENT_LABELS' ELSE 'VALUE' "
     "END AS status, CASE WHEN n = 0 THEN -1 ELSE round(m / n::DOUBLE, 6) END AS value, n AS labelled_count, m AS matched_count, "
     "array_to_string(miss, ',') AS missing FROM v",
 )
 def metric_citation_recall(t):
-    matches = M.citation_matches(first_answers(t), X.conv_evidence(t), first_verifications(t))
+    matches = M.citation_matches(selected_answers(t), X.conv_evidence(t), selected_verifications(t))
     return _shown(
-        M.citation_recall(fact_cases(t), first_answers(t), matches), F.array_join("missing_keys", ",").alias("missing")
+        M.citation_recall(fact_cases(t), selected_answers(t), matches), F.array_join("missing_keys", ",").alias("missing")
     )
 
 
@@ -429,20 +434,20 @@ def answer_reports(t):
     """Decision, citation and fact reports with ids and slices."""
     case_slices = fact_cases(t).select("case_id", "slices")
     columns = ["case_id", "metric_id", "owner", "status", "value", "labelled_count", "matched_count", "slices"]
-    matches = M.citation_matches(first_answers(t), X.conv_evidence(t), first_verifications(t))
-    cited = M.citation_precision(fact_cases(t), first_answers(t), matches).join(case_slices, "case_id")
-    facts = M.fact_metric(fact_cases(t), first_answers(t), False).join(case_slices, "case_id")
+    matches = M.citation_matches(selected_answers(t), X.conv_evidence(t), selected_verifications(t))
+    cited = M.citation_precision(fact_cases(t), selected_answers(t), matches).join(case_slices, "case_id")
+    facts = M.fact_metric(fact_cases(t), selected_answers(t), False).join(case_slices, "case_id")
     reports = decision_reports(t).select(*columns).unionByName(cited.select(*columns)).unionByName(facts.select(*columns))
     return report_ids(reports), report_ids(matches.withColumn("metric_id", F.lit(M.CITATION_PRECISION)))
 
 
 @query(
     "evaluate_gates",
-    with_pieces("dec_reports", "cit_rows", "fact_cases_in", "first_ans", "fact_w")
+    with_pieces("dec_reports", "cit_rows", "fact_cases_in", "picked_ans", "fact_w")
     + ", fact AS (SELECT case_id, len(forbidden) AS n, len(list_filter(forbidden, lambda f: contains(folded, f))) AS m FROM fact_cases_in "
-    "JOIN first_ans USING (case_id)), dec AS (SELECT count(*) AS n, count(value) AS v, avg(value) AS mean FROM dec_reports WHERE "
+    "JOIN picked_ans USING (case_id)), dec AS (SELECT count(*) AS n, count(value) AS v, avg(value) AS mean FROM dec_reports WHERE "
     "metric_id = 'metric.decision.answerability-precision@1'), cit AS (SELECT count(*) AS n, count(*) FILTER (len(required) > 0) AS v, "
-    "(SELECT bool_or(NOT formed OR NOT held) FROM cit_rows) AS bad FROM fact_cases_in JOIN first_ans USING (case_id)), forb AS (SELECT "
+    "(SELECT bool_or(NOT formed OR NOT held) FROM cit_rows) AS bad FROM fact_cases_in JOIN picked_ans USING (case_id)), forb AS (SELECT "
     "count(*) AS n, count(*) FILTER (fact.n > 0) AS v, avg(m / fact.n::DOUBLE) FILTER (fact.n > 0) AS mean FROM fact JOIN fact_w ON case_id = "
     "'conv-' || conv_id WHERE fact_w.n >= 7) "
     "SELECT 'g-recall' AS gate_id, 'INSUFFICIENT' AS state, 'NO_SELECTED_REPORTS' AS reason, 0 AS sample_count, -1.0 AS value UNION ALL "
