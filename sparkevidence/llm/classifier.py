@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_texts, stage, steps, texts_of
+from .common import in_arrow, map_texts, stage, steps, texts_of, WORD
 from .quality_rules import repetition
 
 _words = re.compile(WORD).findall
@@ -128,7 +128,7 @@ def class_moments(features: DataFrame, labels: DataFrame, key: str, label: str)
         at = np.indices(sums.shape).reshape(3, -1)
         yield pa.RecordBatch.from_arrays([*(pa.array(a.astype(np.int32)) for a in at), pa.array(sums.reshape(-1))], names=["k", "i", "j", "v"])
 
-    cells = rows.filter("label IN (0, 1)").select("x", "label").mapInArrow(run, "k int, i int, j int, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v"))
+    cells = in_arrow(rows.filter("label IN (0, 1)").select("x", "label"), run, "k int, i int, j int, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v"))
     out = np.zeros((2, width, width))
     for r in cells.collect():
         out[r["k"], r["i"], r["j"]] = r["v"]
@@ -164,7 +164,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                 names=[key, "held_out", "score", "predicted"])
 
     kind = features.schema[key].dataType.simpleString()
-    return features.select(key, held.alias("held_out"), "x").mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    return in_arrow(features.select(key, held.alias("held_out"), "x"), run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -175,4 +175,4 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float =
             for part in steps(batch, text):
                 yield part.filter(pa.array(model.score(statistics(texts_of(part, text))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

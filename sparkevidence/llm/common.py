@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one step inside a task handles together; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
+#: Rows of one Arrow batch of texts.
+BATCH_ROWS = 1000
 #: The white space that separates words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +72,34 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow for rows that hold whole texts.
+
+    Batches of at most BATCH_ROWS rows (a lower setting of the session stays) keep the copies small that the
+    executor and the Python worker hold, and a worker hands unused memory back after its task: it serves
+    the next stages too.
+    """
+    spark = df.sparkSession
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]], dict[str, np.ndarray | list]], fields: str) -> DataFrame:
     """Columns `keep` of df, then those that fn computes from the whole texts, one row for each row.
 
@@ -85,4 +117,4 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]
                 columns = [part.column(c) for c in keep] + [pa.array(out[n]) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
-    return source.mapInArrow(run, schema)
+    return in_arrow(source, run, schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, steps, texts_of
+from .common import in_arrow, map_texts, steps, texts_of
 
 ENTRY = 64
 #: Entries whose term maxima are kept together.
@@ -256,7 +256,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                             ],
                             names=names)
 
-        found = source.mapInArrow(run, schema)
+        found = in_arrow(source, run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -272,5 +272,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
                     clean[[t for t, *_ in index.search(texts_of(part, text))]] = False
                     yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_arrow(docs, run, docs.schema)
     return docs

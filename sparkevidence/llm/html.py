@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, texts_of
+from .common import in_arrow, steps, texts_of
 
 SALTS = 32
 
@@ -211,7 +211,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 hosts, paths = zip(*votes) if votes else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes.values(), pa.int64())], names=["host", "path", "votes"])
 
-    counted = pages.select("host", "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    counted = in_arrow(pages.select("host", "html"), vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     first = F.struct((-F.col("votes")).alias("v"), F.col("path").alias("path"))
     return counted.groupBy("host").agg(F.min(first).alias("best")).select("host", F.col("best.path").alias("path"))
 
@@ -232,4 +232,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     names=[key, url, "text", "n_chars"])
 
     types = {c: joined.schema[c].dataType.simpleString() for c in ("key", "url")}
-    return joined.mapInArrow(run, f"`{key}` {types['key']}, `{url}` {types['url']}, text string, n_chars long")
+    return in_arrow(joined, run, f"`{key}` {types['key']}, `{url}` {types['url']}, text string, n_chars long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, steps, texts_of
+from .common import in_arrow, stage, steps, texts_of
 from .html import Page
 
 BINS = 1 << 13
@@ -63,7 +63,7 @@ def text_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple
             at = at if len(at) else np.array([0])
             yield pa.RecordBatch.from_arrays([pa.array([own] * len(at)), pa.array(at.astype(np.int32)), pa.array(values[at])], names=["lang", "bin", "n"])
 
-    rows = source.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
+    rows = in_arrow(source, count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in rows})
     counts = np.full((len(langs), BINS), 0.5)
     place = {own: k for k, own in enumerate(langs)}
@@ -93,7 +93,7 @@ def _scored(source: DataFrame, langs: list[str], model: np.ndarray, pages: bool)
                     [*(part.column(c) for c in keep), pa.array(declared, pa.string()), pa.array(best, pa.int32()), pa.array(scores, pa.list_(pa.float64()))],
                     names=[*keep, "declared", "text_lang", "scores"])
 
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in types.items()), "declared string, text_lang int, scores array<double>"]))
+    return in_arrow(source, run, ", ".join([*(f"`{c}` {t}" for c, t in types.items()), "declared string, text_lang int, scores array<double>"]))
 
 
 def page_source(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, stage, steps, texts_of
+from .common import drop_staged, in_arrow, stage, steps, texts_of
 
 BLOCK_TOKENS = 2_000_000
 #: Entries that one range merges, about.
@@ -130,7 +130,7 @@ def encode(docs: DataFrame, key: str, text: str, held_out: Column, order: int, b
         if parts:
             yield from rows(block, ids, held, parts)
 
-    return source.mapInArrow(run, schema)
+    return in_arrow(source, run, schema)
 
 
 def totals(grams: DataFrame, ranges: int) -> DataFrame:
@@ -171,7 +171,7 @@ def totals(grams: DataFrame, ranges: int) -> DataFrame:
             "seen": pa.array([int((sums > 0).sum())] * len(rows), pa.int64()), "sum": pa.array([int(sums.sum())] * len(rows), pa.int64()),
         })
 
-    cuts = grams.select("order", "block", "n", "hashes", "counts").mapInArrow(cut, "`order` int, `range` int, block long, n long, hashes binary, counts binary")
+    cuts = in_arrow(grams.select("order", "block", "n", "hashes", "counts"), cut, "`order` int, `range` int, block long, n long, hashes binary, counts binary")
     return cuts.groupBy("order", "range").applyInArrow(merge, "block long, `order` int, `range` int, n long, sums binary, seen long, sum long")
 
 
@@ -237,5 +237,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Co
                     ],
                     names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(
-        run, f"`{key}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return in_arrow(
+        rows, run, f"`{key}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

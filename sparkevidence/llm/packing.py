@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, steps, texts_of
+from .common import in_arrow, stage, steps, texts_of
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-_REMEMBERED = 600_000
+_REMEMBERED = 400_000
 #: Sequences of letters whose ids a task remembers.
-_REMEMBERED_LETTERS = 1_200_000
+_REMEMBERED_LETTERS = 700_000
 _LONGEST_REMEMBERED = 64
 #: Words encoded in one call; an encoding holds far more than its ids.
 _ENCODED = 2048
@@ -165,7 +165,7 @@ def tokenize(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
                     names=names,
                 )
 
-    return source.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, block int, nth long")
+    return in_arrow(source, run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, block int, nth long")
 
 
 def fullest(left: dict[int, int], capacity: int) -> dict[int, int]:

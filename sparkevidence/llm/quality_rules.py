@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import SPACES, WORD, map_texts
+from .common import in_arrow, map_texts, SPACES, WORD
 
 #: Lengths of the n-grams; 3 also serves the base count of repeated words.
 LENGTHS = (3, 5, 7, 10)
@@ -139,7 +139,7 @@ def filter_rules(docs: DataFrame, text: str = "text", rules: Rules = Rules()) ->
                 _, kept = judge(repetition(texts_of(part, text)), rules)
                 yield part.filter(kept)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def rules_sql(table: str = "documents", rules: Rules = Rules()) -> str:
