@@ -8,6 +8,7 @@ then every block emits its own groups. A document longer than one block is packe
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -539,10 +540,17 @@ def chunk_rejects(elements: DataFrame, config: ChunkConfig, tables=None, cells=N
 
 
 def enrich(
-    chunks: DataFrame, fields: dict[str, str | int | float | bool], producer: str, config_digest: str
+    chunks: DataFrame, fields: dict[str, str | int | float | bool | list], producer: str, config_digest: str
 ) -> DataFrame:
-    """Add constant fields with provenance; chunks that already hold one of them are left out."""
-    kinds = {str: "string", bool: "boolean", int: "integer", float: "number"}
+    """Add constant fields with their producer and the chunk they were made for; lists are kept as JSON.
+    Chunks that already hold one of the fields are left out."""
+    kinds = {str: "string", bool: "boolean", int: "integer", float: "number", list: "list"}
+
+    def shown(value: object) -> str:
+        if isinstance(value, list):
+            return json.dumps(value, ensure_ascii=False)
+        return str(value).lower() if isinstance(value, bool) else str(value)
+
     added = F.create_map(
         *[
             part
@@ -550,10 +558,11 @@ def enrich(
             for part in (
                 F.lit(name),
                 F.struct(
-                    F.lit(str(value).lower() if isinstance(value, bool) else str(value)).alias("value"),
+                    F.lit(shown(value)).alias("value"),
                     F.lit(kinds[type(value)]).alias("value_type"),
                     F.lit(producer).alias("producer"),
                     F.lit(config_digest).alias("config_digest"),
+                    F.col("chunk_id").alias("source_chunk_id"),
                 ),
             )
         ]

@@ -134,6 +134,14 @@ def _admit(steps: Column, config: ContextConfig) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["out"])
 
 
+def candidate_rejects(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidates whose chunk is not in their index; assemble() has no text to quote for them."""
+    return candidates.join(docs.select("index_id", "chunk_id"), ["index_id", "chunk_id"], "left_anti").select(
+        F.lit("candidate").alias("entity"), F.col("chunk_id").alias("id"), F.lit("chunk_exists").alias("rule"),
+        F.lit("CONTEXT_INPUT_INVALID").alias("code"),
+    )
+
+
 def assemble(candidates: DataFrame, docs: DataFrame, config: ContextConfig = ContextConfig()) -> DataFrame:
     """One row per considered chunk: query_id, source_rank, reason, and for selected ones the item.
 

@@ -167,7 +167,14 @@ def list_documents(
     place = F.row_number().over(Window.orderBy(F.desc("registered_at"), F.desc("source_id")))
     placed = page.withColumn("position", place).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
     field = lambda path: F.nullif(F.get_json_object("resolution_json", path), F.lit(""))
-    return placed.filter(F.col("position") <= limit).join(latest_output(artifacts, attempts), "run_id", "left").select(
+    shown = placed.filter(F.col("position") <= limit)
+    # Only the runs on the page are looked up among the artifacts and attempts.
+    asked = shown.select("run_id").distinct()
+    outputs = latest_output(
+        artifacts.join(asked.withColumnRenamed("run_id", "producing_run_id"), "producing_run_id", "left_semi"),
+        attempts.join(asked, "run_id", "left_semi"),
+    )
+    return shown.join(outputs, "run_id", "left").select(
         "position", "source_id", "run_id", "filename", "media_type", "registered_at", "byte_size", "run_state",
         field("$.observables.extension").alias("format"), field("$.observables.document_class").alias("document_class"),
         field("$.selected_profile_id").alias("profile_id"), "output_artifact_id",

@@ -140,7 +140,7 @@ def check_chunks(chunks: DataFrame) -> DataFrame:
         .when(F.size(F.array_distinct("source_element_ids")) != F.size("source_element_ids"), "unique_sources")
         .when(F.array_sort(cited) != F.array_sort("source_element_ids"), "citation_set")
     )
-    if "enrichments" in chunks.columns and "source_chunk_id" in str(chunks.schema["enrichments"].dataType):
+    if "enrichments" in chunks.columns:
         foreign = F.exists(
             F.map_values("enrichments"), lambda v: v["source_chunk_id"] != F.col("chunk_id")
         )

@@ -91,7 +91,7 @@ def _search_docs(t: Tables) -> DataFrame:
             F.lit("document_class"),
             F.struct(
                 size.alias("value"), F.lit("string").alias("value_type"),
-                F.lit("size").alias("producer"), F.lit("c1").alias("config_digest"),
+                F.lit("size").alias("producer"), F.lit("c1").alias("config_digest"), F.col("chunk_id").alias("source_chunk_id"),
             ),
         ).alias("enrichments"),
     )

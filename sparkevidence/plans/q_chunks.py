@@ -265,16 +265,16 @@ def chunk_metrics(t):
 @query(
     "enrich",
     with_pieces("fx_chunks")
-    + "SELECT chunk_id, 'long' AS document_class, 'alpha' AS team, 'string' AS value_type, 'enricher@1' AS producer "
-    "FROM fx_chunks WHERE n_chars > 2000 AND FALSE UNION ALL SELECT chunk_id, CASE WHEN n_chars > 2000 THEN 'long' ELSE "
-    "'short' END, 'alpha', 'string', 'enricher@1' FROM fx_chunks",
+    + "SELECT chunk_id, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS document_class, 'alpha' AS team, 'string' AS value_type, "
+    "'enricher@1' AS producer, '[\"a\", \"b\"]' AS tags, 'list' AS tags_type, chunk_id AS made_for FROM fx_chunks",
 )
 def enrich(t):
-    made = C.enrich(B.search_docs(t), {"team": "alpha"}, "enricher@1", "c2")
+    made = C.enrich(B.search_docs(t), {"team": "alpha", "tags": ["a", "b"]}, "enricher@1", "c2")
     return made.select(
         "chunk_id", F.col("enrichments.document_class.value").alias("document_class"),
         F.col("enrichments.team.value").alias("team"), F.col("enrichments.team.value_type").alias("value_type"),
-        F.col("enrichments.team.producer").alias("producer"),
+        F.col("enrichments.team.producer").alias("producer"), F.col("enrichments.tags.value").alias("tags"),
+        F.col("enrichments.tags.value_type").alias("tags_type"), F.col("enrichments.tags.source_chunk_id").alias("made_for"),
     )
 
 

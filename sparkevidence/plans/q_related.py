@@ -158,7 +158,7 @@ def own_chunks_pass(t):
     docs = tree_docs(t).withColumnRenamed("keyword_text", "content").withColumn(
         "source_element_ids", F.transform("citations", lambda c: c["element_id"])
     ).withColumn("token_count", F.size(F.filter(F.split("content", r"\s+"), lambda w: w != "")))
-    return rules.check_chunks(docs.drop("enrichments")).select("entity", "id", "rule")
+    return rules.check_chunks(docs).select("entity", "id", "rule")
 
 
 @query("own_embeddings_pass", "SELECT 'embedding' AS entity, '' AS id, '' AS rule FROM documents WHERE doc_id < 0")

@@ -115,7 +115,7 @@ OCR_EXCHANGE = T.StructType(
         ),
     ]
 )
-ENRICHMENT = "struct<value string, value_type string, producer string, config_digest string>"
+ENRICHMENT = "struct<value string, value_type string, producer string, config_digest string, source_chunk_id string>"
 SLICES = (
     "format", "processing_class", "native_ocr", "structure",
     "language", "question_class", "difficulty", "criticality",

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkevidence.operators import chunking as C
+from sparkevidence.operators import rules
 from sparkevidence.operators import structure as S
-from sparkevidence.schemas import locator
+from sparkevidence.schemas import ENRICHMENT, locator
 
 
 def greedy(tokens, breaks, limit, overlap, most):
@@ -159,3 +160,14 @@ def test_layout_order(spark):
     swapped = df.withColumn("parent_id", F.when(F.col("id") == "kid", "mum").otherwise(F.col("parent_id")))
     made = {(r.document_id, r.id): r.reading_order for r in S.layout_order(swapped).collect()}
     assert made == {("d", "title"): 0, ("d", "right"): 1, ("d", "next"): 2}
+
+
+def test_enrichment_of_another_chunk_is_refused(spark):
+    rows = spark.sql("select 'd' document_id, id chunk_id, 'one two' content, 2 token_count, array('e') source_element_ids, "
+                     "array(named_struct('element_id', 'e')) citations, cast(null as string) parent_chunk_id, array() child_chunk_ids, "
+                     "map() enrichments from values ('a'), ('b') t(id)").withColumn("child_chunk_ids", F.col("child_chunk_ids").cast("array<string>"))
+    kind = f"map<string,{ENRICHMENT}>"
+    made = C.enrich(rows.withColumn("enrichments", F.from_json(F.lit("{}"), kind)), {"k": [1, 2]}, "p", "c")
+    assert {r.enrichments["k"].source_chunk_id for r in made.collect()} == {"a", "b"} and rules.check_chunks(made).isEmpty()
+    moved = made.withColumn("chunk_id", F.concat(F.lit("x"), "chunk_id"))
+    assert {r.rule for r in rules.check_chunks(moved).collect()} == {"enrichment_provenance"}
