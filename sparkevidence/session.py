@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -40,14 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table when the driver ends; a session that has ended before keeps it."""
+    if spark.sparkContext._jsc is not None:
+        home = spark._jvm.org.apache.hadoop.fs.Path(path)
+        home.getFileSystem(spark._jsc.hadoopConfiguration()).delete(home, True)
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: later stages survive executor loss."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
