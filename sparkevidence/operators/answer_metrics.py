@@ -90,6 +90,18 @@ def citation_matches(answers: DataFrame, evidence: DataFrame, verifications: Dat
     )
 
 
+def missing_citations(cases: DataFrame, answers: DataFrame, matches: DataFrame) -> DataFrame:
+    """Required keys that the answer does not validly cite, as match rows with the decision `missing`."""
+    required = cases.join(answers.select("case_id").distinct(), "case_id").select(
+        "case_id", F.explode(F.array_distinct("required_citation_keys")).alias("citation_key")
+    )
+    valid = matches.filter("relevant").select("case_id", "citation_key").distinct()
+    return required.join(valid, ["case_id", "citation_key"], "left_anti").select(
+        "case_id", F.lit(None).cast("int").alias("position"), "citation_key", F.lit(False).alias("relevant"),
+        F.lit("missing").alias("decision_id"),
+    )
+
+
 def citation_precision(cases: DataFrame, answers: DataFrame, matches: DataFrame) -> DataFrame:
     """Valid over generated keys; cases without required keys have too few labels."""
     counts = matches.groupBy("case_id").agg(

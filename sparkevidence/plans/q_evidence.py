@@ -268,6 +268,21 @@ def decision_path(t):
     return G.decision_path(stages).drop("document_id")
 
 
+@query(
+    "fusion_rejects",
+    "SELECT query_id AS id, CASE WHEN n % 3 = 0 THEN 'one_index' ELSE 'distinct_sets' END AS rule FROM (SELECT 'q-' || item_id AS "
+    "query_id, item_id AS n FROM benchmark) WHERE n % 3 = 0 OR n % 5 = 0",
+)
+def fusion_rejects(t):
+    """Questions with a second set from another index, or from the contributor of the first."""
+    n = F.col("item_id")
+    one = t.benchmark.select(F.concat(F.lit("q-"), n).alias("query_id"), F.lit("a").alias("contributor_id"), F.lit("i").alias("index_id"))
+    two = t.benchmark.select(
+        F.concat(F.lit("q-"), n).alias("query_id"), F.when(n % 5 == 0, "a").otherwise("b").alias("contributor_id"),
+        F.when(n % 3 == 0, "j").otherwise("i").alias("index_id"))
+    return U.fusion_rejects(one, two).select("id", "rule")
+
+
 # ---------------------------------------------------------------- answers from conversations
 
 VERIFY = G.VerifyConfig(minimum_items=1, forbidden_phrases=("the the", "DE DE"))

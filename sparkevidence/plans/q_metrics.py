@@ -273,6 +273,32 @@ def citation_matches(t):
     return M.citation_matches(selected_answers(t), X.conv_evidence(t), selected_verifications(t)).drop("position")
 
 
+@query(
+    "missing_citations",
+    with_pieces("cit_rows", "fact_cases_in", "picked_ans")
+    + "SELECT case_id, k AS citation_key, 'missing' AS decision_id FROM (SELECT DISTINCT case_id, unnest(required) AS k FROM "
+    "fact_cases_in JOIN picked_ans USING (case_id)) r WHERE NOT EXISTS (SELECT 1 FROM cit_rows c WHERE c.case_id = r.case_id AND "
+    "c.k = r.k AND formed AND held)",
+)
+def missing_citations(t):
+    matches = M.citation_matches(selected_answers(t), X.conv_evidence(t), selected_verifications(t))
+    return M.missing_citations(fact_cases(t), selected_answers(t), matches).select("case_id", "citation_key", "decision_id")
+
+
+@query(
+    "fact_matches",
+    with_pieces("fact_cases_in", "picked_ans")
+    + "SELECT case_id, f AS fact, len(regexp_extract_all(folded, regexp_escape(f)))::BIGINT AS places FROM (SELECT case_id, folded, "
+    "unnest(expected) AS f FROM fact_cases_in JOIN picked_ans USING (case_id)) WHERE contains(folded, f)",
+)
+def fact_matches(t):
+    """How often each expected fact stands in the answer, counted from its spans."""
+    facts = M.fact_labels(fact_cases(t), "expected_facts").withColumn(
+        "source_id", F.concat(F.lit("fact:"), F.substring(F.sha2("fact", 256), 1, 32)))
+    found = M.fact_matches(fact_cases(t), selected_answers(t), "expected_facts").filter("span_end > span_start")
+    return found.join(facts, ["case_id", "source_id"]).groupBy("case_id", "fact").agg(F.count(F.lit(1)).alias("places"))
+
+
 @query(
     "metric_citation_precision",
     with_pieces("cit_rows", "fact_cases_in", "picked_ans")

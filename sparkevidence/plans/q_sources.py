@@ -44,6 +44,16 @@ def intake(t):
     return N.intake(files(t))
 
 
+@query(
+    "intake_rejects",
+    "SELECT doc_id::VARCHAR AS id, 'content_size' AS rule FROM documents WHERE doc_id % 40 IN (3, 5)",
+)
+def intake_rejects(t):
+    """Every fortieth file is emptied and another one has lost its content."""
+    broken = F.when(F.col("document_id") % 40 == 3, F.lit("")).when(F.col("document_id") % 40 != 5, F.col("content"))
+    return N.intake_rejects(files(t).withColumn("content", broken)).select("id", "rule")
+
+
 @query(
     "dedupe_sources",
     with_pieces("files_in")
