@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one step inside a task handles together; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Rows of one Arrow batch of texts.
 BATCH_ROWS = 1000
 #: The white space that separates words: space and \t \n \v \f \r.
@@ -48,7 +48,8 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[Da
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    # Small row groups: a writer holds one in memory.
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20))
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     atexit.register(drop_staged, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -91,8 +92,26 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(bounded, schema)
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps from one task to the next, as long as tasks ask for it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    _asked.add(key)
+    return _held[key]
+
+
+_asked: set[object] = set()
+
+
 def release() -> None:
-    """Give freed memory back to the system, where the C library can."""
+    """At the end of a task: drop what it did not ask for, and give freed memory back where the C library can."""
+    if not _asked:
+        _held.clear()
+    _asked.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

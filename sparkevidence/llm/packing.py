@@ -24,21 +24,20 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, stage, steps, texts_of
+from .common import held, in_arrow, stage, steps, texts_of
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-_REMEMBERED = 400_000
+_REMEMBERED = 250_000
 #: Sequences of letters whose ids a task remembers.
-_REMEMBERED_LETTERS = 700_000
+_REMEMBERED_LETTERS = 500_000
 _LONGEST_REMEMBERED = 64
 #: Words encoded in one call; an encoding holds far more than its ids.
 _ENCODED = 2048
@@ -128,12 +127,6 @@ class WordTokenizer:
         return found
 
 
-@lru_cache(maxsize=1)
-def word_tokenizer(path: str) -> WordTokenizer:
-    """The worker's tokenizer: what one task has learnt serves the next one in the same process."""
-    return WordTokenizer(path)
-
-
 def tokenize(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces: key, piece, start, length, ids_crc32, and (block, nth): its number among the pieces of
     this length in one task. Writes nothing; the numbers hold for one evaluation, so stage the result."""
@@ -143,7 +136,8 @@ def tokenize(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     kind = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokenizer(vocabulary)
+        # What one task has learnt serves the next one in the same worker.
+        tokenizer = held(("tokenizer", vocabulary), lambda: WordTokenizer(vocabulary))
         used = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in steps(batch, text):

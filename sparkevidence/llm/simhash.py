@@ -225,4 +225,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     ids = staged.select("__row", F.col(f"`{key}`").alias("__key"))
     order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__row").alias("row"))
     keepers = groups.join(ids, "__row").groupBy("__group").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row"))
-    return staged.join(keepers, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    # The row numbers are hashed, so the texts are shuffled but not sorted.
+    return staged.join(keepers.hint("shuffle_hash"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
