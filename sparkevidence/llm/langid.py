@@ -35,6 +35,8 @@ BINS = 1 << 13
 TRUST = 0.6
 #: Votes that the wider level of a prior counts for.
 STRENGTH = 5.0
+#: Keys over which the rows of one host, domain, suffix or declared language are spread.
+SALTS = 32
 _declared = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 
 
@@ -113,9 +115,10 @@ def document_source(docs: DataFrame, key: str = "doc_id", text: str = "text", so
 
 
 def _votes(staged: DataFrame, by: str, size: int) -> DataFrame:
-    """Votes of each language for each value of a column, as an array."""
+    """Votes of each language for each value of a column, as an array, once for each salt."""
     sums = [F.count(F.when(F.col("text_lang") == k, 1)) for k in range(size)]
-    return staged.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias(f"_{by}")).agg(F.array(*sums).alias(f"{by}_votes"))
+    counted = staged.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias(f"_{by}")).agg(F.array(*sums).alias(f"{by}_votes"))
+    return counted.withColumn(f"_{by}_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -131,7 +134,11 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     total = max(1, sum(overall))
     # A quarter vote for each language keeps every prior above zero.
     prior = [(n + 0.25) / (total + 0.25 * size) for n in overall]
-    rows = reduce(lambda df, by: df.join(_votes(staged, by, size), F.col(by) == F.col(f"_{by}"), "left"), ["host", "domain", "suffix", "declared"], staged)
+    # A host or suffix of a third of all rows meets its votes under many salts.
+    salted = staged.withColumn("salt", F.pmod(F.xxhash64("doc_id", "page_id"), F.lit(SALTS)).cast("int"))
+    rows = reduce(
+        lambda df, by: df.join(_votes(staged, by, size), (F.col(by) == F.col(f"_{by}")) & (F.col("salt") == F.col(f"_{by}_salt")), "left"),
+        ["host", "domain", "suffix", "declared"], salted)
 
     def own(k: int, by: str) -> Column:
         """Votes for language k of this row's value, without the row's own."""
