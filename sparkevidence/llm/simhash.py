@@ -39,9 +39,10 @@ SEGMENTS = 5
 #: Buckets up to this size are compared pair by pair; larger ones through values within one bit.
 PAIRED = 32
 SEED = 42
-#: The wider search of keep_one(): five-word shingles, similarity, bins of a signature and bands of bins.
+#: The wider search of keep_one(): five-word shingles, and the share of both texts' shingles that near copies have in common.
 SIMILAR_SHINGLE = 5
-#: 0.8 less about one and a half standard errors of the estimate, so that pairs of 0.8 are found.
+NEAR = (4, 5)
+#: signature(): bins, bands of bins, and 0.8 less about one and a half standard errors of the estimate.
 SIMILARITY = 0.75
 BINS, BANDS = 128, 25
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -169,6 +170,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return assign(staged, key).select(F.col(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: str, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Distinct hashes of the text's word shingles, sorted without sign; fewer words than a shingle are one."""
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return np.empty(0, np.int64)
+    n = max(1, len(words) - shingle + 1)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, n)).view(np.int64)
+
+
 def signature(text: str, shingle: int = SIMILAR_SHINGLE, bins: int = BINS) -> bytes:
     """Smallest hash of the text's shingles in each of `bins` parts of the hash space; empty bins take over
     the next filled one. The share of equal bins estimates the Jaccard similarity of two texts."""
@@ -187,8 +198,20 @@ def signature(text: str, shingle: int = SIMILAR_SHINGLE, bins: int = BINS) -> by
     return ((order[first[take]] & np.uint64(0xFFFFFFFF)).astype(np.uint32) + away.astype(np.uint32) * np.uint32(0x9E3779B1)).astype("<u4").tobytes()
 
 
-def similar_links(signed: DataFrame, least: float = SIMILARITY, bands: int = BANDS, bins: int = BINS) -> DataFrame:
-    """Links (a > b) between rows of (id, sig) whose signatures agree in `least` of their bins.
+def alike(pairs: DataFrame, docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """The pairs (a, b) of rows of docs (id, text) that have at least `near` of their shingles in common, counted exactly."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own, _ = stage(map_texts(docs.join(asked.hint("shuffle_hash"), "id", "left_semi"), ["id"], "text",
+                             lambda texts: {"own": [shingles(t) for t in texts]}, "own array<long>"), "shingles")
+    sides = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("one")), "a").join(
+        own.select(F.col("id").alias("b"), F.col("own").alias("two")), "b")
+    part, whole = near
+    common = F.size(F.array_intersect("one", "two"))
+    return sides.filter(common * (part + whole) >= (F.size("one") + F.size("two")) * part).select("a", "b")
+
+
+def proposals(signed: DataFrame, bands: int = BANDS, bins: int = BINS) -> DataFrame:
+    """Pairs (a > b) of rows of (id, sig) whose signatures agree in a band; alike() decides about them.
 
     Rows that agree in all bins of a band meet in a bucket; each is held against the bucket's smallest id,
     so a bucket of thousands gives a star. A pair that a star misses has other bands to meet in.
@@ -197,12 +220,7 @@ def similar_links(signed: DataFrame, least: float = SIMILARITY, bands: int = BAN
     cut = [F.struct(F.lit(k).alias("band"), F.xxhash64(F.expr(f"substring(sig, {4 * width * k + 1}, {4 * width})")).alias("value")) for k in range(bands)]
     keyed = signed.filter(F.octet_length("sig") > 0).select("id", F.explode(F.array(*cut)).alias("k")).select("id", "k.band", "k.value")
     centers = keyed.groupBy("band", "value").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    pairs = keyed.join(centers, ["band", "value"]).filter("id > b").select(F.col("id").alias("a"), "b").distinct()
-    sides = pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("one")), "a").join(
-        signed.select(F.col("id").alias("b"), F.col("sig").alias("two")), "b")
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), F.lit(0), lambda n, k: n + F.when(
-        F.substring("one", 4 * k + 1, F.lit(4)) == F.substring("two", 4 * k + 1, F.lit(4)), 1).otherwise(0))
-    return sides.filter(same >= least * bins).select("a", "b")
+    return keyed.join(centers, ["band", "value"]).filter("id > b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,7 +238,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     linked, _ = stage(assign(staged.select("__row", F.col("__fp").alias("fp")), "__row").select("__row", F.col("component_id").alias("__group")), "groups")
     # Equal texts share a component; its other texts are held by links, so its first row may stand for it.
     heads = linked.filter("__row = __group").join(staged.select("__row", "__sig"), "__row").select(F.col("__row").alias("id"), F.col("__sig").alias("sig"))
-    wider = components(similar_links(heads))
+    proposed, _ = stage(proposals(heads), "pairs")
+    wider = components(alike(proposed, staged.select(F.col("__row").alias("id"), F.col(f"`{text}`").alias("text"))))
     groups = linked.join(wider, F.col("__group") == F.col("node"), "left").select("__row", F.coalesce("root", "__group").alias("__group"))
     ids = staged.select("__row", F.col(f"`{key}`").alias("__key"))
     order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__row").alias("row"))

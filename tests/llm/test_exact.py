@@ -166,6 +166,40 @@ def test_near_copies_by_similarity(spark):
     assert kept == set(range(0, 80, 4))
 
 
+def _shingles(text):
+    ws = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or ({tuple(ws)} if ws else set())
+
+
+def _near(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b) > 0
+
+
+def test_near_copies_are_decided_by_exact_shingles(spark):
+    """Pairs closely around 0.8: what an estimate would join below it, and what it would miss at it."""
+    rng, rows = random.Random(6), []
+    for n in range(60):
+        words = [f"p{n}w{i}" for i in range(304)]
+        copy = list(words)
+        # Changed words far from each other cost five shingles each: 6 of 300 give 270/330, 7 give 265/335.
+        for at in range(20, 20 + 40 * (6 + n % 2), 40):
+            copy[at] = f"c{rng.random()}"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))]
+    sets = dict((d, _shingles(t)) for d, t in rows)
+    want = {d for d, _ in rows if d % 2 == 0 or not _near(sets[d - 1], sets[d])}
+    assert len(want) == 90
+    assert {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_near_copies_of_the_given_table(spark, texts):
+    """Fingerprints within two bits or exact shingle sets alike at 0.8, over all pairs."""
+    fps, sets = [_fingerprint(t) for _, t in texts], [_shingles(t) for _, t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2 or _near(sets[i], sets[j])]
+    roots = _roots(range(len(texts)), near)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    assert kept == {d for i, (d, _) in enumerate(texts) if roots[i] == i}
+
+
 def test_retrieval_above_the_threshold_is_complete():
     """Every passage against every entry, without bounds; parts of items stand in noise of the same words."""
     rng = random.Random(4)
