@@ -42,6 +42,10 @@ SEED = 42
 #: The wider search of keep_one(): five-word shingles, and the share of both texts' shingles that near copies have in common.
 SIMILAR_SHINGLE = 5
 NEAR = (4, 5)
+#: Share of the texts asked for shingles of many texts, in how many of them, and how many shingles are ordered by it.
+ASKED, COMMON, ORDERED = 1 / 16, 4, 100_000
+#: Rows of a block of a bucket.
+BLOCK = 128
 #: signature(): bins, bands of bins, and 0.8 less about one and a half standard errors of the estimate.
 SIMILARITY = 0.75
 BINS, BANDS = 128, 25
@@ -210,37 +214,123 @@ def alike(pairs: DataFrame, docs: DataFrame, near: tuple[int, int] = NEAR) -> Da
     return sides.filter(common * (part + whole) >= (F.size("one") + F.size("two")) * part).select("a", "b")
 
 
-def proposals(signed: DataFrame, bands: int = BANDS, bins: int = BINS) -> DataFrame:
-    """Pairs (a > b) of rows of (id, sig) whose signatures agree in a band; alike() decides about them.
+def common_shingles(docs: DataFrame, text: str = "text", share: float = ASKED, least: int = COMMON, most: int = ORDERED) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, sorted, and their places from the rarer to the more common.
 
-    Rows that agree in all bins of a band meet in a bucket; each is held against the bucket's smallest id,
-    so a bucket of thousands gives a star. A pair that a star misses has other bands to meet in.
+    They only set the order in which prefix() takes shingles. Any order finds the same pairs; this one keeps
+    passages of many texts out of the prefixes of texts that have enough other shingles.
     """
-    width = bins // bands
-    cut = [F.struct(F.lit(k).alias("band"), F.xxhash64(F.expr(f"substring(sig, {4 * width * k + 1}, {4 * width})")).alias("value")) for k in range(bands)]
-    keyed = signed.filter(F.octet_length("sig") > 0).select("id", F.explode(F.array(*cut)).alias("k")).select("id", "k.band", "k.value")
-    centers = keyed.groupBy("band", "value").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    return keyed.join(centers, ["band", "value"]).filter("id > b").select(F.col("id").alias("a"), "b").distinct()
+    some = map_texts(docs.sample(share, seed=SEED), [], text, lambda texts: {"own": [shingles(t) for t in texts]}, "own array<long>")
+    counts = some.select(F.explode("own").alias("value")).groupBy("value").count().filter(F.col("count") >= least)
+    top = counts.orderBy(F.desc("count"), "value").limit(most).collect()
+    values = np.array([r["value"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], (len(top) - order).astype(np.int64)
+
+
+def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], near: tuple[int, int] = NEAR) -> np.ndarray:
+    """The first of a text's shingles, in an order that all texts share, of which a near copy must hold one.
+
+    Near copies have at least `near` of the larger set in common, so no more than the rest of it can be missing.
+    """
+    part, whole = near
+    values, places = common
+    free = own.view(np.uint64)
+    rank = np.zeros(len(own), np.int64)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, free), len(values) - 1)
+        rank = np.where(values[at] == free, places[at], 0)
+    return own[np.argsort(rank, kind="stable")][: len(own) + (part * len(own)) // -whole + 1 if len(own) else 0]
+
+
+def signed(texts: list[str], common: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray | list]:
+    sets = [shingles(t) for t in texts]
+    return {
+        "__fp": np.array([fingerprint(t) for t in texts], np.int64), "__set": [xxhash.xxh128_digest(own.tobytes()) for own in sets],
+        "__size": np.array([len(own) for own in sets], np.int32), "__prefix": [prefix(own, common) for own in sets]}
+
+
+def _enough(pairs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Pairs (a, b) of rows (a, b, a_size, b_size), one for each shared shingle of their prefixes, that can be near copies.
+
+    Of the one whose prefix ends first in the order, all common shingles stand in both prefixes or behind its
+    own; with the larger rest of the two the bound loses no pair.
+    """
+    part, whole = near
+    counted = pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("n"))
+    rest = F.ceil(F.greatest("a_size", "b_size") * part / whole) - 1
+    return counted.filter((F.col("n") + rest) * (part + whole) >= (F.col("a_size") + F.col("b_size")) * part).select("a", "b")
+
+
+def _sizes(one: Column, two: Column, near: tuple[int, int] = NEAR) -> Column:
+    """Whether sets of these sizes can be near copies."""
+    return F.least(one, two) * near[1] >= F.greatest(one, two) * near[0]
+
+
+def meetings(heads: DataFrame) -> DataFrame:
+    """Rows (value, id, size) of prefixes whose shingle other prefixes hold too, with that bucket's smallest id (b, b_size)."""
+    # Shuffled once, for the groups and the join. A shingle stands once in a prefix, so no bucket is more than a small part.
+    held = heads.select("id", "size", F.explode("prefix").alias("value")).repartition("value")
+    centers = held.groupBy("value").agg(F.min("id").alias("b"), F.min_by("size", "id").alias("b_size"), F.count("*").alias("n")).filter("n > 1")
+    return held.join(centers, "value").select("value", "id", "size", "b", "b_size")
+
+
+def stars(met: DataFrame) -> DataFrame:
+    """Each row of a bucket with the bucket's smallest id."""
+    fit = met.filter((F.col("id") > F.col("b")) & _sizes(F.col("size"), F.col("b_size")))
+    return _enough(fit.select(F.col("id").alias("a"), "b", F.col("size").alias("a_size"), "b_size"))
+
+
+def open_pairs(met: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every pair of a bucket whose rows are not connected yet.
+
+    All buckets of such a pair are here, so its shared shingles are counted in full. A bucket's rows are dealt
+    into blocks of about `block`, and each two blocks meet in a group of their own, so a list stays bounded
+    however many rows a bucket has.
+    """
+    known = met.join(roots, F.col("id") == F.col("node"), "left").select("value", "id", "size", F.coalesce("root", "id").alias("root"))
+    mixed = known.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    dealt = known.join(mixed.select("value", F.ceil(F.col("n") / block).cast("int").alias("parts")), "value").withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = other.groupBy("value", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(
+        F.collect_list(F.struct("id", "root", "size", "part")).alias("rows")).filter(F.size("rows") > 1)
+    sides = cells.select("p", "q", "rows", F.explode("rows").alias("x"))
+
+    def apart(y: Column) -> Column:
+        x = F.col("x")
+        return (y["id"] < x["id"]) & (y["root"] != x["root"]) & ((F.col("p") == F.col("q")) | (y["part"] != x["part"])) & _sizes(x["size"], y["size"])
+
+    pairs = sides.select("x", F.explode(F.filter("rows", apart)).alias("y"))
+    return _enough(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("a_size"), F.col("y.size").alias("b_size")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of docs, one for each group of near copies: the one with the smallest key (null last), then the first read.
 
-    A group joins texts whose fingerprints are linked and texts whose five-word shingles are similar. Two
-    fingerprint bits are much narrower than that similarity (see README), so the second search has its own
-    signatures; it runs over one row of each linked component.
+    A group joins texts whose fingerprints are linked and texts whose five-word shingles are alike (`NEAR`). Two
+    fingerprint bits are much narrower than that (see README), so the second search has prefixes of its own; it
+    runs over one row of each different set of shingles. Each bucket is first held against its smallest id, which
+    connects large groups by stars; then all pairs follow that are still unconnected.
     """
     columns = docs.columns
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    both = map_texts(numbered, [*columns, "__row"], text, lambda texts: {
-        "__fp": np.array([fingerprint(t) for t in texts], np.int64), "__sig": [signature(t) for t in texts]}, "__fp long, __sig binary")
+    common = common_shingles(docs, text)
+    both = map_texts(numbered, [*columns, "__row"], text, lambda texts: signed(texts, common),
+                     "__fp long, __set binary, __size int, __prefix array<long>")
     staged, _ = stage(both, "docs")
     linked, _ = stage(assign(staged.select("__row", F.col("__fp").alias("fp")), "__row").select("__row", F.col("component_id").alias("__group")), "groups")
-    # Equal texts share a component; its other texts are held by links, so its first row may stand for it.
-    heads = linked.filter("__row = __group").join(staged.select("__row", "__sig"), "__row").select(F.col("__row").alias("id"), F.col("__sig").alias("sig"))
-    proposed, _ = stage(proposals(heads), "pairs")
-    wider = components(alike(proposed, staged.select(F.col("__row").alias("id"), F.col(f"`{text}`").alias("text"))))
-    groups = linked.join(wider, F.col("__group") == F.col("node"), "left").select("__row", F.coalesce("root", "__group").alias("__group"))
+    filled = staged.filter("__size > 0").select(F.col("__row").alias("id"), F.col("__set").alias("set"), F.col("__size").alias("size"), F.col("__prefix").alias("prefix"))
+    firsts, _ = stage(filled.groupBy("set").agg(F.min("id").alias("id")), "sets")
+    same = filled.select("id", "set").join(firsts.withColumnRenamed("id", "b"), "set").filter("id > b").select(F.col("id").alias("a"), "b")
+    met, _ = stage(meetings(filled.drop("set").join(firsts.select("id"), "id")), "prefixes")
+    words = staged.select(F.col("__row").alias("id"), F.col(f"`{text}`").alias("text"))
+    edges = linked.filter("__row <> __group").select(F.col("__row").alias("a"), F.col("__group").alias("b")).unionByName(same)
+    near, _ = stage(stars(met), "pairs")
+    edges, _ = stage(edges.unionByName(alike(near, words)), "near")
+    rest, _ = stage(open_pairs(met, components(edges)), "pairs")
+    roots = components(edges.unionByName(alike(rest, words)))
+    groups = linked.join(roots, F.col("__row") == F.col("node"), "left").select("__row", F.coalesce("root", "__row").alias("__group"))
     ids = staged.select("__row", F.col(f"`{key}`").alias("__key"))
     order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__row").alias("row"))
     keepers = groups.join(ids, "__row").groupBy("__group").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row"))

@@ -200,6 +200,33 @@ def test_near_copies_of_the_given_table(spark, texts):
     assert kept == {d for i, (d, _) in enumerate(texts) if roots[i] == i}
 
 
+@pytest.mark.parametrize("block", [1, 128])
+def test_every_near_copy_meets(spark, monkeypatch, block):
+    """Texts that share a long passage with a smaller id but are no copies of it, and chains of copies: no pair is lost."""
+    monkeypatch.setattr(simhash.open_pairs, "__defaults__", (block,))
+    monkeypatch.setattr(simhash.common_shingles, "__defaults__", ("text", 1.0, 3, 50))
+    rng, shared, rows = random.Random(7), [f"s{i}" for i in range(150)], []
+    for n in range(12):
+        own = [f"o{n}w{i}" for i in range(65)]
+        for _ in range(4):
+            rows.append(" ".join([*shared, *own]))
+            own[rng.randrange(10, 60)] = f"x{rng.random()}"
+            own = own[rng.randrange(2) :]
+    rows = list(enumerate(rows))
+    rng.shuffle(rows)
+    fps, sets = {d: _fingerprint(t) for d, t in rows}, {d: _shingles(t) for d, t in rows}
+    near = [(i, j) for i in sets for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2 or _near(sets[i], sets[j])]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {d for d, root in _roots(sorted(sets), near).items() if d == root}
+    common = simhash.common_shingles(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(common[0]) == 50
+    groups = [(n, simhash.prefix(simhash.shingles(t), common).tolist(), len(sets[n])) for n, t in rows]
+    met = simhash.meetings(spark.createDataFrame(groups, "id long, prefix array<long>, size int"))
+    none = spark.createDataFrame([], "node long, root long")
+    found = {(r["a"], r["b"]) for r in simhash.open_pairs(met, none).collect()}
+    assert {(a, b) for a in sets for b in sets if a > b and sets[a] != sets[b] and _near(sets[a], sets[b])} <= found
+
+
 def test_retrieval_above_the_threshold_is_complete():
     """Every passage against every entry, without bounds; parts of items stand in noise of the same words."""
     rng = random.Random(4)
