@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 #: Rows of one Arrow batch of texts.
 BATCH_ROWS = 1000
+#: Bytes of one Arrow batch of rows that hold megabytes.
+BATCH_BYTES = 16 << 20
 #: The white space that separates words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,15 +43,18 @@ def drop_staged(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
+def stage(df: DataFrame, name: str, partition_by: str | None = None, wide_rows: bool = False) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors.
 
     Returns the table and its path. Paths still present when the driver ends are deleted then.
+    wide_rows: rows hold megabytes, so the writer looks at its memory after every row.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     # Small row groups: a writer holds one in memory.
     writer = df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20))
+    if wide_rows:
+        writer = writer.option("parquet.block.size.row.check.min", "1").option("parquet.page.size.row.check.min", "1")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     atexit.register(drop_staged, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -119,6 +124,12 @@ def release() -> None:
         trim(0)
 
 
+def in_wide_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow for rows that hold megabytes: a batch ends once it holds BATCH_BYTES."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return in_arrow(df, run, schema)
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[str]], dict[str, np.ndarray | list]], fields: str) -> DataFrame:
     """Columns `keep` of df, then those that fn computes from the whole texts, one row for each row.
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, classifier, decontam, html, langid, licenses, lm, packing, quality_rules, simhash
+from . import alignment, chat, classifier, decontam, hardneg, html, langid, licenses, lm, packing, quality_rules, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +86,49 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document and every page."""
     return langid.identify(_table(spark, folder, "documents"), _table(spark, folder, "pages"))
+
+
+HARD_NEGATIVES_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors r ON a.vec_id <> r.vec_id AND len(a.v) = len(r.v) WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM scored WHERE same) WHERE place <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS place
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE place <= 3
+"""
+
+
+@_query("op11_hard_negatives", HARD_NEGATIVES_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives for the best positives of every fiftieth vector, over all vectors."""
+    # Whole from 2^53 on, where floor() would leave the range of long.
+    wide = lambda x: 256 * x.cast("double")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    v = F.transform("embedding", lambda x: F.when(F.abs(wide(x)) < 2.0**53, F.floor(wide(x)).cast("double")).otherwise(wide(x)))
+    rows = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), v.alias("v"))
+    return hardneg.mine(rows, F.col("id") % 50 == 0)
+
+
+@_query("op12_secret_scans")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, also inside nested encodings."""
+    return secrets.scan(_table(spark, folder, "documents"))
+
+
+@_query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between two tokenizers for every document."""
+    vocabulary, model = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(_table(spark, folder, "documents"), vocabulary, model)
