@@ -1,4 +1,4 @@
-"""Scoring of document blocks against query blocks inside tasks.
+"""Blocks of queries, and exact nearest vectors by scoring document blocks against them inside tasks.
 
 Documents are packed into blocks of a thousand or so rows within their partition (no shuffle), queries
 into blocks of a few hundred, and the two meet by an equi-join on (index_id, salt): a document block gets
@@ -18,21 +18,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-# Term-frequency saturation and length normalisation of BM25.
-K1 = 1.2
-B = 0.75
 DOC_ROWS = 1024
 QUERY_ROWS = 256
-TERM_SLICE = 4096
-DOC_BLOCK = (
-    "index_id string, ids array<string>, offsets array<int>, terms array<string>, dl array<int>, "
-    "width int, matrix binary"
-)
+DOC_BLOCK = "index_id string, ids array<string>, width int, matrix binary"
 QUERY_BLOCK = (
     "index_id string, q_ids array<string>, q_offsets array<int>, q_terms array<string>, q_weights array<double>, "
-    "avgdl double, q_width int, q_matrix binary, q_lex_max array<double>, q_vec_max array<double>"
+    "avgdl double, q_width int, q_matrix binary"
 )
-SCORED = "index_id string, query_id string, chunk_id string, raw double, lex double, vec double"
+SCORED = "index_id string, query_id string, chunk_id string, raw double"
 
 
 def _ragged(column: pa.ChunkedArray | pa.Array) -> tuple[list[int], pa.Array]:
@@ -65,20 +58,15 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 
 
 def doc_blocks(docs: DataFrame, rows: int = DOC_ROWS) -> DataFrame:
-    """Pack (index_id, id[, terms, dl][, vector]) rows into blocks."""
-    lexical, dense = "terms" in docs.columns, "vector" in docs.columns
+    """Pack (index_id, id, vector) rows into blocks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for index_id, part in _pieces(batches, rows):
-            offsets, terms = _ragged(part["terms"]) if lexical else ([0], pa.array([], pa.string()))
-            width, matrix = _matrix(_column(part, "vector"), part.num_rows) if dense else (0, b"")
+            width, matrix = _matrix(_column(part, "vector"), part.num_rows)
             yield pa.RecordBatch.from_pydict(
                 {
                     "index_id": [index_id],
                     "ids": pa.ListArray.from_arrays([0, part.num_rows], _column(part, "id")),
-                    "offsets": pa.array([offsets], pa.list_(pa.int32())),
-                    "terms": pa.ListArray.from_arrays([0, len(terms)], terms),
-                    "dl": pa.array([part["dl"].to_pylist() if lexical else []], pa.list_(pa.int32())),
                     "width": pa.array([width], pa.int32()),
                     "matrix": pa.array([matrix], pa.binary()),
                 }
@@ -88,9 +76,8 @@ def doc_blocks(docs: DataFrame, rows: int = DOC_ROWS) -> DataFrame:
 
 
 def query_blocks(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
-    """Pack (index_id, id[, terms, weights, avgdl][, vector][, lex_max, vec_max]) rows into blocks."""
+    """Pack (index_id, id[, terms, weights, avgdl][, vector]) rows into blocks."""
     lexical, dense = "terms" in queries.columns, "vector" in queries.columns
-    scaled = "lex_max" in queries.columns
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for index_id, part in _pieces(batches, rows):
@@ -108,8 +95,6 @@ def query_blocks(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
                     "avgdl": pa.array([average or 1.0], pa.float64()),
                     "q_width": pa.array([width], pa.int32()),
                     "q_matrix": pa.array([matrix], pa.binary()),
-                    "q_lex_max": pa.array([part["lex_max"].to_pylist() if scaled else []], pa.list_(pa.float64())),
-                    "q_vec_max": pa.array([part["vec_max"].to_pylist() if scaled else []], pa.list_(pa.float64())),
                 }
             )
 
@@ -123,87 +108,28 @@ def _meet(doc_side: DataFrame, query_side: DataFrame) -> DataFrame:
     return doc_side.withColumn("salt", salt).join(query_side.withColumn("salt", every), ["index_id", "salt"]).drop("salt")
 
 
-def _lexical(row: dict, docs: int, queries: int) -> np.ndarray:
-    """BM25 of every (query, document) of a pair, over the terms both blocks hold."""
-    scores = np.zeros((queries, docs))
-    asked = pc.dictionary_encode(row["q_terms"].values)
-    if len(asked) == 0:
-        return scores
-    owner = np.repeat(np.arange(queries), np.diff(row["q_offsets"].values.to_numpy()))
-    found = pc.index_in(row["terms"].values, value_set=asked.dictionary)
-    place = np.repeat(np.arange(docs), np.diff(row["offsets"].values.to_numpy()))
-    hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
-    term = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    key, tf = np.unique(term[hit] * docs + place[hit], return_counts=True)
-    term, place = key // docs, key % docs
-    length = row["dl"].values.to_numpy()[place] / row["avgdl"]
-    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
-    present, local = np.unique(term, return_inverse=True)
-    codes = asked.indices.to_numpy()
-    slot = np.full(len(asked.dictionary), -1)
-    slot[present] = np.arange(len(present))
-    weights = row["q_weights"].values.to_numpy()
-    for at in range(0, len(present), TERM_SLICE):
-        size = min(TERM_SLICE, len(present) - at)
-        of_docs = np.zeros((size, docs))
-        chosen = (local >= at) & (local < at + size)
-        of_docs[local[chosen] - at, place[chosen]] = gain[chosen]
-        of_queries = np.zeros((queries, size))
-        mine = (slot[codes] >= at) & (slot[codes] < at + size)
-        of_queries[owner[mine], slot[codes][mine] - at] = weights[mine]
-        scores += of_queries @ of_docs
-    return scores
-
-
-def _dense(row: dict, docs: int, queries: int) -> np.ndarray:
-    left = np.frombuffer(row["q_matrix"]).reshape(queries, row["q_width"])
-    return left @ np.frombuffer(row["matrix"]).reshape(docs, row["width"]).T
-
-
-def best_of_pairs(
-    doc_side: DataFrame, query_side: DataFrame, limit: int, digits: int, mode: str,
-    clamp: bool = True, weights: tuple[float, float] = (0.5, 0.5),
-) -> DataFrame:
-    """The best `limit` documents of each block pair per query, by (score desc, id asc).
-
-    `mode` is lexical, dense or both; `both` scales each score by the query's maxima first. Documents
-    without any score take part with 0, in id order.
-    """
+def best_of_pairs(doc_side: DataFrame, query_side: DataFrame, limit: int, digits: int, clamp: bool = True) -> DataFrame:
+    """The `limit` largest dot products of each block pair per query, by (score desc, id asc)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                row = {
-                    name: batch.column(i)[at] if pa.types.is_list(batch.schema.field(i).type) else batch.column(i)[at].as_py()
-                    for i, name in enumerate(batch.schema.names)
-                }
+                row = {name: batch.column(i)[at] for i, name in enumerate(batch.schema.names)}
                 ids, q_ids = row["ids"].values, row["q_ids"].values
                 docs, queries = len(ids), len(q_ids)
-                zero = np.zeros((queries, docs))
-                lex = np.round(_lexical(row, docs, queries), digits) if mode != "dense" else zero
-                vec = np.round(_dense(row, docs, queries), digits) + 0.0 if mode != "lexical" else zero
-                if mode == "both":
-                    lex, vec = _scaled(lex, row["q_lex_max"]), _scaled(vec, row["q_vec_max"])
-                    raw = np.round(weights[0] * lex + weights[1] * vec, digits)
-                else:
-                    raw = lex if mode == "lexical" else vec
-                    raw = np.maximum(raw, 0.0) if clamp else raw
+                left = np.frombuffer(row["q_matrix"].as_py()).reshape(queries, row["q_width"].as_py())
+                raw = np.round(left @ np.frombuffer(row["matrix"].as_py()).reshape(docs, row["width"].as_py()).T, digits) + 0.0
+                raw = np.maximum(raw, 0.0) if clamp else raw
                 by_id = pc.sort_indices(ids).to_numpy()
                 keep = min(limit, docs)
                 order = by_id[np.argsort(-raw[:, by_id], axis=1, kind="stable")[:, :keep]]
-                take = lambda values: np.take_along_axis(values, order, axis=1).ravel()
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "index_id": pa.array([row["index_id"]] * (queries * keep)),
+                        "index_id": pa.array([row["index_id"].as_py()] * (queries * keep)),
                         "query_id": q_ids.take(pa.array(np.repeat(np.arange(queries), keep))),
                         "chunk_id": ids.take(pa.array(order.ravel())),
-                        "raw": pa.array(take(raw)), "lex": pa.array(take(lex)), "vec": pa.array(take(vec)),
+                        "raw": pa.array(np.take_along_axis(raw, order, axis=1).ravel()),
                     }
                 )
 
     return _meet(doc_side, query_side).mapInArrow(score, SCORED)
-
-
-def _scaled(scores: np.ndarray, peaks: pa.ListScalar) -> np.ndarray:
-    top = peaks.values.to_numpy(zero_copy_only=False)
-    return np.where(top[:, None] > 0, scores / np.where(top > 0, top, 1.0)[:, None], 0.0)

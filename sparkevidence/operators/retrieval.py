@@ -3,8 +3,8 @@
 Queries: (query_id string, index_id string, text string[, embedding array<double>]).
 Search documents: (index_id, chunk_id, document_id, keyword_text, language, metadata map,
 enrichments map, hierarchy_context, citations, parent_chunk_id, child_chunk_ids[, embedding]).
-Scoring pairs blocks of documents with blocks of queries (see functions.blocks); only counted, few
-queries are broadcast. Every other join is left to Catalyst and AQE.
+Lexical retrieval asks a stored index (see stored); search documents in its place are indexed first.
+Vectors are scored block against block (see functions.blocks).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.ids import stable_id
 from ..functions.blocks import best_of_pairs, doc_blocks, query_blocks
 from ..functions.text import terms
+from .stored import StoredIndex, as_index, asked_postings, collection_stats, frequencies, lexical_best
 
 # Scores are rounded before ranking, so that the order of float additions cannot decide.
 DIGITS = 9
@@ -77,23 +78,6 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(search_docs: DataFrame, words: DataFrame, text: Column) -> DataFrame:
-    """(index_id, term, df) of the terms some query asks for.
-
-    Terms are counted before they are joined (map-side, so a term found in most chunks is no hot key).
-    """
-    wanted = words.select("index_id", "term").distinct()
-    held = search_docs.select("index_id", F.explode(F.array_distinct(terms(text))).alias("term"))
-    keys = ["index_id", "term"]
-    return held.groupBy(*keys).agg(F.count(F.lit(1)).alias("df")).join(wanted, keys)
-
-
-def collection_stats(search_docs: DataFrame, text: Column) -> DataFrame:
-    return search_docs.groupBy("index_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.lit(1), F.size(terms(text)))).alias("avgdl")
-    )
-
-
 def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
@@ -115,21 +99,13 @@ def query_weights(queries: DataFrame, words: DataFrame, df: DataFrame, stats: Da
     )
 
 
-def term_rows(docs: DataFrame, text: Column, *more: Column) -> DataFrame:
-    held = terms(text)
-    return docs.select(
-        "index_id", F.col("chunk_id").alias("id"), held.alias("terms"),
-        F.greatest(F.lit(1), F.size(held)).alias("dl"), *more,
-    )
-
-
-def _top(totals: DataFrame, limit: int) -> DataFrame:
+def _top(totals: DataFrame, limit: int, shown: tuple[str, ...] = ()) -> DataFrame:
     per_query = Window.partitionBy("query_id", "index_id")
     order = per_query.orderBy(F.desc("raw"), "chunk_id")
     kept = totals.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     best = F.max("raw").over(per_query)
     scaled = F.when(best > 0, F.col("raw") / best).otherwise(F.lit(0.0))
-    return kept.select("query_id", "index_id", "chunk_id", "rank", F.round(scaled, DIGITS).alias("safe_score"))
+    return kept.select("query_id", "index_id", "chunk_id", "rank", F.round(scaled, DIGITS).alias("safe_score"), *shown)
 
 
 def _best(scored: DataFrame, limit: int) -> DataFrame:
@@ -137,22 +113,9 @@ def _best(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def lexical_best(
-    docs: DataFrame, queries: DataFrame, limit: int, text: Column, df_docs: DataFrame | None = None
-) -> DataFrame:
-    """The `limit` best BM25 scores per query and index: (query_id, index_id, chunk_id, raw, rank).
-
-    Document frequencies come from `df_docs` where given, N and the mean length from `docs`.
-    """
-    words = query_terms(queries)
-    df = term_frequencies(docs if df_docs is None else df_docs, words, text)
-    weights = query_weights(queries, words, df, collection_stats(docs, text))
-    pairs = best_of_pairs(doc_blocks(term_rows(docs, text)), query_blocks(weights), limit, DIGITS, "lexical")
-    return _best(pairs.drop("lex", "vec"), limit)
-
-
-def _lexical(docs: DataFrame, queries: DataFrame, limit: int, text: Column) -> DataFrame:
-    return _top(lexical_best(docs, queries, limit, text).drop("rank"), limit)
+def lexical_weights(asked: DataFrame, queries: DataFrame, words: DataFrame, stats: DataFrame) -> DataFrame:
+    """Term weights of every query from the asked postings' frequencies and the collection's size and mean length."""
+    return query_weights(queries, words, frequencies(asked), stats)
 
 
 def eligible_heads(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -160,53 +123,62 @@ def eligible_heads(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame
     order, so no other chunk without one can reach the result."""
     order = Window.partitionBy("index_id").orderBy("chunk_id")
     asked = queries.select("index_id").distinct()
-    heads = docs.select("index_id", "chunk_id").join(asked, "index_id", "left_semi")
+    heads = docs.join(asked, "index_id", "left_semi")
     return heads.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
 
 
-def retrieve_from_postings(
-    postings: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int = 10
-) -> DataFrame:
-    """BM25 over persisted postings and lengths: only the asked terms are read.
+def lexical_rows(index: StoredIndex, queries: DataFrame, limit: int, documents: DataFrame | None = None, shown: tuple[str, ...] = ()) -> DataFrame:
+    """The `limit` best BM25 scores per query and index, with the columns `shown` of their documents.
 
-    Matching postings are shuffled once by chunk, whatever the number of queries.
+    documents: the eligible rows of index.documents, if not all; frequencies and means are theirs then.
     """
     words = query_terms(queries)
-    wanted = words.select("index_id", "term").distinct()
-    matches = postings.join(wanted, ["index_id", "term"])
-    df = matches.groupBy("index_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = lengths.groupBy("index_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.lit(1), "dl")).alias("avgdl")
-    )
-    held = matches.groupBy("index_id", "chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("_l"))
-    heads = eligible_heads(lengths, queries, limit).withColumn("_l", F.lit(None).cast(held.schema["_l"].dataType))
-    # A chunk has few distinct terms; heads that matched anyway keep their list.
-    rows = held.unionByName(heads).groupBy("index_id", "chunk_id").agg(F.max("_l").alias("_l")).join(
-        lengths, ["index_id", "chunk_id"]
-    )
-    docs = rows.select(
-        "index_id", F.col("chunk_id").alias("id"),
-        F.coalesce(
-            F.flatten(F.transform("_l", lambda x: F.array_repeat(x["term"], x["tf"].cast("int")))),
-            F.array().cast("array<string>"),
-        ).alias("terms"),
-        F.greatest(F.lit(1), F.col("dl")).cast("int").alias("dl"),
-    )
-    weights = query_weights(queries, words, df, stats)
-    pairs = best_of_pairs(doc_blocks(docs), query_blocks(weights), limit, DIGITS, "lexical")
-    return _top(_best(pairs.drop("lex", "vec"), limit).drop("rank"), limit)
+    asked = asked_postings(index, words, documents)
+    stats = index.stats if documents is None else collection_stats(documents)
+    found = lexical_best(asked, lexical_weights(asked, queries, words, stats), limit, DIGITS)
+    # Rows that tie with the last place stay until their ids are known.
+    place = Window.partitionBy("query_id", "index_id").orderBy(F.desc("raw"))
+    cut = found.select("index_id", "query_id", "shard", "place", "raw").withColumn("_r", F.rank().over(place)).filter(F.col("_r") <= limit).drop("_r")
+    docs = (index.documents if documents is None else documents).select("index_id", "shard", "place", "chunk_id", *shown)
+    scored = cut.join(docs, ["index_id", "shard", "place"]).select("query_id", "index_id", "chunk_id", "raw", *shown)
+    heads = eligible_heads(docs, queries, limit).join(queries.select("query_id", "index_id"), "index_id").select(
+        "query_id", "index_id", "chunk_id", F.lit(0.0).alias("raw"), *shown)
+    both = scored.unionByName(heads).repartition("query_id", "index_id").groupBy("query_id", "index_id", "chunk_id").agg(
+        F.max("raw").alias("raw"), *[F.any_value(c).alias(c) for c in shown])
+    return _top(both, limit, shown)
+
+
+def retrieve_from_postings(index: StoredIndex, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """BM25 over a stored index: (query_id, index_id, chunk_id, rank, safe_score)."""
+    return lexical_rows(index, queries, limit)
 
 
 # ---------------------------------------------------------------- retrievers
 
 
+_SHOWN = ("document_id", "hierarchy_context", "citations")
+
+
 def _finish(ranked: DataFrame, docs: DataFrame, contributor: str, kind: str, **extra: Column) -> DataFrame:
     """Join the few ranked rows back to their chunks and project candidates."""
-    shown = [c for c in ("document_id", "hierarchy_context", "citations") if c in docs.columns]
+    shown = [c for c in _SHOWN if c in docs.columns]
     joined = ranked.join(docs.select("index_id", "chunk_id", *shown), ["index_id", "chunk_id"])
     return joined.select(*candidate(contributor, kind, docs.columns, **extra))
 
 
+def _lexical(
+    index: StoredIndex, queries: DataFrame, limit: int, contributor: str, kind: str, documents: DataFrame | None, **extra: Column,
+) -> DataFrame:
+    """Ranked rows of the index as candidates; what they show comes with the join that names them."""
+    shown = tuple(c for c in _SHOWN if c in index.documents.columns)
+    ranked = lexical_rows(index, queries, limit, documents, shown)
+    return ranked.select(*candidate(contributor, kind, index.documents.columns, **extra))
+
+
+def _filtered(index: StoredIndex, filters: Filters) -> DataFrame | None:
+    return eligible(index.documents, filters) if filters != Filters() else None
+
+
 def candidate(contributor: str, kind: str, columns: list[str], **extra: Column) -> list[Column]:
     """Columns of a candidate row; citations split into aligned id and locator arrays."""
     path = F.when(F.size("hierarchy_context") > 0, F.col("hierarchy_context")) \
@@ -231,33 +203,31 @@ def candidate(contributor: str, kind: str, columns: list[str], **extra: Column)
 
 
 def retrieve_keyword(
-    search_docs: DataFrame, queries: DataFrame, limit: int = 10, filters: Filters = Filters(),
+    search_docs: DataFrame | StoredIndex, queries: DataFrame, limit: int = 10, filters: Filters = Filters(),
     contributor: str = "keyword",
 ) -> DataFrame:
-    docs = eligible(search_docs, filters)
-    ranked = _lexical(docs, queries, limit, F.col("keyword_text"))
-    return _finish(ranked, docs, contributor, "bm25")
+    index = as_index(search_docs)
+    return _lexical(index, queries, limit, contributor, "bm25", _filtered(index, filters))
 
 
 def retrieve_metadata(
-    search_docs: DataFrame, queries: DataFrame, limit: int = 10, filters: Filters = Filters(),
+    search_docs: DataFrame | StoredIndex, queries: DataFrame, limit: int = 10, filters: Filters = Filters(),
     contributor: str = "metadata",
 ) -> DataFrame:
-    docs = eligible(search_docs, filters)
-    ranked = _lexical(docs, queries, limit, F.col("keyword_text"))
+    index = as_index(search_docs)
     keys = F.array(*[F.lit(k) for k in filters.keys()]).cast("array<string>")
-    return _finish(ranked, docs, contributor, "metadata_bm25", matched_filter_keys=keys)
+    return _lexical(index, queries, limit, contributor, "metadata_bm25", _filtered(index, filters), matched_filter_keys=keys)
 
 
 def retrieve_table(
-    search_docs: DataFrame, queries: DataFrame, limit: int = 10, filters: Filters = Filters(),
+    search_docs: DataFrame | StoredIndex, queries: DataFrame, limit: int = 10, filters: Filters = Filters(),
     contributor: str = "table",
 ) -> DataFrame:
     sheet = lambda c: c["locator"]["kind"] == "spreadsheet"
-    docs = eligible(search_docs, filters).filter(F.exists("citations", sheet))
-    ranked = _lexical(docs, queries, limit, F.col("keyword_text"))
+    index = as_index(search_docs)
+    docs = eligible(index.documents, filters).filter(F.exists("citations", sheet))
     ids = F.transform(F.filter("citations", sheet), lambda c: c["element_id"])
-    return _finish(ranked, docs, contributor, "table_bm25", table_element_ids=ids)
+    return _lexical(index, queries, limit, contributor, "table_bm25", docs, table_element_ids=ids)
 
 
 def related_chunks(docs: DataFrame, relation: str) -> DataFrame:
@@ -273,15 +243,22 @@ def related_chunks(docs: DataFrame, relation: str) -> DataFrame:
     return docs.join(linked, ["index_id", "chunk_id"], "left_semi")
 
 
+def hierarchy_text() -> Column:
+    """What an index for hierarchy retrieval holds: the heading path, then the chunk."""
+    return F.concat_ws(" ", F.array_join("hierarchy_context", " "), F.col("keyword_text"))
+
+
 def retrieve_hierarchy(
-    search_docs: DataFrame, queries: DataFrame, limit: int = 10, filters: Filters = Filters(),
+    search_docs: DataFrame | StoredIndex, queries: DataFrame, limit: int = 10, filters: Filters = Filters(),
     relation_mode: str = "self", contributor: str = "hierarchy",
 ) -> DataFrame:
-    docs = related_chunks(eligible(search_docs, filters), relation_mode)
-    text = F.concat_ws(" ", F.array_join("hierarchy_context", " "), F.col("keyword_text"))
-    ranked = _lexical(docs, queries, limit, text)
+    """A stored index must have been written with `hierarchy_text`."""
+    index = as_index(search_docs, hierarchy_text())
+    docs = _filtered(index, filters)
+    if relation_mode != "self":
+        docs = related_chunks(index.documents if docs is None else docs, relation_mode)
     relation = F.lit(None if relation_mode == "self" else relation_mode).cast("string")
-    return _finish(ranked, docs, contributor, "hierarchy_bm25", relation=relation)
+    return _lexical(index, queries, limit, contributor, "hierarchy_bm25", docs, relation=relation)
 
 
 def vector_rows(df: DataFrame, key: str) -> DataFrame:
@@ -291,10 +268,8 @@ def vector_rows(df: DataFrame, key: str) -> DataFrame:
 def nearest(docs: DataFrame, queries: DataFrame, limit: int, clamp: bool = True) -> DataFrame:
     """The `limit` largest dot products per query and index: (query_id, index_id, chunk_id, raw, rank)."""
     pairs = best_of_pairs(
-        doc_blocks(vector_rows(docs, "chunk_id")), query_blocks(vector_rows(queries, "query_id")), limit, DIGITS,
-        "dense", clamp,
-    )
-    return _best(pairs.drop("lex", "vec"), limit)
+        doc_blocks(vector_rows(docs, "chunk_id")), query_blocks(vector_rows(queries, "query_id")), limit, DIGITS, clamp)
+    return _best(pairs, limit)
 
 
 def retrieve_vector(

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.chunking import ChunkConfig, text_chunks
 from ..operators.scans import blocked_row_number
 from ..operators.indexing import embed_chunks
+from ..operators.stored import StoredIndex, write_index
 from ..functions.vectors import hash_embed
 from ..schemas import locator
-from ..session import materialize, spread
+from ..session import materialize, spread, unique_name
 from .registry import Tables, piece
 
 ELEMENT_WORDS = 120
@@ -37,7 +38,7 @@ def sql_id(prefix: str, *parts: str) -> str:
     return f"'{prefix}_' || left(sha256(concat_ws('|', {', '.join(parts)})), 32)"
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_STAGED: dict[tuple[str, str, str], DataFrame | StoredIndex] = {}
 
 
 def staged(t: Tables, name: str, build) -> DataFrame:
@@ -79,6 +80,18 @@ def search_docs(t: Tables) -> DataFrame:
     return staged(t, "search_docs", _search_docs)
 
 
+def indexed(t: Tables, name: str, docs, text=None) -> StoredIndex:
+    """A stored index of search documents, written once per session."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _STAGED:
+        _STAGED[key] = write_index(docs(t), unique_name(t.spark, name), text)
+    return _STAGED[key]
+
+
+def search_index(t: Tables) -> StoredIndex:
+    return indexed(t, "search_index", search_docs)
+
+
 def _search_docs(t: Tables) -> DataFrame:
     made = chunks(t)
     size = F.when(F.col("n_chars") > 2000, "long").otherwise("short")

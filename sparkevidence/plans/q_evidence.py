@@ -15,7 +15,7 @@ from .registry import piece, query, with_pieces
 
 
 def keyword_set(t):
-    return R.retrieve_keyword(B.search_docs(t), B.queries(t), 10)
+    return R.retrieve_keyword(B.search_index(t), B.queries(t), 10)
 
 
 def vector_set(t):

@@ -77,7 +77,7 @@ def _hierarchy_sql(tag: str, relation: str) -> str:
 
 
 def _hierarchy(t, mode):
-    found = R.retrieve_hierarchy(tree_docs(t), tree_queries(t), 10, relation_mode=mode)
+    found = R.retrieve_hierarchy(B.indexed(t, "tree_index", tree_docs, R.hierarchy_text()), tree_queries(t), 10, relation_mode=mode)
     return found.select(
         "query_id", "chunk_id", "rank", F.round("safe_score", 6).alias("safe_score"),
         F.array_join("projection.hierarchy_path", " > ").alias("path"),
@@ -123,7 +123,7 @@ bm25_pieces("tab", "sheet_chunks_in", "content", 10, "tree_q")
     "(chunk_id)",
 )
 def retrieve_table(t):
-    found = R.retrieve_table(mixed_docs(t), tree_queries(t), 10)
+    found = R.retrieve_table(B.indexed(t, "mixed_index", mixed_docs), tree_queries(t), 10)
     return found.select(
         "query_id", "chunk_id", "rank", F.round("safe_score", 6).alias("safe_score"),
         F.array_join("projection.table_element_ids", ",").alias("table_element_ids"),

@@ -48,15 +48,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         home.getFileSystem(spark._jsc.hadoopConfiguration()).delete(home, True)
 
 
+def unique_name(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: later stages survive executor loss."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = unique_name(spark, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

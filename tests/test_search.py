@@ -2,16 +2,19 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkevidence.functions import blocks
+from sparkevidence.functions import blocks, postings
 from sparkevidence.functions.vectors import hash_embed
 from sparkevidence.operators import evidence as V
 from sparkevidence.operators import extend as U
 from sparkevidence.operators import fusion
 from sparkevidence.operators import indexing as I
 from sparkevidence.operators import retrieval as R
+from sparkevidence.operators import stored
 
 TEXTS = {
     "c1": "red apple pie", "c2": "green apple", "c3": "blue sky over red sea", "c4": "nothing here", "c5": "red red red",
@@ -46,11 +49,11 @@ def queries(spark):
     return make_queries(spark).cache()
 
 
-def bm25(query, limit=10):
+def bm25(query, limit=10, floor=1):
     split = lambda s: re.findall("[a-z0-9]+", s.lower())
     held = {k: Counter(split(v)) for k, v in TEXTS.items()}
     size = {k: max(1, sum(c.values())) for k, c in held.items()}
-    mean, n = sum(size.values()) / len(size), len(size)
+    mean, n = sum(max(floor, sum(c.values())) for c in held.values()) / len(size), len(size)
     scores = {}
     for k, c in held.items():
         s = 0.0
@@ -75,14 +78,118 @@ def test_keyword_equals_brute_force(spark, docs, queries, limit, monkeypatch):
 
 def test_persisted_postings_give_the_same(spark, docs, queries):
     direct = R.retrieve_keyword(docs, queries, 4).select("query_id", "chunk_id", "rank", "safe_score").collect()
-    stored = R.retrieve_from_postings(I.build_postings(docs), I.document_lengths(docs), queries, 4).select(*direct[0].__fields__).collect()
-    assert sorted(map(tuple, direct)) == sorted(map(tuple, stored))
+    read = R.retrieve_from_postings(stored.as_index(docs), queries, 4).select(*direct[0].__fields__).collect()
+    assert sorted(map(tuple, direct)) == sorted(map(tuple, read))
 
 
 def test_written_index_reads_back(spark, docs, tmp_path):
-    I.write_index(docs, str(tmp_path / "index"))
-    postings = spark.read.parquet(str(tmp_path / "index/postings"))
-    assert postings.count() == I.build_postings(docs).count()
+    stored.write_index(docs, str(tmp_path / "index"))
+    index = stored.read_index(spark, str(tmp_path / "index"))
+    flat = index.postings.select("term", "shard", F.explode(F.arrays_zip("places", "tfs", "dls")).alias("x")).select(
+        "term", "shard", F.col("x.places").alias("place"), "x.tfs", "x.dls").join(index.documents, ["shard", "place"])
+    got = {(r.term, r.chunk_id): r.tfs for r in flat.collect()}
+    assert got == {(r.term, r.chunk_id): r.tf for r in I.build_postings(docs).collect()}
+    assert all(r.dls == max(1, r.dl) for r in flat.collect()) and "keyword_text" not in index.documents.columns
+
+
+def _many(spark, n=900):
+    """Documents over several shards, with copies, empty texts and two indexes; ids not in the order of reading."""
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(n):
+        text = " ".join(words[(i * 7 + j * j) % (5 + i % 36)] for j in range(i % 23)) if i % 5 else "w1 w2 w3"
+        rows.append((f"i{i % 2}", f"c{i * 37 % 1000:04d}", text, "en" if i % 3 else "de"))
+    made = spark.createDataFrame(rows, "index_id string, chunk_id string, keyword_text string, language string").repartition(3)
+    return made.withColumn("document_id", F.col("chunk_id")).withColumn("metadata", F.create_map(F.lit("k"), F.col("language"))).withColumn(
+        "enrichments", F.from_json(F.lit("{}"), ENRICH)).withColumn("embedding", hash_embed(F.col("keyword_text"), 16)), rows
+
+
+ASKED = [("q1", "w1 w3 w3 w17"), ("q2", "w2"), ("q3", "nothing"), ("q4", "w39 w38 w5 w1"), ("q5", "")]
+
+
+def _bm25_over(rows, index_id, language, query, df_rows=None, floor=1):
+    split = lambda s: re.findall("[a-z0-9]+", s.lower())
+    own = {c: Counter(split(t)) for i, c, t, y in rows if i == index_id and (language is None or y == language)}
+    every = {c: Counter(split(t)) for i, c, t, y in rows if i == index_id} if df_rows else own
+    size = {k: sum(c.values()) for k, c in own.items()}
+    mean = sum(max(floor, s) for s in size.values()) / len(size)
+    out = {}
+    for k, c in own.items():
+        total = 0.0
+        for term, count in Counter(split(query)).items():
+            df = sum(term in other for other in every.values())
+            if c[term]:
+                total += count * math.log(1 + (len(own) - df + .5) / (df + .5)) * c[term] * 2.2 / (c[term] + 1.2 * (.25 + .75 * max(1, size[k]) / mean))
+        out[k] = round(total, 9)
+    return out
+
+
+@pytest.mark.parametrize("language", [None, "de"])
+def test_shards_equal_brute_force(spark, monkeypatch, language):
+    monkeypatch.setattr(postings, "SHARD", 64)
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    docs, rows = _many(spark)
+    asked = spark.createDataFrame([(q, i, t) for q, t in ASKED for i in ("i0", "i1")], "query_id string, index_id string, text string").withColumn(
+        "embedding", hash_embed(F.col("text"), 16))
+    index = stored.as_index(docs)
+    found = R.retrieve_keyword(index, asked, 7, R.Filters(language=language)).collect()
+    hits = I.hybrid_search(index, asked, 7, 0.7, 0.3, language).collect()
+    vectors = {(r.index_id, r.chunk_id): r.embedding for r in docs.collect()}
+    of_query = {r.query_id: r.embedding for r in asked.collect()}
+    for i in ("i0", "i1"):
+        for q, text in ASKED:
+            scores = _bm25_over(rows, i, language, text)
+            want = sorted(scores, key=lambda k: (-scores[k], k))[:7]
+            assert [r.chunk_id for r in sorted(found, key=lambda r: r["rank"]) if (r.query_id, r.index_id) == (q, i)] == want
+            # Hybrid: frequencies over the whole index, the mean of true lengths.
+            lex = _bm25_over(rows, i, language, text, True, 0)
+            vec = {k: round(sum(a * b for a, b in zip(of_query[q], vectors[i, k])), 9) for k in lex}
+            top, peak = max(lex.values()), max(vec.values())
+            both = {k: round(.7 * (lex[k] / top if top > 0 else 0) + .3 * (vec[k] / peak if peak > 0 else 0), 9) for k in lex}
+            want = sorted(both, key=lambda k: (-both[k], k))[:7]
+            own = [r for r in sorted(hits, key=lambda r: r["rank"]) if (r.query_id, r.index_id) == (q, i)]
+            assert [r.chunk_id for r in own] == want and all(abs(r.score - both[r.chunk_id]) < 2e-9 for r in own)
+            assert all(r.metadata == {"k": r.language} for r in own)
+
+
+def test_questions_read_no_text(spark, docs, queries):
+    index = stored.as_index(docs)
+    for plan in (R.retrieve_keyword(index, queries, 3), R.retrieve_table(index, queries, 3), I.hybrid_search(index, queries, 3)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in text.splitlines() if "ReadSchema" in line and "shard" in line]
+        assert scans and not any("keyword_text" in line or "_terms" in line for line in scans)
+        # Once for the postings that questions ask, the document table only by its own columns.
+        assert len({line.split("ReadSchema")[1] for line in scans if "low_dl" in line}) == 1
+
+
+def test_blocks_below_the_known_best_are_not_scored():
+    n = 60
+    held = {"term": ["a"], "places": [list(range(n))], "tfs": [[9] * 4 + [1] * (n - 4)], "dls": [[5] * 4 + [500] * (n - 4)]}
+    owner = np.zeros(n, int)
+    batch = postings._posting_rows(
+        pa.array(["i"]), pa.array([0]), pa.array(["a"]), owner, np.arange(n) * 60, np.array(held["tfs"][0]), np.array(held["dls"][0]))
+    row = pa.StructArray.from_arrays([batch.column(c) for c in ("term", *postings._LISTS)], names=["term", *postings._LISTS])
+    block = {"q_ids": [["q"]], "q_terms": [["a"]], "q_weights": [[1.0]], "q_offsets": [[0, 1]], "index_id": ["i"], "avgdl": [10.0], "q_width": [0], "q_matrix": [b""]}
+    table = pa.table(block)
+    queries = postings._Queries({k: table[k][0] for k in block})
+    for shard in range(3):
+        postings.best_lexical(queries, shard, row, 2, 9)
+    assert queries.skipped > queries.seen / 3
+    found = np.concatenate(queries.found[0])
+    assert {(s, p) for s, p in found[found[:, 2] >= queries.floor[0]][:, :2]} >= {(0, 0), (0, 60)}
+
+
+def test_skyband_holds_the_best_of_every_mixture():
+    rng = np.random.default_rng(3)
+    for n in (5, 80, 3000):
+        lex = np.where(rng.random(n) < .7, 0, np.round(rng.random(n) * 9, 1))
+        vec = np.round(rng.standard_normal(n) * .3, 2)
+        kept = set(postings.skyband(lex, vec, 10, 1e-6).tolist())
+        for w in np.linspace(.02, .98, 25):
+            total = np.round(w * lex / lex.max() + (1 - w) * vec / vec.max(), 9)
+            order = np.lexsort((np.arange(n), -total))[:10]
+            assert {int(i) for i in order} <= kept
+        assert n < 3000 or len(kept) < n / 4
 
 
 def test_vector_equals_brute_force_and_clamps(spark, docs, queries):
@@ -104,7 +211,7 @@ def test_hybrid_equals_brute_force(docs, queries):
     vectors = {r.chunk_id: r.embedding for r in docs.collect()}
     found = I.hybrid_search(docs, queries, 7).orderBy("query_id", "rank").collect()
     q = queries.filter("query_id = 'q1'").first()
-    lex = dict(bm25(q.text))
+    lex = dict(bm25(q.text, floor=0))  # hybrid search divides by the mean of true lengths
     raw = {k: sum(a * b for a, b in zip(q.embedding, v)) for k, v in vectors.items()}
     top = max(raw.values())
     for r in (r for r in found if r.query_id == "q1"):
