@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stage
+from .common import drop_staged, map_texts, stage
 
 SHINGLE = 3
 DISTANCE = 2
@@ -46,9 +46,6 @@ NEAR = (4, 5)
 ASKED, COMMON, ORDERED = 1 / 16, 4, 100_000
 #: Rows of a block of a bucket.
 BLOCK = 128
-#: signature(): bins, bands of bins, and 0.8 less about one and a half standard errors of the estimate.
-SIMILARITY = 0.75
-BINS, BANDS = 128, 25
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -137,8 +134,6 @@ def _within(seg: Column, a: Column, b: Column, masks: list[list[int]], equal: in
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node reachable."""
-    from .common import drop_staged
-
     current, path = stage(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     mark = None
     while True:
@@ -184,24 +179,6 @@ def shingles(text: str, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, n)).view(np.int64)
 
 
-def signature(text: str, shingle: int = SIMILAR_SHINGLE, bins: int = BINS) -> bytes:
-    """Smallest hash of the text's shingles in each of `bins` parts of the hash space; empty bins take over
-    the next filled one. The share of equal bins estimates the Jaccard similarity of two texts."""
-    words = text.encode().translate(_LOWER).split()
-    if not words:
-        return b""
-    n = max(1, len(words) - shingle + 1)
-    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, n)
-    order = np.sort(hashes)
-    place = (order >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
-    filled, first = np.unique(place, return_index=True)
-    take = np.searchsorted(filled, np.arange(bins)) % len(filled)
-    # The bin's distance to the one taken over is mixed in, so that borrowed values agree only where both texts borrow alike.
-    away = (filled[take] - np.arange(bins)) % bins
-    return ((order[first[take]] & np.uint64(0xFFFFFFFF)).astype(np.uint32) + away.astype(np.uint32) * np.uint32(0x9E3779B1)).astype("<u4").tobytes()
-
-
 def alike(pairs: DataFrame, docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     """The pairs (a, b) of rows of docs (id, text) that have at least `near` of their shingles in common, counted exactly."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -262,23 +239,38 @@ def _enough(pairs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     return counted.filter((F.col("n") + rest) * (part + whole) >= (F.col("a_size") + F.col("b_size")) * part).select("a", "b")
 
 
-def _sizes(one: Column, two: Column, near: tuple[int, int] = NEAR) -> Column:
-    """Whether sets of these sizes can be near copies."""
-    return F.least(one, two) * near[1] >= F.greatest(one, two) * near[0]
+def _reach(x: Column, y: Column, near: tuple[int, int] = NEAR) -> Column:
+    """Whether sets (size, at) that share the shingle at these places of their prefixes can be near copies.
+
+    No more than the shorter beginning and the shorter rest can be common; both prefixes have one order.
+    """
+    part, whole = near
+    most = F.least(x["at"], y["at"]) + F.least(x["size"] - x["at"], y["size"] - y["at"])
+    alike_sizes = F.least(x["size"], y["size"]) * whole >= F.greatest(x["size"], y["size"]) * part
+    return alike_sizes & (most * (part + whole) >= (x["size"] + y["size"]) * part)
 
 
 def meetings(heads: DataFrame) -> DataFrame:
-    """Rows (value, id, size) of prefixes whose shingle other prefixes hold too, with that bucket's smallest id (b, b_size)."""
+    """Rows (value, own) of prefixes whose shingle other prefixes hold too, with that bucket's smallest row (centre).
+
+    own and centre are (id, size, at): a row, its number of shingles, and the shingle's place in its prefix.
+    """
     # Shuffled once, for the groups and the join. A shingle stands once in a prefix, so no bucket is more than a small part.
-    held = heads.select("id", "size", F.explode("prefix").alias("value")).repartition("value")
-    centers = held.groupBy("value").agg(F.min("id").alias("b"), F.min_by("size", "id").alias("b_size"), F.count("*").alias("n")).filter("n > 1")
-    return held.join(centers, "value").select("value", "id", "size", "b", "b_size")
+    held = heads.select("id", "size", F.posexplode("prefix").alias("at", "value")).select(
+        "value", F.struct("id", "size", "at").alias("own")).repartition("value")
+    centres = held.groupBy("value").agg(F.min("own").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    return held.join(centres, "value").select("value", "own", "centre")
+
+
+def _found(x: str, y: str) -> list[Column]:
+    """Rows x and y of a bucket as one meeting of a pair."""
+    return [F.col(f"{x}.id").alias("a"), F.col(f"{y}.id").alias("b"), F.col(f"{x}.size").alias("a_size"), F.col(f"{y}.size").alias("b_size")]
 
 
 def stars(met: DataFrame) -> DataFrame:
     """Each row of a bucket with the bucket's smallest id."""
-    fit = met.filter((F.col("id") > F.col("b")) & _sizes(F.col("size"), F.col("b_size")))
-    return _enough(fit.select(F.col("id").alias("a"), "b", F.col("size").alias("a_size"), "b_size"))
+    fit = met.filter((F.col("own.id") > F.col("centre.id")) & _reach(F.col("own"), F.col("centre")))
+    return _enough(fit.select(*_found("own", "centre")))
 
 
 def open_pairs(met: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -288,21 +280,21 @@ def open_pairs(met: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFram
     into blocks of about `block`, and each two blocks meet in a group of their own, so a list stays bounded
     however many rows a bucket has.
     """
-    known = met.join(roots, F.col("id") == F.col("node"), "left").select("value", "id", "size", F.coalesce("root", "id").alias("root"))
-    mixed = known.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    known = met.join(roots, F.col("own.id") == F.col("node"), "left").select(
+        "value", F.struct("own.id", "own.size", "own.at", F.coalesce("root", "own.id").alias("root")).alias("own"))
+    mixed = known.groupBy("value").agg(F.count("*").alias("n"), F.min("own.root").alias("lo"), F.max("own.root").alias("hi")).filter("lo < hi")
     dealt = known.join(mixed.select("value", F.ceil(F.col("n") / block).cast("int").alias("parts")), "value").withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        "part", F.pmod(F.xxhash64("own.id"), F.col("parts")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = other.groupBy("value", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(
-        F.collect_list(F.struct("id", "root", "size", "part")).alias("rows")).filter(F.size("rows") > 1)
+        F.collect_list(F.struct("own.id", "own.root", "own.size", "own.at", "part")).alias("rows")).filter(F.size("rows") > 1)
     sides = cells.select("p", "q", "rows", F.explode("rows").alias("x"))
 
     def apart(y: Column) -> Column:
         x = F.col("x")
-        return (y["id"] < x["id"]) & (y["root"] != x["root"]) & ((F.col("p") == F.col("q")) | (y["part"] != x["part"])) & _sizes(x["size"], y["size"])
+        return (y["id"] < x["id"]) & (y["root"] != x["root"]) & ((F.col("p") == F.col("q")) | (y["part"] != x["part"])) & _reach(x, y)
 
-    pairs = sides.select("x", F.explode(F.filter("rows", apart)).alias("y"))
-    return _enough(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("a_size"), F.col("y.size").alias("b_size")))
+    return _enough(sides.select("x", F.explode(F.filter("rows", apart)).alias("y")).select(*_found("x", "y")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,27 +304,47 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     fingerprint bits are much narrower than that (see README), so the second search has prefixes of its own; it
     runs over one row of each different set of shingles. Each bucket is first held against its smallest id, which
     connects large groups by stars; then all pairs follow that are still unconnected.
+
+    Texts without words (null, empty, blank) are one group, repeated rows are copies of each other, very long texts
+    are compared whole, and an empty table stays empty. Columns whose names begin with __ are the caller's risk.
     """
-    columns = docs.columns
+    columns, spark = docs.columns, docs.sparkSession
+    paths: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = stage(df, name)
+        paths.append(path)
+        return out
+
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     common = common_shingles(docs, text)
     both = map_texts(numbered, [*columns, "__row"], text, lambda texts: signed(texts, common),
                      "__fp long, __set binary, __size int, __prefix array<long>")
     staged, _ = stage(both, "docs")
-    linked, _ = stage(assign(staged.select("__row", F.col("__fp").alias("fp")), "__row").select("__row", F.col("component_id").alias("__group")), "groups")
+    linked = assign(staged.select("__row", F.col("__fp").alias("fp")), "__row").select("__row", F.col("component_id").alias("group"))
     filled = staged.filter("__size > 0").select(F.col("__row").alias("id"), F.col("__set").alias("set"), F.col("__size").alias("size"), F.col("__prefix").alias("prefix"))
-    firsts, _ = stage(filled.groupBy("set").agg(F.min("id").alias("id")), "sets")
-    same = filled.select("id", "set").join(firsts.withColumnRenamed("id", "b"), "set").filter("id > b").select(F.col("id").alias("a"), "b")
-    met, _ = stage(meetings(filled.drop("set").join(firsts.select("id"), "id")), "prefixes")
+    firsts = kept(filled.groupBy("set").agg(F.min("id").alias("node")), "sets")
+    # One node for all texts of equal shingles; edges stand between nodes, so copies add none.
+    nodes = filled.select(F.col("id").alias("__row"), "set").join(firsts, "set").select("__row", "node")
+    named = kept(linked.join(nodes, "__row", "left").select("__row", "group", F.coalesce("node", "__row").alias("node")), "nodes")
+    heads = named.select(F.col("__row").alias("group"), F.col("node").alias("head"))
+    linking = named.join(heads, "group").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    met = kept(meetings(filled.drop("set").join(firsts.select(F.col("node").alias("id")), "id")), "prefixes")
     words = staged.select(F.col("__row").alias("id"), F.col(f"`{text}`").alias("text"))
-    edges = linked.filter("__row <> __group").select(F.col("__row").alias("a"), F.col("__group").alias("b")).unionByName(same)
-    near, _ = stage(stars(met), "pairs")
-    edges, _ = stage(edges.unionByName(alike(near, words)), "near")
-    rest, _ = stage(open_pairs(met, components(edges)), "pairs")
-    roots = components(edges.unionByName(alike(rest, words)))
-    groups = linked.join(roots, F.col("__row") == F.col("node"), "left").select("__row", F.coalesce("root", "__row").alias("__group"))
+    near = kept(stars(met), "pairs")
+    roots = kept(components(linking.unionByName(alike(near, words))), "first-roots")
+    # What is still apart after the stars: pairs of different roots, joined as edges between those roots.
+    late = alike(kept(open_pairs(met, roots), "pairs"), words)
+    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    ends = late.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b").distinct()
+    last = components(ends).select(F.col("node").alias("first"), F.col("root").alias("last"))
+    rooted = named.join(roots, "node", "left").withColumn("first", F.coalesce("root", "node")).join(last, "first", "left")
+    groups = rooted.select("__row", F.coalesce("last", "first").alias("__group"))
     ids = staged.select("__row", F.col(f"`{key}`").alias("__key"))
     order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__row").alias("row"))
-    keepers = groups.join(ids, "__row").groupBy("__group").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row"))
+    keepers, _ = stage(groups.join(ids, "__row").groupBy("__group").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row")), "keepers")
+    for path in paths:
+        drop_staged(spark, path)
     # The row numbers are hashed, so the texts are shuffled but not sorted.
     return staged.join(keepers.hint("shuffle_hash"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])

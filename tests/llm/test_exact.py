@@ -396,10 +396,10 @@ def test_pipeline_against_brute_force(spark, texts):
     y = np.array([labels[d] for d, _ in taught])
     model = classifier.fit(np.array([x[y == k].T @ x[y == k] for k in (0, 1)]))
     kept = [x for x, s in zip(kept, model.score(classifier.statistics([t for _, t in kept]))) if s >= 0.5]
-    fps, sigs = [_fingerprint(t) for _, t in kept], [np.frombuffer(simhash.signature(t), "<u4") for _, t in kept]
+    fps, sets = [_fingerprint(t) for _, t in kept], [_shingles(t) for _, t in kept]
     near = [
         (i, j) for i in range(len(kept)) for j in range(i)
-        if bin(fps[i] ^ fps[j]).count("1") <= 2 or (sigs[i] == sigs[j]).mean() >= simhash.SIMILARITY]
+        if bin(fps[i] ^ fps[j]).count("1") <= 2 or _near(sets[i], sets[j])]
     roots = _roots(range(len(kept)), near)
     kept = [x for i, x in enumerate(kept) if roots[i] == i]
     items = duckdb.connect().execute(f"SELECT text FROM '{SMALL}/benchmark.parquet'").fetchall()
