@@ -219,7 +219,7 @@ def _aligned(texts):
 
 HARD = [
     "日本語 x\U0001F600é́ <|endoftext|> <s> </s> <0x41>", "a\nb  c\t", "퟿ࠀ", "▁x y", "  lead", "é\xa0 x", "\x00\x7f", "𝔘𝔫𝔦 ꙮ ᚠ",
-    "🏳️‍🌈👨‍👩", "", None, "word", "word", "the theatre's 12,345.67 don't", " ", "\r\n\r\n",
+    "🏳️‍🌈👨‍👩", "", None, "word", "word", "\nline\nfeeds at\nends", "a\tb c", "tail ", " head", "in ▁ it", "a\x1cb c\x85d e\u180ef", "the theatre's 12,345.67 don't", " ", "\r\n\r\n",
 ]
 
 
@@ -227,9 +227,9 @@ def test_alignment_against_brute_force(spark, small):
     given = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy(F.length("text")).limit(120).collect()]
     texts = [*HARD, *given, "lorem ipsum dolor " * 900]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).withColumn("block", F.lit("x")).withColumn("total", F.lit(1))
-    for links in (1, 3000, alignment.BLOCK_LINKS):
-        got = {r["doc_id"]: tuple(r)[1:] for r in alignment.align(docs, VOCABULARY, MODEL, block_links=links).collect()}
-        want = _aligned(texts) if links == 1 else want  # noqa: F821
+    for units in (1, 3000, alignment.BLOCK_UNITS):
+        got = {r["doc_id"]: tuple(r)[1:] for r in alignment.align(docs, VOCABULARY, MODEL, block_units=units).collect()}
+        want = _aligned(texts) if units == 1 else want  # noqa: F821
         assert [got[i] for i in range(len(texts))] == want
 
 
