@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: UTF-8 bytes of text that one step inside a task handles together; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 #: Rows of one Arrow batch of texts.
@@ -27,12 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests) a temporary one is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+    """The folder of spark.checkpoint.dir; only a local session without it (tests) gets a temporary one."""
+    return shared_dir(spark).rstrip("/")
 
 
 def drop_staged(spark: SparkSession, path: str) -> None:

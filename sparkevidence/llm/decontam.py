@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import in_arrow, map_texts, steps, texts_of
+from .common import in_arrow, map_texts, stage, steps, texts_of
 
 ENTRY = 64
 #: Entries whose term maxima are kept together.
@@ -94,7 +95,7 @@ class Item:
 class Index:
     """BM25 postings of one block of items, with block maxima."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], frequency: dict[bytes, int], total: int, threshold: float = THRESHOLD) -> None:
+    def __init__(self, rows: list[tuple[int | None, str]], frequency: dict[bytes, int], total: int, threshold: float = THRESHOLD, mean: float | None = None) -> None:
         self.items = [Item(i, *question_and_answer(t)) for i, t in rows]
         self.threshold = threshold
         entries: list[tuple[int, list[bytes]]] = []
@@ -104,7 +105,8 @@ class Index:
             cuts = [len(words) * k // pieces for k in range(pieces + 1)]
             entries += [(n, words[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
         self.owner = [n for n, _ in entries]
-        mean = sum(len(w) for _, w in entries) / max(1, len(entries))
+        # The mean of all entries where this is one index of several, so that no score depends on the cutting.
+        mean = mean or sum(len(w) for _, w in entries) / max(1, len(entries))
         self.impact: list[dict[bytes, float]] = []
         for _, words in entries:
             length = _K1 * (1 - _B + _B * len(words) / mean)
@@ -222,6 +224,9 @@ def indexes(items: DataFrame, item: str = "item_id", text: str = "text") -> Iter
     size, total = items.agg(F.sum(F.octet_length(f"`{text}`")), F.count(F.col(f"`{text}`"))).first()
     if not size:
         return
+    sizes = map_texts(items, [], text, lambda ts: {"n": np.array([len(tokens(t)) for t in ts], np.int64)}, "n long")
+    entries = F.greatest(F.lit(1), F.ceil(F.col("n") / ENTRY))
+    mean = sizes.where("n > 0").agg(F.sum("n") / F.sum(entries)).first()[0]
     words = map_texts(items, [], text, lambda ts: {"words": [sorted(set(tokens(t))) for t in ts]}, "words array<binary>")
     frequency = words.select(F.explode("words").alias("word")).groupBy("word").count()
     blocks = -(-size // INDEX_BYTES)
@@ -231,15 +236,20 @@ def indexes(items: DataFrame, item: str = "item_id", text: str = "text") -> Iter
         rows = [(r["i"], r["t"]) for r in dealt.filter(F.col("block") == block).orderBy("i", "t").collect()]
         own = map_texts(dealt.filter(F.col("block") == block), [], "t", lambda ts: {"words": [sorted(set(tokens(t))) for t in ts]}, "words array<binary>")
         known = frequency.join(own.select(F.explode("words").alias("word")).distinct(), "word", "left_semi") if blocks > 1 else frequency
-        yield Index(rows, {bytes(r["word"]): r["count"] for r in known.collect()}, total)
+        yield Index(rows, {bytes(r["word"]): r["count"] for r in known.collect()}, total, mean=mean)
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each text and item found in it: key, item, score, question_overlap, answer_overlap, first_word."""
+    """One row for each text and item found in it: key, item, score, question_overlap, answer_overlap, first_word.
+
+    If both ids have one name, the item's is written with `benchmark_` before it. Where there are several indexes,
+    what each finds is staged, so only one is held at a time.
+    """
     source = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
     key_type, item_type = source.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    schema = f"`{key}` {key_type}, `{item}` {item_type}, score double, question_overlap double, answer_overlap double, first_word long"
-    names = [key, item, "score", "question_overlap", "answer_overlap", "first_word"]
+    item_arrow, item_name = to_arrow_type(items.schema[item].dataType), f"benchmark_{item}" if item == key else item
+    schema = f"`{key}` {key_type}, `{item_name}` {item_type}, score double, question_overlap double, answer_overlap double, first_word long"
+    names = [key, item_name, "score", "question_overlap", "answer_overlap", "first_word"]
     out = None
     for index in indexes(items, item, item_text):
 
@@ -251,13 +261,18 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                         t, n, score, asked, answered, first = zip(*found)
                         yield pa.RecordBatch.from_arrays(
                             [
-                                part.column(key).take(pa.array(t)), pa.array([index.items[k].item_id for k in n], pa.int64()),
+                                part.column(key).take(pa.array(t)), pa.array([index.items[k].item_id for k in n], item_arrow),
                                 pa.array(score), pa.array(asked), pa.array(answered), pa.array(first, pa.int64()),
                             ],
                             names=names)
 
         found = in_arrow(source, run, schema)
-        out = found if out is None else out.unionByName(found)
+        if out is None:
+            out, several = found, False
+        else:
+            if not several:
+                out, several = stage(out, "leaks")[0], True
+            out = out.unionByName(stage(found, "leaks")[0])
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 

@@ -1,8 +1,10 @@
 """Main text of web pages by consensus host paths.
 
 1. Every page is read once into text blocks below a tree of elements; menus, headers, footers, sidebars,
-   notices, adverts, forms, scripts, styles and comments are marked by tag, role and class words. The
-   containers that are left are scored by the text that they hold outside links.
+   notices, adverts, forms, scripts, styles and comments are marked by tag, role and class words. Class words
+   and forms count only while the element holds less of the page's text outside links than a share (`SHARES`).
+   The containers that are left are scored by the text that they hold outside links; repeated containers below
+   one that has text of its own leave their score to it.
 2. A container is named by its generalised path: tags with their classes, digits replaced. Each page
    gives its containers votes in proportion to their scores; a grouped sum over (host, path), combined
    before the shuffle, finds the path with most votes of every host.
@@ -45,6 +47,10 @@ ASIDE_WORDS = re.compile(
     r"(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?\w*|consent|cookies?|copyright|disclaimer|disqus|feedback|footer|gdpr|header|hidden"
     r"|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|overlay|pager|pagination|popup|promos?|promotion"
     r"|recommended|related|replies|reply|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|widget)")
+#: Words of reader comments, which are an aside however much they hold.
+COMMENT_WORDS = re.compile(r"comments?\w*|disqus|repl(?:y|ies)|respond")
+#: First words of class names that tell what a page has or lacks, not what the element is.
+ABOUT = frozenset("has with without no not is".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 #: An open element that a new one of the second group ends.
 ENDED_BY = {
@@ -52,6 +58,9 @@ ENDED_BY = {
     **{f"h{k}": {f"h{n}" for n in range(1, 7)} | {"p"} for k in range(1, 7)},
 }
 
+#: Below these shares of the page's text an element is an aside: named by a whole class word; by a part of one, or a form.
+SHARES = (0.9, 0.5)
+
 _markup = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^>]*+(?:>|\Z))", re.S)
 _attribute = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
@@ -65,24 +74,54 @@ class Page:
     def __init__(self, html: str) -> None:
         self.nodes: list[tuple[int, str, bool, float]] = [(-1, "", False, 1.0)]
         self.blocks: list[tuple[int, str, int]] = []
+        self._doubts: dict[int, float] = {}
         self._read(html)
+        self._decide()
+
+    def _doubt(self, tag: str, tokens: list[str], in_content: bool) -> float:
+        """The share of the page's text below which the element's names make it an aside; 0: they do not."""
+        share = SHARES[1] if tag == "form" else 0.0
+        for token in tokens:
+            words = [w.lower() for w in _word.findall(token)]
+            if not words or words[0] in ABOUT or not any(ASIDE_WORDS.fullmatch(w) for w in words):
+                continue
+            if "header" in words and (in_content or CONTENT_WORDS.intersection(words)):
+                continue
+            if tag not in ("article", "main") and any(COMMENT_WORDS.fullmatch(w) for w in words):
+                return 2.0
+            share = max(share, SHARES[len(words) > 1 or tag in ("article", "main")])
+        return share
 
     def _open(self, parent: int, tag: str, attributes: str, in_content: bool) -> None:
         values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _attribute.finditer(attributes)} if "=" in attributes else {}
         classes = values.get("class", "").split()
-        words = [w.lower() for w in _word.findall(f"{values.get('class', '')} {values.get('id', '')}")]
         aside = (
-            self.nodes[parent][2]
-            or tag in ASIDE_TAGS and not (tag == "header" and in_content)
+            tag in ASIDE_TAGS and tag != "form" and not (tag == "header" and in_content)
             or values.get("role", "").lower() in ASIDE_ROLES
             or values.get("aria-hidden") == "true"
             or "display:none" in values.get("style", "").replace(" ", "").lower()
-            or re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes) is not None
-            or tag not in ("body", "html") and any(ASIDE_WORDS.fullmatch(w) for w in words))
+            or re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes) is not None)
+        tokens = [*classes, *values.get("id", "").split()]
+        words = {w.lower() for w in _word.findall(" ".join(tokens))}
+        if not aside and tag not in ("body", "html") and (doubt := self._doubt(tag, tokens, in_content)):
+            self._doubts[len(self.nodes)] = doubt
         weight = 3.0 if tag in ("article", "main") or values.get("itemprop") == "articleBody" else 1.5 if CONTENT_WORDS.intersection(words) else 1.0
         name = ".".join([tag, *sorted(_digits.sub("#", c) for c in classes)])
         self.nodes.append((parent, name, aside, weight if tag in CONTAINERS else 0.0))
 
+    def _decide(self) -> None:
+        """Doubtful elements by their share of the text; what stands below an aside is one."""
+        held = [0] * len(self.nodes)
+        for node, text, linked in self.blocks:
+            held[node] += max(0, len(text) - linked)
+        for n in range(len(self.nodes) - 1, 0, -1):
+            if not self.nodes[n][2]:
+                held[self.nodes[n][0]] += held[n]
+        for n in range(1, len(self.nodes)):
+            parent, name, aside, weight = self.nodes[n]
+            aside = aside or self.nodes[parent][2] or n in self._doubts and held[n] < self._doubts[n] * held[0]
+            self.nodes[n] = (parent, name, aside, weight)
+
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
         text: list[str] = []
@@ -167,7 +206,21 @@ class Page:
                 if node <= 0:
                     break
                 node = self.nodes[node][0]
-        return out
+        return self._gathered(out)
+
+    def _gathered(self, scores: dict[int, float]) -> dict[int, float]:
+        """Containers of one name below one that has blocks of its own are its sections: their scores are its own."""
+        direct = {self.container(node) for node, text, linked in self.blocks if not self.nodes[node][2] and len(text) > 2 * linked}
+        alike: dict[tuple[int, str], list[int]] = {}
+        for n in scores:
+            parent = self.container(self.nodes[n][0]) if n else 0
+            if parent and parent in direct and self.nodes[n][3] < 3:
+                alike.setdefault((parent, self.nodes[n][1]), []).append(n)
+        # Inner sections first: what they leave goes on with their container.
+        for (parent, _), own in sorted(alike.items(), reverse=True):
+            if len(own) > 1:
+                scores[parent] = scores.get(parent, 0.0) + sum(scores.pop(n) for n in own)
+        return scores
 
     def text(self, path: str | None) -> str:
         """Blocks of the containers on the path; of the page's best container if there is none or it is empty."""

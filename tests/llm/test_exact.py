@@ -340,6 +340,21 @@ def test_host_consensus(spark):
     assert got[0] == head + ("The story goes on. " * 9).strip() and got[8] == head + "Brief." and got[9] == "Only this, nothing else."
 
 
+LONG_STORY = ("The story goes on and on for quite some words here. " * 5).strip()
+
+
+@pytest.mark.parametrize("page,text", [
+    ('<nav><a href=x>Home</a></nav><div class="content has-sidebar"><h1>T</h1><p>{}</p></div><div class="sidebar">Buy now</div>', "T\n\n{}"),
+    ('<article class="post tags-news"><h1>T</h1><p>{}</p></article>', "T\n\n{}"), ('<main id="legal"><p>{}</p></main>', "{}"),
+    ("<form id=f><div class=content><p>{}</p></div></form><form>Search</form>", "{}"),
+    ('<article><div class="post-header"><h1>Head</h1></div><p>{}</p><div class="comments"><p>Nice</p></div></article>', "Head\n\n{}"),
+    ('<div class=content><h1>Head</h1><p>Lead is here.</p><div class=section><p>{}</p></div><div class=section><p>Second part.</p></div></div>', "Head\n\nLead is here.\n\n{}\n\nSecond part."),
+    ('<div class=article><p>Short one here.</p></div><div class="comments"><p>{}</p></div>', "Short one here."),
+])
+def test_class_words_do_not_take_the_article(page, text):
+    assert html.Page(page.format(LONG_STORY)).text(None) == text.format(LONG_STORY)
+
+
 def test_pages_of_the_given_tables(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     raw = {r["page_id"]: r["html"] for r in pages.collect()}
@@ -386,6 +401,18 @@ def test_snapshots_collapse(spark):
     assert got == {2: (4, 2), 5: (2, 1)}
 
 
+def test_cutting_the_index_changes_no_score(spark, monkeypatch):
+    """Also with ids of another type, and both ids of one name."""
+    rng = random.Random(5)
+    items = [(f"i{n}", " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice((9, 30, 150))))) for n in range(30)]
+    docs = spark.createDataFrame([(n, f"before {t} after") for n, (_, t) in enumerate(items)], "item_id long, text string")
+    given = spark.createDataFrame(items, "item_id string, text string")
+    whole = sorted(map(tuple, decontam.leaks(docs, given, key="item_id").collect()))
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 900)
+    assert decontam.leaks(docs, given, key="item_id").columns[:2] == ["item_id", "benchmark_item_id"]
+    assert sorted(map(tuple, decontam.leaks(docs, given, key="item_id").collect())) == whole and {r[1] for r in whole} == {i for i, _ in items}
+
+
 def test_pipeline_against_brute_force(spark, texts):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     stats = quality_rules.repetition([t for _, t in texts])
