@@ -204,11 +204,14 @@ def _slices(number):
 def dataset_cases(t):
     n = F.col("conv_id")
     key = n.cast("string")
-    w = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    first = t.conversations.filter("turn = 0").select("conv_id", "text", F.filter(w, lambda x: F.length(x) > 1).alias("w"))
-    first = first.withColumn("_w", F.coalesce(F.get("w", F.lit(0)), F.lit("zz")))
+    said = F.coalesce(F.get(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.length(x) > 1), F.lit(0)), F.lit("zz"))
+    # A fact of each turn: its first word, under the turn's number.
+    told = t.conversations.select("conv_id", "turn", F.concat(F.lit("t"), "turn", F.lit(" "), said).alias("fact"))
+    first = told.groupBy("conv_id").agg(
+        F.min("turn").cast("string").alias("_turn"),
+        F.transform(F.sort_array(F.collect_list(F.struct("turn", "fact"))), lambda x: x["fact"]).alias("_facts"))
     none = F.array().cast("array<string>")
-    ev, ck = F.concat(F.lit("ev-"), key, F.lit("-0")), F.concat(F.lit("ck-"), key, F.lit("-0"))
+    ev, ck = F.concat_ws("-", F.lit("ev"), key, "_turn"), F.concat_ws("-", F.lit("ck"), key, "_turn")
     return first.select(
         F.concat(F.lit("conv-"), key).alias("case_id"), F.concat(F.lit("conv-"), key).alias("document_id"),
         F.concat(F.lit("conv-"), key).alias("source_id"),
@@ -216,7 +219,7 @@ def dataset_cases(t):
         F.when(n % 6 != 0, F.concat(F.lit("es-"), key)).alias("evidence_set_id"),
         F.when(n % 6 != 0, F.concat(F.lit("es-"), key)).alias("evidence_id"),
         F.when(n % 11 == 0, "ambiguous").otherwise("answerable").alias("answerability"),
-        F.when(n % 4 == 0, F.array("_w", F.upper("_w"))).otherwise(F.array("_w")).alias("expected_facts"), none.alias("forbidden_facts"),
+        F.when(n % 4 == 0, F.concat("_facts", F.transform("_facts", F.upper))).otherwise(F.col("_facts")).alias("expected_facts"), none.alias("forbidden_facts"),
         F.when(n % 7 == 0, F.array(ev, ev)).otherwise(F.array(ev)).alias("relevant_evidence_ids"),
         F.when(n % 8 == 0, F.array(F.concat(F.lit("ck-"), key, F.lit("-9")))).otherwise(F.array(ck)).alias("required_citation_keys"),
         _slices(n).alias("slices"),
@@ -245,8 +248,8 @@ piece(
     "SELECT 'conv-' || n AS case_id, list_sort(list_filter([CASE WHEN n % 9 = 0 THEN 'UNKNOWN_SLICE' END, CASE WHEN n % 10 = 0 THEN "
     "'SLICE_SET_INVALID' END, CASE WHEN n % 5 = 0 THEN 'DOCUMENT_REFERENCE_BROKEN' END, CASE WHEN n % 4 = 0 THEN 'FACTS_INVALID' END, CASE WHEN "
     "n % 11 = 0 OR n % 6 = 0 THEN 'ANSWERABILITY_CONTRADICTORY' END, CASE WHEN n % 6 = 0 OR n % 5 = 0 OR n % 7 = 0 OR n % 8 = 0 OR NOT user0 THEN "
-    "'EVIDENCE_REFERENCE_BROKEN' END], lambda x: x IS NOT NULL)) AS errors, n FROM (SELECT conv_id AS n, bool_or(turn = 0 AND role <> "
-    "'assistant') AS user0 FROM conversations GROUP BY 1 HAVING bool_or(turn = 0))",
+    "'EVIDENCE_REFERENCE_BROKEN' END], lambda x: x IS NOT NULL)) AS errors, n FROM (SELECT conv_id AS n, arg_min(role, turn) <> "
+    "'assistant' AS user0 FROM conversations GROUP BY 1)",
 )
 
 
