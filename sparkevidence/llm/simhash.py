@@ -44,8 +44,8 @@ SIMILAR_SHINGLE = 5
 NEAR = (4, 5)
 #: Share of the texts asked for shingles of many texts, in how many of them, and how many shingles are ordered by it.
 ASKED, COMMON, ORDERED = 1 / 16, 4, 100_000
-#: Rows of a block of a bucket.
-BLOCK = 128
+#: Rows of a block of a bucket, and rows of a bucket that all others are held against first.
+BLOCK, CENTRES = 128, 4
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -227,57 +227,41 @@ def signed(texts: list[str], common: tuple[np.ndarray, np.ndarray]) -> dict[str,
         "__size": np.array([len(own) for own in sets], np.int32), "__prefix": [prefix(own, common) for own in sets]}
 
 
-def _enough(pairs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
-    """Pairs (a, b) of rows (a, b, a_size, b_size), one for each shared shingle of their prefixes, that can be near copies.
-
-    Of the one whose prefix ends first in the order, all common shingles stand in both prefixes or behind its
-    own; with the larger rest of the two the bound loses no pair.
-    """
-    part, whole = near
-    counted = pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("n"))
-    rest = F.ceil(F.greatest("a_size", "b_size") * part / whole) - 1
-    return counted.filter((F.col("n") + rest) * (part + whole) >= (F.col("a_size") + F.col("b_size")) * part).select("a", "b")
-
-
 def _reach(x: Column, y: Column, near: tuple[int, int] = NEAR) -> Column:
-    """Whether sets (size, at) that share the shingle at these places of their prefixes can be near copies.
+    """Whether sets (size, at) can be near copies if the shingle at these places is the first that they share.
 
-    No more than the shorter beginning and the shorter rest can be common; both prefixes have one order.
+    Both prefixes have one order, so no more than the shorter rest can be common then. Of near copies the first
+    common shingle passes, so one of their meetings is always left.
     """
     part, whole = near
-    most = F.least(x["at"], y["at"]) + F.least(x["size"] - x["at"], y["size"] - y["at"])
-    alike_sizes = F.least(x["size"], y["size"]) * whole >= F.greatest(x["size"], y["size"]) * part
-    return alike_sizes & (most * (part + whole) >= (x["size"] + y["size"]) * part)
+    most = F.least(x["size"] - x["at"], y["size"] - y["at"])
+    return most * (part + whole) >= (x["size"] + y["size"]) * part
 
 
-def meetings(heads: DataFrame) -> DataFrame:
-    """Rows (value, own) of prefixes whose shingle other prefixes hold too, with that bucket's smallest row (centre).
+def meetings(heads: DataFrame, centres: int = CENTRES) -> DataFrame:
+    """Rows (value, own) of prefixes whose shingle other prefixes hold too, with some rows of that bucket (centres).
 
-    own and centre are (id, size, at): a row, its number of shingles, and the shingle's place in its prefix.
+    own and centres are (id, size, at): a row, its number of shingles, and the shingle's place in its prefix. The
+    centres of a bucket are the first in as many orders by hash, so a large group of near copies holds one soon.
     """
     # Shuffled once, for the groups and the join. A shingle stands once in a prefix, so no bucket is more than a small part.
     held = heads.select("id", "size", F.posexplode("prefix").alias("at", "value")).select(
         "value", F.struct("id", "size", "at").alias("own")).repartition("value")
-    centres = held.groupBy("value").agg(F.min("own").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    return held.join(centres, "value").select("value", "own", "centre")
-
-
-def _found(x: str, y: str) -> list[Column]:
-    """Rows x and y of a bucket as one meeting of a pair."""
-    return [F.col(f"{x}.id").alias("a"), F.col(f"{y}.id").alias("b"), F.col(f"{x}.size").alias("a_size"), F.col(f"{y}.size").alias("b_size")]
+    chosen = [F.min_by("own", F.xxhash64("own.id", F.lit(k))) for k in range(centres)]
+    grouped = held.groupBy("value").agg(F.array(*chosen).alias("centres"), F.count("*").alias("n")).filter("n > 1")
+    return held.join(grouped, "value").select("value", "own", F.array_distinct("centres").alias("centres"))
 
 
 def stars(met: DataFrame) -> DataFrame:
-    """Each row of a bucket with the bucket's smallest id."""
-    fit = met.filter((F.col("own.id") > F.col("centre.id")) & _reach(F.col("own"), F.col("centre")))
-    return _enough(fit.select(*_found("own", "centre")))
+    """Each row of a bucket with the bucket's centres."""
+    sides = met.select("own", F.explode("centres").alias("centre")).filter((F.col("own.id") != F.col("centre.id")) & _reach(F.col("own"), F.col("centre")))
+    return sides.select(F.greatest("own.id", "centre.id").alias("a"), F.least("own.id", "centre.id").alias("b")).distinct()
 
 
 def open_pairs(met: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every pair of a bucket whose rows are not connected yet.
 
-    All buckets of such a pair are here, so its shared shingles are counted in full. A bucket's rows are dealt
-    into blocks of about `block`, and each two blocks meet in a group of their own, so a list stays bounded
+    A bucket's rows are dealt into blocks of about `block`, and each two blocks meet in a group of their own, so a list stays bounded
     however many rows a bucket has.
     """
     known = met.join(roots, F.col("own.id") == F.col("node"), "left").select(
@@ -294,7 +278,7 @@ def open_pairs(met: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFram
         x = F.col("x")
         return (y["id"] < x["id"]) & (y["root"] != x["root"]) & ((F.col("p") == F.col("q")) | (y["part"] != x["part"])) & _reach(x, y)
 
-    return _enough(sides.select("x", F.explode(F.filter("rows", apart)).alias("y")).select(*_found("x", "y")))
+    return sides.select("x", F.explode(F.filter("rows", apart)).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,7 +286,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     A group joins texts whose fingerprints are linked and texts whose five-word shingles are alike (`NEAR`). Two
     fingerprint bits are much narrower than that (see README), so the second search has prefixes of its own; it
-    runs over one row of each different set of shingles. Each bucket is first held against its smallest id, which
+    runs over one row of each different set of shingles. Each bucket is first held against a few of its rows, which
     connects large groups by stars; then all pairs follow that are still unconnected.
 
     Texts without words (null, empty, blank) are one group, repeated rows are copies of each other, very long texts
