@@ -2,8 +2,9 @@
 
 Greedy packing looks sequential, but where the next group starts depends only on where this one
 starts. Each block of segments therefore gives a small table "entry offset -> exit offset" (at most
-`max_tokens` entries, because a segment has at least one word). The tables of a document are chained,
-then every block emits its own groups. A document longer than one block is packed by many tasks.
+`max_tokens` entries, because a segment has at least one word). Tables are composed FAN at a time, level
+after level, which gives the entry of every block; then every block emits its own groups. A document longer
+than one block is packed by many tasks, and so is a table: its rows are packed beside the words of its prefix.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import stable_id
 from ..functions.text import token_count, words
+from ..session import materialize
 from .scans import BLOCK, block_of, blocked_row_number, blocked_scan
 from .structure import path_from_marks, path_marks
 
@@ -103,53 +105,34 @@ def table_prefix(tables: DataFrame, cells: DataFrame, elements: DataFrame) -> Da
     )
 
 
-def _row_group_ranges(max_tokens: int):
-    @F.pandas_udf("array<struct<start:int,stop:int>>")
-    def ranges(prefix: pd.Series, row_tokens: pd.Series) -> pd.Series:
-        def one(head: int, sizes: np.ndarray) -> list[dict]:
-            groups, start, used = [], 0, head
-            for index, size in enumerate(sizes):
-                if used > 0 and used + size > max_tokens:
-                    groups.append({"start": start, "stop": index})
-                    start, used = index, head
-                used += size
-            if used > 0:
-                groups.append({"start": start, "stop": len(sizes)})
-            return groups
-
-        return pd.Series([one(int(h), s) for h, s in zip(prefix, row_tokens)])
-
-    return ranges
-
-
 def render_tables(
-    tables: DataFrame, cells: DataFrame, elements: DataFrame, max_tokens: int = 256
+    tables: DataFrame, cells: DataFrame, elements: DataFrame, max_tokens: int = 256, block: int = BLOCK
 ) -> DataFrame:
     """Row groups of each table as text. Tables with an oversized row or prefix are left out
-    (see `table_rejects`); rows without starting cells are blank and join nothing."""
-    lines = table_rows(cells)
-    grid = (
-        table_prefix(tables, cells, elements)
-        .join(
-            lines.groupBy("document_id", "table_id").agg(
-                F.array_sort(F.collect_list(F.struct("row", "line"))).alias("lines")
-            ),
-            ["document_id", "table_id"],
-        )
-        .withColumn("_head", token_count(F.col("prefix")))
-        .withColumn("_sizes", F.transform("lines", lambda r: token_count(r["line"])))
-    )
-    fits = (F.col("_head") <= max_tokens) & (F.array_max("_sizes") <= max_tokens)
-    groups = grid.filter(fits).select(
-        "*", F.posexplode(_row_group_ranges(max_tokens)("_head", "_sizes")).alias("part", "g")
-    )
-    body = F.transform(
-        F.slice("lines", F.col("g.start") + 1, F.col("g.stop") - F.col("g.start")), lambda r: r["line"]
-    )
-    text = F.array_join(
-        F.filter(F.concat(F.array("prefix"), body), lambda x: x != ""), "\n"
-    )
-    return groups.select("document_id", "table_id", "element_id", "part", text.alias("content"))
+    (see `table_rejects`); rows without starting cells are blank and join nothing.
+
+    A group holds as many rows as fit beside the prefix; a row that does not fit stands alone, and in front of
+    such a first row stands the prefix alone.
+    """
+    keys = ["document_id", "table_id"]
+    prefixes = table_prefix(tables, cells, elements).withColumn("_head", token_count(F.col("prefix")))
+    lines = table_rows(cells).withColumn("size", token_count(F.col("line")))
+    numbered = materialize(blocked_row_number(lines, keys, block_of("row", block), [F.col("row")], "pos", 0), "table-lines")
+    # By rows, so that a table of any length is no list: its largest row and its first one.
+    measured = numbered.groupBy(*keys).agg(F.max("size").alias("_most"), F.max(F.when(F.col("pos") == 0, F.col("size"))).alias("_lead"))
+    fits = materialize(prefixes.join(measured, keys).filter((F.col("_head") <= max_tokens) & (F.col("_most") <= max_tokens)), "tables")
+    room = F.greatest(F.lit(1), F.lit(max_tokens) - F.col("_head"))
+    segs = numbered.join(fits.select(*keys, room.alias("limit")), keys).select(
+        F.struct(*keys).alias("document_id"), "pos", F.least("size", "limit").alias("tokens"), "line", "limit")
+    packed = pack(segs, "pos", max_tokens, block=block, limit=True)
+    groups = blocked_row_number(packed, ["document_id"], block_of("start", block), [F.col("start")], "_n", 0).select(
+        F.col("document_id.document_id").alias("document_id"), F.col("document_id.table_id").alias("table_id"), "_n",
+        F.transform("group", lambda g: g["line"]).alias("_body"))
+    alone = (F.col("_head") > 0) & (F.col("_head") + F.col("_lead") > max_tokens)
+    heads = fits.filter(alone).select(*keys, F.lit(-1).cast("long").alias("_n"), F.array().cast("array<string>").alias("_body"))
+    text = F.array_join(F.filter(F.concat(F.array("prefix"), F.col("_body")), lambda x: x != ""), "\n")
+    return groups.unionByName(heads).join(fits, keys).select(
+        *keys, "element_id", (F.col("_n") + alone.cast("int")).cast("int").alias("part"), text.alias("content"))
 
 
 def table_rejects(tables: DataFrame, cells: DataFrame, elements: DataFrame, max_tokens: int = 256) -> DataFrame:
@@ -183,40 +166,45 @@ def _steps(tokens: np.ndarray, breaks: np.ndarray, max_tokens: int, overlap: int
     return stop, np.where(stop == next_break, stop, nxt)
 
 
-def _walk(tokens, breaks, limits: tuple[int, int, int]):
-    return _steps(np.asarray(tokens, dtype=np.int64), np.asarray(breaks, dtype=bool), *limits)
+def _walk(tokens, breaks, limit: int | None, limits: tuple[int, int, int]):
+    own = limits if limit is None else (limit, *limits[1:])
+    return _steps(np.asarray(tokens, dtype=np.int64), np.asarray(breaks, dtype=bool), *own)
+
+
+def _given(limit: pd.Series) -> list[int | None]:
+    return [None if pd.isna(x) else int(x) for x in limit]
 
 
 def _exits(limits: tuple[int, int, int], block: int):
     reach = min(limits[0], limits[2])
 
     @F.pandas_udf("array<int>")
-    def exits(tokens: pd.Series, breaks: pd.Series) -> pd.Series:
-        def one(sizes: np.ndarray, marks: np.ndarray) -> np.ndarray:
-            _, nxt = _walk(sizes, marks, limits)
+    def exits(tokens: pd.Series, breaks: pd.Series, limit: pd.Series) -> pd.Series:
+        def one(sizes: np.ndarray, marks: np.ndarray, own: int | None) -> np.ndarray:
+            _, nxt = _walk(sizes, marks, own, limits)
             at = np.arange(min(reach, len(sizes)))
             while (inside := at < block).any():
                 at[inside] = nxt[at[inside]]
             return (at - block).astype(np.int32)
 
-        return pd.Series([one(t, b) for t, b in zip(tokens, breaks)])
+        return pd.Series([one(t, b, x) for t, b, x in zip(tokens, breaks, _given(limit))])
 
     return exits
 
 
 def _ranges(limits: tuple[int, int, int], block: int | None):
     @F.pandas_udf("array<struct<start:int,stop:int>>")
-    def ranges(tokens: pd.Series, breaks: pd.Series, entry: pd.Series) -> pd.Series:
-        def one(sizes: np.ndarray, marks: np.ndarray, at: int) -> list[dict]:
-            stop, nxt = _walk(sizes, marks, limits)
-            limit = len(sizes) if block is None else min(block, len(sizes))
+    def ranges(tokens: pd.Series, breaks: pd.Series, entry: pd.Series, limit: pd.Series) -> pd.Series:
+        def one(sizes: np.ndarray, marks: np.ndarray, at: int, own: int | None) -> list[dict]:
+            stop, nxt = _walk(sizes, marks, own, limits)
+            last = len(sizes) if block is None else min(block, len(sizes))
             groups = []
-            while at < limit:
+            while at < last:
                 groups.append({"start": int(at), "stop": int(stop[at])})
                 at = nxt[at]
             return groups
 
-        return pd.Series([one(t, b, int(e)) for t, b, e in zip(tokens, breaks, entry)])
+        return pd.Series([one(t, b, int(e), x) for t, b, e, x in zip(tokens, breaks, entry, _given(limit))])
 
     return ranges
 
@@ -225,9 +213,9 @@ def _sizes() -> Column:
     return F.transform("segs", lambda s: s["tokens"].cast("int"))
 
 
-def _slice_groups(blocks: DataFrame, ranges, breaks: Column) -> DataFrame:
+def _slice_groups(blocks: DataFrame, ranges, breaks: Column, limit: Column) -> DataFrame:
     return blocks.select(
-        "*", F.posexplode(ranges(_sizes(), breaks, F.col("entry").cast("int"))).alias("_n", "_g")
+        "*", F.posexplode(ranges(_sizes(), breaks, F.col("entry").cast("int"), limit)).alias("_n", "_g")
     ).withColumn(
         "group", F.slice("segs", F.col("_g.start") + 1, F.col("_g.stop") - F.col("_g.start"))
     )
@@ -243,6 +231,41 @@ def _breaks(strategy: str) -> Column:
     return F.transform(segs, lambda s: F.lit(False))
 
 
+#: Exit maps composed in one row.
+FAN = 512
+
+
+def _runs(maps: DataFrame, fan: int) -> DataFrame:
+    """Maps of `fan` consecutive blocks as a list: (document_id, run, maps)."""
+    run = F.floor(F.col("at") / fan).cast("long").alias("run")
+    return maps.groupBy("document_id", run).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "map"))), lambda x: x["map"]).alias("maps"))
+
+
+def _entries(maps: DataFrame, fan: int = FAN) -> DataFrame:
+    """(document_id, at, entry): where each block behind a mapped one begins, from maps (document_id, at, map).
+
+    Maps are composed in runs of `fan`, and these in runs again: what the top level lists of a document is one
+    map for every fan * fan blocks. On the way back each run hands its entry to its members.
+    """
+    through = lambda maps: F.aggregate(
+        F.slice(maps, 2, fan), maps[0], lambda acc, m: F.transform(acc, lambda e: F.element_at(m, e + 1)))
+    first = _runs(maps, fan)
+    second = _runs(first.select("document_id", F.col("run").alias("at"), through(F.col("maps")).alias("map")), fan)
+    top = second.select("document_id", F.col("run").alias("at"), through(F.col("maps")).alias("map")).groupBy("document_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "map"))), lambda x: x["map"]).alias("maps"))
+    chain = lambda start: F.aggregate(
+        "maps", F.array(start), lambda acc, m: F.concat(acc, F.array(F.element_at(m, F.element_at(acc, -1) + 1))))
+    tops = top.select("document_id", F.posexplode(chain(F.lit(0))).alias("run", "entry"))
+
+    def down(runs: DataFrame, entries: DataFrame) -> DataFrame:
+        begun = runs.join(entries, ["document_id", "run"])
+        each = begun.select("document_id", "run", F.posexplode(chain(F.col("entry"))).alias("_n", "entry"))
+        # The end of a full run is also the beginning of the next one.
+        return each.select("document_id", (F.col("run") * fan + F.col("_n")).alias("run"), "entry").distinct()
+
+    return down(first, down(second, tops)).withColumnRenamed("run", "at")
+
+
 def pack(
     segments: DataFrame,
     position: str,
@@ -251,12 +274,12 @@ def pack(
     max_items: int | None = None,
     strategy: str = "fixed",
     block: int = BLOCK,
+    limit: bool = False,
 ) -> DataFrame:
     """Greedy groups of consecutive segments: rows (document_id, start, group array<struct>).
 
     `position` counts from 0 without gaps per document; every segment has 1..max_tokens tokens.
-    The chained tables hold one row per block, so their size per document is its length / block;
-    intake bounds a document at 16 MiB, hence at most about two thousand blocks.
+    limit: segments bring a smaller bound of their document's groups in a column of that name.
     """
     limits = (max_tokens, overlap, max_items or max_tokens)
     halo = min(limits[0], limits[2])
@@ -272,28 +295,21 @@ def pack(
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("_pos"), *payload))).alias("segs"))
     )
-    chain = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("_blk", "_x"))),
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(x["_x"], F.element_at(acc, -1) + 1))),
-    )
     breaks = _breaks(strategy)
-    entries = (
-        blocks.filter(F.size("segs") > width)
-        .select(*keys, _exits(limits, width)(_sizes(), breaks).alias("_x"))
-        .groupBy("document_id").agg(chain.alias("_entries"))
-        .select("document_id", F.posexplode("_entries").alias("_blk", "entry"))
-        .withColumn("_blk", F.col("_blk").cast("long"))
-    )
+    bound = F.col("segs")[0]["limit"].cast("int") if limit else F.lit(None).cast("int")
+    # Written once: only blocks with another one behind them have a map, and every level of the composition reads them.
+    maps = materialize(blocks.filter(F.size("segs") > width).select(
+        "document_id", F.col("_blk").alias("at"), _exits(limits, width)(_sizes(), breaks, bound).alias("map")), "exit-maps")
+    entries = _entries(maps).withColumnRenamed("at", "_blk")
     entered = blocks.join(entries, keys, "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
-    grouped = _slice_groups(entered, _ranges(limits, width), breaks)
+    grouped = _slice_groups(entered, _ranges(limits, width), breaks, bound)
     return grouped.select("document_id", F.col("group")[0]["_pos"].cast("long").alias("start"), "group")
 
 
 def pack_in_row(df: DataFrame, segs: str, max_tokens: int, overlap: int = 0) -> DataFrame:
     """The same groups where all segments of a document already sit in one row: no shuffle."""
     ready = df.withColumnRenamed(segs, "segs").withColumn("entry", F.lit(0))
-    grouped = _slice_groups(ready, _ranges((max_tokens, overlap, max_tokens), None), _breaks("fixed"))
+    grouped = _slice_groups(ready, _ranges((max_tokens, overlap, max_tokens), None), _breaks("fixed"), F.lit(None).cast("int"))
     return grouped.withColumn("start", F.col("_g.start").cast("long")).withColumn(
         "ordinal", F.col("_n").cast("long")
     ).drop("_n", "_g", "segs", "entry")
@@ -388,45 +404,34 @@ def segments(
     language = F.col("language") if "language" in elements.columns else F.lit(None).cast("string")
     own_text = render_text(F.col("kind"), F.col("text"), items)
     own = F.array(F.struct(F.col("id").alias("element_id"), "locator"))
-    rows = elements.withColumn("language", language)
-    if tables is None:
-        rows = rows.withColumn("_parts", F.array(own_text)).withColumn("citations", own)
-    else:
-        rendered = (
-            render_tables(tables, cells, elements, config.max_tokens)
-            .groupBy("document_id", F.col("element_id").alias("id"))
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda p: p["content"])
-                 .alias("_rendered"))
-            .join(table_citations(tables, elements), ["document_id", "id"])
-        )
+    rows = elements.withColumn("language", language).withColumn("_own", own_text).withColumn("_size", token_count(F.col("_own")))
+    rows = rows.withColumn("citations", own).withColumn("_n", (F.col("_size") > 0).cast("int"))
+    parts = None
+    if tables is not None:
+        parts = materialize(render_tables(tables, cells, elements, config.max_tokens, block).select(
+            "document_id", F.col("element_id").alias("id"), "part", "content", token_count(F.col("content")).alias("tokens")), "table-parts")
+        counted = parts.groupBy("document_id", "id").agg(F.count(F.lit(1)).alias("_many"), F.max("tokens").alias("_most"))
         table = F.col("kind") == "table"
+        rows = rows.join(counted.join(table_citations(tables, elements), ["document_id", "id"]), ["document_id", "id"], "left")
         rows = (
-            rows.join(rendered, ["document_id", "id"], "left")
-            .withColumn("_parts", F.when(table, F.col("_rendered")).otherwise(F.array(own_text)))
-            .withColumn("citations", F.when(table, F.col("_cited")).otherwise(own))
+            rows.withColumn("_n", F.when(table, F.coalesce("_many", F.lit(0))).otherwise(F.col("_n")).cast("int"))
+            .withColumn("_size", F.when(table, F.col("_most")).otherwise(F.col("_size")))
+            .withColumn("citations", F.when(table, F.col("_cited")).otherwise(F.col("citations")))
         )
-    parts = F.filter(
-        F.transform(
-            F.coalesce("_parts", F.array().cast("array<string>")),
-            lambda p: F.struct(p.alias("content"), token_count(p).alias("tokens")),
-        ),
-        lambda p: p["tokens"] > 0,
-    )
-    rows = rows.select(
-        "document_id", "reading_order", "kind", "level", "text", "language", "citations", parts.alias("_parts")
-    )
-    largest = F.array_max(F.transform("_parts", lambda p: p["tokens"]))
+    rows = rows.select("document_id", "id", "reading_order", "kind", "level", "text", "language", "citations", "_own", "_size", "_n")
     scanned = blocked_scan(
         rows, ["document_id"], "reading_order", path_marks(),
-        sums={"_first": F.size("_parts")}, maxima={"largest": largest}, width=block,
-    )
-    return scanned.withColumn("context", path_from_marks()).select(
-        "document_id", "largest", "_first", "context", "citations", "language",
-        (F.col("kind") == "table").alias("is_table"), F.posexplode("_parts").alias("_i", "_p"),
-    ).select(
-        "document_id", (F.col("_first") + F.col("_i")).alias("pos"), F.col("_p.content").alias("content"),
-        F.col("_p.tokens").alias("tokens"), "context", "citations", "language", "is_table", "largest",
-    )
+        sums={"_first": F.col("_n")}, maxima={"largest": F.when(F.col("_n") > 0, F.col("_size"))}, width=block,
+    ).filter("_n > 0")
+    shown = ["document_id", "content", "tokens", "context", "citations", "language", "is_table", "largest"]
+    ready = scanned.withColumn("context", path_from_marks()).withColumn("is_table", F.col("kind") == "table")
+    plain = ready.filter("NOT is_table") if parts is not None else ready
+    out = plain.select(*[c for c in shown if c not in ("content", "tokens")], F.col("_own").alias("content"), F.col("_size").alias("tokens"), F.col("_first").alias("pos"))
+    if parts is not None:
+        # A table's parts meet its element by row, so no table is a list.
+        own_parts = ready.filter("is_table").drop("tokens", "content").join(parts, ["document_id", "id"])
+        out = out.unionByName(own_parts.select(*shown, (F.col("_first") + F.col("part")).alias("pos")))
+    return out.select("document_id", "pos", *shown[1:])
 
 
 def table_citations(tables: DataFrame, elements: DataFrame) -> DataFrame:

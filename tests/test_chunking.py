@@ -48,6 +48,63 @@ def test_pack_equals_the_definition_across_blocks(spark, overlap):
         assert got[d] == set(greedy(sizes, [False] * len(sizes), 12, overlap, 10**9)), d
 
 
+def test_a_document_of_many_blocks(spark):
+    """200,000 segments in 25,000 blocks: composed over three levels, by several tasks."""
+    n = 200_000
+    segs = spark.range(n).selectExpr("'d' document_id", "id pos", "cast(1 + pmod(xxhash64(id), 4) as int) tokens")
+    stored = [r.tokens for r in segs.orderBy("pos").collect()]
+    want, start, used = [], 0, 0
+    for i, t in enumerate(stored):
+        if used + t > 8:
+            want.append(start)
+            start, used = i, 0
+        used += t
+    want.append(start)
+    made = C.pack(segs, "pos", 8, block=8)
+    assert sorted(r.start for r in made.select("start").collect()) == want
+    assert made.rdd.getNumPartitions() > 1
+
+
+def test_entries_of_composed_maps(spark):
+    rows = [("d", i, [(i + 1) % 3, (2 * i) % 3, 0]) for i in range(40)] + [("e", 0, [2, 1, 0])]
+    found = C._entries(spark.createDataFrame(rows, "document_id string, at long, map array<int>"), 3).collect()
+    at, want = 0, [0]
+    for _, _, m in rows[:40]:
+        at = m[at]
+        want.append(at)
+    assert [r.entry for r in sorted(found, key=lambda r: r.at) if r.document_id == "d"] == want
+    assert [r.entry for r in sorted(found, key=lambda r: r.at) if r.document_id == "e"] == [0, 2]
+
+
+def test_a_table_over_several_blocks(spark):
+    """Rows of one table in many blocks; groups as a loop over its rows makes them."""
+    n, most, here = 700, 12, locator(kind=F.lit("spreadsheet"), sheet_name=F.lit("s"), range=F.lit("A1"))
+    cells = spark.range(n).selectExpr(
+        "'d' document_id", "'tab' table_id", "concat('x', id) id", "cast(id as int) row", "0 column", "1 row_span", "1 column_span",
+        "concat_ws(' ', transform(sequence(1, cast(1 + pmod(xxhash64(id), 11) as int)), i -> concat('w', id))) text", "false is_header")
+    for caption, head in (("Sales of all", 4), ("", 0), ("a b c d e f g h i j k", 12)):
+        elements = spark.createDataFrame(
+            [("d", 0, "c", "caption", caption, None), ("d", 1, "t", "table", None, "tab")],
+            "document_id string, reading_order int, id string, kind string, text string, table_id string",
+        ).withColumns({"level": F.lit(None).cast("int"), "parent_id": F.lit(None).cast("string"), "locator": here})
+        tables = spark.createDataFrame([("d", "tab", "t", n, 1, "c", ["n"])],
+            "document_id string, id string, element_id string, rows int, columns int, caption_element_id string, related_element_ids array<string>",
+        ).withColumn("locator", here)
+        lines = {r.row: f"c0[1x1]={r.text}" for r in cells.collect()}
+        want, own, used = [], [], head
+        for i in range(n):
+            size = len(lines[i].split())
+            if used > 0 and used + size > most:
+                want.append(own)
+                own, used = [], head
+            own.append(lines[i])
+            used += size
+        want.append(own)
+        prefix = [f"Table: {caption}"] if caption else []
+        found = C.render_tables(tables, cells, elements, most, 16).orderBy("part").collect()
+        assert [r.content for r in found] == ["\n".join(prefix + own) for own in want] and [r.part for r in found] == list(range(len(want)))
+
+
 def test_pack_bounds_items(spark):
     segs = spark.createDataFrame([("d", i, 1) for i in range(50)], "document_id string, pos long, tokens int")
     made = C.pack(segs, "pos", 100, 0, max_items=7, block=10).select(F.size("group").alias("n")).collect()
