@@ -4,8 +4,8 @@ Model. States are the histories seen in training; an arc for each seen continuat
 smoothed probability, and a failure arc carries the backoff weight to the next shorter history:
     p(w | h) = (c(h w) + mu * p(w | h')) / (c(h) + mu),   p(w) = (c(w) + 1) / (N + V + 1).
 For an unseen continuation this is exactly failure weight times p(w | h'). A text is read once from left
-to right: the state after a word is its longest seen history, so all steps of a block of texts are taken
-together in numpy, one array operation for each order.
+to right: its state follows the arc of the next word, or failure arcs down to a state that has one, and the
+weights on the way add up. All texts of a block take a step together, the longest ones to the last.
 
 Jobs.
 1. One pass over the texts turns blocks of about `BLOCK_TOKENS` tokens into word codes and sorted lists of
@@ -13,7 +13,8 @@ Jobs.
    64-bit hashes; a word of a third of all tokens is one entry of each block.
 2. The n-gram lists are cut by ranges of the hash, shuffled and merged: each range adds up its counts and
    sends every block the totals of the entries that the block asked for.
-3. Blocks meet their totals and are scored.
+3. Blocks meet their totals, from which each builds the part of the automaton that its texts can reach: states,
+   arcs and failure arcs. Then its texts are read.
 Tasks hold one block or one range, both of bounded size; nothing of the model is broadcast or collected
 but N and V. The model grows with the corpus.
 
@@ -175,19 +176,98 @@ def totals(grams: DataFrame, ranges: int) -> DataFrame:
     return cuts.groupBy("order", "range").applyInArrow(merge, "block long, `order` int, `range` int, n long, sums binary, seen long, sum long")
 
 
-def walk(words: np.ndarray, lengths: np.ndarray, counts: list[np.ndarray], texts: int, mass: float, mu: float) -> np.ndarray:
-    """log10 probability of each token. counts[k]: training count of the (k+1)-gram that ends there;
-    texts: training texts; mass: N + V + 1."""
-    starts = np.cumsum(lengths) - lengths
-    age = np.arange(len(words)) - np.repeat(starts, lengths)
-    p = (counts[0] + 1) / mass
-    for n in range(2, len(counts) + 1):
-        history = np.roll(counts[n - 2], 1).astype(float)
-        if n == 2:
-            history[age == 0] = texts
-        longer = (counts[n - 1] + mu * p) / (history + mu)
-        p = np.where(age >= n - 2, longer, p)
-    return np.log10(p)
+class Automaton:
+    """The states and arcs that the texts of a block can reach.
+
+    States are numbered: 0 is the empty history, then histories of one word (seen ones, and the beginning of a
+    text), then longer ones. Arcs of histories of n - 1 words are found by the hash of the n-gram they complete.
+    """
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, counts: list[np.ndarray], texts: int, mass: float, mu: float) -> None:
+        """counts[k]: training count of the (k+1)-gram that ends at each token; texts: training texts; mass: N + V + 1."""
+        self.order = len(counts)
+        self.starts = np.cumsum(lengths) - lengths
+        age = np.arange(len(words)) - np.repeat(self.starts, lengths)
+        grams = gram_hashes(words, lengths, self.order)
+        # Of each different n-gram one place in the texts stands for all.
+        self.words, first, self.word = np.unique(words, return_index=True, return_inverse=True)
+        p = (counts[0] + 1) / mass
+        self.arcs = [np.log10(p[first])]
+        self.keys: list[np.ndarray] = [self.words]
+        hashes, fails, weights, level = [np.zeros(1, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(1, np.int64)]
+        size = 1
+        # States of one word: the words seen in training; the beginning stands behind them.
+        number = np.zeros(len(words), np.int64)  # the state of the history of n words that ends at each token
+        ends: list[np.ndarray] = []  # where an arc leads
+        for n in range(1, self.order + 1):
+            if n > 1:
+                history = np.roll(counts[n - 2], 1).astype(float)
+                if n == 2:
+                    history[age == 0] = texts
+                p = np.where(age >= n - 2, (counts[n - 1] + mu * p) / (history + mu), p)
+                known, first = np.unique(grams[n - 1], return_index=True)
+                seen = (counts[n - 1][first] > 0) & (age[first] >= n - 2)
+                known, first = known[seen], first[seen]
+                self.keys.append(known)
+                self.arcs.append(np.log10(p[first]))
+            else:
+                known, first = self.words, first
+            if n < self.order:
+                is_state = counts[n - 1][first] > 0
+                own = np.where(is_state, size + np.cumsum(is_state) - 1, 0)
+                hashes.append(known[is_state])
+                fails.append(number[first][is_state])
+                weights.append(np.log10(mu / (counts[n - 1][first][is_state] + mu)))
+                level.append(np.full(int(is_state.sum()), n))
+                size += int(is_state.sum())
+                # A token whose n-gram is no state keeps the longest shorter one.
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, grams[n - 1]), len(known) - 1)
+                    longer = np.where(known[at] == grams[n - 1], own[at], 0)
+                    number = np.where(longer > 0, longer, number)
+            ends.append(number[first])
+        self.ends = ends
+        self.begin = size
+        self.hash = np.concatenate([*hashes, np.array([_BEGIN], np.uint64)])
+        self.fail = np.concatenate([*fails, np.zeros(1, np.int64)])
+        self.weight = np.concatenate([*weights, np.array([np.log10(mu / (texts + mu))])])
+        self.level = np.concatenate([*level, np.ones(1, np.int64)])
+        self.lengths, self.tokens = lengths, words
+
+    def read(self) -> np.ndarray:
+        """log10 probability of each text."""
+        by_length = np.argsort(-self.lengths, kind="stable")
+        starts, lengths = self.starts[by_length], self.lengths[by_length]
+        total, state = np.zeros(len(lengths)), np.full(len(lengths), self.begin)
+        for step in range(int(lengths[0]) if len(lengths) else 0):
+            active = int(np.searchsorted(-lengths, -step, "left"))
+            at = starts[:active] + step
+            word, now, gained = self.tokens[at], state[:active], np.zeros(active)
+            following, waits = np.zeros(active, np.int64), np.arange(active)
+            for n in range(self.order, 1, -1):
+                own = waits[self.level[now[waits]] == n - 1]
+                if not len(own):
+                    continue
+                keys = self.keys[n - 1]
+                wanted = _chained(self.hash[now[own]], word[own])
+                spot = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+                hit = keys[spot] == wanted if len(keys) else np.zeros(len(own), bool)
+                done, missed = own[hit], own[~hit]
+                gained[done] += self.arcs[n - 1][spot[hit]]
+                following[done] = self.ends[n - 1][spot[hit]]
+                gained[missed] += self.weight[now[missed]]
+                now[missed] = self.fail[now[missed]]
+                keep = np.ones(active, bool)
+                keep[done] = False
+                waits = waits[keep[waits]]
+            spot = self.word[at[waits]]
+            gained[waits] += self.arcs[0][spot]
+            following[waits] = self.ends[0][spot]
+            total[:active] += gained
+            state[:active] = following
+        out = np.empty(len(total))
+        out[by_length] = total
+        return out
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None, order: int = ORDER,
@@ -228,12 +308,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Co
                     counts.append(np.concatenate(found[n])[np.unique(grams, return_inverse=True)[1]])
                 starts = np.cumsum(lengths) - lengths
                 base = np.log10((counts[0] + 1) / mass)
-                own = walk(words, lengths, counts, learned, mass, mu)
+                own = Automaton(words, lengths, counts, learned, mass, mu).read()
                 yield pa.RecordBatch.from_arrays(
                     [
                         row.column("ids").flatten(), row.column("held").flatten(), pa.array(lengths),
                         pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), starts)), pa.array(np.full(len(lengths), tokens, np.int64)),
-                        pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(own, starts)),
+                        pa.array(np.add.reduceat(base, starts)), pa.array(own),
                     ],
                     names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -35,7 +35,7 @@ def words_of(text):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     got, want = QUERIES[name](spark, SMALL).toPandas(), db.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and canonical(got) == canonical(want)
