@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import digest
+from ..session import materialize
 from .quality import VALUE
-from .scans import blocked_row_number
 
 # The inputs two comparable runs must share; the allowed upstream stages.
 FIXED_INPUTS = (
@@ -265,29 +265,46 @@ def validate_manifest(
     )
 
 
-def catalog_level(ids: DataFrame, id_col: str, fanout: int = 64) -> DataFrame:
-    """First level of the catalog: (parent, position, child) groups of `fanout` ordered ids.
+def numbered_by_range(ids: DataFrame, id_col: str) -> DataFrame:
+    """(child, position, total): ids numbered from 0 in their order over the whole table.
 
-    Ids are counted per eight-character prefix and numbered inside it, so no task orders them all.
+    Ids are dealt into ranges of about equal size, whatever they begin with; each range is numbered by itself,
+    behind the counts of the ranges before it. Only one count for each range is ordered in one task.
     """
-    keyed = ids.select(F.col(id_col).alias("child"), F.lit(0).alias("_all"))
-    numbered = blocked_row_number(
-        keyed, ["_all"], F.substring("child", 1, 8), [F.col("child")], "position", 0
-    )
-    return numbered.select((F.floor(F.col("position") / fanout)).cast("long").alias("parent"), "position", "child")
+    ranged = materialize(ids.select(F.col(id_col).alias("child")).repartitionByRange("child").withColumn("_range", F.spark_partition_id()), "catalog")
+    every = Window.partitionBy(F.lit(0)).orderBy("_range")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        "_range", (F.sum("_n").over(every) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("child"))
+    return ranged.withColumn("_at", inside).join(offsets, "_range").select("child", (F.col("_before") + F.col("_at") - 1).alias("position"), "total")
+
+
+def catalog_level(ids: DataFrame, id_col: str, fanout: int = 64) -> DataFrame:
+    """First level of the catalog: (parent, position, child) groups of `fanout` ordered ids."""
+    numbered = numbered_by_range(ids, id_col)
+    return numbered.select((F.floor(F.col("position") / fanout)).cast("long").alias("parent"), "position", "child", "total")
+
 
+def catalog_levels(ids: DataFrame, id_col: str, fanout: int = 64) -> DataFrame:
+    """All levels up to one root: (level, parent, children).
 
-def catalog_levels(ids: DataFrame, id_col: str, total: int, fanout: int = 64) -> DataFrame:
-    """All levels up to one root: (level, parent, children). Upper levels follow by arithmetic."""
+    A group of the first level stands for those of every upper level that begin with it; how many children they
+    have follows from the total, so upper levels need neither a shuffle nor an action.
+    """
     if fanout < 2:
         raise ValueError("fanout is 2 or more")
-    first = catalog_level(ids, id_col, fanout).groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
-    levels = first.withColumn("level", F.lit(0))
-    current, size, level = first, -(-total // fanout), 1
-    while size > 1:
-        current = current.groupBy(F.floor(F.col("parent") / fanout).cast("long").alias("parent")).agg(
-            F.count(F.lit(1)).alias("children")
-        )
-        levels = levels.unionByName(current.withColumn("level", F.lit(level)))
-        size, level = -(-size // fanout), level + 1
-    return levels.select("level", "parent", "children")
+    first = catalog_level(ids, id_col, fanout).groupBy("parent").agg(F.count(F.lit(1)).alias("children"), F.max("total").alias("total"))
+    # Powers of the fan-out within a long: the span of a group of each level, in groups of the first one.
+    spans = [fanout**k for k in range(1, 63) if fanout**k < 1 << 62]
+    power = F.array(*[F.lit(x).cast("long") for x in [1, *spans]])
+    groups = F.expr(f"(total + {fanout - 1}) div {fanout}")
+    # x / span rounded up: what is left of the division goes first, so it is exact.
+    up = lambda x, span: ((x + span - 1 - (x + span - 1) % span).cast("decimal(38,0)") / span).cast("long")
+    below = lambda level: up(groups, F.element_at(power, level))  # noqa: E731 - groups of the level beneath
+    levels = F.filter(F.sequence(F.lit(1), F.lit(len(spans))), lambda n: (F.col("parent") % F.element_at(power, n + 1) == 0) & (below(n) > 1))
+    upper = first.select("parent", "total", F.explode(levels).alias("level"))
+    parent = F.col("parent").cast("decimal(38,0)") / F.element_at(power, F.col("level") + 1)
+    upper = upper.select("level", parent.cast("long").alias("parent"), F.least(F.lit(fanout), below(F.col("level")) - parent.cast("long") * fanout).alias("children"))
+    return first.select(F.lit(0).alias("level"), "parent", "children").unionByName(upper)

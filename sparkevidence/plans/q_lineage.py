@@ -658,7 +658,7 @@ def validate_manifest(t):
 )
 def catalog_levels(t):
     ids = t.orders.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"))
-    return E.catalog_levels(ids, "id", t.orders.count(), 64)
+    return E.catalog_levels(ids, "id", 64)
 
 
 @query(

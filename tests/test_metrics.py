@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sparkevidence.functions import normal
@@ -183,3 +185,19 @@ def test_table_labels_without_cells_or_table_count(spark):
     twice = tables.unionByName(tables.withColumn("id", F.concat("id", F.lit("-copy"))))
     row = Q.table_structure(labels, tables, cells, twice, cells).first()
     assert (row.labelled_count, row.matched_count) == (3, 2) and abs(row.value - 2 / 3) < 1e-9
+
+
+@pytest.mark.parametrize("n,fanout", [(0, 3), (1, 3), (9, 3), (1000, 7), (100, 2), (65, 64)])
+def test_catalog_of_ids_with_one_long_beginning(spark, n, fanout):
+    from sparkevidence.operators import comparison as E
+
+    ids = spark.range(n).selectExpr("concat(repeat('p', 40), lpad(id, 6, '0')) id").repartition(5)
+    numbered = E.numbered_by_range(ids, "id")
+    assert [int(r.child[40:]) for r in sorted(numbered.collect(), key=lambda r: r.position)] == list(range(n))
+    assert n < 1000 or numbered.select(F.spark_partition_id()).distinct().count() > 1
+    want, size, level = [], n, 0
+    while size > (level > 0):
+        groups = -(-size // fanout)
+        want += [(level, p, min(fanout, size - p * fanout)) for p in range(groups)]
+        size, level = groups, level + 1
+    assert sorted(map(tuple, E.catalog_levels(ids, "id", fanout).collect())) == want
