@@ -77,7 +77,7 @@ def _expansions(base: DataFrame, docs: DataFrame, config: ContextConfig) -> Data
         )
         wanted.append(
             base.join(parents, ["index_id", "parent_chunk_id"]).select(
-                "query_id", "rank", F.lit(1).alias("_step"), F.lit("expanded_parent").alias("_reason"),
+                "query_id", "index_id", "rank", F.lit(1).alias("_step"), F.lit("expanded_parent").alias("_reason"),
                 "safe_score", "contributors", "table_element_ids", "x",
             )
         )
@@ -95,7 +95,7 @@ def _expansions(base: DataFrame, docs: DataFrame, config: ContextConfig) -> Data
             .withColumn("_at", F.col("ordinal") + F.col("_s.o"))
             .join(placed, ["index_id", "document_id", "_at"])
             .select(
-                "query_id", "rank", F.col("_s.s").alias("_step"), F.lit("expanded_neighbor").alias("_reason"),
+                "query_id", "index_id", "rank", F.col("_s.s").alias("_step"), F.lit("expanded_neighbor").alias("_reason"),
                 "safe_score", "contributors", "table_element_ids", "x",
             )
         )
@@ -143,9 +143,9 @@ def candidate_rejects(candidates: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def assemble(candidates: DataFrame, docs: DataFrame, config: ContextConfig = ContextConfig()) -> DataFrame:
-    """One row per considered chunk: query_id, source_rank, reason, and for selected ones the item.
+    """One row per considered chunk: query_id, index_id, source_rank, reason, and for selected ones the item.
 
-    A query has at most a hundred candidates with five expansions each, so its fold is bounded.
+    A query has in an index at most a hundred candidates with five expansions each, so its fold is bounded.
     """
     base = normalize_candidates(candidates).join(
         docs.select(
@@ -157,14 +157,14 @@ def assemble(candidates: DataFrame, docs: DataFrame, config: ContextConfig = Con
     )
     excerpt = F.substring("_text", 1, config.max_excerpt_chars)
     direct = base.select(
-        "query_id", F.lit(0).alias("_phase"), "rank", F.lit(0).alias("_step"), "chunk_id", "document_id",
+        "query_id", "index_id", F.lit(0).alias("_phase"), "rank", F.lit(0).alias("_step"), "chunk_id", "document_id",
         F.lit("included").alias("reason"), "safe_score", "contributors", "element_ids", "locators",
         "table_element_ids", excerpt.alias("excerpt"),
     )
     rows = direct
     if config.structural_rule != "none" and (config.expand_parent or config.neighbor_window):
         extra = _expansions(base, docs, config).select(
-            "query_id", F.lit(1).alias("_phase"), "rank", "_step", F.col("x.chunk_id").alias("chunk_id"),
+            "query_id", "index_id", F.lit(1).alias("_phase"), "rank", "_step", F.col("x.chunk_id").alias("chunk_id"),
             F.col("x.document_id").alias("document_id"), F.col("_reason").alias("reason"), "safe_score",
             "contributors", F.transform("x.citations", lambda c: c["element_id"]).alias("element_ids"),
             F.transform("x.citations", lambda c: c["locator"]).alias("locators"), "table_element_ids",
@@ -172,7 +172,7 @@ def assemble(candidates: DataFrame, docs: DataFrame, config: ContextConfig = Con
         )
         rows = direct.unionByName(extra)
     rows = rows.withColumn("tokens", token_count(F.col("excerpt")))
-    ordered = rows.groupBy("query_id").agg(
+    ordered = rows.groupBy("query_id", "index_id").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -184,11 +184,11 @@ def assemble(candidates: DataFrame, docs: DataFrame, config: ContextConfig = Con
         ).alias("steps")
     )
     judged = ordered.withColumn("_out", _admit(F.col("steps"), config))
-    flat = judged.select("query_id", F.posexplode(F.arrays_zip("steps", "_out")).alias("_n", "z"))
+    flat = judged.select("query_id", "index_id", F.posexplode(F.arrays_zip("steps", "_out")).alias("_n", "z"))
     selected = F.col("z._out") == F.col("z.steps.reason")
     item = F.col("z.steps.item")
     cited = flat.select(
-        "query_id", (F.col("_n") + 1).alias("source_rank"),
+        "query_id", "index_id", (F.col("_n") + 1).alias("source_rank"),
         F.col("z.steps.chunk_id").alias("chunk_id"), F.col("z.steps.document_id").alias("document_id"),
         F.col("z._out").alias("reason"), F.col("z.steps.safe_score").alias("safe_score"),
         selected.alias("selected"), F.col("z.steps.tokens").alias("tokens"),
@@ -217,13 +217,13 @@ def evidence_items(decisions: DataFrame) -> DataFrame:
 def evidence_shortage(
     decisions: DataFrame, queries: DataFrame, config: ContextConfig = ContextConfig()
 ) -> DataFrame:
-    """Per query: what was selected and why there may be too little."""
-    seen = decisions.groupBy("query_id").agg(
+    """Per query and index: what was selected and why there may be too little."""
+    seen = decisions.groupBy("query_id", "index_id").agg(
         F.count_if("selected").alias("selected_items"),
         F.sum(F.when(F.col("selected"), F.col("tokens")).otherwise(0)).alias("selected_tokens"),
         F.bool_or(F.col("reason") == "excluded_budget").alias("_budget"),
     )
-    joined = queries.select("query_id").join(seen, "query_id", "left")
+    joined = queries.select("query_id", "index_id").join(seen, ["query_id", "index_id"], "left")
     items = F.coalesce("selected_items", F.lit(0))
     reason = (
         F.when(F.col("_budget").isNull(), "no_candidates")
@@ -233,6 +233,6 @@ def evidence_shortage(
         .otherwise("none")
     )
     return joined.select(
-        "query_id", F.lit(config.minimum_items).alias("minimum_items"), items.alias("selected_items"),
+        "query_id", "index_id", F.lit(config.minimum_items).alias("minimum_items"), items.alias("selected_items"),
         F.coalesce("selected_tokens", F.lit(0)).alias("selected_tokens"), reason.alias("shortage"),
     )

@@ -10,7 +10,7 @@ RANK_DIGITS = 12
 
 
 def rrf(*candidate_sets: DataFrame, rank_constant: int = 60, limit: int = 10) -> DataFrame:
-    """Fuse candidate sets by the sum of 1 / (rank_constant + rank), scaled by the best sum.
+    """Fuse candidate sets by the sum of 1 / (rank_constant + rank), scaled by the best sum; a list for each query and index.
 
     Each fused row keeps its contributions in the order of the sets; a group holds at most one row
     per set, so it is never large.
@@ -29,7 +29,7 @@ def rrf(*candidate_sets: DataFrame, rank_constant: int = 60, limit: int = 10) ->
         F.round(F.sum(1.0 / (rank_constant + F.col("rank"))), RANK_DIGITS).alias("_sum"),
         F.sort_array(F.collect_list(contribution)).alias("contributions"),
     )
-    per_query = Window.partitionBy("query_id")
+    per_query = Window.partitionBy("query_id", "index_id")
     kept = fused.withColumn(
         "rank", F.row_number().over(per_query.orderBy(F.desc("_sum"), "chunk_id"))
     ).filter(F.col("rank") <= limit)
@@ -54,17 +54,18 @@ def fusion_rejects(*candidate_sets: DataFrame) -> DataFrame:
 
 
 def fusion_metrics(fused: DataFrame, *candidate_sets: DataFrame) -> DataFrame:
-    """Per query: input sets, input candidates, and inputs minus outputs."""
+    """Per query and index: input sets, input candidates, and inputs minus outputs."""
     rows = None
     for i, one in enumerate(candidate_sets):
-        part = one.select("query_id", F.lit(i).alias("_set"))
+        part = one.select("query_id", "index_id", F.lit(i).alias("_set"))
         rows = part if rows is None else rows.unionByName(part)
-    inputs = rows.groupBy("query_id").agg(
+    keys = ["query_id", "index_id"]
+    inputs = rows.groupBy(*keys).agg(
         F.lit(len(candidate_sets)).cast("long").alias("input_sets"), F.count(F.lit(1)).alias("input_candidates")
     )
-    outputs = fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("outputs"))
-    return inputs.join(outputs, "query_id", "left").select(
-        "query_id", "input_sets", "input_candidates",
+    outputs = fused.groupBy(*keys).agg(F.count(F.lit(1)).alias("outputs"))
+    return inputs.join(outputs, keys, "left").select(
+        *keys, "input_sets", "input_candidates",
         (F.col("input_candidates") - F.coalesce("outputs", F.lit(0))).alias("deduplicated"),
     )
 
@@ -75,14 +76,14 @@ def rerank_overlap(fused: DataFrame, queries: DataFrame, docs: DataFrame, limit:
     Score = share of the question's distinct terms found in the chunk, scaled by the best share.
     Rows with reason `included` are the reranked list; they keep their fused score.
     """
-    asked = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("_q"))
+    asked = queries.select("query_id", "index_id", F.array_distinct(terms(F.col("text"))).alias("_q"))
     texts = docs.select("index_id", "chunk_id", "keyword_text")
     shared = F.size(F.array_intersect("_q", terms(F.col("keyword_text"))))
     raw = F.when(F.size("_q") > 0, shared / F.size("_q")).otherwise(0.0)
     # Every fused row gets a decision: without its question or text it shares no term.
-    held = fused.join(asked, "query_id", "left").join(texts, ["index_id", "chunk_id"], "left")
+    held = fused.join(asked, ["query_id", "index_id"], "left").join(texts, ["index_id", "chunk_id"], "left")
     scored = held.withColumn("_raw", F.coalesce(raw, F.lit(0.0)))
-    per_query = Window.partitionBy("query_id")
+    per_query = Window.partitionBy("query_id", "index_id")
     best = F.max("_raw").over(per_query)
     scored = scored.withColumn("rerank_score", F.when(best > 0, F.col("_raw") / best).otherwise(0.0))
     place = F.row_number().over(

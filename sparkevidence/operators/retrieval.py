@@ -283,10 +283,11 @@ def retrieve_vector(
 
 
 def retrieval_metrics(candidates: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per query: candidates, filtered chunks, and whether nothing was found."""
-    found = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
-    return counts.join(found, "query_id", "left").select(
-        "query_id",
+    """Per query and index: candidates, filtered chunks, and whether nothing was found."""
+    keys = ["query_id", "index_id"]
+    found = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"))
+    return counts.join(found, keys, "left").select(
+        *keys,
         F.coalesce("candidates", F.lit(0)).alias("candidates"),
         "filtered_count",
         F.col("candidates").isNull().alias("no_candidates"),

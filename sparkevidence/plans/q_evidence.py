@@ -74,7 +74,7 @@ def rrf(t):
 )
 def fusion_metrics(t):
     keyword, vector = keyword_set(t), vector_set(t)
-    return U.fusion_metrics(U.rrf(keyword, vector, limit=12), keyword, vector)
+    return U.fusion_metrics(U.rrf(keyword, vector, limit=12), keyword, vector).drop("index_id")
 
 
 piece(
@@ -204,7 +204,7 @@ def expand_evidence(t):
     f"bool_or(reason = 'excluded_budget') AS budget FROM ({_DECIDED.format('wide')}) GROUP BY query_id) USING (query_id)",
 )
 def evidence_shortage(t):
-    return V.evidence_shortage(wide_evidence(t), B.queries(t), WIDE)
+    return V.evidence_shortage(wide_evidence(t), B.queries(t), WIDE).drop("index_id")
 
 
 piece(

@@ -291,3 +291,25 @@ def test_nine_candidate_sets_fuse(spark, docs, queries):
     sets = [R.retrieve_keyword(docs, queries, 4, contributor=f"k{i}") for i in range(9)]
     fused = fusion.rrf(*sets, limit=4)
     assert all(len(r.contributions) == 9 for r in fused.collect())
+
+
+def test_two_indexes_stay_two_lists(spark, docs, queries):
+    """Chunks in two indexes and questions on both, through retrieval, fusion, reranking and evidence."""
+    both = docs.unionByName(docs.filter("chunk_id <> 'c5'").withColumn("index_id", F.lit("j")))
+    asked = queries.unionByName(queries.withColumn("index_id", F.lit("j")))
+    keyword, vector = R.retrieve_keyword(both, asked, 4), R.retrieve_vector(both, asked, 4)
+    fused = fusion.rrf(keyword, vector, limit=4)
+    decided = fusion.rerank_overlap(fused, asked, both, 3)
+    config = V.ContextConfig(max_items=2, structural_rule="none")
+    items = V.assemble(fusion.reranked(decided), both, config)
+    shortage = {(r.query_id, r.index_id): r.selected_items for r in V.evidence_shortage(items, asked, config).collect()}
+    assert set(shortage) == {(q, i) for q in ("q1", "q2", "q3") for i in "ij"}
+    counts = fusion.fusion_metrics(fused, keyword, vector).collect()
+    assert len(counts) == 6 and all(r.input_sets == 2 for r in counts)
+    for index_id, own, mine in (("i", docs, queries), ("j", both.filter("index_id = 'j'"), asked.filter("index_id = 'j'"))):
+        alone = fusion.rrf(R.retrieve_keyword(own, mine, 4), R.retrieve_vector(own, mine, 4), limit=4)
+        shape = lambda df: sorted((r.query_id, r["rank"], r.chunk_id) for r in df.filter(F.col("index_id") == index_id).collect())
+        assert shape(fused) == shape(alone)
+        single = V.assemble(fusion.reranked(fusion.rerank_overlap(alone, mine, own, 3)), own, config)
+        picked = lambda df: sorted((r.query_id, r.source_rank, r.chunk_id, r.reason) for r in df.filter(F.col("index_id") == index_id).collect())
+        assert picked(items) == picked(single)
