@@ -49,12 +49,13 @@ def retrieve(fn: Callable[[DataFrame, DataFrame], DataFrame], docs: DataFrame, q
 
 
 def fuse(fn: Callable[..., DataFrame], *candidate_sets: DataFrame) -> DataFrame:
-    """Fused rows must rank 1..n per query and name only chunks of their inputs."""
+    """Fused rows must rank 1..n per query and index, and name only chunks of their inputs."""
     out = materialize(fn(*candidate_sets), "user-fused")
-    inputs = candidate_sets[0].select("query_id", "chunk_id")
+    keys = ["query_id", "index_id", "chunk_id"]
+    inputs = candidate_sets[0].select(*keys)
     for one in candidate_sets[1:]:
-        inputs = inputs.unionByName(one.select("query_id", "chunk_id"))
-    foreign = out.select("query_id", "chunk_id").join(inputs.distinct(), ["query_id", "chunk_id"], "left_anti")
+        inputs = inputs.unionByName(one.select(*keys))
+    foreign = out.select(*keys).join(inputs.distinct(), keys, "left_anti")
     _require_none(foreign.select(F.col("chunk_id").alias("id"), F.lit("foreign_chunk").alias("rule")), "fusion")
     _require_none(_rank_gaps(out, F.col("rank")), "fusion")
     return out
@@ -64,7 +65,7 @@ def rerank(fn: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], fused: Da
            docs: DataFrame) -> DataFrame:
     """Decisions must cover every fused row once."""
     out = materialize(fn(fused, queries, docs), "user-decisions")
-    keys = ["query_id", "chunk_id"]
+    keys = ["query_id", "index_id", "chunk_id"]
     counted = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     gaps = fused.select(*keys).join(counted, keys, "full").filter("n IS NULL OR n <> 1").select(
         F.col("chunk_id").alias("id"), F.lit("decision_complete").alias("rule")
@@ -75,13 +76,13 @@ def rerank(fn: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], fused: Da
 
 
 def assemble(fn: Callable[[DataFrame, DataFrame], DataFrame], candidates: DataFrame, docs: DataFrame) -> DataFrame:
-    """Selected evidence must be unique per query and quote its chunk."""
+    """Selected evidence must be unique per query and index, and quote its chunk."""
     out = materialize(fn(candidates, docs), "user-evidence")
     chosen = out.filter("selected")
-    twice = chosen.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+    twice = chosen.groupBy("query_id", "index_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         F.col("chunk_id").alias("id"), F.lit("unique_evidence").alias("rule")
     )
-    quoted = chosen.join(docs.select("chunk_id", "keyword_text"), "chunk_id", "left").filter(
+    quoted = chosen.join(docs.select("index_id", "chunk_id", "keyword_text"), ["index_id", "chunk_id"], "left").filter(
         ~F.coalesce(F.startswith("keyword_text", F.col("excerpt")), F.lit(False))
     ).select(F.col("chunk_id").alias("id"), F.lit("excerpt_of_chunk").alias("rule"))
     _require_none(twice.unionByName(quoted), "context")
@@ -89,7 +90,7 @@ def assemble(fn: Callable[[DataFrame, DataFrame], DataFrame], candidates: DataFr
 
 
 def _rank_gaps(df: DataFrame, rank: Column) -> DataFrame:
-    seen = df.groupBy("query_id").agg(
+    seen = df.groupBy("query_id", "index_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(rank).alias("d"), F.min(rank).alias("lo"), F.max(rank).alias("hi")
     )
     return seen.filter("d <> n OR lo <> 1 OR hi <> n").select(F.col("query_id").alias("id"), F.lit("ranks").alias("rule"))

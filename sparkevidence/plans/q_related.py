@@ -187,6 +187,37 @@ def user_retriever(t):
     return U.retrieve(mine, B.search_docs(t), B.queries(t)).select("query_id", "chunk_id", "rank")
 
 
+@query("user_fusion", with_pieces("rrf_ranked") + "SELECT query_id, chunk_id, rank, round(safe_score, 6) AS safe_score FROM rrf_ranked")
+def user_fusion(t):
+    """A user's fusion of two candidate sets, checked against its inputs."""
+    fused = U.fuse(lambda *sets: X.U.rrf(*sets, limit=12), X.keyword_set(t), X.vector_set(t))
+    return fused.select("query_id", "chunk_id", "rank", F.round("safe_score", 6).alias("safe_score"))
+
+
+@query(
+    "user_reranker",
+    with_pieces("rerank_out")
+    + "SELECT query_id, chunk_id, CASE WHEN place <= 8 THEN place END AS output_rank, round(rerank_score, 6) AS rerank_score FROM rerank_out",
+)
+def user_reranker(t):
+    """A user's reranker: a decision for every fused row."""
+    mine = lambda fused, asked, docs: X.U.rerank_overlap(fused, asked, docs, limit=8)
+    out = U.rerank(mine, X.fused_set(t), B.queries(t), B.search_docs(t))
+    return out.select("query_id", "chunk_id", "output_rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query(
+    "user_assembler",
+    with_pieces("plain_steps", "plain_walk")
+    + "SELECT s.query_id, s.n AS source_rank, s.chunk_id FROM plain_steps s JOIN plain_walk w ON w.query_id = s.query_id AND w.n = s.n WHERE w.outcome = s.reason",
+)
+def user_assembler(t):
+    """A user's assembly of evidence: unique chunks, quoted word for word."""
+    mine = lambda found, docs: X.V.assemble(found, docs, X.PLAIN)
+    out = U.assemble(mine, X.U.reranked(X.rerank_decisions(t)), B.search_docs(t))
+    return out.filter("selected").select("query_id", "source_rank", "chunk_id")
+
+
 @query(
     "user_metric",
     with_pieces("kw_ranked", "retrieval_reports")

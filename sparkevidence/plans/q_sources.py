@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.ids import locator_key
-from ..functions.text import redact
+from ..functions.text import SECRET, redact
 from ..functions.text import excerpt as excerpt_of
 
 from ..sources import datasets as D
 from ..sources import elements as L
 from ..sources import intake as N
-from ..session import spread
+from ..session import spread, unique_name
 from ..streaming import intake as T
 from . import bindings as B
 from .registry import piece, query, with_pieces
@@ -291,15 +291,50 @@ def strip_reviews(t):
     return D.strip_reviews(cases, ["doc_id", "quality"]).select("doc_id", F.size("reviews").alias("kept"))
 
 
-_SECRET = (
-    "(?i)(canary|password|passwd|secret|credential|api[-_ ]?key|authorization|bearer|\\btoken\\b|deepseek|"
-    "provider\\s*(?:request|response|payload)|raw\\s*payload|(?:sk|pk|rk)-[A-Za-z0-9_-]{8,}|[A-Za-z0-9+/=_-]{32,})"
+@query(
+    "dataset_round_trip",
+    "SELECT doc_id, quality, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS kept FROM labels",
+)
+def dataset_round_trip(t):
+    """Labels as reviewed cases, written as canonical JSON and read again; a review of other content is stripped."""
+    seen = F.sha2(F.to_json(F.struct("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("quality")).otherwise(-1).alias("quality"))), 256)
+    cases = t.labels.select("doc_id", "quality", F.array(F.struct(seen.alias("content_digest"))).alias("reviews"))
+    path = unique_name(t.spark, "dataset")
+    D.export_dataset(cases, path, "doc_id")
+    return D.read_dataset(t.spark, path, cases.schema, ["doc_id", "quality"]).select("doc_id", "quality", F.size("reviews").alias("kept"))
+
+
+@query("stage_round_trip", "SELECT 'corpus' AS index_id, doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
+def stage_round_trip(t):
+    """Sources appended to their stage table in two parts, partitioned by index, and read again."""
+    rows = t.documents.select(F.lit("corpus").alias("index_id"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    root = unique_name(t.spark, "stages")
+    for part in (0, 1):
+        D.write_stage(rows.filter(F.col("doc_id") % 2 == part), "sources", root)
+    return D.read_stage(t.spark, "sources", root).select("index_id", "doc_id", "digest")
+
+
+@query(
+    "intake_stream",
+    with_pieces("fx_chunks")
+    + "SELECT document_id, chunk_id, token_count FROM fx_chunks WHERE document_id IN (SELECT min('doc-' || doc_id) FROM documents WHERE "
+    "length(text) > 0 GROUP BY text)",
 )
+def intake_stream(t):
+    """The documents table as a stream: each different content is chunked once, for its smallest document."""
+    # A pattern: the table may be a file or a folder.
+    folder = f"{t.folder}/documents.parque[t]"
+    stream = t.spark.readStream.schema(t.documents.schema).parquet(folder).select(
+        F.concat(F.lit("doc-"), "doc_id").alias("document_id"), F.lit("a.txt").alias("name"), F.col("text").alias("content"),
+        F.current_timestamp().alias("arrived_at"))
+    path = unique_name(t.spark, "stream")
+    T.start_intake(stream, path, f"{path}-checkpoint", config=B.CHUNKS, element_words=B.ELEMENT_WORDS).awaitTermination()
+    return t.spark.read.parquet(f"{path}/chunks").select("document_id", "chunk_id", "token_count")
 
 
 @query(
     "redact",
-    f"SELECT doc_id, CASE WHEN regexp_matches(flat, '{_SECRET}') OR starts_with(flat, '{{') OR starts_with(flat, '[') THEN '[redacted]' ELSE "
+    f"SELECT doc_id, CASE WHEN regexp_matches(flat, '{SECRET}') OR starts_with(flat, '{{') OR starts_with(flat, '[') THEN '[redacted]' ELSE "
     f"flat END AS safe FROM (SELECT doc_id, array_to_string({B.sql_words('text')}, ' ') AS flat FROM documents)",
 )
 def redacted(t):
