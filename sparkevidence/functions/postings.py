@@ -18,6 +18,8 @@ K1 = 1.2
 B = 0.75
 SHARD = 4096
 BLOCK = 64
+#: Vectors of a cell, about.
+CELL = 128
 #: Query blocks whose best rows a task keeps at a time.
 KEPT = 16
 POSTINGS = (
@@ -168,6 +170,19 @@ class _Queries:
         own = slice(self.edges[q], self.edges[q + 1])
         return self.codes[own], self.weights[own]
 
+    def keep(self, q: int, shard: int, places: np.ndarray, raw: np.ndarray, limit: int) -> None:
+        """Add rows to what was found for a query; its floor is the score that a new row must reach."""
+        if not len(places):
+            return
+        own = self.found[q]
+        own.append(_rows(shard, places, raw, raw, np.zeros(len(places))))
+        known = np.concatenate([f[:, 2] for f in own])
+        if len(known) >= limit:
+            self.floor[q] = np.partition(known, len(known) - limit)[len(known) - limit]
+            if len(known) > 8 * limit:
+                every = np.concatenate(own)
+                self.found[q] = [every[every[:, 2] >= self.floor[q]]]
+
     def emit(self) -> pa.RecordBatch:
         sizes = [sum(len(f) for f in own) for own in self.found]
         flat = np.concatenate([np.zeros((0, 5)), *(f for own in self.found for f in own)])
@@ -203,16 +218,67 @@ def best_lexical(queries: _Queries, shard: int, held: pa.StructArray, limit: int
             places = places[score[places] >= cut]
             # Equal scores: the first places, which hold the smallest ids of the shard.
             places = places[np.argsort(-score[places], kind="stable")[:limit]]
-        if not len(places):
-            continue
-        own = queries.found[q]
-        own.append(_rows(shard, places, score[places], score[places], np.zeros(len(places))))
-        known = np.concatenate([f[:, 2] for f in own])
-        if len(known) >= limit:
-            queries.floor[q] = np.partition(known, len(known) - limit)[len(known) - limit]
-            if len(known) > 8 * limit:
-                every = np.concatenate(own)
-                queries.found[q] = [every[every[:, 2] >= queries.floor[q]]]
+        queries.keep(q, shard, places, score[places], limit)
+
+
+def cells(matrix: np.ndarray, rows: int = CELL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a shard in cells: (order of rows, where each cell ends, centres, radii).
+
+    A few rounds of k-means from evenly spaced rows. A radius is the largest distance from the centre, so an inner
+    product with a row of the cell is at most that with the centre plus the query's length times the radius.
+    """
+    count = max(1, len(matrix) // rows)
+    centres = matrix[np.linspace(0, len(matrix) - 1, count).astype(int)]
+    for _ in range(4):
+        gap = np.square(centres).sum(axis=1) - 2 * matrix @ centres.T
+        own = gap.argmin(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, matrix)
+        sizes = np.bincount(own, minlength=count)
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
+    order = np.argsort(own, kind="stable")
+    radii = np.zeros(count)
+    np.maximum.at(radii, own, np.linalg.norm(matrix - centres[own], axis=1))
+    return order, np.cumsum(sizes), centres, radii
+
+
+def best_vector(
+    queries: _Queries, shard: int, places: np.ndarray, matrix: np.ndarray, ends: np.ndarray, centres: np.ndarray, radii: np.ndarray,
+    alive: np.ndarray | None, limit: int, digits: int,
+) -> None:
+    """The `limit` largest dot products above zero of each query; cells that cannot reach the best known ones are not scored."""
+    q = queries.matrix
+    bounds = q @ centres.T + np.linalg.norm(q, axis=1)[:, None] * radii + 10.0**-digits
+    starts = np.append(0, ends[:-1])
+    raw = np.full((len(q), len(places)), -np.inf)
+
+    def score(wanted: np.ndarray) -> None:
+        for c in np.flatnonzero(wanted.any(axis=0)):
+            who, rows = np.flatnonzero(wanted[:, c]), slice(starts[c], ends[c])
+            raw[who, rows] = np.round(q[who] @ matrix[rows].T, digits)
+
+    def floors() -> np.ndarray:
+        if alive is not None:
+            raw[:, ~alive] = -np.inf
+        if raw.shape[1] < limit:
+            return queries.floor
+        return np.maximum(queries.floor, np.partition(raw, raw.shape[1] - limit, axis=1)[:, raw.shape[1] - limit])
+
+    filled = ends > starts
+    first = np.zeros(bounds.shape, bool)
+    first[np.arange(len(q)), np.where(filled, bounds, -np.inf).argmax(axis=1)] = True
+    first &= bounds >= queries.floor[:, None]
+    score(first)
+    rest = ~first & filled & (bounds >= floors()[:, None]) & (bounds > 0)
+    score(rest)
+    queries.seen += int(filled.sum()) * len(q)
+    queries.skipped += int(filled.sum()) * len(q) - int((first | rest).sum())
+    floor = floors()
+    for k in range(len(q)):
+        at = np.flatnonzero((raw[k] > 0) & (raw[k] >= floor[k]))
+        if len(at) > limit:  # equal scores: the smallest ids of the shard
+            at = at[np.lexsort((places[at], -raw[k][at]))[:limit]]
+        queries.keep(k, shard, places[at], raw[k][at], limit)
 
 
 def skyband(lex: np.ndarray, vec: np.ndarray, keep: int, margin: float) -> np.ndarray:

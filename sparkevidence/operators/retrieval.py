@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.ids import stable_id
 from ..functions.blocks import best_of_pairs, doc_blocks, query_blocks
 from ..functions.text import terms
-from .stored import StoredIndex, as_index, asked_postings, collection_stats, frequencies, lexical_best
+from .stored import StoredIndex, as_index, asked_postings, collection_stats, frequencies, lexical_best, vector_best
 
 # Scores are rounded before ranking, so that the order of float additions cannot decide.
 DIGITS = 9
@@ -136,6 +136,11 @@ def lexical_rows(index: StoredIndex, queries: DataFrame, limit: int, documents:
     asked = asked_postings(index, words, documents)
     stats = index.stats if documents is None else collection_stats(documents)
     found = lexical_best(asked, lexical_weights(asked, queries, words, stats), limit, DIGITS)
+    return _named(found, index, queries, limit, documents, shown)
+
+
+def _named(found: DataFrame, index: StoredIndex, queries: DataFrame, limit: int, documents: DataFrame | None, shown: tuple[str, ...]) -> DataFrame:
+    """Ranked rows from what the shards found above zero, and from the smallest ids where that is less than `limit`."""
     # Rows that tie with the last place stay until their ids are known.
     place = Window.partitionBy("query_id", "index_id").orderBy(F.desc("raw"))
     cut = found.select("index_id", "query_id", "shard", "place", "raw").withColumn("_r", F.rank().over(place)).filter(F.col("_r") <= limit).drop("_r")
@@ -159,13 +164,6 @@ def retrieve_from_postings(index: StoredIndex, queries: DataFrame, limit: int =
 _SHOWN = ("document_id", "hierarchy_context", "citations")
 
 
-def _finish(ranked: DataFrame, docs: DataFrame, contributor: str, kind: str, **extra: Column) -> DataFrame:
-    """Join the few ranked rows back to their chunks and project candidates."""
-    shown = [c for c in _SHOWN if c in docs.columns]
-    joined = ranked.join(docs.select("index_id", "chunk_id", *shown), ["index_id", "chunk_id"])
-    return joined.select(*candidate(contributor, kind, docs.columns, **extra))
-
-
 def _lexical(
     index: StoredIndex, queries: DataFrame, limit: int, contributor: str, kind: str, documents: DataFrame | None, **extra: Column,
 ) -> DataFrame:
@@ -273,13 +271,15 @@ def nearest(docs: DataFrame, queries: DataFrame, limit: int, clamp: bool = True)
 
 
 def retrieve_vector(
-    search_docs: DataFrame, queries: DataFrame, limit: int = 10, filters: Filters = Filters(),
+    search_docs: DataFrame | StoredIndex, queries: DataFrame, limit: int = 10, filters: Filters = Filters(),
     contributor: str = "vector",
 ) -> DataFrame:
     """Exact cosine of unit vectors; both sides carry `embedding`. Mixed dimensions fail the job."""
-    docs = eligible(search_docs, filters)
-    ranked = _top(nearest(docs, queries, limit).drop("rank"), limit)
-    return _finish(ranked, docs, contributor, "cosine")
+    index = as_index(search_docs)
+    documents = _filtered(index, filters)
+    shown = tuple(c for c in _SHOWN if c in index.documents.columns)
+    found = vector_best(index, queries, limit, DIGITS, documents)
+    return _named(found, index, queries, limit, documents, shown).select(*candidate(contributor, "cosine", index.documents.columns))
 
 
 def retrieval_metrics(candidates: DataFrame, counts: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..functions.blocks import query_blocks
 from ..functions.text import terms
 from ..session import shared_dir, unique_name
 
-_VECTORS = "index_id string, shard long, places binary, width int, matrix binary"
+_VECTORS = "index_id string, shard long, places binary, width int, matrix binary, ends binary, centres binary, radii binary"
 
 
 @dataclass(frozen=True)
@@ -38,11 +38,17 @@ def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, flat = batch.column("place").to_numpy(), batch.column("embedding")
         sizes = flat.value_lengths().to_numpy()
         new = [0, *(i for i in range(1, len(ids)) if shards[i] != shards[i - 1] or ids[i] != ids[i - 1] or sizes[i] != sizes[i - 1]), len(ids)]
-        out = [
-            {"index_id": ids[a], "shard": int(shards[a]), "places": places[a:b].astype("<i4").tobytes(), "width": int(sizes[a]),
-             "matrix": flat.slice(a, b - a).flatten().to_numpy().astype("<f8").tobytes()}
-            for a, b in zip(new, new[1:]) if b > a]
-        kinds = [("index_id", pa.string()), ("shard", pa.int64()), ("places", pa.binary()), ("width", pa.int32()), ("matrix", pa.binary())]
+        out = []
+        for a, b in zip(new, new[1:]):
+            if b == a:
+                continue
+            matrix = flat.slice(a, b - a).flatten().to_numpy().reshape(b - a, sizes[a])
+            order, ends, centres, radii = P.cells(matrix)
+            out.append({
+                "index_id": ids[a], "shard": int(shards[a]), "places": places[a:b][order].astype("<i4").tobytes(), "width": int(sizes[a]),
+                "matrix": matrix[order].tobytes(), "ends": ends.astype("<i8").tobytes(), "centres": centres.tobytes(), "radii": radii.tobytes()})
+        kinds = [(n, pa.string() if n == "index_id" else pa.int64() if n == "shard" else pa.int32() if n == "width" else pa.binary())
+                 for n in ("index_id", "shard", "places", "width", "matrix", "ends", "centres", "radii")]
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
 
 
@@ -136,24 +142,52 @@ def lexical_best(asked: DataFrame, weights: DataFrame, limit: int, digits: int)
     return pairs.mapInArrow(partial(P.search, find), P.FOUND)
 
 
+def _vectors(row: dict, queries: P._Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Places, vectors, and which of them the mask lets in (None: all)."""
+    places = np.frombuffer(row["places"].as_buffer(), "<i4").astype(np.int64)
+    matrix = np.frombuffer(row["matrix"].as_buffer(), "<f8").reshape(len(places), row["width"].as_py())
+    if matrix.shape[1] != queries.matrix.shape[1]:
+        raise ValueError("vectors of different dimensions in one index")
+    if "mask" not in row:
+        return places, matrix, None
+    return places, matrix, np.unpackbits(np.frombuffer(row["mask"].as_buffer(), np.uint8), bitorder="little")[places] == 1
+
+
+def vector_best(index: StoredIndex, queries: DataFrame, limit: int, digits: int, documents: DataFrame | None = None) -> DataFrame:
+    """(index_id, query_id, shard, place, raw): in each task the `limit` largest dot products above zero of every query.
+
+    Cells of a shard that cannot reach what is known are not scored (see postings.best_vector).
+    """
+    n = salts(index.vectors)
+    own = index.vectors.withColumn("salt", F.pmod("shard", F.lit(n)).cast("int"))
+    if documents is not None:
+        own = own.join(masks(documents), ["index_id", "shard"])
+    asked = queries.select("index_id", F.col("query_id").alias("id"), F.col("embedding").alias("vector"))
+    parts = own.join(_blocks(asked, n), ["index_id", "salt"])
+
+    def find(found: P._Queries, row: dict) -> None:
+        places, matrix, alive = _vectors(row, found)
+        get = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
+        ends = get("ends", "<i8")
+        P.best_vector(found, row["shard"].as_py(), places, matrix, ends, get("centres", "<f8").reshape(len(ends), -1), get("radii", "<f8"), alive, limit, digits)
+
+    return parts.mapInArrow(partial(P.search, find), P.FOUND)
+
+
 def hybrid_best(
     index: StoredIndex, asked: DataFrame, weights: DataFrame, documents: DataFrame | None, keep: int, digits: int, shares: tuple[float, float],
 ) -> DataFrame:
     """(index_id, query_id, shard, place, lex, vec) of all rows that can be among the `keep` best of both scores."""
     n = salts(asked)
-    own = index.vectors.withColumn("salt", F.pmod("shard", F.lit(n)).cast("int"))
+    own = index.vectors.drop("ends", "centres", "radii").withColumn("salt", F.pmod("shard", F.lit(n)).cast("int"))
     if documents is not None:
         own = own.join(masks(documents), ["index_id", "shard"])
     parts = own.join(_held(asked), ["index_id", "salt", "shard"], "left").join(_blocks(weights, n), ["index_id", "salt"])
 
-    def find(queries, row: dict) -> None:
-        places = np.frombuffer(row["places"].as_buffer(), "<i4").astype(np.int64)
-        matrix = np.frombuffer(row["matrix"].as_buffer(), "<f8").reshape(len(places), row["width"].as_py())
-        if matrix.shape[1] != queries.matrix.shape[1]:
-            raise ValueError("vectors of different dimensions in one index")
-        if "mask" in row:
-            bits = np.unpackbits(np.frombuffer(row["mask"].as_buffer(), np.uint8), bitorder="little")[places] == 1
-            places, matrix = places[bits], matrix[bits]
+    def find(queries: P._Queries, row: dict) -> None:
+        places, matrix, alive = _vectors(row, queries)
+        if alive is not None:
+            places, matrix = places[alive], matrix[alive]
         held = row["held"].values if row["held"].is_valid else None
         if len(places):
             P.best_hybrid(queries, row["shard"].as_py(), held, places, matrix, keep, digits, shares)

@@ -19,7 +19,7 @@ def keyword_set(t):
 
 
 def vector_set(t):
-    return R.retrieve_vector(B.search_docs(t), B.embedded_queries(t), 10)
+    return R.retrieve_vector(B.search_index(t), B.embedded_queries(t), 10)
 
 
 def fused_set(t):

@@ -179,6 +179,29 @@ def test_blocks_below_the_known_best_are_not_scored():
     assert {(s, p) for s, p in found[found[:, 2] >= queries.floor[0]][:, :2]} >= {(0, 0), (0, 60)}
 
 
+def test_cells_below_the_known_best_are_not_scored():
+    """Clustered vectors: exact results, and most cells of a shard left out."""
+    rng = np.random.default_rng(2)
+    middle = rng.standard_normal((40, 16))
+    rows = middle[rng.integers(40, size=1500)] + .05 * rng.standard_normal((1500, 16))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    asked = rows[rng.integers(1500, size=9)]
+    block = {"q_ids": [[str(i) for i in range(9)]], "q_terms": [[]], "q_weights": [[]], "q_offsets": [[0] * 10], "index_id": ["i"], "avgdl": [1.0],
+             "q_width": [16], "q_matrix": [asked.tobytes()]}
+    kinds = {"q_terms": pa.list_(pa.string()), "q_weights": pa.list_(pa.float64())}
+    table = pa.table({k: pa.array(v, kinds.get(k)) for k, v in block.items()})
+    queries = postings._Queries({k: table[k][0] for k in block})
+    alive = rng.random(1500) < .8
+    order, ends, centres, radii = postings.cells(rows, 20)
+    assert sorted(order) == list(range(1500)) and ends[-1] == 1500
+    postings.best_vector(queries, 0, order, rows[order], ends, centres, radii, alive[order], 5, 9)
+    assert queries.skipped > .6 * queries.seen
+    dots = np.where(alive, np.round(asked @ rows.T, 9), -1)
+    for q in range(9):
+        got = np.concatenate(queries.found[q])
+        assert got[np.lexsort((got[:, 1], -got[:, 2])), 1].astype(int).tolist() == np.lexsort((np.arange(1500), -dots[q]))[:5].tolist()
+
+
 def test_skyband_holds_the_best_of_every_mixture():
     rng = np.random.default_rng(3)
     for n in (5, 80, 3000):
