@@ -238,23 +238,29 @@ def _reach(x: Column, y: Column, near: tuple[int, int] = NEAR) -> Column:
     return most * (part + whole) >= (x["size"] + y["size"]) * part
 
 
-def meetings(heads: DataFrame, centres: int = CENTRES) -> DataFrame:
-    """Rows (value, own) of prefixes whose shingle other prefixes hold too, with some rows of that bucket (centres).
+def meetings(heads: DataFrame) -> DataFrame:
+    """Rows (value, own) of prefixes whose shingle other prefixes hold too.
 
-    own and centres are (id, size, at): a row, its number of shingles, and the shingle's place in its prefix. The
-    centres of a bucket are the first in as many orders by hash, so a large group of near copies holds one soon.
+    own is (id, size, at): a row, its number of shingles, and the shingle's place in its prefix; on the way the two
+    numbers are one. Shuffled once, for the groups and the join. A shingle stands once in a prefix, so no bucket is
+    more than a small part.
     """
-    # Shuffled once, for the groups and the join. A shingle stands once in a prefix, so no bucket is more than a small part.
-    held = heads.select("id", "size", F.posexplode("prefix").alias("at", "value")).select(
-        "value", F.struct("id", "size", "at").alias("own")).repartition("value")
-    chosen = [F.min_by("own", F.xxhash64("own.id", F.lit(k))) for k in range(centres)]
-    grouped = held.groupBy("value").agg(F.array(*chosen).alias("centres"), F.count("*").alias("n")).filter("n > 1")
-    return held.join(grouped, "value").select("value", "own", F.array_distinct("centres").alias("centres"))
+    both = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    held = heads.select("id", "size", F.posexplode("prefix").alias("at", "value")).select("value", "id", both.alias("both")).repartition("value")
+    shared = held.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value")
+    own = F.struct("id", F.shiftright("both", 32).cast("int").alias("size"), F.col("both").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
+    return held.join(shared, "value").select("value", own.alias("own"))
+
 
+def stars(met: DataFrame, centres: int = CENTRES) -> DataFrame:
+    """Each row of a bucket with some of the bucket's rows.
 
-def stars(met: DataFrame) -> DataFrame:
-    """Each row of a bucket with the bucket's centres."""
-    sides = met.select("own", F.explode("centres").alias("centre")).filter((F.col("own.id") != F.col("centre.id")) & _reach(F.col("own"), F.col("centre")))
+    They are the first in as many orders by hash, so a large group of near copies holds one of them soon.
+    """
+    chosen = [F.min_by("own", F.xxhash64("own.id", F.lit(k))) for k in range(centres)]
+    middle = met.groupBy("value").agg(F.array_distinct(F.array(*chosen)).alias("centres"))
+    sides = met.join(middle, "value").select("own", F.explode("centres").alias("centre")).filter(
+        (F.col("own.id") != F.col("centre.id")) & _reach(F.col("own"), F.col("centre")))
     return sides.select(F.greatest("own.id", "centre.id").alias("a"), F.least("own.id", "centre.id").alias("b")).distinct()
 
 
