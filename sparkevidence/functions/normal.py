@@ -94,21 +94,51 @@ def ordered_pairs(values: pd.Series) -> pd.Series:
     return pd.Series([count(np.asarray(v)) for v in values])
 
 
+#: Words at more places than this keep their mask; masks of others are made as they are met.
+_MANY = 64
+
+
+def _mask(places: list[int]) -> int:
+    found = 0
+    for p in places:
+        found |= 1 << p
+    return found
+
+
 def edit_distance(left: list[str], right: list[str]) -> int:
-    """Levenshtein distance over words, one row of the table at a time."""
-    codes: dict[str, int] = {}
-    a, b = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (left, right))
-    if len(a) < len(b):
-        a, b = b, a
-    steps = np.arange(len(b) + 1)
-    row = steps
-    for n, code in enumerate(a, 1):
-        best = np.empty_like(row)
-        best[0] = n
-        np.minimum(row[1:] + 1, row[:-1] + (b != code), out=best[1:])
-        # An insertion costs one for each step to the right.
-        row = np.minimum.accumulate(best - steps) + steps
-    return int(row[-1])
+    """Levenshtein distance over words; a column of the table is two whole numbers, one bit for each of its cells.
+
+    The bits tell where a cell is one more or one less than the cell above it. Common beginnings and ends are
+    left out first; only the longer side's words are kept in masks, so memory stays far below a table.
+    """
+    start, stop = 0, 0
+    shorter = min(len(left), len(right))
+    while start < shorter and left[start] == right[start]:
+        start += 1
+    while stop < shorter - start and left[-1 - stop] == right[-1 - stop]:
+        stop += 1
+    a, b = sorted((left[start : len(left) - stop], right[start : len(right) - stop]), key=len)
+    if not a:
+        return len(b)
+    places: dict[str, list[int]] = {}
+    for i, word in enumerate(b):
+        places.setdefault(word, []).append(i)
+    masks = {w: _mask(p) for w, p in places.items() if len(p) > _MANY}
+    full, top = (1 << len(b)) - 1, 1 << len(b) - 1
+    more, less, distance = full, 0, len(b)
+    for word in a:
+        same = masks.get(word)
+        if same is None:
+            same = _mask(places.get(word, ()))
+        across = ((same & more) + more ^ more) | same
+        up = less | full & ~(across | more)
+        down = more & across
+        distance += bool(up & top) - bool(down & top)
+        up, down = up << 1 | 1, down << 1
+        kept = same | less
+        more = (down | ~(kept | up)) & full
+        less = up & kept & full
+    return distance
 
 
 @F.pandas_udf(T.LongType())

@@ -129,8 +129,14 @@ def comparable_reports(reports: DataFrame, baseline: DataFrame, fields: Sequence
     )
 
 
-def wilson(reports: DataFrame, by: Sequence[str], level: float = 0.95) -> DataFrame:
-    """Wilson interval where a group has exactly one labelled decision or citation value."""
+def wilson(reports: DataFrame, by: Sequence[str], level: float = 0.95, policy: str = "wilson") -> DataFrame:
+    """Wilson interval where a group has exactly one labelled decision or citation value; none under the policy `none`."""
+    if policy not in ("wilson", "none"):
+        raise ValueError(f"unknown confidence policy {policy}")
+    if policy == "none":
+        none = F.lit(None).cast("double")
+        return reports.select(*by).distinct().select(
+            *by, F.lit("NOT_MEANINGFUL").alias("state"), F.lit("POLICY_NONE").alias("reason"), none.alias("lower"), none.alias("upper"))
     z = NormalDist().inv_cdf((1 + level) / 2)
     binary = (
         F.col("owner").isin("decision", "citation") & (F.col("status") == VALUE) & (F.col("labelled_count") > 0)

@@ -649,6 +649,17 @@ def wilson(t):
     return out.select("case_id", "state", fill("lower"), fill("upper"))
 
 
+@query(
+    "confidence_none",
+    with_pieces("dec_reports") + "SELECT DISTINCT case_id, 'NOT_MEANINGFUL' AS state, 'POLICY_NONE' AS reason, lower_ IS NOT NULL AS bounded FROM "
+    "(SELECT case_id, NULL AS lower_ FROM dec_reports)",
+)
+def confidence_none(t):
+    """No interval where the run's policy asks for none."""
+    out = E.wilson(decision_reports(t), ["case_id"], policy="none")
+    return out.select("case_id", "state", "reason", F.col("lower").isNotNull().alias("bounded"))
+
+
 @query(
     "replay_diff",
     with_pieces("cv_ver")
