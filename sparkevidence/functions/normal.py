@@ -94,6 +94,26 @@ def ordered_pairs(values: pd.Series) -> pd.Series:
     return pd.Series([count(np.asarray(v)) for v in values])
 
 
+@F.pandas_udf(T.LongType())
+def pairs_of_blocks(cells: pd.Series) -> pd.Series:
+    """Pairs of members of cells (row, column, n), ascending, of which one lies above and to the left of the other.
+
+    One row of cells at a time, against the column sums of the rows above.
+    """
+
+    def count(own: list[dict]) -> int:
+        at = np.array([(c["p"], c["q"], c["n"]) for c in own], np.int64).reshape(-1, 3)
+        columns, q = np.unique(at[:, 1], return_inverse=True)
+        above, total = np.zeros(len(columns) + 1, np.int64), 0
+        for first, stop in zip(edges := np.flatnonzero(np.diff(at[:, 0], prepend=-1)), [*edges[1:], len(at)]):
+            left = np.append(0, np.cumsum(above[1:]))
+            total += int((at[first:stop, 2] * left[q[first:stop]]).sum())
+            above[q[first:stop] + 1] += at[first:stop, 2]
+        return total
+
+    return pd.Series([count(list(own)) for own in cells])
+
+
 #: Words at more places than this keep their mask; masks of others are made as they are met.
 _MANY = 64
 

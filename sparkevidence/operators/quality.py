@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import locator_key
-from ..functions.normal import comparable, comparable_words, ordered_pairs, word_distance
+from ..functions.normal import comparable, comparable_words, ordered_pairs, pairs_of_blocks, word_distance
+from ..session import materialize
+from .scans import BLOCK, block_of, blocked_row_number
 
 # Metric ids and statuses.
 CER = "metric.ingestion.cer@1"
@@ -101,19 +103,39 @@ def element_f1(labels: DataFrame, expected: DataFrame, observed: DataFrame) -> D
     return _report(sums, ELEMENT_F1, value, F.col("n"), F.col("m"))
 
 
-def reading_order(labels: DataFrame, expected: DataFrame, observed: DataFrame) -> DataFrame:
+def _agreeing_pairs(placed: DataFrame, block: int) -> DataFrame:
+    """(document_id, m): pairs in their expected order of which the observed order agrees.
+
+    Places in expected order are cut into blocks, observed values into ranges. Pairs of one block, pairs of one
+    range and different blocks, and pairs of different blocks and ranges, which the sizes of the cells give, are
+    counted apart, so no list holds a document.
+    """
+    key = ["document_id"]
+    order = [F.col("reading_order"), F.col("obs")]
+    numbered = blocked_row_number(placed.select(*key, "reading_order", "obs"), key, block_of("reading_order", block), order, "at", 0)
+    cut = materialize(numbered.select(*key, "at", F.col("obs").cast("long").alias("obs"), block_of("at", block).alias("p"), block_of("obs", block).alias("q")), "reading-order")
+    inside = cut.groupBy(*key, "p").agg(F.sort_array(F.collect_list(F.struct("at", "obs"))).alias("x"))
+    # Descending within a block: its own pairs do not count again.
+    across = cut.groupBy(*key, "q").agg(F.sort_array(F.collect_list(F.struct("p", (-F.col("obs")).alias("back")))).alias("x"))
+    cells = cut.groupBy(*key, "p", "q").agg(F.count(F.lit(1)).alias("n"))
+    apart = cells.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("p", "q", "n"))).alias("x")).filter(F.size("x") > 1)
+    found = [
+        inside.select(*key, ordered_pairs(F.transform("x", lambda x: x["obs"])).alias("m")),
+        across.select(*key, ordered_pairs(F.transform("x", lambda x: -x["back"])).alias("m")),
+        apart.select(*key, pairs_of_blocks("x").alias("m")),
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy(*key).agg(F.sum("m").alias("m"))
+
+
+def reading_order(labels: DataFrame, expected: DataFrame, observed: DataFrame, block: int = BLOCK) -> DataFrame:
     """Share of label pairs whose observed order agrees; fewer than two labels are too few."""
     seen = observed.select(
         "document_id", locator_key("locator").alias("key"), "kind", F.col("reading_order").alias("obs")
     ).groupBy("document_id", "key", "kind").agg(F.max("obs").alias("obs"))
     placed = _targets(labels, expected).join(seen, ["document_id", "key", "kind"], "left")
-    orders = placed.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sort_array(
-            F.collect_list(F.when(F.col("obs").isNotNull(), F.struct("reading_order", "obs")))
-        ).alias("p"),
-    )
-    counted = orders.withColumn("m", ordered_pairs(F.transform("p", lambda x: x["obs"].cast("long"))))
+    sizes = placed.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    agreeing = _agreeing_pairs(placed.filter(F.col("obs").isNotNull()), block)
+    counted = sizes.join(agreeing, "document_id", "left").withColumn("m", F.coalesce("m", F.lit(0)))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     status = F.when(F.col("n") < 2, INSUFFICIENT_LABELS).otherwise(VALUE)
     return _report(

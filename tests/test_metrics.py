@@ -230,3 +230,20 @@ def test_edit_distance_in_whole_numbers():
         other[at] = "x"
     # Every hundredth word is changed, the first of them among the seven that are left out.
     assert normal.edit_distance(long, other[7:]) == 399 + 7 and time.time() - began < 60
+
+
+def test_order_pairs_over_many_blocks(spark):
+    """Random orders with ties, cut into small blocks; and a document of 200,000 labels."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"d{d}", rng.randrange(60), rng.randrange(50)) for d in range(4) for _ in range((0, 1, 90, 300)[d])]
+    made = spark.createDataFrame(rows, "document_id string, reading_order int, obs int")
+    got = {r.document_id: r.m for r in Q._agreeing_pairs(made, 16).collect()}
+    for d in ("d1", "d2", "d3"):
+        own = sorted((e, o) for k, e, o in rows if k == d)
+        assert got[d] == sum(own[i][1] < own[j][1] for i in range(len(own)) for j in range(i + 1, len(own)))
+    n = 200_000
+    # Runs of eight backwards: of every run no pair agrees, all others do.
+    long = spark.range(n).selectExpr("'x' document_id", "cast(id as int) reading_order", "cast(id - id % 8 + 7 - id % 8 as int) obs")
+    assert Q._agreeing_pairs(long, 4096).first().m == n * (n - 1) // 2 - n // 8 * 28
