@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_staged, in_arrow, stage, steps, texts_of
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
 #: Entries that one range merges, about.
 RANGE_ENTRIES = 2_000_000
 ORDER = 2
@@ -187,17 +187,18 @@ class Automaton:
         """counts[k]: training count of the (k+1)-gram that ends at each token; texts: training texts; mass: N + V + 1."""
         self.order = len(counts)
         self.starts = np.cumsum(lengths) - lengths
-        age = np.arange(len(words)) - np.repeat(self.starts, lengths)
+        age = (np.arange(len(words)) - np.repeat(self.starts, lengths)).astype(np.int32)
         grams = gram_hashes(words, lengths, self.order)
         # Of each different n-gram one place in the texts stands for all.
         self.words, first, self.word = np.unique(words, return_index=True, return_inverse=True)
+        self.word = self.word.astype(np.int32)
         p = (counts[0] + 1) / mass
         self.arcs = [np.log10(p[first])]
         self.keys: list[np.ndarray] = [self.words]
         hashes, fails, weights, level = [np.zeros(1, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(1, np.int64)]
         size = 1
         # States of one word: the words seen in training; the beginning stands behind them.
-        number = np.zeros(len(words), np.int64)  # the state of the history of n words that ends at each token
+        number = np.zeros(len(words), np.int32)  # the state of the history of n words that ends at each token
         ends: list[np.ndarray] = []  # where an arc leads
         for n in range(1, self.order + 1):
             if n > 1:
@@ -214,7 +215,7 @@ class Automaton:
                 known, first = self.words, first
             if n < self.order:
                 is_state = counts[n - 1][first] > 0
-                own = np.where(is_state, size + np.cumsum(is_state) - 1, 0)
+                own = np.where(is_state, size + np.cumsum(is_state) - 1, 0).astype(np.int32)
                 hashes.append(known[is_state])
                 fails.append(number[first][is_state])
                 weights.append(np.log10(mu / (counts[n - 1][first][is_state] + mu)))
@@ -226,6 +227,7 @@ class Automaton:
                     longer = np.where(known[at] == grams[n - 1], own[at], 0)
                     number = np.where(longer > 0, longer, number)
             ends.append(number[first])
+            grams[n - 1] = words  # no longer needed
         self.ends = ends
         self.begin = size
         self.hash = np.concatenate([*hashes, np.array([_BEGIN], np.uint64)])
