@@ -191,6 +191,20 @@ def alike(pairs: DataFrame, docs: DataFrame, near: tuple[int, int] = NEAR) -> Da
     return sides.filter(common * (part + whole) >= (F.size("one") + F.size("two")) * part).select("a", "b")
 
 
+def enough(pairs: DataFrame, heads: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """The pairs (a, b) of rows of heads (id, size, prefix) whose prefixes have enough shingles in common for near copies.
+
+    Of the one whose prefix ends first in the order, all common shingles stand in both prefixes or behind its
+    own; with the larger rest of the two the bound loses no pair. Prefixes are a fifth of what alike() has to move.
+    """
+    part, whole = near
+    side = lambda i, n: heads.select(F.col("id").alias(i), F.col("size").alias(f"{i}_size"), F.col("prefix").alias(n))
+    both = pairs.join(side("a", "one"), "a").join(side("b", "two"), "b")
+    rest = F.ceil(F.greatest("a_size", "b_size") * part / whole) - 1
+    kept = (F.size(F.array_intersect("one", "two")) + rest) * (part + whole) >= (F.col("a_size") + F.col("b_size")) * part
+    return both.filter(kept).select("a", "b")
+
+
 def common_shingles(docs: DataFrame, text: str = "text", share: float = ASKED, least: int = COMMON, most: int = ORDERED) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts hold, sorted, and their places from the rarer to the more common.
 
@@ -321,10 +335,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     linking = named.join(heads, "group").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     met = kept(meetings(filled.drop("set").join(firsts.select(F.col("node").alias("id")), "id")), "prefixes")
     words = staged.select(F.col("__row").alias("id"), F.col(f"`{text}`").alias("text"))
-    near = kept(stars(met), "pairs")
+    heads = filled.select("id", "size", "prefix")
+    near = kept(enough(stars(met), heads), "pairs")
     roots = kept(components(linking.unionByName(alike(near, words))), "first-roots")
     # What is still apart after the stars: pairs of different roots, joined as edges between those roots.
-    late = alike(kept(open_pairs(met, roots), "pairs"), words)
+    late = alike(kept(enough(open_pairs(met, roots), heads), "pairs"), words)
     root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     ends = late.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
         F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b").distinct()
