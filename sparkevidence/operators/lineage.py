@@ -9,6 +9,7 @@ created_at, ...), lineage(artifact_id, parent_id).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -104,22 +105,33 @@ def eligible_artifacts(artifacts: DataFrame, attempts: DataFrame, lineage: DataF
 def source_of_evidence(
     wanted: DataFrame, lineage: DataFrame, contents: DataFrame
 ) -> DataFrame:
-    """The nearest ancestor that contains one of the wanted locators.
+    """The nearest ancestor that contains one of the wanted locators; of several equally near, the smallest id.
 
-    Wanted: (index_id, locator_key); contents: (artifact_id, locator_key) of elements and chunks.
+    Wanted: (index_id, locator_key); contents: (artifact_id, locator_key) of elements and chunks. All indexes
+    climb together, level by level, and an index leaves the frontier at its first hit, so ancestors behind
+    that one are never listed. Runs jobs until the frontier is empty; a cycle ends as its pairs have been seen.
     """
-    seeds = wanted.select(F.col("index_id").alias("root"), F.col("index_id").alias("node"))
-    edges = lineage.select(F.col("artifact_id").alias("source"), F.col("parent_id").alias("target"))
-    reached = closure(seeds, edges).withColumnsRenamed({"root": "index_id", "node": "artifact_id"})
-    needed = contents.join(wanted.select("locator_key").distinct(), "locator_key", "left_semi")
-    hits = (
-        reached.join(needed, "artifact_id")
-        .join(wanted.distinct(), ["index_id", "locator_key"], "left_semi")
-    )
-    found = hits.groupBy("index_id").agg(F.min(F.struct("depth", "artifact_id")).alias("_f"))
-    return wanted.select("index_id").distinct().join(found, "index_id", "left").select(
-        "index_id", F.col("_f.artifact_id").alias("artifact_id"), F.col("_f.depth").alias("depth")
+    asked = materialize(wanted.select("index_id", "locator_key").distinct(), "asked")
+    needed = materialize(
+        contents.select("artifact_id", "locator_key").distinct().join(asked.select("locator_key").distinct(), "locator_key", "left_semi"),
+        "needed",
     )
+    step = materialize(lineage.select("artifact_id", F.col("parent_id").alias("_next")).distinct(), "lineage-steps")
+    level = materialize(asked.select("index_id", F.col("index_id").alias("artifact_id")).distinct(), "frontier")
+    seen, found, depth = level, [], 0
+    while True:
+        hits = level.join(needed, "artifact_id").join(asked, ["index_id", "locator_key"], "left_semi")
+        nearest = hits.groupBy("index_id").agg(F.min("artifact_id").alias("artifact_id")).withColumn("depth", F.lit(depth))
+        found.append(materialize(nearest, "nearest"))
+        reached = (
+            level.join(found[-1].select("index_id"), "index_id", "left_anti").join(step, "artifact_id")
+            .select("index_id", F.col("_next").alias("artifact_id")).distinct()
+        )
+        level = materialize(reached.join(seen, ["index_id", "artifact_id"], "left_anti"), "frontier")
+        if level.isEmpty():
+            break
+        seen, depth = seen.unionByName(level), depth + 1
+    return asked.select("index_id").distinct().join(reduce(DataFrame.unionByName, found), "index_id", "left")
 
 
 # ---------------------------------------------------------------- listings

@@ -127,6 +127,28 @@ def test_lineage_seventy_levels_deep(spark):
     assert X.closure(seeds, loop).agg(F.max("depth")).first()[0] == 70
 
 
+def test_evidence_leaves_the_frontier_at_its_first_hit(spark, monkeypatch):
+    """Ancestors behind the first hit are never listed; ties go to the smallest id, cycles end, orphans stay without a source."""
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("i", "n0"), ("i", "m0"), ("m0", "n1"), ("loop", "pool"), ("pool", "loop")]
+    lineage = spark.createDataFrame(edges, "artifact_id string, parent_id string")
+    contents = spark.createDataFrame(
+        [("n1", "a"), ("n0", "b"), ("m0", "b"), ("n9", "a"), ("i", "other"), ("own", "a"), (None, "a")], "artifact_id string, locator_key string")
+    wanted = [("i", "a"), ("own", "a"), ("loop", "a"), ("lone", "z"), (None, "a"), ("i", "a")]
+    written, write = [], X.materialize
+    monkeypatch.setattr(X, "materialize", lambda df, name, *by: written.append((name, write(df, name, *by))) or written[-1][1])
+
+    def ask(rows):
+        written.clear()
+        found = X.source_of_evidence(spark.createDataFrame(rows, "index_id string, locator_key string"), lineage, contents)
+        return {r["index_id"]: (r["artifact_id"], r["depth"]) for r in found.collect()}
+
+    assert ask(wanted) == {"i": ("n1", 2), "own": ("own", 0), "loop": (None, None), "lone": (None, None), None: (None, None)}
+    listed = {r["artifact_id"] for name, df in written if name == "frontier" for r in df.filter("index_id = 'i'").collect()}
+    assert listed == {"i", "n0", "m0", "n1"}
+    assert ask([("i", "b")]) == {"i": ("m0", 1)}
+    assert ask([]) == {}
+
+
 def test_streaming_heartbeats_match_the_batch_form(spark, tmp_path):
     beats = spark.sql("select * from values ('w1', timestamp'2024-01-01 00:00:00'), ('w1', timestamp'2024-01-01 00:00:30'), ('w2', timestamp'2024-01-01 00:00:00') t(worker_id, ts)")
     beats.coalesce(1).write.parquet(str(tmp_path / "beats"))
