@@ -30,17 +30,18 @@ def _newest(value: Column, time: str, ident: str) -> Column:
 # ---------------------------------------------------------------- closures
 
 
-def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, written: bool = False) -> DataFrame:
     """All (root, node, depth) reachable from the seeds (root, node); depth is the shortest.
 
-    Edges: (source, target). Level by level: each round joins the newest level with the edges and
+    Edges: (source, target); written: they are read from a table, so they are not written again. Level by level: each round joins the newest level with the edges and
     drops pairs already seen, so shared ancestors are expanded once. Every level is written to the
     shared folder, which keeps the plan short and survives executor loss. Runs jobs until a level
     is empty.
     """
-    step = materialize(
-        edges.select(F.col("source").alias("node"), F.col("target").alias("_next")).distinct(), "closure-edges"
-    )
+    # An edge that stands twice is no harm: what a level reaches is made distinct.
+    step = edges.select(F.col("source").alias("node"), F.col("target").alias("_next"))
+    if not written:
+        step = materialize(step, "closure-edges")
     level = materialize(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)), "closure")
     seen = level
     depth = 0
@@ -95,7 +96,7 @@ def eligible_artifacts(artifacts: DataFrame, attempts: DataFrame, lineage: DataF
     failed = artifacts.select("artifact_id").join(good, "artifact_id", "left_anti")
     edges = lineage.select(F.col("parent_id").alias("source"), F.col("artifact_id").alias("target"))
     tainted = closure(
-        failed.select(F.lit(0).alias("root"), F.col("artifact_id").alias("node")), edges
+        failed.select(F.lit(0).alias("root"), F.col("artifact_id").alias("node")), edges, written=True
     ).select(F.col("node").alias("artifact_id"), F.lit(False).alias("_ok"))
     return artifacts.select("artifact_id").join(tainted, "artifact_id", "left").select(
         "artifact_id", F.coalesce("_ok", F.lit(True)).alias("eligible")
@@ -116,7 +117,7 @@ def source_of_evidence(
         contents.select("artifact_id", "locator_key").distinct().join(asked.select("locator_key").distinct(), "locator_key", "left_semi"),
         "needed",
     )
-    step = materialize(lineage.select("artifact_id", F.col("parent_id").alias("_next")).distinct(), "lineage-steps")
+    step = lineage.select("artifact_id", F.col("parent_id").alias("_next"))
     level = materialize(asked.select("index_id", F.col("index_id").alias("artifact_id")).distinct(), "frontier")
     seen, found, depth = level, [], 0
     while True:
@@ -162,11 +163,10 @@ def list_documents(
         F.col("artifact_id").alias("source_id"), "byte_size", F.col("producing_attempt_id").alias("attempt_id")
     )
     first = attempts.filter("stage_key = 'ingestion.source' AND state = 'SUCCEEDED'").select("attempt_id", "run_id")
-    rows = (
-        submissions.join(source, "source_id").join(first, ["attempt_id", "run_id"], "left_semi")
-        .join(runs.filter("engine_kind = 'ingestion'").select("run_id", F.col("state").alias("run_state")), "run_id")
-        .join(evidence.select("run_id", "resolution_json"), "run_id")
-    )
+    # What few runs decide goes first, so that only the rest of the submissions meets the artifacts.
+    ingested = submissions.join(runs.filter("engine_kind = 'ingestion'").select("run_id", F.col("state").alias("run_state")), "run_id").join(
+        evidence.select("run_id", "resolution_json"), "run_id")
+    rows = ingested.join(source, "source_id").join(first, ["attempt_id", "run_id"], "left_semi")
     if source_ids is not None:
         rows = rows.filter(F.col("source_id").isin(*source_ids))
     if cursor is not None:
@@ -175,7 +175,8 @@ def list_documents(
             (F.col("registered_at") < F.lit(seen_at))
             | ((F.col("registered_at") == F.lit(seen_at)) & (F.col("source_id") < F.lit(seen_id)))
         )
-    page = rows.orderBy(F.desc("registered_at"), F.desc("source_id")).limit(limit + 1)
+    # Written, because its rows and the runs on it would otherwise join all artifacts again.
+    page = materialize(rows.orderBy(F.desc("registered_at"), F.desc("source_id")).limit(limit + 1), "document-page")
     place = F.row_number().over(Window.orderBy(F.desc("registered_at"), F.desc("source_id")))
     placed = page.withColumn("position", place).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
     field = lambda path: F.nullif(F.get_json_object("resolution_json", path), F.lit(""))
