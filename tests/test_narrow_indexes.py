@@ -52,3 +52,11 @@ def test_citations_and_keywords_make_no_vectors(spark, small):
     for name in ("citation_ids", "retrieve_keyword"):
         plan = REGISTRY[name].build(t)._jdf.queryExecution().analyzed().toString()
         assert "embed(" not in plan and "embedding" not in plan, name
+
+
+def test_documents_are_not_shuffled_to_meet_what_was_found(spark, small):
+    t = Tables(spark, small)
+    found = R.retrieve_keyword(B.lexical_index(t), B.queries(t), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        assert not ("SortMergeJoin" in line and "shard" in line and "place" in line), line
