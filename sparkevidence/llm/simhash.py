@@ -46,6 +46,8 @@ NEAR = (4, 5)
 ASKED, COMMON, ORDERED = 1 / 16, 4, 100_000
 #: Rows of a block of a bucket, and rows of a bucket that all others are held against first.
 BLOCK, CENTRES = 128, 4
+#: Rows of the largest group of a bucket that a row left apart is held against at once, and how often at most.
+DEALT, ROUNDS = 32, 2
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -278,16 +280,67 @@ def stars(met: DataFrame, centres: int = CENTRES) -> DataFrame:
     return sides.select(F.greatest("own.id", "centre.id").alias("a"), F.least("own.id", "centre.id").alias("b")).distinct()
 
 
+def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets that hold rows not connected yet: (value, own), own with its root."""
+    known = met.join(roots, F.col("own.id") == F.col("node"), "left").select(
+        "value", F.struct("own.id", "own.size", "own.at", F.coalesce("root", "own.id").alias("root")).alias("own"))
+    mixed = known.groupBy("value").agg(F.count("*").alias("n"), F.min("own.root").alias("lo"), F.max("own.root").alias("hi")).filter("lo < hi")
+    return known.join(mixed.select("value", "n"), "value")
+
+
+def crowded(rooted: DataFrame, centres: int = CENTRES) -> bool:
+    """Whether the pairs of unconnected rows in the buckets are more than some for each row."""
+    rows, pairs = _apart(rooted).agg(F.sum("n"), F.sum("pairs")).first()
+    return bool(rows) and pairs > centres * rows
+
+
+def _apart(rooted: DataFrame) -> DataFrame:
+    """(value, n, pairs, most): rows and unconnected pairs of a bucket, and (rows, root) of its largest root."""
+    sizes = rooted.groupBy("value", "own.root").agg(F.count("*").alias("many"))
+    square = lambda c: F.col(c).cast("double") * F.col(c)
+    return sizes.groupBy("value").agg(F.sum("many").alias("n"), F.sum(square("many")).alias("same"), F.max(F.struct("many", "root")).alias("most")).select(
+        "value", "n", ((square("n") - F.col("same")) / 2).alias("pairs"), "most")
+
+
+def stars_between(rooted: DataFrame, turn: int, centres: int = CENTRES, dealt: int = DEALT) -> DataFrame:
+    """Pairs of rows of the largest root of a bucket and other rows of it, where the unconnected pairs are many.
+
+    The rows of that root are dealt into parts of about `dealt`, and each other row meets one part, another in each bucket and turn: its
+    pairs are bounded, and a row that is like a share of a large group soon finds one of that share.
+    """
+    full = _apart(rooted).filter(F.col("pairs") > centres * F.col("n")).select(
+        "value", "most", F.ceil(F.col("most.many") / dealt).cast("int").alias("parts"))
+    rows = rooted.select("value", "own").join(full, "value").select(
+        "value", "own", (F.col("own.root") == F.col("most.root")).alias("inside"),
+        F.pmod(F.xxhash64("own.id", "value", F.lit(turn)), F.col("parts")).alias("part"))
+    inside = rows.filter("inside").select("value", "part", F.col("own").alias("x"))
+    others = rows.filter("NOT inside").select(F.col("value").alias("v"), F.col("part").alias("p"), F.col("own").alias("y"))
+    met = inside.join(others, (F.col("value") == F.col("v")) & (F.col("part") == F.col("p")) & _reach(F.col("x"), F.col("y")))
+    return met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
+def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, root) after the rows of the pairs (a, b) are connected too."""
+    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    ends = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b").distinct()
+    last = components(ends)
+    # A root has no row of its own in roots, nor has a row without links; both get one here once they are connected.
+    moved = roots.join(last.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    return moved.select("node", F.coalesce("last", "root").alias("root")).unionByName(last)
+
+
 def open_pairs(met: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every pair of a bucket whose rows are not connected yet.
 
     A bucket's rows are dealt into blocks of about `block`, and each two blocks meet in a group of their own, so a list stays bounded
     however many rows a bucket has.
     """
-    known = met.join(roots, F.col("own.id") == F.col("node"), "left").select(
-        "value", F.struct("own.id", "own.size", "own.at", F.coalesce("root", "own.id").alias("root")).alias("own"))
-    mixed = known.groupBy("value").agg(F.count("*").alias("n"), F.min("own.root").alias("lo"), F.max("own.root").alias("hi")).filter("lo < hi")
-    dealt = known.join(mixed.select("value", F.ceil(F.col("n") / block).cast("int").alias("parts")), "value").withColumn(
+    return _listed(_rooted(met, roots), block)
+
+
+def _listed(rooted: DataFrame, block: int = BLOCK) -> DataFrame:
+    dealt = rooted.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn(
         "part", F.pmod(F.xxhash64("own.id"), F.col("parts")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = other.groupBy("value", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(
@@ -338,14 +391,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     heads = filled.select("id", "size", "prefix")
     near = kept(enough(stars(met), heads), "pairs")
     roots = kept(components(linking.unionByName(alike(near, words))), "first-roots")
-    # What is still apart after the stars: pairs of different roots, joined as edges between those roots.
-    late = alike(kept(enough(open_pairs(met, roots), heads), "pairs"), words)
-    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    ends = late.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
-        F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b").distinct()
-    last = components(ends).select(F.col("node").alias("first"), F.col("root").alias("last"))
-    rooted = named.join(roots, "node", "left").withColumn("first", F.coalesce("root", "node")).join(last, "first", "left")
-    groups = rooted.select("__row", F.coalesce("last", "first").alias("__group"))
+    # Rows that the first stars left apart from large groups are held against shares of them, as long as there are many pairs and some are alike.
+    rooted = kept(_rooted(met, roots), "apart")
+    for turn in range(ROUNDS):
+        if not crowded(rooted):
+            break
+        more = kept(alike(kept(enough(stars_between(rooted, turn), heads), "pairs"), words), "more-links")
+        if more.isEmpty():
+            break
+        roots = kept(joined(roots, more), "more-roots")
+        rooted = kept(_rooted(rooted.select("value", "own"), roots), "apart")
+    # What is still apart: pairs of different roots, joined as edges between those roots.
+    late = alike(kept(enough(_listed(rooted), heads), "pairs"), words)
+    ends = joined(roots, late)
+    groups = named.join(ends, "node", "left").select("__row", F.coalesce("root", "node").alias("__group"))
     ids = staged.select("__row", F.col(f"`{key}`").alias("__key"))
     order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__row").alias("row"))
     keepers, _ = stage(groups.join(ids, "__row").groupBy("__group").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row")), "keepers")

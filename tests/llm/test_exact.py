@@ -436,3 +436,18 @@ def test_pipeline_against_brute_force(spark, texts):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     total = sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in kept)
     assert sum(r["length"] for r in rows) == total and len({r["sequence_id"] for r in rows}) <= -(-total // 4096) + 1
+
+
+def test_rows_left_apart_meet_shares_of_a_large_group(spark):
+    """10 rows beside a connected group of 400: each meets about DEALT of them, not all, and one link joins a row to the group."""
+    met = spark.range(410).select(F.lit(7).cast("long").alias("value"), F.struct("id", F.lit(100).alias("size"), F.lit(0).alias("at")).alias("own"))
+    roots = spark.range(1, 400).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"))
+    rooted = simhash._rooted(met, roots)
+    pairs = [(r["a"], r["b"]) for r in simhash.stars_between(rooted, 0, centres=1).collect()]
+    assert all(a >= 400 > b for a, b in pairs) and {a for a, _ in pairs} == set(range(400, 410))
+    assert len(pairs) < 10 * 3 * simhash.DEALT < 10 * 400
+    assert not simhash.crowded(rooted, centres=10) and simhash.crowded(rooted, centres=9)
+    after = simhash.joined(roots, spark.createDataFrame([(405, 17), (409, 405)], "a long, b long"))
+    assert {r["node"]: r["root"] for r in after.collect()} == {n: 0 for n in [*range(1, 400), 405, 409]}
+    assert simhash.open_pairs(met, after).filter("a in (405, 409) and b < 400").count() == 0
+    assert simhash.open_pairs(met, after).filter("a = 400").count() == 400
