@@ -24,6 +24,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,13 @@ from .common import held, in_arrow, stage, steps, texts_of
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-_REMEMBERED = 400_000
+_REMEMBERED = 800_000
 #: Sequences of letters whose ids a task remembers.
 _REMEMBERED_LETTERS = 700_000
 _LONGEST_REMEMBERED = 64
 #: Words encoded in one call; an encoding holds far more than its ids.
 _ENCODED = 2048
+_MARKS = b".,!?;:%$#&*|"
 #: Latin letters (UTF-8; those that stay one letter when lower-cased), then any marks.
 _letters_and_marks = re.compile(
     rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])++)"
@@ -95,10 +98,14 @@ class WordTokenizer:
         out: dict[bytes, bytes] = {}
         pending, rest = [], []
         for w in words:
-            if not (found := _letters_and_marks(w)):
+            own = w.rstrip(_MARKS)
+            if own.isalpha():  # A-Z and a-z alone: the pattern need not be asked
+                own, mark = own.lower(), w[len(own) :]
+            elif found := _letters_and_marks(w):
+                own, mark = found[1].lower(), found[2]
+            else:
                 rest.append(w)
                 continue
-            own, mark = found[1].lower(), found[2]
             if (ids := letters.get(own)) is None or (tail := marks.get(mark)) is None:
                 pending.append((w, own, mark))
             else:
@@ -119,12 +126,17 @@ class WordTokenizer:
         known = self._known
         if len(known) > _REMEMBERED:
             known.clear()
-        new = [w for w in set().union(*split) if w not in known]
+        # One look at each word: what is not known yet is learnt, and only its places are filled afterwards.
+        found = [list(map(known.get, words)) for words in split]
+        gaps = [list(compress(count(), map(is_, ids, repeat(None)))) for ids in found]
+        new = list({words[i] for words, places in zip(split, gaps) for i in places})
         known |= self._learn(new)
-        found = [b"".join(map(known.__getitem__, words)) for words in split]
+        for words, ids, places in zip(split, found, gaps):
+            for i in places:
+                ids[i] = known[words[i]]
         for w in [w for w in new if len(w) > _LONGEST_REMEMBERED]:
             del known[w]
-        return found
+        return list(map(b"".join, found))
 
 
 def tokenize(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
