@@ -28,7 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_staged, map_texts, stage
@@ -42,6 +42,8 @@ SEED = 42
 #: The wider search of keep_one(): five-word shingles, and the share of both texts' shingles that near copies have in common.
 SIMILAR_SHINGLE = 5
 NEAR = (4, 5)
+#: Shares of all hashes in which a text's shingles are counted, to tell texts apart before their shingles are moved.
+BINS = 256
 #: Share of the texts asked for shingles of many texts, in how many of them, and how many shingles are ordered by it.
 ASKED, COMMON, ORDERED = 1 / 16, 4, 100_000
 #: Rows of a block of a bucket, and rows of a bucket that all others are held against first.
@@ -181,10 +183,22 @@ def shingles(text: str, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, n)).view(np.int64)
 
 
+def chosen(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose numbers `key` (long, not negative) stand in the column of that name of ids, found where they lie.
+
+    Each 32,768 consecutive numbers are one bitmap and all bitmaps are broadcast: a bit for each row, so that neither
+    texts nor lists move for rows that nobody asks for. Made for row numbers, which are dense within a partition.
+    """
+    page, bit = F.shiftright(key, 15), F.col(key).bitwiseAND(F.lit((1 << 15) - 1))
+    maps = ids.select(page.alias("__page"), bit.alias("__bit")).repartition("__page").groupBy("__page").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    byte = F.conv(F.hex(F.substr("__bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    here = F.pmod(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(F.lit(7)))), F.lit(2)) == 1
+    return rows.withColumn("__page", page).join(F.broadcast(maps), "__page").filter(here).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def alike(pairs: DataFrame, docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     """The pairs (a, b) of rows of docs (id, text) that have at least `near` of their shingles in common, counted exactly."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own, _ = stage(map_texts(docs.join(asked.hint("shuffle_hash"), "id", "left_semi"), ["id"], "text",
+    own, _ = stage(map_texts(chosen(docs, _ends(pairs)), ["id"], "text",
                              lambda texts: {"own": [shingles(t) for t in texts]}, "own array<long>"), "shingles")
     sides = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("one")), "a").join(
         own.select(F.col("id").alias("b"), F.col("own").alias("two")), "b")
@@ -193,18 +207,28 @@ def alike(pairs: DataFrame, docs: DataFrame, near: tuple[int, int] = NEAR) -> Da
     return sides.filter(common * (part + whole) >= (F.size("one") + F.size("two")) * part).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
+def counts(own: np.ndarray) -> np.ndarray:
+    """How many of a text's shingles fall into each of `BINS` shares of all hashes, 127 at most."""
+    return np.minimum(np.bincount(own.view(np.uint64) >> np.uint64(64 - BINS.bit_length() + 1), minlength=BINS), 127).astype(np.int8)
+
+
 def enough(pairs: DataFrame, heads: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
-    """The pairs (a, b) of rows of heads (id, size, prefix) whose prefixes have enough shingles in common for near copies.
+    """The pairs (a, b) of rows of heads (id, size, counts) whose counts() allow enough common shingles for near copies.
 
-    Of the one whose prefix ends first in the order, all common shingles stand in both prefixes or behind its
-    own; with the larger rest of the two the bound loses no pair. Prefixes are a fifth of what alike() has to move.
+    Counts differ by no more than the shingles that only one of the two holds, so the bound loses no pair. They are a
+    small part of what alike() has to move.
     """
     part, whole = near
-    side = lambda i, n: heads.select(F.col("id").alias(i), F.col("size").alias(f"{i}_size"), F.col("prefix").alias(n))
+    asked = chosen(heads, _ends(pairs))
+    side = lambda i, n: asked.select(F.col("id").alias(i), F.col("size").alias(f"{i}_size"), F.col("counts").alias(n))
     both = pairs.join(side("a", "one"), "a").join(side("b", "two"), "b")
-    rest = F.ceil(F.greatest("a_size", "b_size") * part / whole) - 1
-    kept = (F.size(F.array_intersect("one", "two")) + rest) * (part + whole) >= (F.col("a_size") + F.col("b_size")) * part
-    return both.filter(kept).select("a", "b")
+    apart = F.aggregate(F.zip_with("one", "two", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
+    sizes = F.col("a_size") + F.col("b_size")
+    return both.filter((sizes - apart) * (part + whole) >= 2 * sizes * part).select("a", "b")
 
 
 def common_shingles(docs: DataFrame, text: str = "text", share: float = ASKED, least: int = COMMON, most: int = ORDERED) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +264,8 @@ def signed(texts: list[str], common: tuple[np.ndarray, np.ndarray]) -> dict[str,
     sets = [shingles(t) for t in texts]
     return {
         "__fp": np.array([fingerprint(t) for t in texts], np.int64), "__set": [xxhash.xxh128_digest(own.tobytes()) for own in sets],
-        "__size": np.array([len(own) for own in sets], np.int32), "__prefix": [prefix(own, common) for own in sets]}
+        "__size": np.array([len(own) for own in sets], np.int32), "__prefix": [prefix(own, common) for own in sets],
+        "__counts": [counts(own) for own in sets]}
 
 
 def _reach(x: Column, y: Column, near: tuple[int, int] = NEAR) -> Column:
@@ -254,18 +279,24 @@ def _reach(x: Column, y: Column, near: tuple[int, int] = NEAR) -> Column:
     return most * (part + whole) >= (x["size"] + y["size"]) * part
 
 
-def meetings(heads: DataFrame) -> DataFrame:
-    """Rows (value, own) of prefixes whose shingle other prefixes hold too.
+def meetings(heads: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Rows (value, own) of prefixes whose shingle another prefix holds too, one of a size that _reach() allows.
 
     own is (id, size, at): a row, its number of shingles, and the shingle's place in its prefix; on the way the two
-    numbers are one. Shuffled once, for the groups and the join. A shingle stands once in a prefix, so no bucket is
-    more than a small part.
+    numbers are one. Shuffled once. In the order of sizes a row has a possible partner before it if the farthest
+    reach of the rows before it is enough, and behind it if its own reach is enough for the next one. A shingle stands
+    once in a prefix, so no bucket is more than a small part.
     """
+    part, whole = near
     both = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
     held = heads.select("id", "size", F.posexplode("prefix").alias("at", "value")).select("value", "id", both.alias("both")).repartition("value")
-    shared = held.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value")
-    own = F.struct("id", F.shiftright("both", 32).cast("int").alias("size"), F.col("both").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
-    return held.join(shared, "value").select("value", own.alias("own"))
+    size, at = F.shiftright("both", 32), F.col("both").bitwiseAND(F.lit((1 << 32) - 1))
+    bucket = Window.partitionBy("value").orderBy(F.shiftright("both", 32))
+    placed = held.withColumn("need", size * part).withColumn("reach", size * whole - at * (part + whole))
+    before = F.max("reach").over(bucket.rowsBetween(Window.unboundedPreceding, -1))
+    seen = placed.withColumn("before", before).withColumn("next", F.lead("need").over(bucket))
+    own = F.struct("id", size.cast("int").alias("size"), at.cast("int").alias("at"))
+    return seen.filter("before >= need OR next <= reach").select("value", own.alias("own"))
 
 
 def stars(met: DataFrame, centres: int = CENTRES) -> DataFrame:
@@ -302,13 +333,17 @@ def _apart(rooted: DataFrame) -> DataFrame:
         "value", "n", ((square("n") - F.col("same")) / 2).alias("pairs"), "most")
 
 
+def _full(rooted: DataFrame, centres: int = CENTRES) -> DataFrame:
+    return _apart(rooted).filter(F.col("pairs") > centres * F.col("n"))
+
+
 def stars_between(rooted: DataFrame, turn: int, centres: int = CENTRES, dealt: int = DEALT) -> DataFrame:
     """Pairs of rows of the largest root of a bucket and other rows of it, where the unconnected pairs are many.
 
     The rows of that root are dealt into parts of about `dealt`, and each other row meets one part, another in each bucket and turn: its
     pairs are bounded, and a row that is like a share of a large group soon finds one of that share.
     """
-    full = _apart(rooted).filter(F.col("pairs") > centres * F.col("n")).select(
+    full = _full(rooted, centres).select(
         "value", "most", F.ceil(F.col("most.many") / dealt).cast("int").alias("parts"))
     rows = rooted.select("value", "own").join(full, "value").select(
         "value", "own", (F.col("own.root") == F.col("most.root")).alias("inside"),
@@ -376,33 +411,39 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     common = common_shingles(docs, text)
     both = map_texts(numbered, [*columns, "__row"], text, lambda texts: signed(texts, common),
-                     "__fp long, __set binary, __size int, __prefix array<long>")
+                     "__fp long, __set binary, __size int, __prefix array<long>, __counts array<tinyint>")
     staged, _ = stage(both, "docs")
     linked = assign(staged.select("__row", F.col("__fp").alias("fp")), "__row").select("__row", F.col("component_id").alias("group"))
-    filled = staged.filter("__size > 0").select(F.col("__row").alias("id"), F.col("__set").alias("set"), F.col("__size").alias("size"), F.col("__prefix").alias("prefix"))
+    filled = staged.filter("__size > 0").select(F.col("__row").alias("id"), F.col("__set").alias("set"), F.col("__size").alias("size"), F.col("__prefix").alias("prefix"), F.col("__counts").alias("counts"))
     firsts = kept(filled.groupBy("set").agg(F.min("id").alias("node")), "sets")
     # One node for all texts of equal shingles; edges stand between nodes, so copies add none.
     nodes = filled.select(F.col("id").alias("__row"), "set").join(firsts, "set").select("__row", "node")
     named = kept(linked.join(nodes, "__row", "left").select("__row", "group", F.coalesce("node", "__row").alias("node")), "nodes")
     heads = named.select(F.col("__row").alias("group"), F.col("node").alias("head"))
     linking = named.join(heads, "group").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    met = kept(meetings(filled.drop("set").join(firsts.select(F.col("node").alias("id")), "id")), "prefixes")
+    met = kept(meetings(chosen(filled.select("id", "size", "prefix"), firsts.select(F.col("node").alias("id")))), "prefixes")
     words = staged.select(F.col("__row").alias("id"), F.col(f"`{text}`").alias("text"))
-    heads = filled.select("id", "size", "prefix")
-    near = kept(enough(stars(met), heads), "pairs")
+    heads = filled.select("id", "size", "counts")
+    near = kept(enough(kept(stars(met), "stars"), heads), "pairs")
     roots = kept(components(linking.unionByName(alike(near, words))), "first-roots")
     # Rows that the first stars left apart from large groups are held against shares of them, as long as there are many pairs and some are alike.
+    # Only the buckets with many such pairs are looked at again; the roots of the others may be older ones, which lists more pairs and loses none.
     rooted = kept(_rooted(met, roots), "apart")
-    for turn in range(ROUNDS):
-        if not crowded(rooted):
-            break
-        more = kept(alike(kept(enough(stars_between(rooted, turn), heads), "pairs"), words), "more-links")
-        if more.isEmpty():
-            break
-        roots = kept(joined(roots, more), "more-roots")
-        rooted = kept(_rooted(rooted.select("value", "own"), roots), "apart")
+    if crowded(rooted):
+        full = kept(_full(rooted).select("value"), "full")
+        rest, busy = kept(rooted.join(full, "value", "left_anti"), "rest"), kept(rooted.join(full, "value", "left_semi"), "busy")
+        for turn in range(ROUNDS):
+            some = kept(stars_between(busy, turn), "stars")
+            more = kept(alike(kept(enough(some, heads), "pairs"), words), "more-links")
+            if more.isEmpty():
+                break
+            roots = kept(joined(roots, more), "more-roots")
+            busy = kept(_rooted(busy.select("value", "own"), roots), "busy")
+            rooted = rest.unionByName(busy)
+            if turn + 1 < ROUNDS and not crowded(rooted):
+                break
     # What is still apart: pairs of different roots, joined as edges between those roots.
-    late = alike(kept(enough(_listed(rooted), heads), "pairs"), words)
+    late = alike(kept(enough(kept(_listed(rooted), "listed"), heads), "pairs"), words)
     ends = joined(roots, late)
     groups = named.join(ends, "node", "left").select("__row", F.coalesce("root", "node").alias("__group"))
     ids = staged.select("__row", F.col(f"`{key}`").alias("__key"))
@@ -410,5 +451,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     keepers, _ = stage(groups.join(ids, "__row").groupBy("__group").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row")), "keepers")
     for path in paths:
         drop_staged(spark, path)
-    # The row numbers are hashed, so the texts are shuffled but not sorted.
-    return staged.join(keepers.hint("shuffle_hash"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    # The texts stay where they lie.
+    return chosen(staged, keepers, "__row").select(*[F.col(f"`{c}`") for c in columns])
