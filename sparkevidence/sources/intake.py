@@ -27,15 +27,15 @@ MEDIA_TYPES = {
 }
 
 
-def intake(df: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
-    """Describe each non-empty source, whatever its size; the digest is its address."""
+def describe(df: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
+    """Describe each source, empty or lost ones too; the digest is its address."""
     body = F.col(content).cast("binary")
     extension = _extension(F.col(name))
     media = F.lit("application/octet-stream")
     for ext, media_type in MEDIA_TYPES.items():
         media = F.when(extension == ext, F.lit(media_type)).otherwise(media)
     size = F.octet_length(body)
-    return df.filter(size > 0).select(
+    return df.select(
         "document_id",
         F.sha2(body, 256).alias("content_digest"),
         size.cast("long").alias("byte_size"),
@@ -45,6 +45,11 @@ def intake(df: DataFrame, name: str = "name", content: str = "content") -> DataF
     )
 
 
+def intake(df: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
+    """Describe each non-empty source, whatever its size."""
+    return describe(df, name, content).filter(F.col("byte_size") > 0)
+
+
 def intake_rejects(df: DataFrame, content: str = "content") -> DataFrame:
     size = F.octet_length(F.col(content).cast("binary"))
     return df.filter(size.isNull() | (size == 0)).select(
