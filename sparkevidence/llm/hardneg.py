@@ -12,7 +12,7 @@
    positive the best rows of other labels inside its window (negatives).
 
 Rows are dealt into blocks of at most BLOCK_ROWS, anchors into blocks of about BLOCK_ANCHORS. Every anchor block
-goes once to each of the `salts` shares of the rows; a task keeps the best rows of the anchor blocks that it is
+goes once to each share of the rows, every row block once to each group of the anchors; a task keeps the best rows of the anchor blocks that it is
 at (a few of them) and hands on a few rows for each anchor, which windows rank at the end.
 
 Defined cases: rows with a null label, a null vector or a null, infinite or NaN component take no part; a null id
@@ -24,6 +24,7 @@ score zero; an empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,6 +40,9 @@ BITS = 512
 PLANES = 6
 BLOCK_ROWS = 2048
 BLOCK_ANCHORS = 256
+#: Pairs of an anchor and a row that are worth a task, and rows that are worth a share.
+TILE_PAIRS = 1 << 18
+SHARE_ROWS = 512
 #: Anchor blocks whose best rows a task keeps at a time.
 _KEPT = 16
 #: Products below this are exact in 64-bit whole numbers, with room for a factor of 100.
@@ -261,11 +265,25 @@ def vector_blocks(rows: DataFrame, parts: int, most: int, bits: int) -> DataFram
     return in_arrow(rows.repartition(parts), run, ", ".join(f"{n} {'long' if i < 5 else 'binary'}" for i, n in enumerate(names)))
 
 
-def _pairs(anchors: DataFrame, rows: DataFrame, salts: int) -> DataFrame:
-    """Every anchor block beside every row block of its dimension: anchors go to all shares of the rows."""
-    left = anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in rows.columns], F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("share"))
-    return left.join(right, (F.col("salt") == F.col("share")) & (F.col("a_d") == F.col("r_d"))).drop("salt", "share")
+def tiles(rows: int, asked: int, most: int) -> tuple[int, int]:
+    """(shares of the rows, groups of the anchors) that tasks compare: at most about `most` of them, fewer where there is little to compare.
+
+    Rows are copied for each group, anchors for each share; with shares : groups as rows : anchors both copies are of equal size.
+    """
+    count = max(1, min(most, rows * asked // TILE_PAIRS))
+    shares = min(count, math.ceil(math.sqrt(count * rows / max(1, asked))), -(-rows // SHARE_ROWS))
+    return max(1, shares), -(-count // max(1, shares))
+
+
+def _pairs(anchors: DataFrame, rows: DataFrame, shares: int, groups: int) -> DataFrame:
+    """Every anchor block beside every row block of its dimension: anchors go to all shares of the rows, rows to all groups of the anchors."""
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns], dealt(groups).alias("group"), every(shares).alias("share"))
+    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in rows.columns], dealt(shares).alias("r_share"), every(groups).alias("r_group"))
+    met = (F.col("share") == F.col("r_share")) & (F.col("group") == F.col("r_group")) & (F.col("a_d") == F.col("r_d"))
+    # Spark takes the copies of a side for as small as the side itself and would send them all to the driver to broadcast them.
+    return left.hint("merge").join(right, met).drop("share", "group", "r_share", "r_group")
 
 
 def _search(pairs: DataFrame, find: Callable, lists: int, keep: int, bits: int, planes: int) -> DataFrame:
@@ -317,16 +335,18 @@ def mine(
     rows: id long, label long, v array<double> of whole numbers. anchor: a condition on id. An anchor's positives
     are its first `positives` rows of its label; a negative has low * positive <= 100 * negative <= high * positive.
     """
-    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("v").cast("array<double>").alias("v"))
     broken = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = whole.where(F.col("label").isNotNull() & F.col("v").isNotNull() & ~broken)
     asked = whole.where(anchor)
-    blocks, _ = stage(vector_blocks(whole, salts, BLOCK_ROWS, bits), "vectors", wide_rows=True)
-    anchors, _ = stage(vector_blocks(asked, max(1, -(-asked.count() // BLOCK_ANCHORS)), BLOCK_ANCHORS, bits), "anchors", wide_rows=True)
+    given, wanted = rows.count(), asked.count()
+    shares, groups = tiles(given, wanted, most)
+    blocks, _ = stage(vector_blocks(whole, max(shares, min(most, -(-given // BLOCK_ROWS))), BLOCK_ROWS, bits), "vectors", wide_rows=True)
+    anchors, _ = stage(vector_blocks(asked, max(1, -(-wanted // BLOCK_ANCHORS)), BLOCK_ANCHORS, bits), "anchors", wide_rows=True)
 
     overlap = (F.col("a_low") <= F.col("r_high")) & (F.col("r_low") <= F.col("a_high"))
-    same = _search(_pairs(anchors, blocks, salts).where(overlap), lambda a, c, r, best, row: find_positives(a, c, r, best), 1, positives, bits, planes)
+    same = _search(_pairs(anchors, blocks, shares, groups).where(overlap), lambda a, c, r, best, row: find_positives(a, c, r, best), 1, positives, bits, planes)
     chosen, _ = stage(_top(stage(same, "same-label")[0], positives), "positives")
 
     # The scores of its anchors' positives go with a block.
@@ -340,8 +360,8 @@ def mine(
         find_negatives(a, coded, r, best, low, high, scores)
 
     one_label = (F.col("a_low") == F.col("a_high")) & (F.col("a_low") == F.col("r_low")) & (F.col("a_low") == F.col("r_high"))
-    other = _search(_pairs(armed, blocks, salts).where(~one_label), negatives_of, positives, negatives, bits, planes)
+    other = _search(_pairs(armed, blocks, shares, groups).where(~one_label), negatives_of, positives, negatives, bits, planes)
     top = _top(stage(other, "other-labels")[0], negatives)
-    given = chosen.select("block", "at", (F.col("rank") - 1).alias("list"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-    return top.join(given, ["block", "at", "list"]).select(
+    best = chosen.select("block", "at", (F.col("rank") - 1).alias("list"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
+    return top.join(best, ["block", "at", "list"]).select(
         "anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

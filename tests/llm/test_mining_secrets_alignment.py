@@ -59,6 +59,25 @@ def test_mining_against_brute_force(spark, monkeypatch, d, salts):
     assert got[0].__fields__ == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
 
 
+@pytest.mark.parametrize("salts,every", [(4, 50), (30, 2)])
+def test_copies_of_anchors_are_not_broadcast(spark, monkeypatch, salts, every):
+    """Copies for the shares count as one anchor block each in Spark's estimate; each tile is compared once."""
+    plans, search = [], hardneg._search
+
+    def seen(pairs, *rest):
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return search(pairs, *rest)
+
+    monkeypatch.setattr(hardneg, "_search", seen)
+    for name, value in (("BLOCK_ROWS", 20), ("BLOCK_ANCHORS", 3), ("TILE_PAIRS", 1), ("SHARE_ROWS", 1)):
+        monkeypatch.setattr(hardneg, name, value, raising=False)
+    rows = [(i * 50 // every, y, v) for i, y, v in vectors(240, 6, 9)]
+    got = hardneg.mine(frame(spark, rows), F.col("id") % 50 == 0, salts=salts).collect()
+    assert sorted(map(tuple, got)) == mined(rows)
+    # What the second one broadcasts are the positives' scores.
+    assert [plan.count("BroadcastHashJoin") for plan in plans] == [0, 1]
+
+
 def test_mining_edges(spark):
     run = lambda rows: hardneg.mine(frame(spark, rows), F.col("id") % 50 == 0).collect()
     assert run([]) == [] and run([(0, 1, [])] * 2) == []
