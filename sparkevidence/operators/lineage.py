@@ -110,18 +110,19 @@ def source_of_evidence(
 
     Wanted: (index_id, locator_key); contents: (artifact_id, locator_key) of elements and chunks. All indexes
     climb together, level by level, and an index leaves the frontier at its first hit, so ancestors behind
-    that one are never listed. Runs jobs until the frontier is empty; a cycle ends as its pairs have been seen.
+    that one are never listed; an index whose locators nothing holds does not climb at all. Runs jobs until the frontier is empty; a cycle ends as its pairs have been seen.
     """
     asked = materialize(wanted.select("index_id", "locator_key").distinct(), "asked")
     needed = materialize(
         contents.select("artifact_id", "locator_key").distinct().join(asked.select("locator_key").distinct(), "locator_key", "left_semi"),
         "needed",
     )
+    held = materialize(asked.join(needed.select("locator_key").distinct(), "locator_key", "left_semi"), "held")
     step = lineage.select("artifact_id", F.col("parent_id").alias("_next"))
-    level = materialize(asked.select("index_id", F.col("index_id").alias("artifact_id")).distinct(), "frontier")
+    level = materialize(held.select("index_id", F.col("index_id").alias("artifact_id")).distinct(), "frontier")
     seen, found, depth = level, [], 0
     while True:
-        hits = level.join(needed, "artifact_id").join(asked, ["index_id", "locator_key"], "left_semi")
+        hits = level.join(needed, "artifact_id").join(held, ["index_id", "locator_key"], "left_semi")
         nearest = hits.groupBy("index_id").agg(F.min("artifact_id").alias("artifact_id")).withColumn("depth", F.lit(depth))
         found.append(materialize(nearest, "nearest"))
         reached = (

@@ -34,3 +34,22 @@ def test_artifacts_and_attempts_share_one_written_table(spark, small):
     t = Tables(spark, small)
     both = [df.inputFiles() for df in Q.graph(t)[:2]]
     assert sorted(both[0]) == sorted(both[1])
+
+
+def test_indexes_without_a_held_locator_do_not_climb(spark, monkeypatch):
+    """Nothing holds what b looks for, so its ancestors are not listed; it is in the result all the same."""
+    frontiers, write = [], X.materialize
+
+    def seen(df, name, *rest):
+        out = write(df, name, *rest)
+        if name == "frontier":
+            frontiers.append(sorted(tuple(r) for r in out.select("index_id", "artifact_id").collect()))
+        return out
+
+    monkeypatch.setattr(X, "materialize", seen)
+    lineage = spark.createDataFrame([("a", "p"), ("b", "p"), ("p", "q")], "artifact_id string, parent_id string")
+    contents = spark.createDataFrame([("q", "k1"), ("p", "k2")], "artifact_id string, locator_key string")
+    wanted = spark.createDataFrame([("a", "k1"), ("a", "gone"), ("b", "gone"), ("b", None)], "index_id string, locator_key string")
+    found = {r.index_id: (r.artifact_id, r.depth) for r in X.source_of_evidence(wanted, lineage, contents).collect()}
+    assert found == {"a": ("q", 2), "b": (None, None)}
+    assert frontiers == [[("a", "a")], [("a", "p")], [("a", "q")], []]
